@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality
 
-QUERIES = {"op8_quality_rules": quality.op8_quality_rules}
+QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op8_quality_rules": quality.op8_quality_rules,
+}
 ORACLES = {"op8_quality_rules": quality.OP8_SQL}
