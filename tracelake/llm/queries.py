@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, quality, substring_dedup
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
-ORACLES = {"op8_quality_rules": quality.OP8_SQL}
+ORACLES = {"op8_quality_rules": quality.OP8_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
