@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, total_bytes
+from .common import fresh, materialize, total_bytes
 from .components import components
 from .hashbuckets import FLUSH, blob, parts
 from .textkernel import U64, Words, mix, slices, windows, words
@@ -335,6 +335,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction | str =
     return full.union(empty)
 
 
+def keep_one(docs: DataFrame, n: int = 5, similarity: Fraction | str = "0.8") -> DataFrame:
+    """Of each component the row of least (doc_id, hash of text) stays, with its own columns only.
+
+    Rows that have no component id (no doc_id, linked to nothing) all stay, once each.
+    """
+    groups = materialize(jaccard_components(docs, n, similarity), "groups")
+    first = groups.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("k")).select("k.doc_id", "k.tag")
+    alone = groups.where("component_id is null").select("doc_id", "tag")
+    row = lambda d, t: F.concat_ws(":", d.cast("long").cast("string"), t.cast("string"))
+    name = fresh(docs, "row_key")
+    keys = first.union(alone).select(row(F.col("doc_id"), F.col("tag")).alias(name))
+    keyed = docs.withColumn(name, row(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    return keyed.join(keys, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Contract query: 3-word shingles, similarity 0.9, all documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, "0.9").drop("tag")
