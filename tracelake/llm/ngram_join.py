@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, total_bytes
 from .components import components
-from .hashbuckets import FLUSH, blob, parts
+from .hashbuckets import FLUSH, bucket_count, eight, pack, seven, steps, unpack, unsteps
 from .textkernel import U64, Words, mix, slices, windows, words
 
 PART = 256
-_SIGNED = ("S16", "u4", "u8")  # set keys, signatures a set, signatures
+#: Stands for a missing doc_id among signatures.
+_NO_ID = -(1 << 63)
 
 
 class Bands:
@@ -113,6 +114,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 PROFILE = "doc_id long, tag long, n long, set_key binary, bucket int, blob binary"
+_PROFILE_NAMES = ["doc_id", "tag", "n", "set_key", "bucket", "blob"]
 _PROFILE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
 
 
@@ -121,34 +123,35 @@ def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bands(bands.num, bands.den)
-        held: list[tuple[bytes, np.ndarray]] = []
+        held: list[tuple[int, np.ndarray]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            keys, sizes, h = np.array([k for k, _ in held], dtype="S16"), np.array([len(s) for _, s in held]), np.concatenate([s for _, s in held])
-            doc, bucket = np.repeat(np.arange(len(keys)), sizes), (h % U64(buckets)).astype(np.int64)
+            doc, h = np.repeat(np.array([i for i, _ in held]), [len(x) for _, x in held]), np.concatenate([x for _, x in held])
+            bucket = (h % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             doc, bucket, h = doc[order], bucket[order], h[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             out = []
             for a, b in zip(edges.tolist(), np.append(edges[1:], len(h)).tolist(), strict=True):
-                first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-                out.append(blob(keys[doc[a:b][first]], np.diff(np.append(first, b - a)).astype(np.uint32), h[a:b]))
+                first = np.append(0, np.flatnonzero(np.diff(doc[a:b])) + 1)
+                out.append(pack(*steps(doc[a:b][first]), np.diff(np.append(first, b - a)), seven(h[a:b])))
             none = [None] * len(out)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, none, none, bucket[edges].tolist(), out), _PROFILE_KINDS, strict=True)], names=PROFILE.replace(" long", "").replace(" binary", "").replace(" int", "").split(", "))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, none, none, bucket[edges].tolist(), out), _PROFILE_KINDS, strict=True)], names=_PROFILE_NAMES)
 
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
-                sizes, keys = [], []
+                sizes, keys, ids = [], [], batch.column("doc_id")[a:b].to_pylist()
                 for s in sets(words(offsets, data, lower), n):
                     sizes.append(len(s))
                     keys.append(key_of(s) if len(s) else None)
                     if len(s):
                         signs = signatures(s, own)
-                        held.append((keys[-1], signs))
+                        i = ids[len(sizes) - 1]
+                        held.append((_NO_ID if i is None else i, signs))
                         count += len(signs)
                 none = [None] * (b - a)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("tag")[a:b], *(pa.array(c, k) for c, k in zip((sizes, keys, none, none), _PROFILE_KINDS[2:], strict=True))], names=["doc_id", "tag", "n", "set_key", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("tag")[a:b], *(pa.array(c, k) for c, k in zip((sizes, keys, none, none), _PROFILE_KINDS[2:], strict=True))], names=_PROFILE_NAMES)
                 if count >= FLUSH:
                     yield flush()
                     held, count = [], 0
@@ -158,25 +161,35 @@ def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int)
     return docs.mapInArrow(run, PROFILE)
 
 
-def _families(packed: DataFrame) -> DataFrame:
-    """(leader, set_key): sets that share a range, under the least key that shares it."""
+def _families(packed: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(leader, set_key): sets that share a range, under the set of the least doc_id that shares it.
+
+    Signatures carry doc_ids, which pack well; where rows repeat one, all its sets come along.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts, h = (np.concatenate(x) for x in zip(*(parts(b, _SIGNED) for b in table.column("blob").to_pylist()), strict=True))
-        distinct, number = np.unique(keys, return_inverse=True)
-        who = np.repeat(number, counts)
-        order = np.lexsort((who, h))
-        who, h = who[order], h[order]
-        fresh = (np.diff(h, prepend=~h[:1]) != 0) | (np.diff(who, prepend=-1) != 0)
-        who, h = who[fresh], h[fresh]
-        edge = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+        ids, hashes = [], []
+        for data in table.column("blob").to_pylist():
+            first, d, counts, h = unpack(data)
+            ids.append(np.repeat(unsteps(first, d), counts))
+            hashes.append(eight(h))
+        doc, h = np.concatenate(ids), np.concatenate(hashes)
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        edge = np.append(0, np.flatnonzero(np.diff(h)) + 1)
         size = np.diff(np.append(edge, len(h)))
-        leader, shared = np.repeat(who[edge], size), np.repeat(size > 1, size)
-        pair = np.unique(leader[shared].astype(np.int64) * len(distinct) + who[shared])
-        width = lambda x: [k.ljust(16, b"\0") for k in distinct[x].tolist()]  # noqa: E731  numpy drops trailing zeros
-        return pa.table({"leader": pa.array(width(pair // len(distinct)), pa.binary()), "set_key": pa.array(width(pair % len(distinct)), pa.binary())})
+        leader, shared = np.repeat(doc[edge], size), np.repeat(size > 1, size)
+        pairs = np.unique(np.stack([leader[shared], doc[shared]]), axis=1) if shared.any() else np.zeros((2, 0), dtype=np.int64)
+        return pa.table({"leader_id": pa.array(pairs[0], pa.int64()), "member_id": pa.array(pairs[1], pa.int64())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "leader binary, set_key binary").distinct()
+    pairs = packed.groupBy("bucket").applyInArrow(run, "leader_id long, member_id long").distinct()
+    known = profiles.where("set_key is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "set_key").distinct()
+    first = known.groupBy("id").agg(F.min("set_key").alias("leader"))
+    named = pairs.join(known.withColumnRenamed("id", "member_id"), "member_id").join(first.withColumnRenamed("id", "leader_id"), "leader_id")
+    families = named.select("leader", "set_key").union(named.select("leader", F.col("leader").alias("set_key"))).distinct()
+    # a family of one set has nothing to compare
+    sizes = families.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader")
+    return families.join(sizes, "leader")
 
 
 class Trie:
@@ -318,10 +331,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction | str =
     bands = Bands(similarity.numerator, similarity.denominator)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     share = 4 * (bands.den - bands.num) / (bands.den + bands.num)
-    buckets = max(64, int(total_bytes(docs, "text") / 6 * share) // 500_000)
+    buckets = bucket_count(total_bytes(docs, "text") / 6 * share)
     both = materialize(_profiles(docs, n, bands, lower, buckets), "profiles")
     profiles = both.where("bucket is null").select("doc_id", "tag", "n", "set_key")
-    families = materialize(_families(both.where("bucket is not null").select("bucket", "blob")), "families")
+    families = materialize(_families(both.where("bucket is not null").select("bucket", "blob"), profiles), "families")
     holders = profiles.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("one"), F.min("doc_id").alias("doc_id"))
     wanted = families.select("set_key").distinct().join(holders, "set_key").select("set_key", F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tag"] == wanted["tag"])).select("set_key", "text").dropDuplicates(["set_key"])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ngram_join, pii, quality, substring_dedup, token_files
+from . import bpe, chat, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, token_files
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLES = {"op4_ngram_join": ngram_join.OP4_SQL, "op5_source_mixing": mixing.OP5_SQL, "op8_quality_rules": quality.OP8_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
+ORACLES = {"op4_ngram_join": ngram_join.OP4_SQL, "op5_source_mixing": mixing.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL, "op8_quality_rules": quality.OP8_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
