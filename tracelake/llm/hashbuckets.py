@@ -22,26 +22,6 @@ def bucket_count(hashes: float) -> int:
     return 256 * max(1, -(-int(hashes) // (256 * PER_BUCKET)))
 
 
-def blob(*parts: np.ndarray) -> bytes:
-    """Arrays, each with its byte length before it."""
-    return b"".join(len(b).to_bytes(8, "little") + b for b in (np.ascontiguousarray(p).tobytes() for p in parts))
-
-
-def parts(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a blob; kind u7 is 64-bit integers whose low byte was left out."""
-    out, at = [], 0
-    for kind in kinds:
-        size = int.from_bytes(data[at : at + 8], "little")
-        raw = np.frombuffer(data, dtype=np.uint8 if kind == "u7" else kind, count=size // (1 if kind == "u7" else np.dtype(kind).itemsize), offset=at + 8)
-        if kind == "u7":
-            full = np.zeros((size // 7, 8), dtype=np.uint8)
-            full[:, 1:] = raw.reshape(-1, 7)
-            raw = full.reshape(-1).view("<u8")
-        out.append(raw)
-        at += 8 + size
-    return out
-
-
 def pack(*columns: np.ndarray) -> bytes:
     """Integer arrays, each in the least width that holds it, or rows of bytes as they are."""
     out = []

@@ -26,87 +26,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import total_bytes
-from .hashbuckets import BUCKET_SCHEMA, FLUSH, blob, bucket_count, bucket_of, parts, rows, seven
-from .textkernel import Words, slices, windows, words
+from .hashbuckets import BUCKET_SCHEMA, FLUSH, bucket_count, bucket_of, eight, pack, rows, seven, steps, unpack, unsteps
+from .textkernel import slices, windows, words
 
 WINDOW = 13
 #: Text bytes that one group of documents holds when the windows found meet their texts.
 GROUP_BYTES = 4 << 20
-_OUT = ("i8", "u4", "u4", "u7")  # doc ids, tags, windows a document, hashes
-_HIT = ("i8", "u4", "u4", "u4")  # doc ids, tags, windows a document, their numbers within block and document
-
-
-def _by_block(w: Words, window: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, row, block, hash) of every window, by block, then text order."""
-    at, h = windows(w, window)
-    block = bucket_of(h, n)
-    order = np.argsort(block, kind="stable")
-    return at[order], w.row[at[order]], block[order], h[order]
 
 
 def _index(docs: DataFrame, window: int, n: int) -> DataFrame:
-    """Packed windows of all documents, by block."""
+    """Packed windows of all documents, by block: document, windows of each, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            ids, tags, doc, block, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            block = bucket_of(h, n)
             order = np.argsort(block, kind="stable")
             doc, block, h = doc[order], block[order], h[order]
             edges = np.flatnonzero(np.diff(block, prepend=-1))
             out = []
             for a, b in zip(edges.tolist(), np.append(edges[1:], len(block)).tolist(), strict=True):
-                first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-                which = doc[a:b][first]
-                out.append(blob(ids[which], tags[which], np.diff(np.append(first, b - a)).astype(np.uint32), seven(h[a:b])))
+                first = np.append(0, np.flatnonzero(np.diff(doc[a:b])) + 1)
+                out.append(pack(*steps(doc[a:b][first]), np.diff(np.append(first, b - a)), seven(h[a:b])))
             return rows(block[edges].tolist(), out)
 
-        base = 0
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
-                ids, tags = (batch.column(c)[a:b].to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
-                _, row, block, h = _by_block(words(offsets, data), window, n)
-                held.append((ids.astype(np.int64), tags.astype(np.uint32), row + base, block, h))
-                base, count = base + len(ids), count + len(h)
+                ids = batch.column("doc_id")[a:b].to_numpy(zero_copy_only=False).astype(np.int64)
+                w = words(offsets, data)
+                at, h = windows(w, window)
+                held.append((ids[w.row[at]], h))
+                count += len(h)
                 if count >= FLUSH:
                     yield flush()
-                    held, count, base = [], 0, 0
+                    held, count = [], 0
         if count:
             yield flush()
 
-    return docs.mapInArrow(run, BUCKET_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, BUCKET_SCHEMA)
 
 
 def _found(index: DataFrame, groups: int) -> DataFrame:
-    """Windows that a smaller document holds: packed by group of documents."""
+    """Windows that a smaller document holds, packed by group of documents: document, windows of each, hashes."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("bucket")[0].as_py()
-        ids, tags, counts, hashes = (np.concatenate(x) for x in zip(*(parts(b, _OUT) for b in table.column("blob").to_pylist()), strict=True))
-        doc = np.repeat(np.arange(len(ids)), counts)
-        order = np.argsort(hashes, kind="stable")
-        edge = np.flatnonzero(np.diff(hashes[order], prepend=np.uint64(0)))
-        if not len(edge) or edge[0]:
-            edge = np.append(0, edge)
-        least = np.repeat(np.minimum.reduceat(ids[doc[order]], edge), np.diff(np.append(edge, len(order))))
-        hit = np.zeros(len(order), dtype=bool)
-        hit[order] = ids[doc[order]] > least
-        if not hit.any():
-            return pa.table({"q": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        # documents with the same id and tag are the same text: one entry is enough
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        doc, number = doc[hit], number[hit]
-        group = np.mod(ids[doc], groups)
-        order = np.lexsort((number, tags[doc], ids[doc], group))
-        doc, number, group = doc[order], number[order], group[order]
+        ids, hashes = [], []
+        for data in table.column("blob").to_pylist():
+            first, d, counts, h = unpack(data)
+            ids.append(np.repeat(unsteps(first, d), counts))
+            hashes.append(eight(h))
+        doc, h = np.concatenate(ids), np.concatenate(hashes)
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        edge = np.append(0, np.flatnonzero(np.diff(h)) + 1)
+        least = np.repeat(doc[edge], np.diff(np.append(edge, len(h))))
+        hit = doc > least
+        hit[1:] &= (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])  # once a document
+        doc, h = doc[hit], h[hit]
+        group = np.mod(doc, groups)
+        order = np.lexsort((doc, group))
+        doc, h, group = doc[order], h[order], group[order]
         edge = np.flatnonzero(np.diff(group, prepend=-1))
         out = []
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(group)).tolist(), strict=True):
-            d = doc[a:b]
-            first = np.flatnonzero((np.diff(ids[d], prepend=ids[d[0]] - 1) != 0) | (np.diff(tags[d].astype(np.int64), prepend=-1) != 0))
-            out.append(blob(np.diff(ids[d[first]], prepend=0), tags[d[first]], np.diff(np.append(first, b - a)).astype(np.uint32), number[a:b].astype(np.uint32)))
+            first = np.append(0, np.flatnonzero(np.diff(doc[a:b])) + 1)
+            out.append(pack(*steps(doc[a:b][first]), np.diff(np.append(first, b - a)), seven(h[a:b])))
         return pa.table({"q": pa.array(group[edge], pa.int32()), "block": pa.array([block] * len(edge), pa.int32()), "blob": pa.array(out, pa.binary())})
 
     return index.groupBy("bucket").applyInArrow(run, "q int, block int, blob binary")
@@ -130,40 +118,33 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
     """Per document: words, removed words, digest of the kept text, the kept text (if texts), spans."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
     size = total_bytes(docs, "text")
     n, groups = bucket_count(size / 6), max(8, size // GROUP_BYTES)
     found = _found(_index(docs.where("doc_id is not null"), window, n), groups)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for block, data in zip(right.column("block").to_pylist(), right.column("blob").to_pylist(), strict=True):
-            ids, tags, counts, numbers = parts(data, _HIT)
-            ends = np.cumsum(counts)
-            for i, t, a, b in zip(np.cumsum(ids).tolist(), tags.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-                held.setdefault((i, t), []).append((block, numbers[a:b]))
+            first, d, counts, h = unpack(data)
+            full, ends = eight(h) | np.uint64(block % 256), np.cumsum(counts)
+            for i, a, b in zip(unsteps(first, d).tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                held.setdefault(i, []).append(full[a:b])
         columns: list[list] = [[] for _ in range(6)]
-        text = left.column("text").combine_chunks()
-        keys = list(zip(left.column("doc_id").to_pylist(), left.column("tag").to_pylist(), strict=True))
-        for first, _, offsets, data in slices(text):
+        ids = left.column("doc_id").to_pylist()
+        for first, _, offsets, data in slices(left.column("text")):
             w = words(offsets, data)
-            at, row, block, _ = _by_block(w, window, n)
-            order = np.lexsort((block, row))  # by row, then block, then text order
-            at, row, block = at[order], row[order], block[order]
-            bounds = np.searchsorted(row, np.arange(len(offsets)))
-            begin = np.concatenate([[0], np.cumsum(w.counts)])
+            at, h = windows(w, window)
+            bounds = np.searchsorted(w.row[at], np.arange(len(offsets)))
             raw = data.tobytes()
             for r in range(len(offsets) - 1):
-                a, b, base = bounds[r], bounds[r + 1], begin[r]
-                hit = np.zeros(max(0, int(w.counts[r]) - window + 1), dtype=bool)
-                for k, numbers in held.get(keys[first + r], ()):
-                    hit[at[a:b][np.searchsorted(block[a:b], k) + numbers] - base] = True
+                own = held.get(ids[first + r])
+                hit = np.isin(h[bounds[r] : bounds[r + 1]], np.concatenate(own)) if own else np.zeros(0, dtype=bool)
                 spans = factors(hit, window) if hit.any() else []
                 kept = np.ones(int(w.counts[r]), dtype=bool)
                 for s, e in spans:
                     kept[s:e] = False
                 out = b" ".join(np.array(raw[offsets[r] : offsets[r + 1]].split(), dtype=object)[kept].tolist()) if len(kept) else b""
-                for c, v in zip(columns, (keys[first + r][0], len(kept), int(len(kept) - kept.sum()), hashlib.sha256(out).hexdigest(), out if texts else None, [{"start": s, "end": e} for s, e in spans]), strict=True):
+                for c, v in zip(columns, (ids[first + r], len(kept), int(len(kept) - kept.sum()), hashlib.sha256(out).hexdigest(), out if texts else None, [{"start": s, "end": e} for s, e in spans]), strict=True):
                     c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
