@@ -23,6 +23,8 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -143,8 +145,11 @@ class Bpe:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def encode_segments(self, segments: list[bytes]) -> list[list[int]]:
-        return [self.encode(s.decode()) for s in segments]
+    def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each segment)."""
+        lists = [self.encode(s.decode()) for s in segments]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     # many texts at once
 
@@ -166,6 +171,13 @@ def decode_flat(ids: np.ndarray, bounds: np.ndarray, table: tuple[np.ndarray, np
     return out, np.concatenate([[0], ends])[bounds]
 
 
+@lru_cache(2)
+def loaded(path: str) -> tuple[Bpe, TokenCache]:
+    """An encoder and its cache, kept by the Python worker from task to task."""
+    bpe = Bpe(load_ranks(path))
+    return bpe, TokenCache(bpe.encode_segments)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -173,8 +185,8 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes every text, decodes the ids again, and digests both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(load_ranks(path))
-        table, cache = bpe.byte_table(), TokenCache(bpe.encode_segments)
+        bpe, cache = loaded(path)
+        table = bpe.byte_table()
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
                 ids, bounds = cache.ids(offsets, data)
@@ -193,8 +205,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """doc_id and the ids of its text, as an array column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(load_ranks(path))
-        cache = TokenCache(bpe.encode_segments)
+        _, cache = loaded(path)
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
                 got, bounds = cache.ids(offsets, data)
@@ -208,7 +219,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """doc_id and the text of an array column of ids; bytes that aren't UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(load_ranks(path))
+        bpe, _ = loaded(path)
         for batch in batches:
             texts = [bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])

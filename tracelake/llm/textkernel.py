@@ -149,10 +149,10 @@ def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 class TokenCache:
     """Ids of distinct segments, in one flat array; bounded, and emptied when full.
 
-    encode: from a list of segments (bytes) to a list of id lists.
+    encode: from a list of segments (bytes) to (all their ids, number of ids of each).
     """
 
-    def __init__(self, encode, most: int = 300_000):
+    def __init__(self, encode, most: int = 600_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -162,15 +162,16 @@ class TokenCache:
         self.flat, self.filled = np.zeros(8192, dtype=np.uint32), 0
 
     def _add(self, new: list[bytes]) -> None:
-        for segment, ids in zip(new, self.encode(new), strict=True):
-            if self.used == len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts] * 2), np.concatenate([self.sizes] * 2)
-            while self.filled + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.filled : self.filled + len(ids)] = ids
-            self.starts[self.used], self.sizes[self.used] = self.filled, len(ids)
-            self.index[segment] = self.used
-            self.used, self.filled = self.used + 1, self.filled + len(ids)
+        ids, sizes = self.encode(new)
+        while self.used + len(new) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        to = slice(self.used, self.used + len(new))
+        self.starts[to], self.sizes[to] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.index.update(zip(new, range(to.start, to.stop), strict=True))
+        self.used, self.filled = to.stop, self.filled + len(ids)
 
     def segments(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start of each segment, its row, its number in this cache)."""
@@ -181,8 +182,9 @@ class TokenCache:
         _, at, back = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        self._add(list({s: None for s in distinct if s not in self.index}))
-        number = np.fromiter((self.index[s] for s in distinct), dtype=np.int64, count=len(distinct))
+        if new := [s for s in distinct if s not in self.index]:
+            self._add(list(dict.fromkeys(new)))
+        number = np.fromiter(map(self.index.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         return starts, np.searchsorted(offsets, starts, side="right") - 1, number[back]
 
     def ids(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,9 +19,11 @@ stand side by side, ordered by text; a null doc_id comes first; an empty table g
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -43,15 +45,45 @@ SHARD_BYTES = 32 << 20
 LEVEL = 3
 
 
-def _encoder(path: str, end_id: int) -> TokenCache:
-    import os
+#: Segments that go to the tokenizer as one text.
+JOINED = 500
 
+
+def _joins(s: bytes) -> bool:
+    """Whether a segment starts with a blank and ends, for certain, with something else."""
+    return s[0] in b" \t\n\x0b\x0c\r" and (0x21 <= s[-1] <= 0x7E or s[-1] >= 0x80 and len(s) > 1 and 0xC3 <= s[-2] <= 0xDF)
+
+
+@lru_cache(2)
+def _encoder(path: str) -> TokenCache:
+    """The vocabulary's encoder and cache, kept by the Python worker from task to task.
+
+    Segments between whose neighbours the tokenizer always splits are encoded as one text, and the
+    ids dealt out by the bytes they stand for: a call for every segment costs more than its ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return TokenCache(lambda segments: [e.ids for e in tokenizer.encode_batch([s.decode() for s in segments], add_special_tokens=False)] if segments else [])
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+
+    def encode(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts: list[list[int]] = []
+        for i, s in enumerate(segments):
+            if _joins(s) and texts and len(texts[-1]) < JOINED and _joins(segments[texts[-1][-1]]):
+                texts[-1].append(i)
+            else:
+                texts.append([i])
+        got = tokenizer.encode_batch_fast([b"".join(segments[i] for i in x).decode() for x in texts], add_special_tokens=False)
+        ids = [np.array(e.ids, dtype=np.uint32) for e in got]
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        ends = np.cumsum([len(s) for s in segments])
+        reached = np.searchsorted(np.cumsum(width[flat]), ends, side="left") + 1
+        return flat, np.diff(reached, prepend=0)
+
+    return TokenCache(encode)
 
 
 def _vocabulary_width(path: str) -> int:
@@ -78,7 +110,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = 0) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u2" if _vocabulary_width(path) == 2 else "<u4"
-        samples = [ids.astype(kind).tobytes() for _, ids in _documents(batches, _encoder(path, end_id), end_id)]
+        samples = [ids.astype(kind).tobytes() for _, ids in _documents(batches, _encoder(path), end_id)]
         try:
             data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
         except zstandard.ZstdError:
@@ -109,7 +141,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> DataFrame
         width = _vocabulary_width(path)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(data)).compress
         first, index, out, uri, at = None, [], None, f"{folder}/shard-{uuid.uuid4().hex}.ids", 0
-        for doc_id, ids in _documents(batches, _encoder(path, end_id), end_id):
+        for doc_id, ids in _documents(batches, _encoder(path), end_id):
             if out is None:
                 store, name = fs.FileSystem.from_uri(uri)
                 store.create_dir(name.rsplit("/", 1)[0], recursive=True)
