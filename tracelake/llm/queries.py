@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, token_files
+from . import bpe, chat, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, token_counts, token_files
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_pii": pii.op2_pii,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_ngram_join": ngram_join.op4_ngram_join,
