@@ -2,5 +2,553 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import normalize as N
+from tracelake.operators import binary, casesql, custody, graph, threats, timeline
+from tracelake.plans import inputs as I
+from tracelake.sources import logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, with its SQL if SQL can express it."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# graph
+
+
+@query(f"""WITH {I.TRANSFERS_SQL}, i AS (SELECT target AS id, count(*) AS n_in, sum(amount) AS a FROM t GROUP BY target), o AS (SELECT source AS id, count(*) AS n_out, sum(amount) AS b FROM t GROUP BY source),
+x AS (SELECT *, abs(a - b) / greatest(a, b) AS r FROM i JOIN o USING (id) WHERE n_in >= 3 AND n_out >= 3)
+SELECT id, n_in, n_out, round(a, 2) AS total_in, round(b, 2) AS total_out, round(r, 6) AS ratio, round((1 - r) * least(1.0::DOUBLE, (n_in + n_out) / 10.0), 6) AS velocity,
+CASE WHEN r <= 0.05 AND n_in + n_out >= 6 THEN 'CRITICAL' WHEN r <= 0.15 THEN 'HIGH' WHEN r <= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x WHERE r <= 0.6""")
+def mule_accounts(spark, d):
+    return graph.mule_accounts(I.transfers(spark, d), 3, 0.6)
+
+
+def _fan(hub: str, spoke: str, kind: str) -> str:
+    return f"SELECT '{kind}' AS kind, {hub} AS hub, count(DISTINCT {spoke}) AS n_spokes, count(*) AS n_tx, round(sum(amount), 2) AS volume, round(sum(amount) / count(*), 6) AS average FROM s GROUP BY {hub} HAVING count(DISTINCT {spoke}) >= 4"
+
+
+@query(f"WITH {I.STRONG_SQL} {_fan('target', 'source', 'FAN_IN')} UNION ALL {_fan('source', 'target', 'FAN_OUT')}")
+def smurfing_patterns(spark, d):
+    return graph.smurfing_patterns(I.strong_transfers(spark, d), 4)
+
+
+@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL} SELECT id, round(coalesce(i, 0) / 24.0, 6) AS in_degree, round(coalesce(o, 0) / 24.0, 6) AS out_degree, round((coalesce(i, 0) + coalesce(o, 0)) / 24.0, 6) AS degree FROM c LEFT JOIN (SELECT target AS id, count(*) AS i FROM s GROUP BY target) USING (id) LEFT JOIN (SELECT source AS id, count(*) AS o FROM s GROUP BY source) USING (id)")
+def degree_centrality(spark, d):
+    got = graph.degree_centrality(I.nation_nodes(spark, d), I.strong_transfers(spark, d))
+    return got.select("id", *(F.round(c, 6).alias(c) for c in ("in_degree", "out_degree", "degree")))
+
+
+@query(f"WITH {I.SUPPLIES_SQL}, p AS (SELECT a.source AS source, b.source AS target, count(*) AS weight FROM e a JOIN e b ON a.target = b.target AND a.source <> b.source GROUP BY ALL) SELECT * FROM p")
+def bipartite_projection(spark, d):
+    e = I.supplies(spark, d)
+    return graph.project_bipartite(e, e.select(F.col("source").alias("id")).distinct())
+
+
+@query(f"WITH {I.STRONG_SQL}, b AS (SELECT source AS a, target AS z FROM s UNION SELECT target, source FROM s), r1 AS (SELECT 'N3' AS id UNION SELECT z FROM b WHERE a = 'N3'), r2 AS (SELECT id FROM r1 UNION SELECT z FROM b WHERE a IN (SELECT id FROM r1)) SELECT source, target, amount FROM s WHERE source IN (SELECT id FROM r2) AND target IN (SELECT id FROM r2)")
+def ego_graph_r2(spark, d):
+    return graph.ego_graph(I.strong_transfers(spark, d), "N3", 2)[1].select("source", "target", "amount")
+
+
+@query("SELECT true AS supplies, false AS transfers")
+def is_bipartite(spark, d):
+    a, b = graph.is_bipartite(I.supplies(spark, d)), graph.is_bipartite(I.transfers(spark, d))
+    return spark.range(1).select(F.lit(a).alias("supplies"), F.lit(b).alias("transfers"))
+
+
+@query("SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target FROM customer WHERE c_acctbal > 0")
+def subgraph_entity(spark, d):
+    edges = I.table(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("target"))
+    more = I.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")))
+    return graph.subgraph_by_entity_types(I.nodes(spark, d), edges.union(more), ["PERSON", "LOCATION"])[1]
+
+
+@query(f"WITH {I.TRANSFERS_SQL} SELECT source, target, amount FROM t WHERE seq % 3 = 0")
+def subgraph_relation(spark, d):
+    e = I.transfers(spark, d).withColumn("relation_type", F.when(F.col("seq") % 3 == 0, "TRANSACTION").otherwise("CALL"))
+    return graph.subgraph_by_relation_types(e, ["TRANSACTION", "TRANSFER"]).select("source", "target", "amount")
+
+
+@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL} SELECT source, target, a.community AS source_community, b.community AS target_community, amount FROM s JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.community <> b.community")
+def inter_community_links(spark, d):
+    return graph.inter_community_links(I.strong_transfers(spark, d), I.communities(spark, d))
+
+
+@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, b AS (SELECT source AS id, target AS other FROM s UNION SELECT target, source FROM s UNION SELECT source, source FROM s UNION SELECT target, target FROM s) SELECT b.id, count(DISTINCT community) AS span FROM b JOIN c ON c.id = other GROUP BY b.id HAVING count(DISTINCT community) > 1")
+def cross_community_brokers(spark, d):
+    return graph.community_brokers(I.strong_transfers(spark, d), I.communities(spark, d))
+
+
+@query(f"""WITH RECURSIVE {I.STRONG_SQL}, p AS (SELECT source AS st, target AS en, [source, target] AS path, [amount] AS am FROM s WHERE target > source
+UNION ALL SELECT st, s.target, list_append(path, s.target), list_append(am, s.amount) FROM p JOIN s ON s.source = en AND s.target > st AND NOT list_contains(path, s.target) WHERE len(path) < 4),
+r AS (SELECT path, list_append(am, s.amount) AS am FROM p JOIN s ON s.source = en AND s.target = st WHERE len(path) >= 3)
+SELECT len(path)::BIGINT AS length, array_to_string(path, '>') AS ring, round(list_sum(am), 2) AS total, round(list_min(am), 2) AS least, round(list_max(am), 2) AS most FROM r""")
+def circular_transfers(spark, d):
+    return graph.circular_transfers(I.strong_transfers(spark, d), 3, 4)
+
+
+_UNDIRECTED = "u AS (SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, seq) AS w FROM s GROUP BY ALL)"
+
+
+@query(f"""WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca, y.community AS cb FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b), m AS (SELECT sum(w) AS m FROM p),
+i AS (SELECT ca AS c, sum(w) AS l FROM p WHERE ca = cb GROUP BY ca), e AS (SELECT c, sum(w) AS k FROM (SELECT ca AS c, w FROM p UNION ALL SELECT cb, w FROM p) GROUP BY c)
+SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 6) AS modularity FROM e LEFT JOIN i USING (c), m""")
+def modularity_fixed_partition(spark, d):
+    return graph.modularity(I.strong_transfers(spark, d), I.communities(spark, d)).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query(f"""WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.community = y.community AND a <> b)
+SELECT community, n AS size, coalesce(e, 0) AS n_edges, CASE WHEN n > 1 THEN round(2 * coalesce(e, 0) / (n * (n - 1)), 6) ELSE 0.0 END AS density, coalesce(w, 0.0::DOUBLE) AS weight FROM (SELECT community, count(*) AS n FROM c GROUP BY community) LEFT JOIN (SELECT ca AS community, count(*) AS e, sum(w) AS w FROM p GROUP BY ca) USING (community)""")
+def criminal_cells(spark, d):
+    return graph.cells(I.nation_nodes(spark, d), I.strong_transfers(spark, d), I.communities(spark, d)).withColumn("density", F.round("density", 6))
+
+
+@query(f"""WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT x.community, unnest([a, b]) AS id FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.community = y.community AND a <> b)
+SELECT * FROM (SELECT community, id, count(*) AS degree, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, id) AS rank FROM p GROUP BY community, id) WHERE rank <= 3""")
+def cell_leaders(spark, d):
+    return graph.cell_leaders(I.strong_transfers(spark, d), I.communities(spark, d))
+
+
+_PR = ", ".join(f"p{i} AS (SELECT o.id, 0.85 * (coalesce(sum(p.r * s.weight / g.w), 0) + (SELECT coalesce(sum(r), 0) FROM p{i - 1} WHERE id NOT IN (SELECT source FROM g)) / 25.0) + 0.15 / 25.0 AS r FROM c o LEFT JOIN s ON s.target = o.id LEFT JOIN g ON g.source = s.source LEFT JOIN p{i - 1} p ON p.id = s.source GROUP BY o.id)" for i in range(1, 11))
+
+
+@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, g AS (SELECT source, sum(weight) AS w FROM s GROUP BY source), p0 AS (SELECT id, 1.0::DOUBLE / 25 AS r FROM c), {_PR} SELECT id, round(r, 8) AS rank FROM p10")
+def pagerank_10_iters(spark, d):
+    return graph.pagerank(I.nation_nodes(spark, d), I.strong_transfers(spark, d), iterations=10, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, q AS (SELECT id AS o, id AS v, 0 AS h FROM c UNION SELECT o, s.source, h + 1 FROM q JOIN s ON s.target = v WHERE h < 25),
+m AS (SELECT o, v, min(h) AS h FROM q GROUP BY o, v) SELECT o AS id, round(CASE WHEN sum(h) > 0 THEN (count(*) - 1)::DOUBLE / sum(h) * ((count(*) - 1) / 24.0) ELSE 0.0 END, 8) AS closeness FROM m GROUP BY o""")
+def closeness_centrality(spark, d):
+    return graph.closeness(I.nation_nodes(spark, d), I.strong_transfers(spark, d)).select("id", F.round("closeness", 8).alias("closeness"))
+
+
+@query()
+def betweenness_centrality(spark, d):
+    return graph.betweenness(I.nation_nodes(spark, d), I.strong_transfers(spark, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
+
+
+@query()
+def louvain_communities(spark, d):
+    return graph.louvain(I.nation_nodes(spark, d), I.strong_transfers(spark, d))
+
+
+@query()
+def composite_risk(spark, d):
+    n, e = I.nation_nodes(spark, d), I.strong_transfers(spark, d).checkpoint()
+    return graph.composite_risk(n, graph.pagerank(n, e, iterations=20), graph.betweenness(n, e), graph.degree_centrality(n, e))
+
+
+@query(f"WITH {I.NODES_SQL} SELECT id, risk_score FROM n ORDER BY risk_score DESC, id LIMIT 10")
+def topk_risk(spark, d):
+    return graph.top_k(I.nodes(spark, d).select("id", "risk_score"), "risk_score", 10)
+
+
+@query("""SELECT 'C' || o_custkey AS source, o_orderstatus AS target, arg_max(o_orderpriority, o_orderkey) AS relation_type, arg_max(o_totalprice, o_orderkey) AS weight,
+arg_max(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS amount, max(o_orderkey) AS seq FROM orders GROUP BY o_custkey, o_orderstatus""")
+def edge_upsert_merge(spark, d):
+    o = I.table(spark, d, "orders")
+    e = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), F.col("o_orderstatus").alias("target"), F.col("o_orderpriority").alias("relation_type"), F.col("o_totalprice").alias("weight"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("amount"), F.lit(None).cast("string").alias("timestamp"), F.col("o_orderkey").alias("seq"))
+    return graph.upsert_edges(e).drop("timestamp")
+
+
+@query(f"WITH {I.TRANSFERS_SQL} SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, seq) AS weight FROM t GROUP BY ALL")
+def undirected_collapse(spark, d):
+    return graph.undirected(I.transfers(spark, d))
+
+
+@query("""SELECT c_custkey, CASE WHEN length(trim(c_name)) = 0 THEN '[REDACTED]' WHEN length(c_name) > 3 THEN c_name[1] || '***' || c_name[-1] ELSE '***' END AS name, '[PHONE-***' || right('555' || c_custkey, 4) || ']' AS phone,
+CASE WHEN length('ES91' || c_custkey || '00012345') >= 8 THEN left('ES91' || c_custkey || '00012345', 4) || '****' || right('ES91' || c_custkey || '00012345', 4) END AS account, '10.' || (c_nationkey % 250) || '.*.*' AS ip FROM customer""")
+def pii_mask(spark, d):
+    c = I.table(spark, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    return c.select("c_custkey", graph.mask_pii(F.col("c_name")).alias("name"), graph.mask_pii(F.concat(F.lit("555"), key), "phone").alias("phone"), graph.mask_pii(F.concat(F.lit("ES91"), key, F.lit("00012345")), "iban").alias("account"), graph.mask_pii(F.concat(F.lit("10."), (F.col("c_nationkey") % 250).cast("string"), F.lit(".1.2")), "ip").alias("ip"))
+
+
+# threats
+
+
+@query(f"WITH {I.WINDOWS_SQL} SELECT k, entity, count(*) AS n FROM w GROUP BY k, entity")
+def sliding_windows(spark, d):
+    return threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S).groupBy("k", "entity").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {I.WINDOWS_SQL}, g AS (SELECT *, greatest(0.0::DOUBLE, (us - lag(us) OVER (PARTITION BY k, entity ORDER BY us, event_id)) / 1e6) AS gap FROM w),
+v AS (SELECT k, entity, entropy("user") AS user_entropy, max(n) AS max_user_events FROM (SELECT k, entity, "user", count(*) OVER (PARTITION BY k, entity, "user") AS n FROM w) GROUP BY k, entity),
+p AS (SELECT k, entity, count(DISTINCT x) AS unique_ports FROM (SELECT k, entity, unnest([src_port, dst_port]) AS x FROM w) WHERE x <> 0 GROUP BY k, entity),
+q AS (SELECT k, entity, count(DISTINCT x) AS unique_ips FROM (SELECT k, entity, unnest([src_ip, dst_ip]) AS x FROM w) GROUP BY k, entity),
+a AS (SELECT k, entity, count(*) AS event_count, count(*) FILTER (status = 'failed') + count(*) FILTER (event_type = 'ssh_invalid_user') AS failed_auth_count, count(*) FILTER (status <> 'failed') AS success_auth_count,
+ count(*) FILTER (event_type = 'ssh_invalid_user') AS invalid_user_count, count(DISTINCT "user") AS unique_users, sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_recv)::BIGINT AS bytes_recv, avg(duration) AS mean_duration, stddev_pop(duration) AS std_duration,
+ coalesce(avg(gap), 0) AS mean_gap, coalesce(stddev_pop(gap), 0) AS sg, count(*) FILTER (event_type LIKE 'sudo%') AS sudo_count, greatest((max(us) - min(us)) / 1e6, 1.0::DOUBLE) AS span FROM g GROUP BY k, entity)
+SELECT k, entity, event_count, failed_auth_count, success_auth_count, invalid_user_count, unique_users, unique_ips, unique_ports, bytes_sent, bytes_recv, sudo_count, max_user_events, round(event_count / span, 6) AS events_per_second,
+round(failed_auth_count / event_count, 6) AS failed_auth_ratio, round((bytes_sent + 1.0) / (bytes_recv + 1.0), 4) AS bytes_ratio, round(mean_duration, 4) AS mean_duration, round(std_duration, 4) AS std_duration, round(user_entropy, 4) AS user_entropy, round(mean_gap, 3) AS mean_gap, round(sg / (mean_gap + 1e-6), 4) AS gap_cv
+FROM a JOIN v USING (k, entity) JOIN p USING (k, entity) JOIN q USING (k, entity)""")
+def window_features(spark, d):
+    f = threats.window_features(threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S))
+    whole = ("event_count", "failed_auth_count", "success_auth_count", "invalid_user_count", "unique_users", "unique_ips", "unique_ports", "bytes_sent", "bytes_recv", "sudo_count", "max_user_events")
+    places = {"events_per_second": 6, "failed_auth_ratio": 6, "bytes_ratio": 4, "mean_duration": 4, "std_duration": 4, "user_entropy": 4, "mean_gap": 3, "gap_cv": 4}
+    return f.select("k", "entity", *(F.col(c).cast("long").alias(c) for c in whole), *(F.round(c, p).alias(c) for c, p in places.items()))
+
+
+@query("SELECT event_type, round(entropy(user_id), 6) AS entropy FROM events GROUP BY event_type")
+def user_entropy(spark, d):
+    return threats.categorical_entropy(I.table(spark, d, "events"), "event_type", "user_id").select("event_type", F.round("entropy", 6).alias("entropy"))
+
+
+_COUNTS = I.WINDOWS_SQL + """, fu AS (SELECT k, entity, "user", count(*) AS n FROM w WHERE event_type IN ('ssh_auth_fail', 'ssh_invalid_user') GROUP BY ALL), fx AS (SELECT k, entity, count("user") AS u, max(n) AS mx FROM fu GROUP BY k, entity),
+rc AS (SELECT w.k, w.entity, count(*) FILTER (event_type IN ('ssh_auth_fail', 'ssh_invalid_user')) AS fails, count(*) FILTER (event_type = 'sudo_auth_fail') AS sf, count(*) FILTER (event_type = 'sudo_command') AS sc,
+ sum(bytes_sent)::BIGINT AS sent, sum(bytes_recv)::BIGINT AS recv, count(DISTINCT dst_port) AS ports, coalesce(any_value(u), 0) AS u, coalesce(any_value(mx), 0) AS mx FROM w LEFT JOIN fx ON fx.k = w.k AND fx.entity = w.entity GROUP BY w.k, w.entity)"""
+
+
+def _rule_counts(spark, d):
+    return threats.rule_counts(threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S))
+
+
+def _rule(name: str, rule, sql: str):
+    def run(spark, d):
+        got = _rule_counts(spark, d).withColumn("m", rule()).where("m is not null")
+        return got.select("k", "entity", F.col("m.severity").alias("severity"), F.round("m.confidence", 6).alias("confidence"))
+
+    query(f"WITH {_COUNTS} {sql}", name)(run)
+
+
+_rule("rule_brute_force", threats.brute_force, "SELECT k, entity, CASE WHEN fails >= 20 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, round(least(0.7 + 0.015 * fails, 0.99)::DOUBLE, 6) AS confidence FROM rc WHERE fails >= 5 AND u <= 3")
+_rule("rule_password_spray", threats.password_spraying, "SELECT k, entity, CASE WHEN u >= 15 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, round(least(0.75 + 0.015 * u, 0.99)::DOUBLE, 6) AS confidence FROM rc WHERE u >= 4 AND NOT (mx > 4 AND u < 8)")
+_rule("rule_exfiltration", threats.data_exfiltration, "SELECT k, entity, CASE WHEN sent >= 5e7 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, round(least(0.80::DOUBLE + sent / 1e8::DOUBLE * 0.15::DOUBLE, 0.98::DOUBLE), 6) AS confidence FROM rc WHERE sent >= 5e6 AND (sent + 1.0) / (recv + 1.0) >= 8")
+_rule("rule_priv_esc", threats.privilege_escalation, "SELECT k, entity, CASE WHEN sf >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.85::DOUBLE AS confidence FROM rc WHERE sf >= 2 OR (sf >= 1 AND sc >= 3)")
+_rule("rule_port_scan", threats.port_scan, "SELECT k, entity, 'MEDIUM' AS severity, 0.8::DOUBLE AS confidence FROM rc WHERE ports >= 8")
+
+
+@query()
+def alerts_cooldown(spark, d):
+    matched = threats.evaluate_rules(_rule_counts(spark, d)).withColumn("anomaly", F.lit(0.0))
+    return threats.cooldown(threats.alerts(matched))
+
+
+@query(f"WITH {I.EVENTS_SQL} SELECT event_id, count(*) OVER (PARTITION BY \"user\" ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS n_buffered FROM ev")
+def rolling_buffer(spark, d):
+    return threats.rolling_buffer(I.log_events(spark, d), "user", 21600).select("event_id", "n_buffered")
+
+
+_SCALED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(m, 6) AS center, round(CASE WHEN d > 0 THEN d * 1.4826 WHEN s > 0 THEN s ELSE 1.0 END, 6) AS scale FROM (SELECT median({c}) AS m, stddev_pop({c}) AS s FROM lineitem), (SELECT median(abs({c} - x)) AS d FROM lineitem, (SELECT median({c}) AS x FROM lineitem))" for c in _SCALED))
+def robust_scale(spark, d):
+    got = threats.robust_scale(I.table(spark, d, "lineitem"), list(_SCALED))
+    return got.select("feature", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"))
+
+
+@query("""WITH x AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM (SELECT value > 50 AS p, event_type = 'purchase' AS a FROM events)),
+y AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM x)
+SELECT tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy FROM y""")
+def confusion_matrix(spark, d):
+    e = I.table(spark, d, "events").select((F.col("value") > 50).alias("p"), (F.col("event_type") == "purchase").alias("a"))
+    return threats.confusion(e, "p", "a")
+
+
+@query()
+def isolation_scores(spark, d):
+    columns = ["event_count", "failed_auth_count", "unique_users", "bytes_sent", "mean_duration", "user_entropy"]
+    f = threats.window_features(threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S)).select("k", "entity", *columns)
+    f = f.checkpoint()
+    return threats.score(f, threats.fit_model(f, columns)).select("k", "entity", F.round("isolation", 4).alias("isolation"), F.round("mahalanobis", 4).alias("mahalanobis"), F.round("anomaly", 4).alias("anomaly"))
+
+
+# timeline
+
+
+@query(f"""WITH {I.TIMELINE_SQL}, r AS (SELECT *, max({{'us': us, 'f': source_file, 'l': line_number, 'e': event_id}}) OVER (PARTITION BY source_file ORDER BY line_number, event_id ROWS UNBOUNDED PRECEDING) AS m FROM tl)
+SELECT event_id, row_number() OVER (ORDER BY m.us, m.f, m.l, m.e, line_number) AS position FROM r""")
+def timeline_merge(spark, d):
+    merged = timeline.merge(I.timeline_events(spark, d)).select("event_id")
+    # positions without a single task: the sorted table's partitions are counted, then numbered
+    numbered = merged.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return spark.createDataFrame(numbered, "event_id string, position long")
+
+
+@query(f"WITH {I.TIMELINE_SQL} SELECT event_id, source_file FROM tl WHERE severity IN ('WARNING', 'ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY') AND host IN ('h0', 'h1') AND regexp_matches(message || ' ' || action || ' ' || raw_log, '(?i)failed|invalid')")
+def timeline_filter(spark, d):
+    return timeline.filter_events(I.timeline_events(spark, d), min_severity="WARNING", hosts=["h0", "h1"], pattern="failed|invalid").select("event_id", "source_file")
+
+
+@query(f"WITH {I.TIMELINE_SQL}, x AS (SELECT source_file, line_number, us - lag(us) OVER (PARTITION BY source_file ORDER BY line_number) AS delta FROM tl) SELECT source_file, line_number, 'NEGATIVE_JUMP' AS kind, 'CRITICAL' AS severity, delta FROM x WHERE delta < 0")
+def clock_jumps(spark, d):
+    return timeline.clock_anomalies(I.timeline_events(spark, d)).where("kind = 'NEGATIVE_JUMP'")
+
+
+@query(f"WITH {I.TIMELINE_SQL}, x AS (SELECT source_file, line_number, us - lag(us) OVER (PARTITION BY source_file ORDER BY line_number) AS delta FROM tl) SELECT source_file, line_number, 'ACTIVITY_GAP' AS kind, 'MEDIUM' AS severity, delta FROM x WHERE delta > 3600000000")
+def activity_gaps(spark, d):
+    return timeline.clock_anomalies(I.timeline_events(spark, d)).where("kind = 'ACTIVITY_GAP'")
+
+
+@query(f"WITH {I.TIMELINE_SQL}, n AS (SELECT (max(us) - 86400000000)::BIGINT AS now FROM tl) SELECT source_file, line_number, 'FUTURE_TIMESTAMP' AS kind, 'HIGH' AS severity, us - now AS delta FROM tl, n WHERE us > now + 300000000")
+def future_events(spark, d):
+    e = I.timeline_events(spark, d)
+    return timeline.future_events(e, e.agg(F.max("us")).first()[0] - 86_400_000_000)
+
+
+_HOURLY = "h AS (SELECT source_file, line_number, floor(us / 86400000000.0)::BIGINT AS s FROM tl)"
+
+
+@query(f"""WITH {I.TIMELINE_SQL}, {_HOURLY}, c AS (SELECT *, sum(CASE WHEN s = p THEN 0 ELSE 1 END) OVER (PARTITION BY source_file ORDER BY line_number) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY source_file ORDER BY line_number) AS p FROM h))
+SELECT source_file, min(line_number) AS line_number, 'EVENT_BURST' AS kind, 'LOW' AS severity, count(*) AS n, min(s) AS second FROM c GROUP BY source_file, run HAVING count(*) > 1""")
+def burst_runs(spark, d):
+    # days stand in for seconds, since the table holds few events a second
+    e = I.timeline_events(spark, d).withColumn("us", F.floor(F.col("us") / 86_400_000_000).cast("long") * 1_000_000)
+    return _long(timeline.bursts(e, 1), "second")
+
+
+@query(f"""WITH {I.TIMELINE_SQL}, x AS (SELECT source_file, us - lag(us) OVER (PARTITION BY source_file ORDER BY line_number) AS delta FROM tl)
+SELECT CASE WHEN delta < 0 THEN 'NEGATIVE_JUMP' ELSE 'ACTIVITY_GAP' END AS kind, CASE WHEN delta < 0 THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity, count(*) AS n, count(DISTINCT source_file) AS n_files FROM x WHERE delta < 0 OR delta > 3600000000 GROUP BY 1, 2""")
+def integrity_summary(spark, d):
+    return timeline.integrity_summary(timeline.clock_anomalies(I.timeline_events(spark, d)))
+
+
+@query(f"""WITH {I.TIMELINE_SQL}, x AS (SELECT client_ip, count(*) FILTER (action <> 'SSH_LOGIN_SUCCESS') AS failures, count(*) FILTER (action = 'SSH_LOGIN_SUCCESS') AS successes, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events
+FROM tl WHERE action IN ('SSH_LOGIN_FAILED', 'SSH_LOGIN_FAILED_INVALID_USER', 'INVALID_USER', 'SSH_LOGIN_SUCCESS') GROUP BY client_ip)
+SELECT *, CASE WHEN successes > 0 THEN 'BRUTE_FORCE_SUCCESS' ELSE 'BRUTE_FORCE_ATTEMPT' END AS chain, CASE WHEN successes > 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM x WHERE failures >= 3""")
+def brute_force_chains(spark, d):
+    return timeline.brute_force_chains(I.timeline_events(spark, d))
+
+
+@query(f"""WITH {I.TIMELINE_SQL} SELECT a."user", a.event_id AS login_id, a.us AS login_us, count(*) AS n_sudo, max(b.us) AS end_us FROM tl a JOIN tl b ON a."user" = b."user" AND b.us >= a.us AND b.us - a.us <= 21600000000
+WHERE a.action = 'SSH_LOGIN_SUCCESS' AND b.action = 'SUDO_COMMAND' GROUP BY ALL""")
+def priv_esc_interval_join(spark, d):
+    return timeline.escalation_chains(I.timeline_events(spark, d), 21600)
+
+
+@query(f"WITH {I.TIMELINE_SQL} SELECT severity, count(*) AS n FROM tl GROUP BY severity")
+def severity_histogram(spark, d):
+    return I.timeline_events(spark, d).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+# normalisers and parsers
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'INFO' WHEN 3 THEN 'WARNING' WHEN 4 THEN upper(o_orderstatus) ELSE 'INFO' END AS severity FROM orders""")
+def severity_normalize(spark, d):
+    k = F.col("o_orderkey") % 6
+    raw = F.when(k == 0, "err").when(k == 1, " 2 ").when(k == 2, "17").when(k == 3, "Warn").when(k == 4, F.col("o_orderstatus"))
+    return I.table(spark, d, "orders").select("o_orderkey", N.normalize_severity(raw).alias("severity"))
+
+
+@query("SELECT event_id, (epoch_us(ts) // 1000 * 1000)::BIGINT AS us FROM events")
+def epoch_normalize(spark, d):
+    e = I.table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ms = F.floor(F.col("us") / 1000)
+    k = F.col("event_id") % 3
+    number = F.when(k == 0, ms.cast("double")).when(k == 1, (ms * 1000).cast("double")).otherwise(ms / 1000)
+    return e.select("event_id", N.epoch_us(number).alias("us"))
+
+
+@query("SELECT o_orderkey, left(sha256('orders.log:' || o_orderkey || ':' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(o_orderdate) % 1000000 <> 0 THEN '.' || lpad((epoch_us(o_orderdate) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00:' || left(o_orderpriority, 256)), 16) AS event_id FROM orders")
+def event_id_hash(spark, d):
+    o = I.table(spark, d, "orders")
+    return o.select("o_orderkey", N.event_id(F.lit("orders.log"), F.col("o_orderkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderpriority")).alias("event_id"))
+
+
+_AUTH_TEXT = {"error": "Failed password for {u} from {i} port {p} ssh2", "signup": "Invalid user {u} from {i} port {p}", "click": "Accepted publickey for {u} from {i} port {p} ssh2", "view": "{u} : TTY=pts/1 ; PWD=/home ; USER=root ; COMMAND=/bin/ls"}
+
+
+def _auth_lines(spark, d):
+    e = I.table(spark, d, "events")
+    k, user = F.get_json_object("props", "$.k"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    ip = F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string"))
+    body = F.lit("session opened")
+    for kind, text in _AUTH_TEXT.items():
+        filled = F.lit(text)
+        for mark, value in (("{u}", user), ("{i}", ip), ("{p}", k)):
+            filled = F.replace(filled, F.lit(mark), value)
+        body = F.when(F.col("event_type") == kind, filled).otherwise(body)
+    at = F.date_format(F.col("ts").cast("timestamp"), "MMM dd HH:mm:ss")
+    process = F.when(F.col("event_type") == "view", "sudo").otherwise("sshd")
+    return e.select("event_id", F.concat(at, F.lit(" gw01 "), process, F.lit("[811]: "), body).alias("value"))
+
+
+_AUTH_SQL = "(epoch_us(ts) // 1000000)::BIGINT"
+
+
+@query(f"""SELECT event_id, {_AUTH_SQL} AS second, CASE event_type WHEN 'error' THEN 'SSH_LOGIN_FAILED' WHEN 'signup' THEN 'INVALID_USER' WHEN 'click' THEN 'SSH_LOGIN_SUCCESS' WHEN 'view' THEN 'SUDO_COMMAND' ELSE 'AUTH_EVENT' END AS action,
+CASE event_type WHEN 'error' THEN 'WARNING' WHEN 'signup' THEN 'WARNING' WHEN 'click' THEN 'NOTICE' WHEN 'view' THEN 'NOTICE' ELSE 'INFO' END AS severity, CASE WHEN event_type <> 'purchase' THEN 'u' || user_id END AS "user",
+CASE WHEN event_type NOT IN ('purchase', 'view') THEN '10.0.0.' || (user_id % 7) END AS client_ip FROM events""")
+def auth_roundtrip(spark, d):
+    year = I.table(spark, d, "events").agg(F.year(F.min("ts"))).first()[0]
+    got = logs.parse_auth(_auth_lines(spark, d), year)
+    return got.select("event_id", F.unix_seconds("timestamp").alias("second"), "action", "severity", "user", "client_ip")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'ssh_auth_fail' WHEN 'signup' THEN 'ssh_invalid_user' WHEN 'click' THEN 'ssh_auth_success' WHEN 'view' THEN 'sudo_command' ELSE 'generic_event' END AS event_type,
+CASE WHEN event_type NOT IN ('purchase', 'view') THEN '10.0.0.' || (user_id % 7) END AS src_ip, CASE WHEN event_type <> 'purchase' THEN 'u' || user_id END AS "user", CASE WHEN event_type IN ('error', 'signup') THEN 'failed' WHEN event_type IN ('click', 'view') THEN 'success' ELSE 'info' END AS status FROM events""")
+def security_parse(spark, d):
+    return logs.parse_security(_auth_lines(spark, d), 2024).select("event_id", "event_type", "src_ip", "user", "status")
+
+
+@query("""SELECT event_id, (epoch_us(ts) // 1000000)::BIGINT AS second, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'signup' THEN 'WARNING' ELSE 'INFO' END AS severity, 'HTTP_GET_' || CASE WHEN event_type = 'error' THEN 503 WHEN event_type = 'signup' THEN 404 ELSE 200 END AS action,
+'10.0.0.' || (user_id % 7) AS client_ip, CASE WHEN user_id % 2 = 0 THEN 'u' || user_id END AS "user" FROM events""")
+def nginx_roundtrip(spark, d):
+    e = I.table(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "503").when(F.col("event_type") == "signup", "404").otherwise("200")
+    user = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise("-")
+    at = F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
+    line = F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string"), F.lit(" - "), user, F.lit(" ["), at, F.lit(' +0000] "GET /a HTTP/1.1" '), status, F.lit(' 12 "-" "-"'))
+    got = logs.parse_nginx(e.select("event_id", line.alias("value")), 2024)
+    return got.select("event_id", F.unix_seconds("timestamp").alias("second"), "severity", "action", "client_ip", "user")
+
+
+@query("SELECT event_id, 'network_flow' AS event_type, '10.0.0.' || (user_id % 7) AS src_ip, (props::JSON->>'k')::INT AS dst_port, floor(value * 1000)::BIGINT AS bytes_sent FROM events")
+def json_flow_parse(spark, d):
+    e = I.table(spark, d, "events")
+    line = F.to_json(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("orig_h"), F.get_json_object("props", "$.k").alias("resp_p"), F.floor(F.col("value") * 1000).alias("orig_bytes")))
+    return logs.parse_security(e.select("event_id", line.alias("value")), 2024).select("event_id", "event_type", "src_ip", "dst_port", "bytes_sent")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey < 24 THEN ['kern','user','mail','daemon','auth','syslog','lpr','news','uucp','cron','authpriv','ftp','ntp','security','console','solaris-cron','local0','local1','local2','local3','local4','local5','local6','local7'][n_nationkey + 1] ELSE 'facility_' || n_nationkey END AS facility, ['EMERGENCY','ALERT','CRITICAL','ERROR','WARNING','NOTICE','INFO','DEBUG'][n_nationkey % 8 + 1] AS severity FROM nation")
+def syslog_pri(spark, d):
+    pri = (F.col("n_nationkey") * 8 + F.col("n_nationkey") % 8).cast("int")
+    return I.table(spark, d, "nation").select("n_nationkey", N.facility_of(pri).alias("facility"), N.severity_of(pri).alias("severity"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
+def xml_escape(spark, d):
+    return I.table(spark, d, "pages").select("page_id", N.xml_escape(F.col("html")).alias("escaped"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bBearer\s+[A-Za-z0-9_\-.]{16,}', 'Bearer [REDACTED]', 'g'), '\b(?:sk_[a-zA-Z0-9_\-]{16,}|gh[a-zA-Z0-9]_[a-zA-Z0-9]{20,}|AKIA[0-9A-Z]{16})\b', '[REDACTED]', 'g'), '(?i)\b(password|passwd|pwd|pass|secret|token|api[_-]?key|auth_token)\s*[:=]\s*([^\s;,"''&]+)', '\1=[REDACTED]', 'g') AS clean FROM documents""")
+def secret_sanitize(spark, d):
+    return I.table(spark, d, "documents").select("doc_id", N.sanitize(F.col("text")).alias("clean"))
+
+
+# custody
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def doc_sha256(spark, d):
+    return I.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def _leaves(spark, d):
+    docs = I.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return custody.number_leaves(docs, "doc_id").select("doc_id", "idx", "hash")
+
+
+_LEVEL = "SELECT i // 2 AS i, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(unhex('01') || unhex(max(h) FILTER (i % 2 = 0)) || unhex(max(h) FILTER (i % 2 = 1))) END AS h FROM {} GROUP BY i // 2"
+
+
+def _tree_sql(rounds: int) -> str:
+    return "l0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, sha256(text) AS h FROM documents), " + ", ".join(f"l{k} AS ({_LEVEL.format(f'l{k - 1}')})" for k in range(1, rounds + 1))
+
+
+@query(f"WITH {_tree_sql(24)} SELECT h AS root, (SELECT count(*) FROM documents) AS n_leaves FROM l24")
+def merkle_root(spark, d):
+    return custody.merkle_root(custody.merkle_levels(_leaves(spark, d)))
+
+
+@query(f"WITH {_tree_sql(24)} SELECT i AS idx, h AS leaf, (SELECT h FROM l24) AS proof_root, true AS valid FROM l0 WHERE i % 97 = 0")
+def merkle_proof(spark, d):
+    leaves = _leaves(spark, d).checkpoint()
+    levels = custody.merkle_levels(leaves)
+    proofs = custody.merkle_proofs(levels, leaves.where("idx % 97 = 0").select("idx"))
+    root = custody.merkle_root(levels).first()["root"]
+    got = proofs.select("idx", "leaf", custody.proof_root(F.col("leaf"), F.col("proof")).alias("proof_root"))
+    return got.withColumn("valid", F.col("proof_root") == root)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'MISSING' WHEN doc_id % 7 = 0 THEN 'TAMPERED' ELSE 'INTACT' END AS status FROM documents")
+def custody_audit(spark, d):
+    docs = I.table(spark, d, "documents")
+    path = F.concat(F.lit("/e/"), F.col("doc_id").cast("string"))
+    evidence = docs.select("doc_id", path.alias("source_path"), F.upper(F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256)).alias("hash_value"))
+    files = docs.where("doc_id % 10 <> 0").select(path.alias("path"), F.sha2("text", 256).alias("sha256"))
+    return custody.audit(evidence, files).select("doc_id", "status")
+
+
+# binary
+
+
+def _blobs(spark, d):
+    return I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+@query()
+def byte_histogram(spark, d):
+    return binary.byte_histogram(_blobs(spark, d))
+
+
+@query()
+def doc_entropy(spark, d):
+    return binary.entropy_map(binary.block_entropy(binary.blocks(_blobs(spark, d), 1024)))
+
+
+@query()
+def entropy_windows(spark, d):
+    rows = binary.block_entropy(binary.blocks(_blobs(spark, d), 1024, 512))
+    return rows.select("path", "block", "offset", F.round("entropy", 4).alias("entropy"), "class")
+
+
+@query("SELECT doc_id::VARCHAR AS path, ceil(octet_length(text::BLOB) / 1024.0)::BIGINT AS n_blocks FROM documents WHERE octet_length(text::BLOB) > 0")
+def entropy_blocks(spark, d):
+    return binary.blocks(_blobs(spark, d), 1024).groupBy("path").agg(F.count("*").alias("n_blocks"))
+
+
+@query()
+def entropy_regions(spark, d):
+    return binary.high_entropy_regions(binary.block_entropy(binary.blocks(_blobs(spark, d), 256)), 4.2, 2)
+
+
+_PNG = "89504E470D0A1A0A0000000D49484452000000010000000108060000001F15C489" + "0000000049454E44AE426082"
+
+
+@query()
+def carve_scan(spark, d):
+    pad = F.col("content")
+    images = _blobs(spark, d).select("path", F.concat(pad, F.unhex(F.lit(_PNG)), F.unhex(F.lit("AA" * 32)), F.unhex(F.lit("FFD8FFE000104A464946FFD9")), pad).alias("content"))
+    return binary.carve(images).select("path", "offset", "size", "format", "sha256", "valid", "anomaly")
+
+
+# case SQL
+
+
+def _cases(spark, d):
+    o = I.table(spark, d, "orders").withColumn("id", F.col("o_orderkey"))
+    risk = F.get(F.array(*map(F.lit, ("Bajo", "Medio", "Alto", "Crítico"))), (F.col("id") % 4).cast("int"))
+    incidents = o.select("id", F.col("o_orderpriority").alias("incident_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_approx"), F.col("o_orderstatus").alias("location"), risk.alias("risk_level"), F.lit("s").alias("summary"), F.lit(None).cast("timestamp").alias("created_at"))
+    li = I.table(spark, d, "lineitem")
+    evidences = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("incident_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("item"), F.lit("x").alias("location_found"), F.col("l_returnflag").alias("evidence_type"))
+    store = casesql.CaseStore(spark)
+    store.insert({"incidents": incidents, "evidences": evidences})
+    return store
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS incident_type, CASE o_orderkey % 4 WHEN 2 THEN 'Alto' ELSE 'Crítico' END AS risk_level FROM orders WHERE o_orderkey % 4 IN (2, 3) ORDER BY 1 LIMIT 100")
+def case_sql_high_risk(spark, d):
+    return _cases(spark, d).query(casesql.TEMPLATES["high_risk"])
+
+
+@query("SELECT l_returnflag AS evidence_type, count(*) AS n FROM lineitem GROUP BY 1")
+def case_sql_evidence_by_type(spark, d):
+    return _cases(spark, d).query(casesql.TEMPLATES["evidence_by_type"])
+
+
+@query("SELECT o_orderkey AS id, 's' AS summary FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE 'part ' || l_partkey LIKE 'part 1%') ORDER BY 1 LIMIT 100")
+def case_sql_by_location(spark, d):
+    return _cases(spark, d).query(casesql.TEMPLATES["by_location"], {"item": "part 1%"})
