@@ -87,6 +87,8 @@ def _found(index: DataFrame, groups: int) -> DataFrame:
         hit = doc > least
         hit[1:] &= (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])  # once a document
         doc, h = doc[hit], h[hit]
+        if not len(doc):
+            return pa.table({"q": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         group = np.mod(doc, groups)
         order = np.lexsort((doc, group))
         doc, h, group = doc[order], h[order], group[order]
