@@ -83,7 +83,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as security events."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
-    typed = F.when(kind == "error", "ssh_auth_fail").when(kind == "signup", "ssh_invalid_user").when(kind == "click", "ssh_auth_success").when(kind == "view", "sudo_command").otherwise("network_flow")
+    typed = F.when((kind == "error") & (k % 4 == 0), "sudo_auth_fail").when(kind == "error", "ssh_auth_fail").when(kind == "signup", "ssh_invalid_user").when(kind == "click", "ssh_auth_success").when(kind == "view", "sudo_command").otherwise("network_flow")
     status = F.when(kind.isin("error", "signup"), "failed").otherwise("success")
     buys = kind == "purchase"
     return table(spark, sf_dir, "events").select(
@@ -94,7 +94,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENTS_SQL = """ev AS (SELECT event_id, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'ssh_auth_fail' WHEN 'signup' THEN 'ssh_invalid_user' WHEN 'click' THEN 'ssh_auth_success' WHEN 'view' THEN 'sudo_command' ELSE 'network_flow' END AS event_type,
+EVENTS_SQL = """ev AS (SELECT event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'error' AND k % 4 = 0 THEN 'sudo_auth_fail' WHEN event_type = 'error' THEN 'ssh_auth_fail' WHEN event_type = 'signup' THEN 'ssh_invalid_user' WHEN event_type = 'click' THEN 'ssh_auth_success' WHEN event_type = 'view' THEN 'sudo_command' ELSE 'network_flow' END AS event_type,
   '10.0.0.' || (user_id % 7) AS src_ip, CASE WHEN event_type = 'purchase' THEN '192.0.2.' || (k % 50) END AS dst_ip, 1000 + k AS src_port, CASE WHEN event_type = 'purchase' THEN k END AS dst_port, 'u' || user_id AS "user",
   CASE WHEN event_type IN ('error', 'signup') THEN 'failed' ELSE 'success' END AS status, CASE WHEN event_type = 'purchase' THEN floor(value * 100000)::BIGINT ELSE 0 END AS bytes_sent,
   CASE WHEN event_type = 'purchase' THEN floor(value * 1000)::BIGINT ELSE 0 END AS bytes_recv, value AS duration FROM (SELECT *, (props::JSON->>'k')::INT AS k FROM events))"""
@@ -106,12 +106,12 @@ w AS (SELECT ev.*, unnest(range(greatest(0, ceil((us - first_us - {WIDTH_S}00000
 
 
 def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a timeline of five files, one an event type, lines by event_id."""
+    """The events table as a timeline of five files, one an event type, whose clocks jump back twice."""
     from pyspark.sql import Window
 
     action = F.when(F.col("event_type") == "error", "SSH_LOGIN_FAILED").when(F.col("event_type") == "signup", "INVALID_USER").when(F.col("event_type") == "click", "SSH_LOGIN_SUCCESS").when(F.col("event_type") == "view", "SUDO_COMMAND").otherwise("AUTH_EVENT")
     severity = F.when(F.col("event_type") == "error", "WARNING").when(F.col("event_type") == "signup", "ERROR").when(F.col("event_type") == "click", "NOTICE").otherwise("INFO")
-    line = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long")
+    line = F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("event_id") % 3, "event_id")).cast("long")
     return table(spark, sf_dir, "events").select(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.concat("event_type", F.lit(".log")).alias("source_file"), line.alias("line_number"), F.col("event_id").cast("string").alias("event_id"),
         F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("client_ip"),
@@ -119,7 +119,7 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TIMELINE_SQL = """tl AS (SELECT epoch_us(ts) AS us, event_type || '.log' AS source_file, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_number, event_id::VARCHAR AS event_id,
+TIMELINE_SQL = """tl AS (SELECT epoch_us(ts) AS us, event_type || '.log' AS source_file, row_number() OVER (PARTITION BY event_type ORDER BY event_id % 3, event_id) AS line_number, event_id::VARCHAR AS event_id,
   'h' || (user_id % 3) AS host, 'u' || user_id AS "user", '10.0.0.' || (user_id % 7) AS client_ip,
   CASE event_type WHEN 'error' THEN 'SSH_LOGIN_FAILED' WHEN 'signup' THEN 'INVALID_USER' WHEN 'click' THEN 'SSH_LOGIN_SUCCESS' WHEN 'view' THEN 'SUDO_COMMAND' ELSE 'AUTH_EVENT' END AS action,
   CASE event_type WHEN 'error' THEN 'WARNING' WHEN 'signup' THEN 'ERROR' WHEN 'click' THEN 'NOTICE' ELSE 'INFO' END AS severity, props AS message, event_type || ' ' || props AS raw_log FROM events)"""

@@ -216,7 +216,7 @@ def user_entropy(spark, d):
 
 _COUNTS = I.WINDOWS_SQL + """, fu AS (SELECT k, entity, "user", count(*) AS n FROM w WHERE event_type IN ('ssh_auth_fail', 'ssh_invalid_user') GROUP BY ALL), fx AS (SELECT k, entity, count("user") AS u, max(n) AS mx FROM fu GROUP BY k, entity),
 rc AS (SELECT w.k, w.entity, count(*) FILTER (event_type IN ('ssh_auth_fail', 'ssh_invalid_user')) AS fails, count(*) FILTER (event_type = 'sudo_auth_fail') AS sf, count(*) FILTER (event_type = 'sudo_command') AS sc,
- sum(bytes_sent)::BIGINT AS sent, sum(bytes_recv)::BIGINT AS recv, count(DISTINCT dst_port) AS ports, coalesce(any_value(u), 0) AS u, coalesce(any_value(mx), 0) AS mx FROM w LEFT JOIN fx ON fx.k = w.k AND fx.entity = w.entity GROUP BY w.k, w.entity)"""
+ sum(bytes_sent)::BIGINT AS sent, sum(bytes_recv)::BIGINT AS recv, count(DISTINCT nullif(dst_port, 0)) AS ports, coalesce(any_value(u), 0) AS u, coalesce(any_value(mx), 0) AS mx FROM w LEFT JOIN fx ON fx.k = w.k AND fx.entity = w.entity GROUP BY w.k, w.entity)"""
 
 
 def _rule_counts(spark, d):
@@ -505,7 +505,7 @@ def entropy_windows(spark, d):
     return rows.select("path", "block", "offset", F.round("entropy", 4).alias("entropy"), "class")
 
 
-@query("SELECT doc_id::VARCHAR AS path, ceil(octet_length(text::BLOB) / 1024.0)::BIGINT AS n_blocks FROM documents WHERE octet_length(text::BLOB) > 0")
+@query("SELECT doc_id::VARCHAR AS path, ceil(strlen(text) / 1024.0)::BIGINT AS n_blocks FROM documents WHERE strlen(text) > 0")
 def entropy_blocks(spark, d):
     return binary.blocks(_blobs(spark, d), 1024).groupBy("path").agg(F.count("*").alias("n_blocks"))
 
