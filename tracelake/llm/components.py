@@ -15,7 +15,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels of a chain double their reach. Rounds end when no label changes. Null ends and loops
     are left out; an empty table gives no nodes.
     """
-    links = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    # written first: a forest that was computed twice could come out as two, and the graph one-way
+    links = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
     both = materialize(links.union(links.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
     for _ in range(rounds):

@@ -3,8 +3,9 @@
 A document's set is its distinct word n-grams, as 64-bit hashes in one global order (their
 value). The order splits into m ranges; two sets of similarity t or more differ in at most
 (1-t)/(1+t) of their sizes' sum, so with more ranges than that they hold the same n-grams in at
-least one range. Sets that share a range's content (hashed; 8 bytes a range) meet in a family,
-and only there are sets compared:
+least one range. Sets that share a range's content (hashed; 7 bytes a range) may link; those
+whose sizes and n-gram counts by class rule a link out are told apart on 128 bytes, and what stays
+connected is a family. Every set is in one family at most, and only there are sets compared:
 
 * each family stores its sets in a trie (shared first n-grams once, unary paths compressed);
 * a set traverses the trie, carrying the overlap so far from node to children, and leaves a
@@ -39,7 +40,7 @@ from .components import components
 from .hashbuckets import FLUSH, bucket_count, eight, pack, seven, steps, unpack, unsteps
 from .textkernel import U64, Words, mix, slices, windows, words
 
-PART = 256
+PART, BLOCK, SKETCH = 256, 512, 128
 #: Stands for a missing doc_id among signatures.
 _NO_ID = -(1 << 63)
 
@@ -95,6 +96,11 @@ def key_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """How many n-grams fall into each of SKETCH classes; sets differ at least as much as these counts."""
+    return np.minimum(np.bincount((s % U64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """A hash for the content of each range of each band that the set is compared in."""
     total = np.zeros(len(s) + 1, dtype=U64)
@@ -113,9 +119,9 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-PROFILE = "doc_id long, tag long, n long, set_key binary, bucket int, blob binary"
-_PROFILE_NAMES = ["doc_id", "tag", "n", "set_key", "bucket", "blob"]
-_PROFILE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+PROFILE = "doc_id long, tag long, n long, set_key binary, sketch binary, bucket int, blob binary"
+_PROFILE_NAMES = ["doc_id", "tag", "n", "set_key", "sketch", "bucket", "blob"]
+_PROFILE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
 
 
 def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int) -> DataFrame:
@@ -137,21 +143,22 @@ def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int)
                 first = np.append(0, np.flatnonzero(np.diff(doc[a:b])) + 1)
                 out.append(pack(*steps(doc[a:b][first]), np.diff(np.append(first, b - a)), seven(h[a:b])))
             none = [None] * len(out)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, none, none, bucket[edges].tolist(), out), _PROFILE_KINDS, strict=True)], names=_PROFILE_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, none, none, none, bucket[edges].tolist(), out), _PROFILE_KINDS, strict=True)], names=_PROFILE_NAMES)
 
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
-                sizes, keys, ids = [], [], batch.column("doc_id")[a:b].to_pylist()
+                sizes, keys, sketches, ids = [], [], [], batch.column("doc_id")[a:b].to_pylist()
                 for s in sets(words(offsets, data, lower), n):
                     sizes.append(len(s))
                     keys.append(key_of(s) if len(s) else None)
+                    sketches.append(sketch_of(s) if len(s) else None)
                     if len(s):
                         signs = signatures(s, own)
                         i = ids[len(sizes) - 1]
                         held.append((_NO_ID if i is None else i, signs))
                         count += len(signs)
                 none = [None] * (b - a)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("tag")[a:b], *(pa.array(c, k) for c, k in zip((sizes, keys, none, none), _PROFILE_KINDS[2:], strict=True))], names=_PROFILE_NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("tag")[a:b], *(pa.array(c, k) for c, k in zip((sizes, keys, sketches, none, none), _PROFILE_KINDS[2:], strict=True))], names=_PROFILE_NAMES)
                 if count >= FLUSH:
                     yield flush()
                     held, count = [], 0
@@ -192,6 +199,40 @@ def _families(packed: DataFrame, profiles: DataFrame) -> DataFrame:
     return families.join(sizes, "leader")
 
 
+def _near(table: pa.Table, bands: Bands) -> pa.Table:
+    """A spanning forest of the pairs whose sizes and sketches allow a link."""
+    keys, n = table.column("set_key").to_pylist(), table.column("n").to_numpy()
+    counts = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    label = np.arange(len(keys))
+    pairs = []
+    for i in range(len(keys) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        small, large = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
+        rest = rest[small * bands.den >= large * bands.num]
+        differ = np.abs(counts[rest] - counts[i]).sum(axis=1, dtype=np.int64)
+        near = rest[differ * (bands.den + bands.num) <= (n[rest] + n[i]) * (bands.den - bands.num)]
+        for k in near.tolist():
+            if label[k] != label[i]:
+                pairs.append((keys[i], keys[k]))
+                label[label == label[k]] = label[i]
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+
+def _clusters(families: DataFrame, profiles: DataFrame, bands: Bands) -> DataFrame:
+    """(leader, set_key): every set that may link is in one cluster, under its least key.
+
+    Two sets of a family that sketches don't tell apart are in one cluster; so are all sets that
+    link. Families are compared in pairs of blocks, on 128 bytes a set.
+    """
+    sketches = profiles.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
+    blocks = families.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = families.join(sketches, "set_key").join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    edges = paired.select("leader", "i", "j", "set_key", "n", "sketch").groupBy("leader", "i", "j").applyInArrow(lambda table: _near(table, bands), "a binary, b binary")
+    return components(edges).select(F.col("component").alias("leader"), F.col("node").alias("set_key"))
+
+
 class Trie:
     """Sets in their global order; shared beginnings are stored and counted once."""
 
@@ -333,12 +374,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction | str =
     share = 4 * (bands.den - bands.num) / (bands.den + bands.num)
     buckets = bucket_count(total_bytes(docs, "text") / 6 * share)
     both = materialize(_profiles(docs, n, bands, lower, buckets), "profiles")
-    profiles = both.where("bucket is null").select("doc_id", "tag", "n", "set_key")
-    families = materialize(_families(both.where("bucket is not null").select("bucket", "blob"), profiles), "families")
+    profiles = both.where("bucket is null").select("doc_id", "tag", "n", "set_key", "sketch")
+    families = _families(both.where("bucket is not null").select("bucket", "blob"), profiles)
+    families = materialize(_clusters(families, profiles, bands), "clusters")
     holders = profiles.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("one"), F.min("doc_id").alias("doc_id"))
     wanted = families.select("set_key").distinct().join(holders, "set_key").select("set_key", F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tag"] == wanted["tag"])).select("set_key", "text").dropDuplicates(["set_key"])
-    ngrams = _ngrams(texts, n, lower)
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("tag").cast("string")).alias("row")
+    texts = docs.select(row, "text").join(wanted.select(row, "set_key"), "row").dropDuplicates(["row"])
+    ngrams = materialize(_ngrams(texts, n, lower), "ngrams")
     labels = components(_links(families, ngrams, bands))
     named = holders.select("set_key", F.col("doc_id").alias("least")).join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
