@@ -46,7 +46,8 @@ def window_features(windowed: DataFrame) -> DataFrame:
     """The features of each (window, entity); an invalid user counts as one more failure."""
     key = ["k", "entity"]
     order = Window.partitionBy(*key).orderBy("us", "event_id")
-    e = windowed.withColumn("gap", F.greatest(F.lit(0.0), (F.col("us") - F.lag("us").over(order)) / 1e6))
+    before = F.lag("us").over(order)
+    e = windowed.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.lit(0.0), (F.col("us") - before) / 1e6)))
     users = e.where("user is not null and user <> ''").groupBy(*key, "user").agg(F.count("*").alias("n"))
     per_user = users.groupBy(*key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("nlogn"), F.max("n").alias("max_user_events"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))

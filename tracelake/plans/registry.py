@@ -192,7 +192,7 @@ def sliding_windows(spark, d):
     return threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S).groupBy("k", "entity").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {I.WINDOWS_SQL}, g AS (SELECT *, greatest(0.0::DOUBLE, (us - lag(us) OVER (PARTITION BY k, entity ORDER BY us, event_id)) / 1e6) AS gap FROM w),
+@query(f"""WITH {I.WINDOWS_SQL}, g AS (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(0.0::DOUBLE, (us - p) / 1e6) END AS gap FROM (SELECT *, lag(us) OVER (PARTITION BY k, entity ORDER BY us, event_id) AS p FROM w)),
 v AS (SELECT k, entity, entropy("user") AS user_entropy, max(n) AS max_user_events FROM (SELECT k, entity, "user", count(*) OVER (PARTITION BY k, entity, "user") AS n FROM w) GROUP BY k, entity),
 p AS (SELECT k, entity, count(DISTINCT x) AS unique_ports FROM (SELECT k, entity, unnest([src_port, dst_port]) AS x FROM w) WHERE x <> 0 GROUP BY k, entity),
 q AS (SELECT k, entity, count(DISTINCT x) AS unique_ips FROM (SELECT k, entity, unnest([src_ip, dst_ip]) AS x FROM w) GROUP BY k, entity),
@@ -200,12 +200,12 @@ a AS (SELECT k, entity, count(*) AS event_count, count(*) FILTER (status = 'fail
  count(*) FILTER (event_type = 'ssh_invalid_user') AS invalid_user_count, count(DISTINCT "user") AS unique_users, sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_recv)::BIGINT AS bytes_recv, avg(duration) AS mean_duration, stddev_pop(duration) AS std_duration,
  coalesce(avg(gap), 0) AS mean_gap, coalesce(stddev_pop(gap), 0) AS sg, count(*) FILTER (event_type LIKE 'sudo%') AS sudo_count, greatest((max(us) - min(us)) / 1e6, 1.0::DOUBLE) AS span FROM g GROUP BY k, entity)
 SELECT k, entity, event_count, failed_auth_count, success_auth_count, invalid_user_count, unique_users, unique_ips, unique_ports, bytes_sent, bytes_recv, sudo_count, max_user_events, round(event_count / span, 6) AS events_per_second,
-round(failed_auth_count / event_count, 6) AS failed_auth_ratio, round((bytes_sent + 1.0) / (bytes_recv + 1.0), 4) AS bytes_ratio, round(mean_duration, 4) AS mean_duration, round(std_duration, 4) AS std_duration, round(user_entropy, 4) AS user_entropy, round(mean_gap, 3) AS mean_gap, round(sg / (mean_gap + 1e-6), 4) AS gap_cv
+round(failed_auth_count / event_count, 6) AS failed_auth_ratio, round((bytes_sent + 1.0) / (bytes_recv + 1.0), 4) AS bytes_ratio, round(mean_duration, 7) AS mean_duration, round(std_duration, 4) AS std_duration, round(user_entropy, 4) AS user_entropy, round(mean_gap, 3) AS mean_gap, round(sg / (mean_gap + 1e-6), 4) AS gap_cv
 FROM a JOIN v USING (k, entity) JOIN p USING (k, entity) JOIN q USING (k, entity)""")
 def window_features(spark, d):
     f = threats.window_features(threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S))
     whole = ("event_count", "failed_auth_count", "success_auth_count", "invalid_user_count", "unique_users", "unique_ips", "unique_ports", "bytes_sent", "bytes_recv", "sudo_count", "max_user_events")
-    places = {"events_per_second": 6, "failed_auth_ratio": 6, "bytes_ratio": 4, "mean_duration": 4, "std_duration": 4, "user_entropy": 4, "mean_gap": 3, "gap_cv": 4}
+    places = {"events_per_second": 6, "failed_auth_ratio": 6, "bytes_ratio": 4, "mean_duration": 7, "std_duration": 4, "user_entropy": 4, "mean_gap": 3, "gap_cv": 4}
     return f.select("k", "entity", *(F.col(c).cast("long").alias(c) for c in whole), *(F.round(c, p).alias(c) for c, p in places.items()))
 
 
