@@ -4,7 +4,7 @@ A document's set is its distinct word n-grams, as 64-bit hashes in one global or
 value). The order splits into m ranges; two sets of similarity t or more differ in at most
 (1-t)/(1+t) of their sizes' sum, so with more ranges than that they hold the same n-grams in at
 least one range. Sets that share a range's content (hashed; 7 bytes a range) may link; those
-whose sizes and n-gram counts by class rule a link out are told apart on 128 bytes, and what stays
+whose sizes and n-gram counts by class rule a link out are told apart on small sketches, and what stays
 connected is a family. Every set is in one family at most, and only there are sets compared:
 
 * each family stores its sets in a trie (shared first n-grams once, unary paths compressed);
@@ -97,8 +97,15 @@ def key_of(s: np.ndarray) -> bytes:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """How many n-grams fall into each of SKETCH classes; sets differ at least as much as these counts."""
-    return np.minimum(np.bincount((s % U64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many n-grams fall into each class; sets differ at least as much as these counts.
+
+    Classes are a power of two, at least SKETCH and a quarter of the set, so that long sets are told
+    apart as well; counts for fewer classes are sums of these.
+    """
+    classes = SKETCH
+    while 4 * classes < len(s):
+        classes *= 2
+    return np.minimum(np.bincount((s % U64(classes)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -202,19 +209,26 @@ def _families(packed: DataFrame, profiles: DataFrame) -> DataFrame:
 def _near(table: pa.Table, bands: Bands) -> pa.Table:
     """A spanning forest of the pairs whose sizes and sketches allow a link."""
     keys, n = table.column("set_key").to_pylist(), table.column("n").to_numpy()
-    counts = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    counts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("sketch").to_pylist()]
+    classes = np.array([len(c) for c in counts])
     label = np.arange(len(keys))
     pairs = []
-    for i in range(len(keys) - 1):
-        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        small, large = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-        rest = rest[small * bands.den >= large * bands.num]
-        differ = np.abs(counts[rest] - counts[i]).sum(axis=1, dtype=np.int64)
-        near = rest[differ * (bands.den + bands.num) <= (n[rest] + n[i]) * (bands.den - bands.num)]
-        for k in near.tolist():
-            if label[k] != label[i]:
-                pairs.append((keys[i], keys[k]))
-                label[label == label[k]] = label[i]
+    for level in np.unique(classes).tolist():
+        # pairs of which the coarser sketch has this many classes
+        rows = np.flatnonzero(classes >= level)
+        folded = np.stack([counts[i].reshape(-1, level).sum(axis=0, dtype=np.int16) for i in rows])
+        coarse = classes[rows] == level
+        for at, i in enumerate(rows[:-1].tolist()):
+            rest = np.arange(at + 1, len(rows))
+            rest = rest[(label[rows[rest]] != label[i]) & (coarse[rest] | coarse[at])]
+            other = n[rows[rest]]
+            rest = rest[np.minimum(other, n[i]) * bands.den >= np.maximum(other, n[i]) * bands.num]
+            differ = np.abs(folded[rest] - folded[at]).sum(axis=1, dtype=np.int64)
+            near = rest[differ * (bands.den + bands.num) <= (n[rows[rest]] + n[i]) * (bands.den - bands.num)]
+            for k in rows[near].tolist():
+                if label[k] != label[i]:
+                    pairs.append((keys[i], keys[k]))
+                    label[label == label[k]] = label[i]
     return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
 
@@ -222,7 +236,7 @@ def _clusters(families: DataFrame, profiles: DataFrame, bands: Bands) -> DataFra
     """(leader, set_key): every set that may link is in one cluster, under its least key.
 
     Two sets of a family that sketches don't tell apart are in one cluster; so are all sets that
-    link. Families are compared in pairs of blocks, on 128 bytes a set.
+    link. Families are compared in pairs of blocks, on a sketch of a quarter byte an n-gram.
     """
     sketches = profiles.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
     blocks = families.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
