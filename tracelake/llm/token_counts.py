@@ -26,23 +26,36 @@ from .bpe import RANKS, loaded
 from .textkernel import TokenCache, cuts, slices
 
 #: Segments a leaf holds at first.
-LEAF_SEGMENTS = 4
+LEAF_SEGMENTS = 8
 
 
 class Tree:
-    """Sums over a text's leaves; leaf i is node size + i, and node k has children 2k and 2k + 1."""
+    """Sums over a text's leaves; leaf i is node size + i, and node k has children 2k and 2k + 1.
 
-    __slots__ = ("cache", "chars", "encoded", "leaves", "size", "tokens")
+    Leaf i is the bytes bounds[i] to bounds[i + 1] of the text until an edit replaces it.
+    """
 
-    def __init__(self, leaves: list[str], tokens: list[int], cache: TokenCache):
-        self.cache, self.leaves, self.encoded = cache, leaves, 0
-        self.size = 1 << max(0, (len(leaves) - 1)).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        self.chars[self.size : self.size + len(leaves)] = map(len, leaves)
-        self.tokens[self.size : self.size + len(leaves)] = tokens
-        for k in range(self.size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+    __slots__ = ("bounds", "cache", "changed", "chars", "encoded", "raw", "size", "tokens")
+
+    def __init__(self, raw: bytes, bounds: list[int], chars: np.ndarray, tokens: np.ndarray, cache: TokenCache):
+        self.raw, self.bounds, self.cache, self.encoded = raw, bounds, cache, 0
+        self.changed: dict[int, str] = {}
+        self.size = 1 << max(0, (len(chars) - 1)).bit_length()
+        self.chars, self.tokens = self._sums(chars), self._sums(tokens)
+
+    def _sums(self, leaves: np.ndarray) -> list[int]:
+        level = np.zeros(self.size, dtype=np.int64)
+        level[: len(leaves)] = leaves
+        levels = [level]
+        while len(level) > 1:
+            level = level[::2] + level[1::2]
+            levels.append(level)
+        return np.concatenate([[0], *reversed(levels)]).tolist()
+
+    def leaf(self, i: int) -> str:
+        if i in self.changed:
+            return self.changed[i]
+        return self.raw[self.bounds[i] : self.bounds[i + 1]].decode() if i + 1 < len(self.bounds) else ""
 
     @property
     def n_chars(self) -> int:
@@ -63,7 +76,7 @@ class Tree:
         return k - self.size, before
 
     def _set(self, i: int, text: str, tokens: int) -> None:
-        self.leaves[i] = text
+        self.changed[i] = text
         k = i + self.size
         self.chars[k], self.tokens[k] = len(text), tokens
         while k := k // 2:
@@ -74,8 +87,6 @@ class Tree:
         n = self.n_chars
         position = min(max(0, position), n)
         delete = min(max(0, delete), n - position)
-        if not self.leaves:
-            self.leaves = [""]
         first, before = self._leaf(min(position, max(0, n - 1))) if n else (0, 0)
         last, last_before = self._leaf(min(position + max(delete, 1) - 1, n - 1)) if n else (0, 0)
         # a leaf on either side is boundary context; a cut depends on two characters before it
@@ -85,18 +96,23 @@ class Tree:
         while end < n and (more or end < position + delete + 2):
             last, last_before = self._leaf(end)
             end, more = last_before + self.chars[last + self.size], False
-        region = "".join(self.leaves[first : last + 1])
+        region = "".join(self.leaf(i) for i in range(first, last + 1))
         at = position - before
         region = region[:at] + insert + region[at + delete :]
         self.encoded += len(region)
         for i in range(first, last + 1):
             if i == first:
                 self._set(i, region, count(region, self.cache))
-            elif self.leaves[i]:
+            elif self.chars[i + self.size]:
                 self._set(i, "", 0)
 
     def text(self) -> str:
-        return "".join(self.leaves)
+        parts, at = [], 0
+        for i in sorted(self.changed):
+            b = self.bounds[min(i, len(self.bounds) - 1)]
+            parts += [self.raw[at:b], self.changed[i].encode()]
+            at = max(at, self.bounds[min(i + 1, len(self.bounds) - 1)])
+        return b"".join([*parts, self.raw[at:]]).decode()
 
 
 def count(text: str, cache: TokenCache) -> int:
@@ -111,15 +127,15 @@ def trees(column: pa.Array, cache: TokenCache, leaf: int = LEAF_SEGMENTS) -> Ite
     """(row, tree) of every text of a batch, from one vectorised pass."""
     for first, _, offsets, data in slices(column):
         starts, row, number = cache.segments(offsets, data)
-        tokens = cache.sizes[number]
+        tokens, chars = cache.sizes[number], np.cumsum(np.append(0, (data & 0xC0) != 0x80))
         bounds = np.searchsorted(row, np.arange(len(offsets)))
         raw = data.tobytes()
         for r in range(len(offsets) - 1):
             a, b = int(bounds[r]), int(bounds[r + 1])
             heads = np.arange(a, b, leaf)
-            at = [*starts[heads].tolist(), int(offsets[r + 1])]
-            sums = np.add.reduceat(tokens[a:b], heads - a).tolist() if b > a else []
-            yield first + r, Tree([raw[s:e].decode() for s, e in zip(at[:-1], at[1:], strict=True)], sums, cache)
+            at = np.append(starts[heads], offsets[r + 1])
+            sums = np.add.reduceat(tokens[a:b], heads - a) if b > a else heads
+            yield first + r, Tree(raw[offsets[r] : offsets[r + 1]], (at - offsets[r]).tolist(), np.diff(chars[at]), sums, cache)
 
 
 EDIT = "struct<position:long,delete:long,insert:string>"
