@@ -146,6 +146,19 @@ def test_merkle(ready, n):
         assert {r.r for r in proofs.collect()} == {level[0]}
 
 
+def test_merkle_proof_of_every_leaf(ready, sf_dir):
+    import hashlib
+
+    from tracelake.plans import registry
+
+    texts = [r.text for r in ready.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    leaves = level = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\x01" + bytes.fromhex(level[i]) + bytes.fromhex(level[i + 1])).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    got = registry.QUERIES["merkle_proof_all"](ready, sf_dir).orderBy("idx").collect()
+    assert [(r.idx, r.leaf, r.proof_root, r.valid) for r in got] == [(i, h, level[0], True) for i, h in enumerate(leaves)]
+
+
 def test_ledger_and_certificate(ready, tmp_path):
     ledger = custody.Ledger(ready, f"file://{tmp_path}/ledger")
     rows = ready.createDataFrame([("e1", "a" * 64), ("e2", "zz")], "evidence_id string, hash_value string")
