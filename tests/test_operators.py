@@ -69,6 +69,26 @@ def test_louvain_two_cliques(ready):
     assert q == pytest.approx(12 / 13 - 0.5, abs=1e-9)
 
 
+def test_distances_beyond_fifty_hops(ready):
+    ids = [f"n{i:02}" for i in range(54)]
+    chain = edges(ready, *[(a, b, 1) for a, b in itertools.pairwise(ids)])
+    got = {r.id: r.hops for r in graph.distances(chain, ready.createDataFrame([(ids[0],)], "id string")).collect()}
+    assert got == {c: i for i, c in enumerate(ids)}
+
+
+def test_louvain_leaves_no_gain(ready):
+    ids = [f"n{i:02}" for i in range(10)]
+    ring = [(ids[i], ids[(i + 1) % 10]) for i in range(10)]
+    got = {r.id: r.community for r in graph.louvain(ready.createDataFrame([(c,) for c in ids], "id string"), edges(ready, *[(a, b, 1) for a, b in ring])).collect()}
+
+    def quality(c):
+        return sum(c[a] == c[b] for a, b in ring) / 10 - sum((sum(x == y for x in c.values()) / 10) ** 2 for y in set(c.values()))
+
+    kinds = sorted(set(got.values()))
+    for x, y in itertools.combinations(kinds, 2):
+        assert quality({i: x if c == y else c for i, c in got.items()}) <= quality(got) + 1e-6
+
+
 def test_masks(ready):
     cases = [("John Doe", "J*** D***"), ("ES9121000418450200051332", "ES91****1332"), ("192.168.1.100", "192.168.*.*"), ("+34 612 345 678", "[PHONE-***5678]"), ("Bo", "***"), ("Robert", "R***t"), (None, "[REDACTED]"), ("  ", "[REDACTED]")]
     df = ready.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, v string")

@@ -228,18 +228,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     return ranks.select("id", "rank")
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
-    """(origin, id, hops) by frontier joins along edges, from every source (id)."""
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(origin, id, hops) by frontier joins along edges, from every source (id), until no pair is new."""
     hop = edges.select("source", "target").distinct()
     seen = sources.select(F.col("id").alias("origin"), "id", F.lit(0).alias("hops"))
-    front = seen
-    for k in range(1, most + 1):
+    front, k = seen, 0
+    while True:
+        k += 1
         step = front.join(hop, front["id"] == hop["source"]).select("origin", F.col("target").alias("id")).distinct()
         front = step.join(seen, ["origin", "id"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()
         if front.isEmpty():
-            break
+            return seen
         seen = seen.union(front).checkpoint()
-    return seen
 
 
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -276,34 +276,60 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("dep", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
+def _partition_quality(graph: DataFrame, degree: DataFrame, now: DataFrame, total: float) -> float:
+    """Modularity of the communities (id, c) of a level's graph (a, b, weight)."""
+    inside = graph.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    spread = now.join(degree, "id").groupBy("c").agg(F.sum("k").alias("sigma")).agg(F.sum(F.pow(F.col("sigma") / total, 2))).first()[0]
+    return 2 * inside / total - spread
+
+
+def _apart(step: DataFrame) -> DataFrame:
+    """The moves (id, c, to, better) that are best at both communities they touch: no two share one."""
+    ends = step.select("id", "better", F.explode(F.array("c", "to")).alias("touched"))
+    first = ends.groupBy("touched").agg(F.max(F.struct("better", "id")).alias("first"))
+    return ends.join(first, "touched").where(F.col("first.id") == F.col("id")).groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")
+
+
+def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Communities (id, community) by local moves and coarsening, as joins and group-bys.
 
-    In a round only half of the nodes (by hash) may move, so that neighbours don't swap; a level's
-    moves end when none gains. Randomness differs from other implementations'.
+    A level's moves end when no node gains, and levels when none merges. In a round half of the
+    nodes (by hash, other ones each round) may move; once such a round doesn't raise modularity it
+    is undone, and only moves that share no community are made, whose gains add up, so that every
+    round gains and the level ends. Randomness differs from other implementations'.
     """
     base = undirected(edges)
     place = nodes.select("id", F.col("id").alias("community")).checkpoint()
-    graph = base.select("a", "b", "weight")
-    for _ in range(levels):
+    graph = base.select("a", "b", "weight").checkpoint()
+    while True:
         both = graph.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").union(graph.where("a <> b").select("b", "a", "weight")).checkpoint()
         degree = graph.select(F.col("a").alias("id"), "weight").union(graph.select("b", "weight")).groupBy("id").agg(F.sum("weight").alias("k")).checkpoint()
         total = degree.agg(F.sum("k")).first()[0]
         if not total:
             break
         now = degree.select("id", F.col("id").alias("c")).checkpoint()
-        for r in range(rounds):
-            sums = now.join(degree, "id").groupBy("c").agg(F.sum("k").alias("sigma"))
-            near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id", F.col("c").alias("to")).agg(F.sum("weight").alias("w"))
+        quality, together, r = _partition_quality(graph, degree, now, total), True, 0
+        while True:
             mine = now.join(degree, "id")
+            sums = mine.groupBy("c").agg(F.sum("k").alias("sigma"))
+            near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id", F.col("c").alias("to")).agg(F.sum("weight").alias("w"))
             options = near.unionByName(mine.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))).groupBy("id", "to").agg(F.sum("w").alias("w"))
             scored = options.join(mine, "id").join(sums.withColumnRenamed("c", "to"), "to").withColumn("gain", F.col("w") - F.col("k") * (F.col("sigma") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total)
             best = scored.groupBy("id", "c").agg(F.max(F.struct("gain", "to")).alias("best"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"))
-            moves = (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2) & (F.col("best.gain") > F.col("stay") + 1e-9)
-            step = best.select("id", F.when(moves, F.col("best.to")).otherwise(F.col("c")).alias("c"), moves.alias("moved")).checkpoint()
-            now = step.select("id", "c")
-            if r % 2 and step.where("moved").isEmpty():
+            better = F.col("best.gain") - F.col("stay")
+            wish = best.where(better > 1e-9 * total).select("id", "c", F.col("best.to").alias("to"), better.alias("better")).checkpoint()
+            if wish.isEmpty():
                 break
+            chosen = wish.where(F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2).select("id") if together else _apart(wish)
+            step = now.join(wish.join(chosen, "id", "left_semi").select("id", "to"), "id", "left").select("id", F.coalesce("to", "c").alias("c")).checkpoint()
+            r += 1
+            if together:
+                raised = _partition_quality(graph, degree, step, total)
+                if raised < quality + 1e-9:
+                    together = False
+                    continue
+                quality = raised
+            now = step
         if now.where("id <> c").isEmpty():
             break
         place = place.join(now.select(F.col("id").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")).checkpoint()

@@ -155,7 +155,7 @@ def louvain_communities(spark, d):
 @query()
 def composite_risk(spark, d):
     n, e = I.nation_nodes(spark, d), I.strong_transfers(spark, d).checkpoint()
-    return graph.composite_risk(n, graph.pagerank(n, e, iterations=20), graph.betweenness(n, e), graph.degree_centrality(n, e))
+    return graph.composite_risk(n, graph.pagerank(n, e), graph.betweenness(n, e), graph.degree_centrality(n, e))
 
 
 @query(f"WITH {I.NODES_SQL} SELECT id, risk_score FROM n ORDER BY risk_score DESC, id LIMIT 10")
