@@ -304,3 +304,17 @@ def test_token_files(spark, docs, empty):
     none = scratch(spark, "ids-none")
     token_files.write(empty, none, path)
     assert token_files.read(spark, none).count() == 0
+
+
+def test_token_files_keep_added_token(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    tokenizer = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = ["plain text", f"one {end} two", f"{end}{end}", f"a  {end}\n b{end}c  d", f"tail \t{end} ", "<|endoftext |>"]
+    folder = scratch(spark, "ids-added")
+    token_files.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, path)
+    got = [r.ids for r in token_files.read(spark, folder).orderBy("start").collect()]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert got[2] == [tokenizer.token_to_id(end)] * 2 + [0]

@@ -65,14 +65,20 @@ def _encoder(path: str) -> TokenCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     size = tokenizer.get_vocab_size(with_added_tokens=True)
     width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+    added = tokenizer.get_added_tokens_decoder()
+    for i, token in added.items():
+        width[i] = len(token.content.encode())  # its own text; other ids have a character a byte
+    alone = [token.content.encode() for token in added.values()]
+
+    def joins(s: bytes) -> bool:
+        return _joins(s) and not any(x in s for x in alone)
 
     def encode(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts: list[list[int]] = []
         for i, s in enumerate(segments):
-            if _joins(s) and texts and len(texts[-1]) < JOINED and _joins(segments[texts[-1][-1]]):
+            if joins(s) and texts and len(texts[-1]) < JOINED and joins(segments[texts[-1][-1]]):
                 texts[-1].append(i)
             else:
                 texts.append([i])
