@@ -198,6 +198,16 @@ def test_entropy_and_carving(ready):
     assert [(r.offset, r.size, r.format) for r in got] == [(100, len(png), "PNG"), (100 + len(png) + 20, 10, "JPEG")]
 
 
+def test_formats_are_validated(ready, sf_dir):
+    from tracelake.plans import registry
+
+    got = registry.QUERIES["validate_formats"](ready, sf_dir).collect()
+    n = ready.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(got) == 16 * n and {(r.format, r.path) for r in got if r.valid != r.path.endswith("/valid")} == set()
+    stub = b"\xff\xd8\xff\xe0JFIF" + b"U" * 10
+    assert [(r.format, r.valid) for r in binary.carve(ready.createDataFrame([("x", stub)], "path string, content binary")).collect()] == [("JPEG", False)]
+
+
 def test_guard(ready):
     guard = casesql.Guard()
     assert guard.validate("SELECT * FROM incidents").endswith("LIMIT 100")

@@ -526,6 +526,44 @@ def entropy_regions(spark, d):
 _PNG = "89504E470D0A1A0A0000000D49484452000000010000000108060000001F15C489" + "0000000049454E44AE426082"
 
 
+def _format_cases(blobs):
+    """A valid and a broken file of each format, (path, format, content), made from every blob."""
+
+    def run(batches):
+        import gzip
+        import io
+        import tarfile
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path, d in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                d = d or b""
+                packed, bundled = io.BytesIO(), io.BytesIO()
+                with zipfile.ZipFile(packed, "w") as z:
+                    z.writestr("a", d)
+                with tarfile.open(fileobj=bundled, mode="w") as t:
+                    info = tarfile.TarInfo("a")
+                    info.size = len(d)
+                    t.addfile(info, io.BytesIO(d))
+                png, gz, pe = bytes.fromhex(_PNG), gzip.compress(d, mtime=0), b"MZ" + bytes(58) + b"\x40\0\0\0"
+                cases = {
+                    "ZIP": (packed.getvalue(), packed.getvalue()[:-10]), "TAR": (bundled.getvalue(), b"x" * 600), "PNG": (png, png[:-12]), "JPEG": (b"\xff\xd8\xff\xe0" + d + b"\xff\xd9", b"\xff\xd8\xff\xe0" + d),
+                    "PDF": (b"%PDF-1.4\n" + d + b"\n%%EOF\n", b"%PDF-1.4\n" + d.replace(b"%%EOF", b"")), "ELF": (b"\x7fELF\x02\x01\x01" + bytes(57), b"\x7fELF\x02\x01\x01"), "PE": (pe + b"PE\0\0" + bytes(20), pe), "GZIP": (gz, gz[:-6]),
+                }
+                rows += [(f"{path}/{what}", kind, c) for kind, pair in cases.items() for what, c in zip(("valid", "broken"), pair, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["path", "format", "content"])
+
+    return blobs.select("path", "content").mapInArrow(run, "path string, format string, content binary")
+
+
+@query()
+def validate_formats(spark, d):
+    return binary.validate_formats(_format_cases(_blobs(spark, d)))
+
+
 @query()
 def carve_scan(spark, d):
     pad = F.col("content")
