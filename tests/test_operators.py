@@ -89,6 +89,21 @@ def test_louvain_leaves_no_gain(ready):
         assert quality({i: x if c == y else c for i, c in got.items()}) <= quality(got) + 1e-6
 
 
+def test_every_transfer_counts(ready, sf_dir):
+    from tracelake.plans import registry
+
+    e = {(r.source, r.target) for r in inputs.transfers(ready, sf_dir).collect() if r.source != r.target}
+    got = {(r.kind, r.hub): r.n_spokes for r in registry.QUERIES["smurfing_patterns_all"](ready, sf_dir).collect()}
+    want = {(kind, hub): n for kind, i in (("FAN_OUT", 0), ("FAN_IN", 1)) for hub in {x[i] for x in e} if (n := sum(x[i] == hub for x in e)) >= 4}
+    assert got == want and max(want.values()) > 4
+    lines = {(r.l_suppkey, r.l_partkey) for r in inputs.table(ready, sf_dir, "lineitem").select("l_suppkey", "l_partkey").collect()}
+    parts = {}
+    for supplier, part in lines:
+        parts.setdefault(f"S{supplier}", set()).add(part)
+    weights = {(a, b): len(parts[a] & parts[b]) for a in parts for b in parts if a != b and parts[a] & parts[b]}
+    assert {(r.source, r.target): r.weight for r in registry.QUERIES["bipartite_projection_all"](ready, sf_dir).collect()} == weights
+
+
 def test_masks(ready):
     cases = [("John Doe", "J*** D***"), ("ES9121000418450200051332", "ES91****1332"), ("192.168.1.100", "192.168.*.*"), ("+34 612 345 678", "[PHONE-***5678]"), ("Bo", "***"), ("Robert", "R***t"), (None, "[REDACTED]"), ("  ", "[REDACTED]")]
     df = ready.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, v string")

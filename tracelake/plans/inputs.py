@@ -39,6 +39,12 @@ def strong_transfers(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFram
     return transfers(spark, sf_dir).where("source <> target").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r")
 
 
+
+def all_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transfer between two nations."""
+    return transfers(spark, sf_dir).where("source <> target")
+
+
 STRONG_SQL = TRANSFERS_SQL + """, s AS (SELECT source, target, weight, amount, seq FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY amount DESC, target) AS r FROM t WHERE source <> target) WHERE r <= 4)"""
 
 

@@ -144,20 +144,84 @@ def closeness_centrality(spark, d):
 
 @query()
 def betweenness_centrality(spark, d):
-    return graph.betweenness(I.nation_nodes(spark, d), I.strong_transfers(spark, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(I.nation_nodes(spark, d), I.all_transfers(spark, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query()
 def louvain_communities(spark, d):
-    return graph.louvain(I.nation_nodes(spark, d), I.strong_transfers(spark, d))
+    return graph.louvain(I.nation_nodes(spark, d), I.all_transfers(spark, d))
 
 
 @query()
 def composite_risk(spark, d):
-    n, e = I.nation_nodes(spark, d), I.strong_transfers(spark, d).checkpoint()
+    n, e = I.nation_nodes(spark, d), I.all_transfers(spark, d).checkpoint()
     return graph.composite_risk(n, graph.pagerank(n, e), graph.betweenness(n, e), graph.degree_centrality(n, e))
 
 
+# the same over every transfer and every line: their SQL would have to change with them, so these have none
+
+
+@query()
+def smurfing_patterns_all(spark, d):
+    return graph.smurfing_patterns(I.all_transfers(spark, d), 4)
+
+
+@query()
+def circular_transfers_all(spark, d):
+    return graph.circular_transfers(I.all_transfers(spark, d), 3, 6)
+
+
+@query()
+def degree_centrality_all(spark, d):
+    return graph.degree_centrality(I.nation_nodes(spark, d), I.all_transfers(spark, d))
+
+
+@query()
+def ego_graph_r2_all(spark, d):
+    return graph.ego_graph(I.all_transfers(spark, d), "N3", 2)[1].select("source", "target", "amount")
+
+
+@query()
+def inter_community_links_all(spark, d):
+    return graph.inter_community_links(I.all_transfers(spark, d), I.communities(spark, d))
+
+
+@query()
+def cross_community_brokers_all(spark, d):
+    return graph.community_brokers(I.all_transfers(spark, d), I.communities(spark, d))
+
+
+@query()
+def modularity_fixed_partition_all(spark, d):
+    return graph.modularity(I.all_transfers(spark, d), I.communities(spark, d))
+
+
+@query()
+def criminal_cells_all(spark, d):
+    return graph.cells(I.nation_nodes(spark, d), I.all_transfers(spark, d), I.communities(spark, d))
+
+
+@query()
+def cell_leaders_all(spark, d):
+    return graph.cell_leaders(I.all_transfers(spark, d), I.communities(spark, d))
+
+
+@query()
+def pagerank_all(spark, d):
+    return graph.pagerank(I.nation_nodes(spark, d), I.all_transfers(spark, d))
+
+
+@query()
+def closeness_centrality_all(spark, d):
+    return graph.closeness(I.nation_nodes(spark, d), I.all_transfers(spark, d))
+
+
+@query()
+def bipartite_projection_all(spark, d):
+    e = I.table(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target")).distinct()
+    return graph.project_bipartite(e, e.select(F.col("source").alias("id")).distinct())
+
+
 @query(f"WITH {I.NODES_SQL} SELECT id, risk_score FROM n ORDER BY risk_score DESC, id LIMIT 10")
 def topk_risk(spark, d):
     return graph.top_k(I.nodes(spark, d).select("id", "risk_score"), "risk_score", 10)
