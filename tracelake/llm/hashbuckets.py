@@ -13,7 +13,7 @@ import pyarrow as pa
 from .textkernel import U64
 
 #: Hashes a bucket should hold, and hashes a task gathers before it emits.
-PER_BUCKET, FLUSH = 500_000, 2_000_000
+PER_BUCKET, FLUSH = 500_000, 500_000
 BUCKET_SCHEMA = "bucket int, blob binary"
 
 

@@ -13,10 +13,12 @@ connected is a family. Every set is in one family at most, and only there are se
   short of the bound;
 * at a leaf the overlap is exact, and the pair is linked or not. Nothing else decides a link.
 
-Equal sets are one entry. A family is split into parts of PART sets: within a part all sets are
-compared; across parts every set is compared with those that its part did not link to the
-family's leader (what is linked to the leader is in one component already). Components of the
-links, by least doc_id, are the result.
+Equal sets are one entry; a task sends the signatures of each set once. A family is split into
+parts: within a part all sets are compared, the family's least set (in every part) among them;
+across parts every set is compared with those that their own part did not link to the least set
+(what is linked to it is in one component already). Those visit the other parts in parts of their
+own, so no task ever holds more than two parts. Components of the links, by least doc_id, are the
+result.
 
 Defined results: null and blank texts have an empty set, link with nothing and are their own
 component; repeated rows have equal sets, hence one component; a row without doc_id links but
@@ -40,9 +42,10 @@ from .components import components
 from .hashbuckets import FLUSH, bucket_count, eight, pack, seven, steps, unpack, unsteps
 from .textkernel import U64, Words, mix, slices, windows, words
 
+#: Sets in a part of a family: compared by n-grams, and by sketches; classes of a sketch.
 PART, BLOCK, SKETCH = 256, 512, 128
-#: Stands for a missing doc_id among signatures.
-_NO_ID = -(1 << 63)
+#: Salts of joins on a family, so that a large one is dealt over tasks.
+SALTS = 32
 
 
 class Bands:
@@ -137,7 +140,7 @@ def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bands(bands.num, bands.den)
         held: list[tuple[int, np.ndarray]] = []
-        count = 0
+        count, sent = 0, set()
 
         def flush() -> pa.RecordBatch:
             doc, h = np.repeat(np.array([i for i, _ in held]), [len(x) for _, x in held]), np.concatenate([x for _, x in held])
@@ -154,15 +157,17 @@ def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int)
 
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
-                sizes, keys, sketches, ids = [], [], [], batch.column("doc_id")[a:b].to_pylist()
+                sizes, keys, sketches = [], [], []
+                ids, tags = batch.column("doc_id")[a:b].to_pylist(), batch.column("tag")[a:b].to_pylist()
                 for s in sets(words(offsets, data, lower), n):
                     sizes.append(len(s))
                     keys.append(key_of(s) if len(s) else None)
                     sketches.append(sketch_of(s) if len(s) else None)
-                    if len(s):
+                    if len(s) and keys[-1] not in sent:
+                        sent.add(keys[-1])
                         signs = signatures(s, own)
                         i = ids[len(sizes) - 1]
-                        held.append((_NO_ID if i is None else i, signs))
+                        held.append((tags[len(sizes) - 1] if i is None else i, signs))
                         count += len(signs)
                 none = [None] * (b - a)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("tag")[a:b], *(pa.array(c, k) for c, k in zip((sizes, keys, sketches, none, none), _PROFILE_KINDS[2:], strict=True))], names=_PROFILE_NAMES)
@@ -176,9 +181,10 @@ def _profiles(docs: DataFrame, n: int, bands: Bands, lower: bool, buckets: int)
 
 
 def _families(packed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(leader, set_key): sets that share a range, under the set of the least doc_id that shares it.
+    """(leader, set_key): sets that share a range, under the least id that shares it.
 
-    Signatures carry doc_ids, which pack well; where rows repeat one, all its sets come along.
+    Signatures carry doc_ids (a row without one its tag), which pack well; where rows repeat one,
+    all its sets come along.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -193,33 +199,96 @@ def _families(packed: DataFrame, profiles: DataFrame) -> DataFrame:
         edge = np.append(0, np.flatnonzero(np.diff(h)) + 1)
         size = np.diff(np.append(edge, len(h)))
         leader, shared = np.repeat(doc[edge], size), np.repeat(size > 1, size)
-        pairs = np.unique(np.stack([leader[shared], doc[shared]]), axis=1) if shared.any() else np.zeros((2, 0), dtype=np.int64)
-        return pa.table({"leader_id": pa.array(pairs[0], pa.int64()), "member_id": pa.array(pairs[1], pa.int64())})
-
-    pairs = packed.groupBy("bucket").applyInArrow(run, "leader_id long, member_id long").distinct()
-    known = profiles.where("set_key is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "set_key").distinct()
-    first = known.groupBy("id").agg(F.min("set_key").alias("leader"))
-    named = pairs.join(known.withColumnRenamed("id", "member_id"), "member_id").join(first.withColumnRenamed("id", "leader_id"), "leader_id")
-    families = named.select("leader", "set_key").union(named.select("leader", F.col("leader").alias("set_key"))).distinct()
-    # a family of one set has nothing to compare
-    sizes = families.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader")
-    return families.join(sizes, "leader")
-
-
-def _near(table: pa.Table, bands: Bands) -> pa.Table:
-    """A spanning forest of the pairs whose sizes and sketches allow a link."""
-    keys, n = table.column("set_key").to_pylist(), table.column("n").to_numpy()
+        leader, doc = leader[shared], doc[shared]
+        order = np.lexsort((doc, leader))
+        leader, doc = leader[order], doc[order]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (np.diff(leader) != 0) | (np.diff(doc) != 0)
+        return pa.table({"leader": pa.array(leader[new], pa.int64()), "member": pa.array(doc[new], pa.int64())})
+
+    pairs = packed.groupBy("bucket").applyInArrow(run, "leader long, member long").distinct()
+    known = profiles.where("set_key is not null").select(F.coalesce("doc_id", "tag").alias("member"), "set_key").distinct()
+    return materialize(pairs.join(known, "member").select("leader", "set_key").distinct(), "families")
+
+
+def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the columns of their leader's group, where there is one; a large group's rows stay dealt."""
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("set_key", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["leader", "salt"], "left").drop("salt")
+
+
+def _forest(families: DataFrame, payload: DataFrame, compare, size: int) -> DataFrame:
+    """Edges (a, b) that connect what compare links in each family (leader, set_key).
+
+    compare takes a table of set_key, role (0 the least set, 1 a member, 2 a visitor) and the
+    payload's columns; without visitors it compares all, else visitors with the others. It returns
+    edges, and rows (a, null) for what it does not connect to the least set.
+    """
+    counts = families.groupBy("leader").agg(F.count("*").alias("n"), F.min("set_key").alias("lead")).where("n > 1")
+    big = counts.where(F.col("n") > size).select("leader", "lead", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("set_key"), F.col("parts"))).cast("int")
+    own = _joined(families, big).where("lead is null or set_key <> lead").select("leader", "set_key", part.alias("part"), F.lit(0).alias("tile"), F.lit(1).alias("role"))
+    leads = big.select("leader", F.col("lead").alias("set_key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("tile"), F.lit(0).alias("role"))
+    placed = materialize(own.union(leads), "placed")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = compare(table)
+        n = len(a)
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int32())], names=["a", "b", "leader", "part"])
+
+    def compared(rows: DataFrame) -> DataFrame:
+        full = rows.join(payload, "set_key")
+        return materialize(full.groupBy("leader", "part", "tile").applyInArrow(run, "a binary, b binary, leader string, part int"), "links")
+
+    first = compared(placed)
+    edges = first.where("b is not null").select("a", "b")
+    lone = _joined(first.where("b is null").select("leader", F.col("a").alias("set_key"), F.col("part").alias("home")), big).where("parts is not null").select("leader", "set_key", "home")
+    lone = materialize(lone, "lone")
+    if lone.isEmpty():
+        return edges
+    tiles = big.join(lone.groupBy("leader").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")), "leader").select("leader", "parts", "tiles")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    visitors = _joined(lone, tiles).withColumn("tile", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int")).withColumn("part", every("parts")).where("part <> home").select("leader", "set_key", "part", "tile", F.lit(2).alias("role"))
+    hosts = _joined(placed.drop("tile"), tiles).where("tiles is not null").withColumn("tile", every("tiles")).select("leader", "set_key", "part", "tile", "role")
+    return edges.union(compared(hosts.union(visitors)).where("b is not null").select("a", "b"))
+
+
+def _stars(keys: list[bytes], roles: list[int], tops: list[int]) -> tuple[list, list]:
+    """Edges from each connected member to its tree's least, and (a, null) for those away from role 0.
+
+    The least is not the set of role 0, which is in every part: it gets one edge a part.
+    """
+    trees: dict[int, list[int]] = {}
+    for i, top in enumerate(tops):
+        trees.setdefault(top, []).append(i)
+    lead = next((tops[i] for i, r in enumerate(roles) if r == 0), None)
+    a, b = [], []
+    for top, members in trees.items():
+        hub = min((i for i in members if roles[i]), key=lambda i: keys[i], default=members[0])
+        a += [keys[i] for i in members if i != hub]
+        b += [keys[hub]] * (len(members) - 1)
+        if top != lead:
+            away = [keys[i] for i in members if roles[i] == 1]
+            a, b = a + away, b + [None] * len(away)
+    return a, b
+
+
+def _near(table: pa.Table, bands: Bands) -> tuple[list, list]:
+    """Connects what sizes and sketches allow to link."""
+    keys, roles, n = table.column("set_key").to_pylist(), np.array(table.column("role").to_pylist()), table.column("n").to_numpy()
     counts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("sketch").to_pylist()]
     classes = np.array([len(c) for c in counts])
     label = np.arange(len(keys))
-    pairs = []
+    visit = (roles == 2).any()
     for level in np.unique(classes).tolist():
         # pairs of which the coarser sketch has this many classes
         rows = np.flatnonzero(classes >= level)
         folded = np.stack([counts[i].reshape(-1, level).sum(axis=0, dtype=np.int16) for i in rows])
         coarse = classes[rows] == level
-        for at, i in enumerate(rows[:-1].tolist()):
-            rest = np.arange(at + 1, len(rows))
+        for at, i in enumerate(rows.tolist()):
+            if visit and roles[i] != 2:
+                continue
+            rest = np.flatnonzero(roles[rows] < 2) if visit else np.arange(at + 1, len(rows))
             rest = rest[(label[rows[rest]] != label[i]) & (coarse[rest] | coarse[at])]
             other = n[rows[rest]]
             rest = rest[np.minimum(other, n[i]) * bands.den >= np.maximum(other, n[i]) * bands.num]
@@ -227,24 +296,8 @@ def _near(table: pa.Table, bands: Bands) -> pa.Table:
             near = rest[differ * (bands.den + bands.num) <= (n[rows[rest]] + n[i]) * (bands.den - bands.num)]
             for k in rows[near].tolist():
                 if label[k] != label[i]:
-                    pairs.append((keys[i], keys[k]))
                     label[label == label[k]] = label[i]
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
-
-
-def _clusters(families: DataFrame, profiles: DataFrame, bands: Bands) -> DataFrame:
-    """(leader, set_key): every set that may link is in one cluster, under its least key.
-
-    Two sets of a family that sketches don't tell apart are in one cluster; so are all sets that
-    link. Families are compared in pairs of blocks, on a sketch of a quarter byte an n-gram.
-    """
-    sketches = profiles.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
-    blocks = families.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = families.join(sketches, "set_key").join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    edges = paired.select("leader", "i", "j", "set_key", "n", "sketch").groupBy("leader", "i", "j").applyInArrow(lambda table: _near(table, bands), "a binary, b binary")
-    return components(edges).select(F.col("component").alias("leader"), F.col("node").alias("set_key"))
+    return _stars(keys, roles.tolist(), label.tolist())
 
 
 class Trie:
@@ -306,12 +359,8 @@ class Trie:
                     stack.extend((c, overlap, used) for c in children)
 
 
-def _compare(table: pa.Table, bands: Bands) -> pa.Table:
-    """Links of one part of a family: its members with each other, visitors with the members.
-
-    A row is (set_key, role, ngrams): role 0 the leader, 1 a member, 2 a visitor. The links are a
-    spanning forest of what is linked here; open: members this part doesn't link to the leader.
-    """
+def _compare(table: pa.Table, bands: Bands) -> tuple[list, list]:
+    """Connects what has enough n-grams in common, by way of the trie."""
     keys, roles = table.column("set_key").to_pylist(), table.column("role").to_pylist()
     members = [np.frombuffer(x, dtype="<u8") for x in table.column("ngrams").to_pylist()]
     stored = [i for i, r in enumerate(roles) if r < 2]
@@ -323,49 +372,13 @@ def _compare(table: pa.Table, bands: Bands) -> pa.Table:
             i = top[i]
         return i
 
-    pairs = []
+    visit = len(stored) < len(keys)
     if stored:
         trie = Trie([members[i] for i in stored], bands)
-        visit = any(r == 2 for r in roles)
-        for i in sorted(range(len(keys)), key=lambda i: roles[i]):
-            if visit and roles[i] < 2:
-                continue  # they were compared in the first round
+        for i in [i for i, r in enumerate(roles) if r == 2] if visit else range(len(keys)):
             for k in trie.linked(members[i], lambda k, i=i: find(stored[k]) == find(i)):
-                if find(i) != find(stored[k]):
-                    top[find(i)] = find(stored[k])
-                    pairs.append((keys[i], keys[stored[k]]))
-    leader = next((i for i, r in enumerate(roles) if r == 0), None)
-    lone = [keys[i] for i in stored if leader is None or find(i) != find(leader)]
-    a, b = [x for x, _ in pairs] + lone, [y for _, y in pairs] + [None] * len(lone)
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def _links(families: DataFrame, ngrams: DataFrame, bands: Bands) -> DataFrame:
-    """Links (a, b) between set keys of all families."""
-    sizes = families.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("n_parts"))
-    placed = families.where("set_key <> leader").join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("n_parts")).cast("int")).withColumn("role", F.lit(1))
-    leads = sizes.select("leader", F.col("leader").alias("set_key"), "n_parts", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    columns = ["leader", "set_key", "n_parts", "part", "role"]
-    placed = materialize(placed.select(columns).union(leads.select(columns)), "placed")
-
-    def compared(rows: DataFrame) -> DataFrame:
-        full = rows.join(ngrams, "set_key").select("leader", "part", "set_key", "role", "ngrams")
-        run = lambda key, table: _with_key(key, _compare(table, bands))
-        return materialize(full.groupBy("leader", "part").applyInArrow(run, "a binary, b binary, leader binary, part int"), "links")
-
-    first = compared(placed)
-    split = placed.where("n_parts > 1")
-    lone = first.where("b is null").select("leader", F.col("a").alias("set_key"), F.col("part").alias("home")).join(sizes.where("n_parts > 1"), "leader")
-    visitors = lone.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).where("part <> home").withColumn("role", F.lit(2))
-    if visitors.isEmpty():
-        return first.where("b is not null").select("a", "b")
-    second = compared(split.select(columns).union(visitors.select(columns)))
-    return first.union(second).where("b is not null").select("a", "b")
-
-
-def _with_key(key: tuple, table: pa.Table) -> pa.Table:
-    n = table.num_rows
-    return table.append_column("leader", pa.array([key[0].as_py()] * n, pa.binary())).append_column("part", pa.array([key[1].as_py()] * n, pa.int32()))
+                top[find(i)] = find(stored[k])
+    return _stars(keys, roles, [find(i) for i in range(len(keys))])
 
 
 def _ngrams(docs: DataFrame, n: int, lower: bool) -> DataFrame:
@@ -389,17 +402,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction | str =
     buckets = bucket_count(total_bytes(docs, "text") / 6 * share)
     both = materialize(_profiles(docs, n, bands, lower, buckets), "profiles")
     profiles = both.where("bucket is null").select("doc_id", "tag", "n", "set_key", "sketch")
-    families = _families(both.where("bucket is not null").select("bucket", "blob"), profiles)
-    families = materialize(_clusters(families, profiles, bands), "clusters")
+    families = _families(both.where("bucket is not null").select("bucket", "blob"), profiles).withColumn("leader", F.col("leader").cast("string"))
+    sketches = profiles.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
+    # what sketches don't tell apart: every set that may link is in one cluster
+    near = components(_forest(families, sketches, lambda table: _near(table, bands), BLOCK))
+    families = materialize(near.select(F.lower(F.hex("component")).alias("leader"), F.col("node").alias("set_key")), "clusters")
     holders = profiles.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("one"), F.min("doc_id").alias("doc_id"))
     wanted = families.select("set_key").distinct().join(holders, "set_key").select("set_key", F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"))
     row = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("tag").cast("string")).alias("row")
     texts = docs.select(row, "text").join(wanted.select(row, "set_key"), "row").dropDuplicates(["row"])
     ngrams = materialize(_ngrams(texts, n, lower), "ngrams")
-    labels = components(_links(families, ngrams, bands))
-    named = holders.select("set_key", F.col("doc_id").alias("least")).join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = named.join(least, "component").select("set_key", "component_id")
+    labels = components(_forest(families, ngrams, lambda table: _compare(table, bands), PART))
+    least = holders.select("set_key", F.col("doc_id").alias("least"))
+    linked = labels.select(F.col("node").alias("set_key"), F.col("component").alias("leader")).join(least, "set_key")
+    linked = _joined(linked, linked.groupBy("leader").agg(F.min("least").alias("component_id"))).select("set_key", "component_id", F.lit(True).alias("in"))
+    by_set = least.join(linked, "set_key", "left").select("set_key", F.when(F.col("in"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     empty = profiles.where("set_key is null").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     full = profiles.where("set_key is not null").join(by_set, "set_key").select("doc_id", "tag", F.col("n").alias("n_shingles"), "component_id")
     return full.union(empty)
