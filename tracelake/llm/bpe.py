@@ -1,17 +1,18 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is encoded by halves; two encoded neighbours are joined by encoding again a window around
-the seam, which grows until the tokens outside it provably stay. Two seams occur:
+A text is halved until a part has LEAF_CHARS characters or fewer; leaves are encoded alone, and two
+encoded neighbours are joined by encoding again a window around the seam, which grows until the
+tokens outside it provably stay. Two seams occur:
 
 * between pre-tokens: matching runs left to right without looking behind, so all but the last
   four pre-tokens of the left part stay, and once a boundary of the joined text falls on a
   boundary of the right part, everything after it stays;
-* between tokens of one pre-token: a token sequence is the encoding of its bytes if every two
-  neighbours are the encoding of their bytes, so the join stops when both ends of the window fit.
+* between tokens of one pre-token, which is halved down to LEAF_BYTES bytes: a token sequence is
+  the encoding of its bytes if every two neighbours are the encoding of their bytes, so the join
+  stops when both ends of the window fit.
 
-Long texts are first cut where the pattern always has a boundary (textkernel.cuts); distinct
-segments are encoded once a task and their ids concatenated, which is the same join with an empty
-window. Decoding concatenates the tokens' bytes up the same tree: tokens to segments to texts.
+Distinct short pre-tokens are encoded once a worker. Decoding halves the ids likewise and
+concatenates the parts' bytes up the tree.
 
 Defined results: a null or empty text has no ids; repeated rows each get their row; other columns
 of the input are ignored.
@@ -24,7 +25,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,11 +32,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .textkernel import TokenCache, slices
+from .textkernel import TokenCache
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Bytes of a pre-token, and characters of a text, that are encoded without halving.
-LEAF_BYTES, LEAF_CHARS, STABLE = 32, 4096, 4
+#: Bytes of a pre-token, characters of a text, and ids that are a leaf of their tree.
+LEAF_BYTES, LEAF_CHARS, LEAF_IDS, STABLE = 16, 512, 256, 4
+#: Pre-tokens that are kept, and the characters one may have.
+MOST_KNOWN, KNOWN_CHARS = 300_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,19 +46,50 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class _Known(dict):
+    """Pre-token to its ids, little-endian in 4 bytes each; encodes what it lacks."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encode(piece.encode()), dtype="<u4").tobytes()
+        if len(piece) <= KNOWN_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Bpe:
-    """Encodes and decodes with ranks and a pre-token pattern."""
+    """Encodes and decodes with ranks and a pre-token pattern; counts its joins."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {v: k for k, v in ranks.items()}
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self.tree)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.joins = self.text_joins = 0
 
     # tokens of one pre-token
 
     def merge(self, data: bytes) -> list[int]:
         """Merges the pair of least rank, leftmost first, until none is left."""
+        return self._merge_long(data) if len(data) > 4 * LEAF_BYTES else self._merge_short(data)
+
+    def _merge_short(self, data: bytes) -> list[int]:
+        rank_of, none = self.ranks.get, len(self.ranks)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        ranks = [rank_of(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank_of(parts[i] + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
+
+    def _merge_long(self, data: bytes) -> list[int]:
         n = len(data)
         end = list(range(1, n + 1))  # of the part that starts here
         before = list(range(-1, n - 1))
@@ -91,6 +124,7 @@ class Bpe:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encoded neighbours."""
+        self.joins += 1
         if not left or not right or self.fit(left[-1], right[0]):
             return left + right
         k = 2
@@ -102,73 +136,65 @@ class Bpe:
             k *= 2
 
     def tree(self, data: bytes) -> list[int]:
+        if (whole := self.ranks.get(data)) is not None:
+            return [whole]
         if len(data) <= LEAF_BYTES:
             return self.merge(data)
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def piece(self, text: str) -> list[int]:
-        if (ids := self.known.get(text)) is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else self.tree(data)
-            if len(text) <= 64:
-                if len(self.known) > 300_000:
-                    self.known.clear()
-                self.known[text] = ids
-        return ids
-
     # pre-tokens of a text
 
-    def pieces(self, text: str) -> list[tuple[int, list[int]]]:
-        """(end, ids) of every pre-token."""
-        if len(text) <= LEAF_CHARS:
-            return [(m.end(), self.piece(m[0])) for m in self.pattern.finditer(text)]
-        half = len(text) // 2
-        left, right = self.pieces(text[:half]), self.pieces(text[half:])
-        kept = left[: max(0, len(left) - STABLE)]
-        begins = {half} | {half + end for end, _ in right}
-        seam: list[tuple[int, list[int]]] = []
-        for m in self.pattern.finditer(text, kept[-1][0] if kept else 0):
-            seam.append((m.end(), self.piece(m[0])))
-            if m.end() in begins:
+    def parts(self, text: str, a: int, b: int) -> tuple[list[str], list[bytes]]:
+        """The pre-tokens of text[a:b] and the ids of each."""
+        if b - a <= LEAF_CHARS:
+            pieces = self.pattern.findall(text, a, b)
+            return pieces, list(map(self.known.__getitem__, pieces))
+        half = (a + b) // 2
+        return self.seam(text, half, b, self.parts(text, a, half), self.parts(text, half, b))
+
+    def seam(self, text: str, at: int, end: int, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
+        """The encoding of two encoded neighbours that meet at a position and end at another."""
+        self.text_joins += 1
+        pieces, ids = left
+        window = pieces[-STABLE:]
+        del pieces[-STABLE:], ids[-STABLE:]
+        after, i = at, 0  # the right part's boundary that the window has come up to
+        for m in self.pattern.finditer(text, at - sum(map(len, window)), end):
+            piece, reached = m[0], m.end()
+            pieces.append(piece)
+            ids.append(self.known[piece])
+            while after < reached:
+                after += len(right[0][i])
+                i += 1
+            if after == reached:
                 break
-        reached = seam[-1][0]
-        return kept + seam + [(half + end, ids) for end, ids in right if half + end > reached]
+        pieces += right[0][i:]
+        ids += right[1][i:]
+        return pieces, ids
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text, little-endian in 4 bytes each."""
+        if len(self.known) > MOST_KNOWN:
+            self.known.clear()
+        return b"".join(self.parts(text, 0, len(text))[1])
 
     def encode(self, text: str) -> list[int]:
-        return [i for _, ids in self.pieces(text) for i in ids]
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
+
+    def count(self, text: str) -> int:
+        return len(self.encode_bytes(text)) // 4
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 64:
+        if len(ids) <= LEAF_IDS:
             return b"".join(map(self.token.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
     def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each segment)."""
-        lists = [self.encode(s.decode()) for s in segments]
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes
-
-    # many texts at once
-
-    def byte_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, bytes) of every token, by id."""
-        size = max(self.token) + 1
-        parts = [self.token.get(i, b"") for i in range(size)]
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(parts), dtype=np.uint8)
-
-
-def decode_flat(ids: np.ndarray, bounds: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all rows, row offsets) of ids with row offsets."""
-    starts, lengths, data = table
-    size = lengths[ids]
-    ends = np.cumsum(size)
-    shift = starts[ids] - (ends - size)
-    out = data[np.repeat(shift, size) + np.arange(int(size.sum()))]
-    return out, np.concatenate([[0], ends])[bounds]
+        parts = [self.encode_bytes(s.decode()) for s in segments]
+        return np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
 
 @lru_cache(2)
@@ -179,24 +205,28 @@ def loaded(path: str) -> tuple[Bpe, TokenCache]:
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Rows that are turned into texts at once.
+ROWS = 256
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(doc_ids, texts) of a few rows at a time; a null text is empty."""
+    for batch in batches:
+        for a in range(0, len(batch), ROWS):
+            part = batch.slice(a, ROWS)
+            yield part.column("doc_id").cast(pa.int64()), [t or "" for t in part.column("text").to_pylist()]
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes every text, decodes the ids again, and digests both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = loaded(path)
-        table = bpe.byte_table()
-        for batch in batches:
-            for a, b, offsets, data in slices(batch.column("text")):
-                ids, bounds = cache.ids(offsets, data)
-                text, ends = decode_flat(ids, bounds, table)
-                raw, out = ids.astype("<u4", copy=False), text.data
-                sha = [
-                    [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)],
-                    [hashlib.sha256(out[i:j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)],
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe, _ = loaded(path)
+        for doc_ids, texts in _texts(batches):
+            ids = [bpe.encode_bytes(t) for t in texts]
+            back = [bpe.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
+            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column], pa.string()) for column in (ids, back)]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -205,12 +235,10 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """doc_id and the ids of its text, as an array column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = loaded(path)
-        for batch in batches:
-            for a, b, offsets, data in slices(batch.column("text")):
-                got, bounds = cache.ids(offsets, data)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), lists], names=["doc_id", ids])
+        bpe, _ = loaded(path)
+        for doc_ids, texts in _texts(batches):
+            lists = [np.frombuffer(bpe.encode_bytes(t), dtype="<i4") for t in texts]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", ids])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, `{ids}` array<int>")
 
