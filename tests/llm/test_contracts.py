@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
-import pytest
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -135,6 +137,35 @@ def test_bpe(docs, empty, reference):
     assert bpe.encode_digests(empty, path).count() == 0
 
 
+def test_bpe_tree(spark, sf_dir, reference):
+    """Every supplied text of two leaves or more is halved and joined, and comes out as it should."""
+    encoder = bpe.Bpe(bpe.load_ranks(public_tokenizers.path(bpe.RANKS)))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for t in [*texts, "x" * 5000, "ab" * 40 + " " * 700 + "c", "1" * 2000 + "\n" * 900, "'" * 1500 + "s", "é " * 900]:
+        before = encoder.text_joins
+        ids = encoder.encode(t)
+        assert ids == reference.encode_ordinary(t) and encoder.decode(ids) == t.encode()
+        assert (encoder.text_joins > before) == (len(t) > bpe.LEAF_CHARS)
+    assert encoder.text_joins > len(texts) and encoder.joins > 0
+
+
+def test_token_counts_random_edits(reference):
+    rng = random.Random(5)
+    path = public_tokenizers.path(bpe.RANKS)
+    encoder, cache = bpe.loaded(path)
+    alphabet = ["a", "Bc", " ", "  ", "\n", "\t", "é", "語", "1", "23", "'s", "'", "!?", " the", "_", "\u00a0", "🙂"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 400))) for _ in range(300)]
+    for row, tree in token_counts.trees(pa.array(texts), encoder, cache):
+        t = texts[row]
+        assert tree.n_tokens == len(reference.encode_ordinary(t))
+        for _ in range(4):
+            at, cut, put = rng.randint(0, len(t) + 3), rng.randint(0, 12), "".join(rng.choices(alphabet, k=rng.randint(0, 6)))
+            tree.edit(at, cut, put)
+            at = min(at, len(t))
+            t = t[:at] + put + t[at + cut :]
+            assert (tree.text(), tree.n_chars, tree.n_tokens) == (t, len(t), len(reference.encode_ordinary(t)))
+
+
 def test_token_counts(docs, empty, reference):
     expected = []
     for i, t, *_ in ROWS:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import RANKS, loaded
-from .textkernel import TokenCache, cuts, slices
+from .bpe import RANKS, Bpe, loaded
+from .textkernel import TokenCache, slices
 
 #: Segments a leaf holds at first.
 LEAF_SEGMENTS = 8
@@ -35,10 +35,10 @@ class Tree:
     Leaf i is the bytes bounds[i] to bounds[i + 1] of the text until an edit replaces it.
     """
 
-    __slots__ = ("bounds", "cache", "changed", "chars", "encoded", "raw", "size", "tokens")
+    __slots__ = ("bounds", "bpe", "changed", "chars", "encoded", "raw", "size", "tokens")
 
-    def __init__(self, raw: bytes, bounds: list[int], chars: np.ndarray, tokens: np.ndarray, cache: TokenCache):
-        self.raw, self.bounds, self.cache, self.encoded = raw, bounds, cache, 0
+    def __init__(self, raw: bytes, bounds: list[int], chars: np.ndarray, tokens: np.ndarray, bpe: Bpe):
+        self.raw, self.bounds, self.bpe, self.encoded = raw, bounds, bpe, 0
         self.changed: dict[int, str] = {}
         self.size = 1 << max(0, (len(chars) - 1)).bit_length()
         self.chars, self.tokens = self._sums(chars), self._sums(tokens)
@@ -102,7 +102,7 @@ class Tree:
         self.encoded += len(region)
         for i in range(first, last + 1):
             if i == first:
-                self._set(i, region, count(region, self.cache))
+                self._set(i, region, self.bpe.count(region))
             elif self.chars[i + self.size]:
                 self._set(i, "", 0)
 
@@ -115,15 +115,7 @@ class Tree:
         return b"".join([*parts, self.raw[at:]]).decode()
 
 
-def count(text: str, cache: TokenCache) -> int:
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    if not len(data):
-        return 0
-    _, _, number = cache.segments(np.array([0, len(data)]), data)
-    return int(cache.sizes[number].sum())
-
-
-def trees(column: pa.Array, cache: TokenCache, leaf: int = LEAF_SEGMENTS) -> Iterator[tuple[int, Tree]]:
+def trees(column: pa.Array, bpe: Bpe, cache: TokenCache, leaf: int = LEAF_SEGMENTS) -> Iterator[tuple[int, Tree]]:
     """(row, tree) of every text of a batch, from one vectorised pass."""
     for first, _, offsets, data in slices(column):
         starts, row, number = cache.segments(offsets, data)
@@ -135,7 +127,7 @@ def trees(column: pa.Array, cache: TokenCache, leaf: int = LEAF_SEGMENTS) -> Ite
             heads = np.arange(a, b, leaf)
             at = np.append(starts[heads], offsets[r + 1])
             sums = np.add.reduceat(tokens[a:b], heads - a) if b > a else heads
-            yield first + r, Tree(raw[offsets[r] : offsets[r + 1]], (at - offsets[r]).tolist(), np.diff(chars[at]), sums, cache)
+            yield first + r, Tree(raw[offsets[r] : offsets[r + 1]], (at - offsets[r]).tolist(), np.diff(chars[at]), sums, bpe)
 
 
 EDIT = "struct<position:long,delete:long,insert:string>"
@@ -146,12 +138,12 @@ def counts(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     """Token counts before and after each document's edits (an array of EDIT)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = loaded(path)
+        bpe, cache = loaded(path)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             ids, todo = batch.column("doc_id").to_pylist(), batch.column(edits).to_pylist()
             out: list[list] = [[] for _ in names]
-            for row, tree in trees(batch.column("text"), cache):
+            for row, tree in trees(batch.column("text"), bpe, cache):
                 n = tree.n_tokens
                 for e in todo[row] or ():
                     if e is not None:
