@@ -291,25 +291,95 @@ def test_fingerprints(docs, empty, monkeypatch):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
-def test_substring_dedup(docs, empty):
-    texts = [(i, words(t)) for i, t, *_ in ROWS]
+def removed(rows):
+    """(doc_id, words, removed, digest) by brute force."""
+    texts = [(i, words(t)) for i, t in rows]
     least = {}
     for i, w in texts:
         if i is not None:
             for p in range(len(w) - 12):
                 g = tuple(w[p : p + 13])
                 least[g] = min(least.get(g, i), i)
-    expected = []
+    out = []
     for i, w in texts:
         gone = {j for p in range(len(w) - 12) if i is not None and least[tuple(w[p : p + 13])] < i for j in range(p, p + 13)}
-        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        expected.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    return out
+
+
+def parsed(rows):
+    """The greedy parse by brute force: each window refers to its first place in the least smaller document."""
+    first = {}
+    for i, t in sorted(rows):
+        w = words(t)
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), (i, p))
+    out = {}
+    for i, t in rows:
+        w, at, out[i] = words(t), 0, []
+
+        def place(p, w=w, i=i):
+            got = first[tuple(w[p : p + 13])] if p + 13 <= len(w) else (i, p)
+            return got if got[0] < i else None
+
+        while at < len(w):
+            if (source := place(at)) is None:
+                at += 1
+                continue
+            n = 13
+            while place(at + n - 12) == (source[0], source[1] + n - 12):
+                n += 1
+            out[i].append((at, n, *source))
+            at += n
+    return out
+
+
+def test_substring_dedup(docs, empty):
     got = substring_dedup.dedup(docs)
-    same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), expected)
+    same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), removed([r[:2] for r in ROWS]))
     assert {r.doc_id: r.kept_text for r in got.collect()}[2] == " ".join(words(PASSAGE + " tail")[60:])
     assert substring_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substring_factors(spark, monkeypatch, parts):
+    """Factors point at their words in smaller documents; in one block they are the brute-force parse."""
+    monkeypatch.setattr(substring_dedup, "FLUSH", 1 << 20 if parts == 1 else 200)
+    rng = random.Random(3)
+    passages = [[f"p{k}w{i}" for i in range(rng.randint(13, 40))] for k in range(6)]
+    rows = []
+    for i in range(40):
+        w = []
+        for _ in range(5):
+            p = rng.choice(passages)
+            a = rng.randint(0, 8)
+            w += p[a : a + rng.randint(10, 40)] + [f"x{rng.randint(0, 50)}" for _ in range(rng.randint(0, 3))]
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[3][1] + " " + rows[3][1]), (101, " ".join(["again"] * 60)), (102, " ".join(["again"] * 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts)
+    got = {r.doc_id: r for r in substring_dedup.dedup(df).collect()}
+    same([got[i][:4] for i in got], removed(rows))
+    texts = dict(rows)
+    for i, r in got.items():
+        end = 0
+        for f in r.factors:
+            assert f.source < i and f.length >= 13 and f.start >= end
+            assert words(texts[i])[f.start : f.start + f.length] == words(texts[f.source])[f.position : f.position + f.length]
+            end = f.start + f.length
+        covered = {j for s in r.spans for j in range(s.start, s.end)}
+        assert len(covered) == r.n_removed and covered >= {j for f in r.factors for j in range(f.start, f.start + f.length)}
+    if parts == 1:
+        assert {i: [tuple(f) for f in r.factors] for i, r in got.items()} == parsed(rows)
+
+
+def test_substring_repeated_ids(spark):
+    """Rows of one doc_id with different texts each lose their own words only."""
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, PASSAGE), (5, "a b " + PASSAGE), (5, other), (5, PASSAGE), (9, other)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), removed(rows))
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
