@@ -49,9 +49,11 @@ LEVEL = 3
 JOINED = 500
 
 
-def _joins(s: bytes) -> bool:
-    """Whether a segment starts with a blank and ends, for certain, with something else."""
-    return s[0] in b" \t\n\x0b\x0c\r" and (0x21 <= s[-1] <= 0x7E or s[-1] >= 0x80 and len(s) > 1 and 0xC3 <= s[-2] <= 0xDF)
+def _joins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which segments start with a blank and end, for certain, with something else."""
+    first, last, before = data[starts], data[ends - 1], data[np.maximum(ends - 2, starts)]
+    blank = (first == 32) | ((first >= 9) & (first <= 13))
+    return blank & (((last >= 0x21) & (last <= 0x7E)) | ((last >= 0x80) & (ends - starts > 1) & (before >= 0xC3) & (before <= 0xDF)))
 
 
 @lru_cache(2)
@@ -72,20 +74,21 @@ def _encoder(path: str) -> TokenCache:
         width[i] = len(token.content.encode())  # its own text; other ids have a character a byte
     alone = [token.content.encode() for token in added.values()]
 
-    def joins(s: bytes) -> bool:
-        return _joins(s) and not any(x in s for x in alone)
-
     def encode(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts: list[list[int]] = []
-        for i, s in enumerate(segments):
-            if joins(s) and texts and len(texts[-1]) < JOINED and joins(segments[texts[-1][-1]]):
-                texts[-1].append(i)
-            else:
-                texts.append([i])
-        got = tokenizer.encode_batch_fast([b"".join(segments[i] for i in x).decode() for x in texts], add_special_tokens=False)
+        raw = b"".join(segments)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)))
+        starts = np.concatenate([[0], ends[:-1]])
+        joins = _joins(data, starts, ends)
+        if any(x in raw for x in alone):  # a segment with an added token goes alone
+            joins &= np.array([not any(x in s for x in alone) for s in segments])
+        first = np.flatnonzero(np.concatenate([[True], ~(joins[1:] & joins[:-1])]))  # of each text
+        place = np.arange(len(segments)) - np.repeat(first, np.diff(np.append(first, len(segments))))
+        first = np.flatnonzero(place % JOINED == 0)
+        bounds = np.append(starts[first], len(raw)).tolist()
+        got = tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(bounds, bounds[1:], strict=False)], add_special_tokens=False)
         ids = [np.array(e.ids, dtype=np.uint32) for e in got]
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
-        ends = np.cumsum([len(s) for s in segments])
         reached = np.searchsorted(np.cumsum(width[flat]), ends, side="left") + 1
         return flat, np.diff(reached, prepend=0)
 
