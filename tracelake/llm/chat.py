@@ -1,19 +1,19 @@
 """Chat formatting with a prefix tree.
 
 Conversations that share initial turns share nodes: every turn is chained to what came before by
-a hash, conversations are put in the order of those hashes, and each emits only the turns it does
-not share with the one before it. That order is depth-first, so a node stands after its parent and
-its subtree is contiguous. A node carries
-
-* its rendered turn, and which of its characters are under the loss mask (assistant texts);
-* start: its offset in its pack's stream; position: its offset in its own conversation;
+a hash, distinct conversations are put in the order of those hashes by a range shuffle, and each
+emits only the turns it does not share with the one before it. That order is depth-first, so a
+node stands after its parent and its subtree is contiguous. The order is cut into packs of about
+PACK_TURNS turns, each a stream of its own: a pack opens with the path that leads to its first
+conversation, of which the turns that the pack before it also holds are marked carried, so a turn
+is emitted once, and again only as carried context. A node carries
+
+* ids: the tokens of its rendered turn (head, text and end are encoded apart, so that the loss mask
+  falls between tokens), and which of them are under the loss mask (assistant texts);
+* start: its offset in its pack's stream; position: its offset in its own conversation, in tokens;
 * attends: the intervals of the stream that hold its ancestors (neighbours merged).
 
-A pack is one tree, by first turn; a tree of more than PACK_TURNS turns is dealt over several
-packs by conversation, each of which repeats the turns its conversations share with other packs'.
-Equal conversations are one path. Conversations longer than KEY_TURNS are ordered by the hash of
-every KEY_TURNS-th further turn, so beyond that depth up to KEY_TURNS - 1 shared turns may be
-emitted again.
+Equal conversations are one path. Texts are never held by conversation: turns stream by, sorted.
 
 Template: ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``. In roles and texts ``<``, any
 backslashes and ``|`` get one more backslash, so no text holds ``<|``; taking one away restores
@@ -30,14 +30,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import materialize, scratch
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-PACK_TURNS, KEY_TURNS = 20_000, 64
+#: Turns that a pack holds, about; what is emitted doesn't depend on it, only what is carried.
+PACK_TURNS = 4_000
+#: Bytes of a turn's hash in a path.
+STEP = 8
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 
 
@@ -71,104 +77,136 @@ def _chain(before: bytes, role: str, text: str) -> bytes:
     return h.digest()
 
 
-_TURN = "conv string, k int, role string, text string, node binary, root binary, n int, path binary"
-_TURN_KINDS = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
-
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-def _chained(turns: DataFrame) -> DataFrame:
-    """A row a turn with its chained hash; and a row a conversation (k null) with its length and path.
 
-    Conversations stream through in order; of each only the path's hashes are held.
-    """
+_PATH = "conv string, full binary, n int, path binary"
+_PATH_KINDS = (pa.string(), pa.binary(), pa.int32(), pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _TURN.split(", ")]
-        conv, node, root, k, path = None, b"", b"", 0, []
 
-        def whole() -> tuple:
-            return conv, None, None, None, node, root, k, b"".join(path)
+def _paths(turns: DataFrame) -> DataFrame:
+    """A row a conversation: its hash, its length, and the hashes of its turns one after another."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PATH.split(", ")]
+        conv, node, path = None, b"", bytearray()
         for batch in batches:
             out = []
             for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv", "role", "text")), strict=True):
                 if c != conv:
                     if conv is not None:
-                        out.append(whole())
-                    conv, node, k, path = c, b"", 0, []
+                        out.append((conv, node, len(path) // STEP, bytes(path)))
+                    conv, node, path = c, b"", bytearray()
                 node = _chain(node, role, text)
-                root, k = node if not k else root, k + 1
-                if k <= KEY_TURNS or k % KEY_TURNS == 0:
-                    path.append(node[:8])
-                out.append((c, k, role, text, node, root, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TURN_KINDS, strict=True)], names=names) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _TURN_KINDS], names=names)
+                path += node[:STEP]
+            if out:
+                yield _batch(out, _PATH_KINDS, names)
         if conv is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(whole(), _TURN_KINDS, strict=True)], names=names)
+            yield _batch([(conv, node, len(path) // STEP, bytes(path))], _PATH_KINDS, names)
+
+    return turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text").mapInArrow(run, _PATH)
+
+
+def _order(paths: DataFrame) -> DataFrame:
+    """Distinct conversations (conv, full, n, path) with their pack and their seat in the order."""
+    one = paths.groupBy("full").agg(F.min("conv").alias("conv"), F.first("n").alias("n"), F.first("path").alias("path"))
+    turns = one.agg(F.sum("n")).first()[0] or 0
+    dealt = one.repartitionByRange(max(1, turns // PACK_TURNS), "path", "full").sortWithinPartitions("path", "full")
+    return materialize(dealt.select("conv", "full", "n", "path", F.spark_partition_id().alias("pack"), F.monotonically_increasing_id().alias("seat")), "order")
+
+
+def _carried(order: DataFrame) -> DataFrame:
+    """(pack, carried): how many turns of its first conversation the pack before it holds too; a row a pack."""
+    ends = order.groupBy("pack").agg(F.min_by("path", "seat").alias("first"), F.max_by("path", "seat").alias("last"))
+    pairs = ends.select("pack", "first", F.lag("last").over(Window.orderBy("pack")).alias("before"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("first").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                k = 0
+                while b is not None and k < min(len(a), len(b)) and a[k : k + STEP] == b[k : k + STEP]:
+                    k += STEP
+                out.append(k // STEP)
+            yield pa.RecordBatch.from_arrays([batch.column("pack"), pa.array(out, pa.int32())], names=["pack", "carried"])
 
-    return turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text").mapInArrow(run, _TURN)
+    return pairs.mapInArrow(run, "pack int, carried int")
 
 
 _NODE = (
-    "pack string, seq long, leaf binary, depth int, parent long, rendered string, loss_start int, loss_end int, start long, position long, attends array<struct<start:long,stop:long>>"
+    "pack int, seq long, leaf binary, depth int, parent long, carried boolean, ids array<int>, loss_start int, loss_end int, start long, position long, attends array<struct<start:long,stop:long>>"
 )
-_NODE_KINDS = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-_NODE_NAMES = [c.split()[0] for c in _NODE.split(", ", 10)]
+_NODE_KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+_NODE_NAMES = [c.split()[0] for c in _NODE.split(", ")]
 
 
-def _merged(turns: DataFrame) -> DataFrame:
+def _merged(turns: DataFrame, path: str) -> DataFrame:
     """Nodes, and a leaf row for each distinct conversation, in depth-first order by pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, stack, seq, at = None, [], 0, 0  # stack: (hash, seq, position's end, intervals up to here)
+        encoder, _ = bpe.loaded(path)
+        heads: dict[str, bytes] = {}
+        end = encoder.encode_bytes(END)
+        pack, seat, first, stack, seq, at, k, node = None, None, None, [], 0, 0, 0, b""
+        # stack: (hash, seq, position's end, intervals up to here)
         for batch in batches:
             out = []
-            for p, k, n, full, node, role, text in zip(*(batch.column(c).to_pylist() for c in ("pack", "k", "n", "full", "node", "role", "text")), strict=True):
+            for p, s, n, full, carried, role, text in zip(*(batch.column(c).to_pylist() for c in ("pack", "seat", "n", "full", "carried", "role", "text")), strict=True):
                 if p != pack:
-                    pack, stack, seq, at = p, [], 0, 0
+                    pack, seat, first, stack, seq, at = p, None, s, [], 0, 0
+                if s != seat:
+                    seat, k, node = s, 0, b""
+                node, k = _chain(node, role, text), k + 1
                 if len(stack) < k or stack[k - 1][0] != node:
                     del stack[k - 1 :]
-                    rendered, loss, loss_end = render(role, text)
+                    if (head := heads.get(role)) is None:
+                        rendered, a, _ = render(role, "")
+                        head = heads[role] = encoder.encode_bytes(rendered[:a])
+                    body = encoder.encode_bytes(escape(text))
+                    ids = np.frombuffer(head + body + end, dtype="<i4")
+                    size = len(ids)
                     position, over = (stack[-1][2], stack[-1][3]) if stack else (0, [])
-                    mine = [*over[:-1], (over[-1][0], at + len(rendered))] if over and over[-1][1] == at else [*over, (at, at + len(rendered))]
-                    mask = (loss, loss_end) if role == "assistant" else (None, None)
-                    out.append((p, seq, None, k, stack[-1][1] if stack else None, rendered, *mask, at, position, [{"start": a, "stop": b} for a, b in over]))
-                    stack.append((node, seq, position + len(rendered), mine))
-                    seq, at = seq + 1, at + len(rendered)
+                    mine = [*over[:-1], (over[-1][0], at + size)] if over and over[-1][1] == at else [*over, (at, at + size)]
+                    mask = (len(head) // 4, (len(head) + len(body)) // 4) if role == "assistant" else (None, None)
+                    out.append((p, seq, None, k, stack[-1][1] if stack else None, s == first and k <= carried, ids, *mask, at, position, [{"start": a, "stop": b} for a, b in over]))
+                    stack.append((node, seq, position + size, mine))
+                    seq, at = seq + 1, at + size
                 if k == n:
-                    out.append((p, seq, full, k, stack[k - 1][1], None, None, None, None, None, None))
+                    out.append((p, seq, full, k, stack[k - 1][1], None, None, None, None, None, None, None))
                     seq += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _NODE_KINDS, strict=True)], names=_NODE_NAMES)
+                yield _batch(out, _NODE_KINDS, _NODE_NAMES)
 
-    return turns.repartition("pack").sortWithinPartitions("pack", "path", "full", "k").select("pack", "k", "n", "full", "node", "role", "text").mapInArrow(run, _NODE)
+    dealt = turns.repartition("pack").sortWithinPartitions("pack", "seat", "turn", "role", "text")
+    return dealt.select("pack", "seat", "n", "full", "carried", "role", "text").mapInArrow(run, _NODE)
 
 
-def write(conversations: DataFrame, folder: str) -> None:
+def write(conversations: DataFrame, folder: str, path: str | None = None) -> None:
     """Formats all conversations: nodes under folder/nodes, (conv_id, leaf) under folder/members."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = turns.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
-    chained = materialize(_chained(keyed), "turns")
-    whole = chained.where("k is null").select("conv", F.col("node").alias("full"), "root", "n", "path")
-    members = whole.select(F.col("conv").try_cast("long").alias("conv_id"), F.col("full").alias("leaf"))
-    members.write.parquet(f"{folder}/members")
-    one = whole.groupBy("full").agg(F.min("conv").alias("conv"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("path").alias("path"))
-    packs = one.groupBy("root").agg(F.ceil(F.sum("n") / PACK_TURNS).cast("int").alias("packs"))
-    placed = one.join(packs, "root").withColumn("pack", F.concat_ws("-", F.lower(F.hex("root")), F.pmod(F.xxhash64("full"), F.col("packs")).cast("string")))
-    rows = chained.where("k is not null").select("conv", "k", "role", "text", "node").join(placed.select("conv", "pack", "full", "n", "path"), "conv")
-    _merged(rows).write.parquet(f"{folder}/nodes")
+    keyed = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), "turn", "role", "text")
+    paths = materialize(_paths(keyed), "paths")
+    paths.select(F.col("conv").try_cast("long").alias("conv_id"), F.col("full").alias("leaf")).write.parquet(f"{folder}/members")
+    order = _order(paths)
+    seats = order.drop("path").join(_carried(order), "pack")
+    _merged(keyed.join(seats, "conv"), path or public_tokenizers.path(bpe.RANKS)).write.parquet(f"{folder}/nodes")
 
 
 _LEAF = "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _LEAF_KINDS = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests of every conversation, from the written nodes alone."""
+def read(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    """Digests of every conversation, from the tokens of the written nodes alone."""
+    path = path or public_tokenizers.path(bpe.RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, _ = bpe.loaded(path)
         pack, stack = None, []  # stack: (digest of turns, digest of loss, loss characters, formatted characters)
         for batch in batches:
             out = []
-            for p, leaf, depth, turn, a, b in zip(*(batch.column(c).to_pylist() for c in ("pack", "leaf", "depth", "rendered", "loss_start", "loss_end")), strict=True):
+            for p, leaf, depth, ids, a, b in zip(*(batch.column(c).to_pylist() for c in ("pack", "leaf", "depth", "ids", "loss_start", "loss_end")), strict=True):
                 if p != pack:
                     pack, stack = p, []
                 if leaf is not None:
@@ -177,17 +215,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     continue
                 del stack[depth - 1 :]
                 turns, loss, chars, formatted = (stack[-1][0].copy(), stack[-1][1].copy(), *stack[-1][2:]) if stack else (hashlib.sha256(), hashlib.sha256(), 0, 0)
+                turn = encoder.decode(ids).decode()
                 role, text = parse(turn)
                 turns.update(f"{role}\n{text}\n".encode())
                 if a is not None:
-                    said = unescape(turn[a:b])
+                    said = unescape(encoder.decode(ids[a:b]).decode())
                     loss.update(said.encode())
                     chars += len(said)
                 stack.append((turns, loss, chars, formatted + len(turn)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _LEAF_KINDS, strict=True)], names=[c.split()[0] for c in _LEAF.split(", ")])
+                yield _batch(out, _LEAF_KINDS, [c.split()[0] for c in _LEAF.split(", ")])
 
-    nodes = spark.read.schema(_NODE).parquet(f"{folder}/nodes").select("pack", "seq", "leaf", "depth", "rendered", "loss_start", "loss_end")
+    nodes = spark.read.schema(_NODE).parquet(f"{folder}/nodes").select("pack", "seq", "leaf", "depth", "ids", "loss_start", "loss_end")
     leaves = nodes.repartition("pack").sortWithinPartitions("pack", "seq").mapInArrow(run, _LEAF)
     members = spark.read.schema("conv_id long, leaf binary").parquet(f"{folder}/members")
     return members.join(leaves, "leaf").drop("leaf")
