@@ -3,11 +3,11 @@
 A gear hash over the last 32 bytes (normalised: a strict mask below the normal chunk length, a
 loose one above it, hard least and most lengths) sets chunk boundaries, so an edit moves only the
 boundaries near it. A document's fingerprint is the set of its chunks' digests with the bytes each
-covers; the likeness of two fingerprints is the weight of what they share over the weight of both
-(1 if both are empty), their containment the shared weight over the first one's weight.
+covers. The query's likeness (near_edited, near_next) is containment: the shared weight over the
+weight of the document's own chunks. ``likeness`` is the symmetric form, over the weight of both.
 
-Defined results: null and empty texts have an empty fingerprint, like 1 to each other and 0 to any
-other; equal texts have equal fingerprints; a document's follower is the next row by (doc_id,
+Defined results: null and empty texts have an empty fingerprint, contained (1) in an empty one and
+not (0) in any other; equal texts have equal fingerprints; a document's follower is the next row by (doc_id,
 hash of the text), null doc_ids first, and the last row's is the first; an only row follows
 itself; an empty table gives no rows; other columns of the input are ignored.
 """
@@ -15,12 +15,13 @@ itself; an empty table gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, total_bytes
@@ -32,6 +33,8 @@ STRICT, LOOSE = np.uint32(0xFE000000), np.uint32(0xF8000000)
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 #: Text bytes a range of documents should hold.
 RANGE_BYTES = 16 << 20
+#: Ranges at most; beyond it they grow. A range streams by in order and is never held whole.
+MOST_PARTS = 8192
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -115,28 +118,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _bounds(docs: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """Ascending bounds (there, id, tag) that cut the rows into about n parts of equal numbers of rows.
+
+    An id that holds several parts' rows, or the rows without one, are cut by the hash of the text.
+    """
+    if n == 1:
+        return []
+    shares = [i / n for i in range(1, n)]
+    got = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.percentile_approx("doc_id", shares, max(10_000, 20 * n)).alias("q")).first()
+    nulls = got["rows"] - got["ids"]
+    cuts = lambda k: [-(1 << 63) + (j << 64) // k - 1 for j in range(1, k + 1)]
+    out = [(False, 0, tag) for tag in cuts(max(1, round(n * nulls / got["rows"])))] if nulls else []
+    for i, k in sorted(Counter(got["q"] or []).items()):
+        out += [(True, int(i), tag) for tag in cuts(k)]
+    return out
+
+
+def _rank(key: Column, bounds: list[tuple[bool, int, int]]) -> Column:
+    """How many bounds are less than a key, by binary search in one literal array."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.array(*(F.struct(F.lit(t).alias("there"), F.lit(i).cast("long").alias("id"), F.lit(g).cast("long").alias("tag")) for t, i, g in bounds))
+    halves = F.array(*(F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))))
+
+    def step(at: Column, size: Column) -> Column:
+        return F.when((at + size <= len(bounds)) & (F.get(cuts, at + size - 1) < key), at + size).otherwise(at)
+
+    return F.aggregate(halves, F.lit(0), step)
+
+
 def with_followers(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, part, guest) of which each part, in order, ends with a guest row.
 
-    Parts are ranges of doc_id; the guest is a copy of the first row of the next part, so a part's
-    rows find their followers without any other part. Only range bounds and first keys, a few
-    values a part, pass through the driver.
+    Parts are ranges of (doc_id, hash of the text); the guest is a copy of the first row of the
+    next part, so a part's rows find their followers without any other part. Only the range
+    bounds, at most MOST_PARTS, pass through the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, total_bytes(docs, "text") // RANGE_BYTES)
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else []
-    cuts = F.array(*(F.lit(int(b)) for b in sorted(set(bounds or [])))).cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(let(cuts, lambda c: F.aggregate(c, F.lit(0), lambda k, b: k + F.when(b < F.col("doc_id"), 1).otherwise(0))))
-    keyed = docs.withColumn("part", part.cast("int")).withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tag")))
-    firsts = sorted((r["part"], r["k"]) for r in keyed.groupBy("part").agg(F.min("key").alias("k")).collect())
-    spark = docs.sparkSession
-    goes = [(k["there"], k["id"], k["tag"], firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    to = spark.createDataFrame(goes, "there boolean, id long, tag long, to int")
-    at = (F.col("key.there") == F.col("there")) & (F.col("key.id") == F.col("id")) & (F.col("key.tag") == F.col("tag"))
-    ids = [k["id"] for _, k in firsts]
-    guests = keyed.where(F.coalesce("doc_id", F.lit(0)).isin(ids)).join(F.broadcast(to), at).select("doc_id", "text", F.col("to").alias("part"), "key").dropDuplicates(["part"])
+    n = min(MOST_PARTS, max(1, total_bytes(docs, "text") // RANGE_BYTES))
+    bounds = _bounds(docs, n)
+    key = F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tag"))
+    keyed = docs.withColumn("key", key).withColumn("part", let(F.col("key"), lambda k: _rank(k, bounds)))
+    firsts = keyed.groupBy("part").agg(F.min("key").alias("key"))
+    before = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
+    goes = firsts.select("key", before.alias("to"))  # a row a part
+    guests = keyed.drop("part").join(F.broadcast(goes), "key").select("doc_id", "text", F.col("to").alias("part"), "key").dropDuplicates(["part"])
     all_ = keyed.select("doc_id", "text", "part", "key", F.lit(0).alias("guest")).union(guests.select("doc_id", "text", "part", "key", F.lit(1).alias("guest")))
-    return all_.repartition(max(n, 1), "part").sortWithinPartitions("part", "guest", "key").select("doc_id", "text", "part", "guest")
+    return all_.repartition(n, "part").sortWithinPartitions("part", "guest", "key").select("doc_id", "text", "part", "guest")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
