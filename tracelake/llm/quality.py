@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fresh, let, words_of
+from .common import BLANKS, fresh, let, materialize, words_of
 
 #: Bit i of the ledger's mask is rule i.
 RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length")
@@ -132,15 +132,19 @@ def ablations(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: Policy = POLICIES[1], thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """The documents that pass, with their own columns only."""
+    """The documents that pass, with their own columns only.
+
+    The mask is computed as the texts stream by: a stored ledger would have to be joined back to
+    the texts, which would shuffle all of them.
+    """
     name = fresh(docs, "quality_mask")
     masked = docs.withColumn(name, let(measurements(F.col("text")), lambda m: failed_mask(m, thresholds)))
     return masked.where(verdict(F.col(name), policy)).drop(name)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Contract query: base counts and the production policy's verdict on all documents."""
-    book = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Contract query: base counts and the production policy's verdict on all documents, from the stored ledger."""
+    book = materialize(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger")
     base, policy = POLICIES[0], POLICIES[1]
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
