@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, chat, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, token_counts, token_files
@@ -125,6 +126,40 @@ def test_pii_bootstrap_finds_unseen(spark):
     assert all(len(found[i]) == 1 for i in range(12))
 
 
+def test_pii_bootstrap_widens(spark):
+    """Identifiers without digits, in groups of digits, and reached only over patterns of found ones."""
+    seeds = [f"please mail reach me at user{i}@site{i}.example.com today friend" for i in range(40)]
+    seeds += [f"ring my desk on +1 (310) 555-{4000 + i} before noon" for i in range(40)]
+    hidden = ["please mail reach me at jane(at)example.org today friend", "ring my desk on 555 010 2334 before noon"]
+    # these share one side with the seeds, and carry a new context that others then need
+    bridge = [f"reach me at who{i}(at)nowhere today since old alias was" for i in range(6)]
+    clean = ["please mail reach me at the today friend", "numbers like 123456x stand alone here", "a commit 0123456789abcdef0123456789abcdef01234567 by hand"]
+    keys = [f'set token = "{i:x}0123456789abcdef0123456789abcdef" here' for i in range(10, 16)]
+    rows = seeds + hidden + bridge + clean + keys
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+
+    def at(k, kind, what):
+        return [(rows[k].index(what), pii.KINDS.index(kind), rows[k].index(what) + len(what))]
+
+    n = len(seeds)
+    assert found[n] == at(n, "email", "jane(at)example.org") and found[n + 1] == at(n + 1, "phone", "555 010 2334")
+    assert all(len(found[i]) == 1 for i in range(n))
+    assert all(found[n + 2 + i] == at(n + 2 + i, "email", f"who{i}(at)nowhere") for i in range(6))
+    assert all(found[n + 8 + i] == [] for i in range(3))
+    assert all(found[n + 11 + i] == at(n + 11 + i, "secret", f"{10 + i:x}0123456789abcdef0123456789abcdef") for i in range(6))
+
+
+def test_pii_added_spans(spark, sf_dir):
+    """On the supplied documents the method adds the keys after 'token =', and nothing in other texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, f'note {i} token = "{i:040x}"'.replace("0000", "a1b2")) for i in range(8)], "doc_id long, text string"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pii.find(docs).collect():
+        more = sorted(tuple(s) for s in r.spans if s not in r.base)
+        keys = [(m.start(1), pii.SECRET, m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{32,})"', text[r.doc_id])]
+        assert more == keys, r.doc_id
+
+
 def test_bpe(docs, empty, reference):
     def brute(t):
         ids = reference.encode_ordinary(t or "")
@@ -249,6 +284,40 @@ def test_budget_redistribution(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 430, ("b", "z"): 20, ("c", "w"): 440}
 
 
+def check_nodes(spark, folder, rows):
+    """Every distinct beginning is emitted once, and ancestors' intervals give what stands before it."""
+    encoder, _ = bpe.loaded(public_tokenizers.path(bpe.RANKS))
+    convs = {}
+    for i, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        convs.setdefault(i, []).append(chat.render(r or "", x or "")[0])
+    begun = {"".join(c[:k]) for c in convs.values() for k in range(1, len(c) + 1)}
+    nodes = spark.read.parquet(f"{folder}/nodes").where("leaf is null").orderBy("pack", "seq").collect()
+    streams = {}
+    for r in nodes:
+        stream = streams.setdefault(r.pack, [])
+        assert r.start == len(stream) and r.position == sum(i["stop"] - i["start"] for i in r.attends)
+        stream += r.ids
+        before = [x for i in r.attends for x in stream[i["start"] : i["stop"]]]
+        assert encoder.decode(before + r.ids).decode() in begun
+        if r.loss_start is not None:
+            assert encoder.decode(r.ids[r.loss_start : r.loss_end]).decode() == chat.escape(chat.parse(encoder.decode(r.ids).decode())[1])
+    own = [r for r in nodes if not r.carried]
+    assert len(own) == len(begun)
+    return len(streams), len(nodes) - len(own)
+
+
+def test_chat_shared_turns(spark, monkeypatch):
+    """Deep shared stems over several packs: each turn is emitted once, and carried once a pack at most."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"s{t}" if t < 80 else f"stem{c % 2} {t}" if t < 120 else f"own {c}") for c in range(20) for t in range(121)]
+    for turns in (50, 1 << 20):
+        monkeypatch.setattr(chat, "PACK_TURNS", turns)
+        folder = scratch(spark, "chat-shared")
+        chat.write(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), folder)
+        packs, carried = check_nodes(spark, folder, rows)
+        assert carried <= 120 * (packs - 1) and (packs > 1) == (turns == 50)
+        assert sorted((r.conv_id, r.n_turns) for r in chat.read(spark, folder).collect()) == [(c, 121) for c in range(20)]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "other"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"),
@@ -266,15 +335,51 @@ def test_chat(spark):
         whole = "".join(chat.render(r, x)[0] for _, r, x in own)
         expected.append((c, len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)))
     same(got.collect(), expected)
-    nodes = spark.read.parquet(f"{folder}/nodes").where("leaf is null")
-    assert nodes.where("depth = 1 and rendered like '%hi%'").count() == 1  # a shared first turn is emitted once
-    for r in nodes.collect():  # ancestors' intervals cover exactly what stands before the node in its conversation
-        assert sum(i["stop"] - i["start"] for i in r.attends) == r.position
+    check_nodes(spark, folder, rows)
     for text in ("<|", "<\\|", "a<\\\\|b", "<<||>", ""):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
     chat.write(df.limit(0), scratch(spark, "chat-none"))
 
 
+def chunked(text):
+    """Chunks of a text by a gear hash that rolls byte by byte."""
+    gear = [int(x) for x in fingerprints._GEAR]
+    raw, out, start = text.encode(), [], 0
+    h = 0
+    for i, x in enumerate(raw):
+        h = ((h << 1) + gear[x]) & 0xFFFFFFFF
+        size = i + 1 - start
+        strict, loose = h & int(fingerprints.STRICT) == 0, h & int(fingerprints.LOOSE) == 0
+        if size >= fingerprints.MOST or fingerprints.LEAST <= size < fingerprints.NORMAL and strict or size >= fingerprints.NORMAL and loose:
+            out.append(raw[start : i + 1])
+            start = i + 1
+    return out + [raw[start:]] if start < len(raw) else out
+
+
+def test_chunks_against_a_rolling_hash(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(40).collect()] + [PROSE * 20, "a" * 3000, "é" * 200, "x" * 24, "y" * 25, ""]
+    for t in texts:
+        want = {}
+        for c in chunked(t):
+            d = xxhash.xxh3_64_intdigest(c)
+            want[d] = want.get(d, 0) + len(c)
+        assert fingerprints.fingerprint(t) == want
+
+
+def test_followers_with_common_ids(spark, monkeypatch):
+    """A third of the rows without an id, a third with one and the same: parts stay small, followers right."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 600)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    parts = fingerprints.with_followers(df).groupBy("part").agg(F.count("*").alias("n")).collect()
+    assert len(parts) > 30 and max(r.n for r in parts) < 60
+    tag = {t: h for t, h in df.select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tag[r[1]]))
+    want = {t: hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for (_, t), (_, n) in zip(order, order[1:] + order[:1], strict=True)}
+    got = fingerprints.edited_fingerprints(df).collect()
+    assert len(got) == 300 and {r.edited_sha256 for r in got} == set(want.values())
+
+
 def test_fingerprints(docs, empty, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_BYTES", 4000)
     rows = [(i, t or "") for i, t, *_ in ROWS]
