@@ -142,31 +142,31 @@ def _kind(core: Column) -> Column:
     )
 
 
-def _patterns(slots: Column, i: Column) -> Column:
-    """Hashes of the patterns of slot i; null where a side is missing."""
-    at = lambda k: F.lower(F.get(slots, k))
-    left, right = F.when(i > 0, at(i - 1)), at(i + 1)
-    before = F.when(i > 1, at(i - 2))
-    both = left.isNotNull() & right.isNotNull()
-    return F.array(
-        F.when(left.isNotNull(), F.xxhash64(F.lit("L"), left)),
-        F.when(before.isNotNull(), F.xxhash64(F.lit("LL"), before, left)),
-        F.when(right.isNotNull(), F.xxhash64(F.lit("R"), right)),
-        F.when(both, F.xxhash64(F.lit("B"), left, right)),
-    )
-
-
 def _slots(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, slots): the slots of every text that has any."""
-    return docs.select("doc_id", "tag", F.regexp_extract_all("text", F.lit(_SLOT), F.lit(0)).alias("slots")).where(F.size("slots") > 0)
+    """(doc_id, tag, i, slot, hs): the slots of every text, lower-cased, and the hashes of their patterns.
+
+    Neighbours come from shifted copies of the array, so that hashing runs on exploded rows: in a
+    lambda over the array it would be interpreted, and carrying the array would copy it a row.
+    """
+    slots = docs.select("doc_id", "tag", F.regexp_extract_all(F.lower("text"), F.lit(_SLOT), F.lit(0)).alias("slot")).where(F.size("slot") > 0)
+    edge = F.array(F.lit(""))
+    shifted = slots.select("doc_id", "tag", "slot", F.concat(edge, "slot").alias("left"), F.concat(edge, edge, "slot").alias("before"), F.slice("slot", 2, F.size("slot")).alias("right"))
+    rows = shifted.select("doc_id", "tag", F.posexplode(F.arrays_zip("slot", "left", "before", "right")).alias("i", "z")).where("z.slot is not null")
+    left, before, right = (F.coalesce(F.col(f"z.{c}"), F.lit("")) for c in ("left", "before", "right"))
+    hs = F.array(
+        F.when(left != "", F.xxhash64(F.lit("L"), left)),
+        F.when(before != "", F.xxhash64(F.lit("LL"), before, left)),
+        F.when(right != "", F.xxhash64(F.lit("R"), right)),
+        F.when((left != "") & (right != ""), F.xxhash64(F.lit("B"), left, right)),
+    )
+    return rows.select("doc_id", "tag", "i", "z.slot", hs.alias("hs"))
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, i, inst, kind, hs) of every slot that is a seed."""
-    some = docs.where(F.col("text").rlike("[0-9@]"))
-    at = _slots(some).select("doc_id", "tag", "slots", F.posexplode(F.transform("slots", lambda s: F.when(s.rlike("[0-9@]"), s))).alias("i", "slot")).where("slot is not null")
-    known = at.withColumn("core", _core(F.col("slot"))).withColumn("kind", _kind(F.col("core"))).where("kind >= 0")
-    return known.select("doc_id", "tag", "i", F.lower("core").alias("inst"), "kind", F.array_compact(_patterns(F.col("slots"), F.col("i"))).alias("hs"))
+    signs = _slots(docs.where(F.col("text").rlike("[0-9@]"))).where(F.col("slot").rlike("[0-9@]"))
+    known = signs.withColumn("core", _core(F.col("slot"))).withColumn("kind", _kind(F.col("core"))).where("kind >= 0")
+    return known.select("doc_id", "tag", "i", F.col("core").alias("inst"), "kind", F.array_compact("hs").alias("hs"))
 
 
 def _sieve(keys: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _sifted(rows: DataFrame, sieve: DataFrame) -> DataFrame:
 
 def _counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(h, n): how many slots of the corpus each pattern of keys has."""
-    hashes = _slots(docs).select(F.explode(F.flatten(F.transform("slots", lambda s, i: _patterns(F.col("slots"), i)))).alias("h")).where("h is not null")
+    hashes = _slots(docs).select(F.explode("hs").alias("h")).where("h is not null")
     return _sifted(hashes, _sieve(keys)).groupBy("h").agg(F.count("*").alias("n")).join(keys, "h")
 
 
@@ -197,10 +197,10 @@ def _salted(rows: DataFrame, small: DataFrame, key: str, by: Column) -> DataFram
 def _candidates(docs: DataFrame, good: DataFrame) -> DataFrame:
     """(doc_id, tag, i, inst, h, hs): what isn't a plain word in the slots of the good patterns."""
     plain = r"^[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+$"
-    at = _slots(docs).select("doc_id", "tag", "slots", F.explode(F.flatten(F.transform("slots", lambda s, i: F.transform(F.array_compact(_patterns(F.col("slots"), i)), lambda h: F.struct(i.alias("i"), h.alias("h")))))).alias("p"))
-    hit = _sifted(at.select("doc_id", "tag", "slots", "p.i", "p.h"), _sieve(good.select("h").distinct()))
-    rows = hit.select("doc_id", "tag", "i", "h", F.lower(_core(F.get("slots", F.col("i")))).alias("inst"), F.array_compact(_patterns(F.col("slots"), F.col("i"))).alias("hs"))
-    return _salted(rows.where((F.col("inst") != "") & ~F.col("inst").rlike(plain)), good.select("h").distinct(), "h", F.xxhash64("doc_id", "i"))
+    keys = good.select("h").distinct()
+    hit = _sifted(_slots(docs).select("*", F.explode("hs").alias("h")).where("h is not null"), _sieve(keys))
+    rows = hit.select("doc_id", "tag", "i", "h", _core(F.col("slot")).alias("inst"), F.array_compact("hs").alias("hs"))
+    return _salted(rows.where((F.col("inst") != "") & ~F.col("inst").rlike(plain)), keys, "h", F.xxhash64("doc_id", "i"))
 
 
 def bootstrap(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame | None:
