@@ -1,7 +1,8 @@
 """Case tables behind a lexical SQL guard; queries run as parameterised Spark SQL.
 
 The guard is a filter in front of Spark's own parser, not a parser: it masks literals, then checks
-operations, tables, comments, stacking and limits.
+operations, tables, comments, stacking, tautologies and limits. A name that follows FROM, JOIN,
+INTO or TABLE, or a comma in a FROM list, must be one of the tables, however it is quoted.
 """
 
 from __future__ import annotations
@@ -21,13 +22,63 @@ TABLES = {
     "victims": "id long, incident_id long, name_or_identity string, injury_status string, statement_summary string",
 }
 CHECKS = {"incidents": "incident_type IS NOT NULL AND risk_level IN ('Bajo', 'Medio', 'Alto', 'Crítico')", "suspects": "alias_or_name IS NOT NULL AND status IN ('Identificado', 'Detenido', 'En fuga', 'Desconocido')", "evidences": "item IS NOT NULL", "victims": "name_or_identity IS NOT NULL"}
-FORBIDDEN = ("DROP", "DELETE", "UPDATE", "ALTER", "CREATE", "TRUNCATE", "REPLACE", "ATTACH", "DETACH", "PRAGMA", "GRANT", "REVOKE", "EXEC", "EXECUTE", "MERGE", "VACUUM")
+FORBIDDEN = (
+    "DROP", "DELETE", "UPDATE", "ALTER", "CREATE", "TRUNCATE", "REPLACE", "ATTACH", "DETACH", "PRAGMA", "GRANT", "REVOKE", "EXEC", "EXECUTE", "MERGE", "VACUUM",
+    "SHUTDOWN", "XP_CMDSHELL", "LOAD_EXTENSION", "BENCHMARK", "SLEEP", "LOAD_FILE", "OUTFILE", "DUMPFILE", "WRITEFILE", "READFILE",
+)
+SYSTEM = ("sqlite_master", "sqlite_schema", "sqlite_temp_master", "sqlite_temp_schema", "sqlite_sequence", "sqlite_stat1", "sqlite_stat4", "information_schema", "pg_catalog", "sys", "mysql", "performance_schema")
+
+_LITERAL = r"'(?:[^']|'')*'"
+_TOKEN = re.compile(rf"""{_LITERAL}|"[^"]*"|`[^`]*`|\[[^\]]*\]|[A-Za-z_]\w*|\S""")
+_CLAUSES = {"WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "SELECT", "VALUES", "WINDOW", "OFFSET"}
+#: A test of something against itself, or of a truth, after OR or WHERE.
+_TAUTOLOGY = re.compile(rf"""\b(?:OR|WHERE)\s+(?:\(\s*)*(?:TRUE\b|(\w+)\s*=\s*\1(?!\w)|({_LITERAL})\s*=\s*\2|("[^"]*")\s*=\s*\3)""", re.I)
 
 
 class GuardError(ValueError):
     """A statement the guard refuses."""
 
 
+@dataclass(frozen=True)
+class Statement:
+    """A statement with the operation and the table it claims to touch."""
+
+    operation: str
+    table: str
+    sql: str
+    params: dict | list | None = None
+
+
+def relations(sql: str) -> list[str]:
+    """The names, quotes kept, that stand where a statement names a relation."""
+    found, wanted, listed = [], False, [False]
+    tokens = _TOKEN.findall(sql)
+    i = 0
+    while i < len(tokens):
+        t, word = tokens[i], tokens[i].upper()
+        if t == "(":
+            listed.append(wanted)  # a relation in brackets, or a subquery
+        elif t == ")":
+            listed = listed[:-1] or [False]
+            wanted = False
+        elif word in ("FROM", "JOIN", "INTO", "TABLE"):
+            wanted = True
+            listed[-1] = listed[-1] or word == "FROM"
+        elif word in _CLAUSES:
+            wanted, listed[-1] = False, False
+        elif t == ",":
+            wanted = listed[-1]
+        elif wanted:
+            name = t
+            while i + 2 < len(tokens) and tokens[i + 1] == ".":
+                name += "." + tokens[i + 2]
+                i += 2
+            found.append(name)
+            wanted = False
+        i += 1
+    return found
+
+
 @dataclass(frozen=True)
 class Guard:
     """What statements may do; validate returns the statement to run."""
@@ -37,41 +88,68 @@ class Guard:
     max_limit: int = 100
     default_limit: int = 100
 
-    def validate(self, sql: str) -> str:
-        text = (sql or "").strip()
+    def validate(self, statement: str | Statement) -> str:
+        if isinstance(statement, Statement):
+            if statement.operation.upper() not in self.operations:
+                raise GuardError("operation isn't allowed")
+            if self._table(statement.table) not in self._known():
+                raise GuardError(f"table {statement.table} isn't allowed")
+            statement = statement.sql
+        if not isinstance(statement, str):
+            raise GuardError("a statement is a string")
+        text = statement.strip()
         if not text:
             raise GuardError("empty statement")
-        bare = re.sub(r"'(?:[^']|'')*'", "''", text)
+        bare = re.sub(_LITERAL, "''", text)
         if "'" in bare.replace("''", ""):
             raise GuardError("unterminated literal")
-        if "--" in bare or "/*" in bare or "*/" in bare or "#" in bare:
+        if bare.count('"') % 2 or bare.count("`") % 2:
+            raise GuardError("unbalanced quotes")
+        plain = re.sub(r'"[^"]*"', '""', bare)
+        depth = 0
+        for c in plain:
+            depth += (c == "(") - (c == ")")
+            if depth < 0:
+                break
+        if depth:
+            raise GuardError("unbalanced brackets")
+        if any(mark in plain for mark in ("--", "/*", "*/", "#")):
             raise GuardError("comments aren't allowed")
-        if ";" in bare.rstrip().rstrip(";"):
-            raise GuardError("one statement only")
-        text, bare = text.rstrip().rstrip(";").rstrip(), bare.rstrip().rstrip(";").rstrip()
-        words = re.findall(r"[A-Za-z_]+", bare.upper())
+        if ";" in plain:
+            raise GuardError("one statement only, without a semicolon")
+        words = re.findall(r"[A-Za-z_]\w*", plain.upper())
         if not words or words[0] not in self.operations:
             raise GuardError("operation isn't allowed")
         if hit := [w for w in words if w in FORBIDDEN]:
             raise GuardError(f"{hit[0]} isn't allowed")
-        named = re.findall(r"\b(?:FROM|JOIN|INTO)\s+([A-Za-z_][\w.]*|\()", bare, re.I)
-        listed = re.findall(r"\bFROM\s+[A-Za-z_]\w*(?:\s+(?:AS\s+)?[A-Za-z_]\w*)?((?:\s*,\s*[A-Za-z_]\w*(?:\s+(?:AS\s+)?[A-Za-z_]\w*)?)+)", bare, re.I)
-        named += [part.split()[0] for group in listed for part in group.strip(" ,").split(",") if part.split()]
-        known = {t.lower() for t in self.tables}
-        if bad := [t for t in named if t != "(" and t.lower() not in known]:
+        if hit := [w for w in re.findall(r"\w+", bare.lower()) if w in SYSTEM]:
+            raise GuardError(f"{hit[0]} isn't allowed")
+        if _TAUTOLOGY.search(text):
+            raise GuardError("a condition that always holds")
+        named = relations(bare)
+        if words[0] == "INSERT" and (len(words) < 2 or words[1] != "INTO"):
+            raise GuardError("INSERT without a table")
+        if bad := [t for t in named if self._table(t) not in self._known()]:
             raise GuardError(f"table {bad[0]} isn't allowed")
         if not named:
             raise GuardError("no table")
-        return self._limited(text, bare) if words[0] == "SELECT" else text
+        return self._limited(text, plain) if words[0] == "SELECT" else text
+
+    def _known(self) -> set[str]:
+        return {t.lower() for t in self.tables}
+
+    def _table(self, name: str) -> str:
+        """The bare name of a relation; a schema other than main makes it unknown."""
+        parts = [p.strip().strip('"`[]').lower() for p in str(name).split(".")]
+        return parts[-1] if len(parts) == 1 or len(parts) == 2 and parts[0] == "main" else str(name)
 
     def _limited(self, text: str, bare: str) -> str:
-        limits = re.findall(r"\bLIMIT\s+(\S+)", bare, re.I)
-        for x in limits:
-            if re.fullmatch(r"[:?]\w*", x.rstrip(")")):
+        for x in re.findall(r"\bLIMIT\s+([^\s,)]+)", bare, re.I):
+            if re.fullmatch(r"\?|:\w+", x):
                 continue
-            if not re.fullmatch(r"[0-9]+", x.rstrip(")")) or not 0 < int(x.rstrip(")")) <= self.max_limit:
+            if not re.fullmatch(r"[0-9]+", x) or not 0 < int(x) <= self.max_limit:
                 raise GuardError("limit out of range")
-        outer = re.search(r"\bLIMIT\s+\S+\s*(?:OFFSET\s+\S+\s*)?$", bare, re.I)
+        outer = re.search(r"\bLIMIT\s+(?:[0-9]+|:\w+|\?)(?:\s+OFFSET\s+(?:[0-9]+|:\w+|\?))?\s*$", bare, re.I)
         return text if outer else f"{text} LIMIT {self.default_limit}"
 
 
@@ -104,11 +182,22 @@ class CaseStore:
                 raise GuardError(f"{name}: a row breaks its checks")
         self.frames = {**self.frames, **{n: self.frames[n].unionByName(df) for n, df in rows.items()}}
 
+    def _placed(self, text: str) -> str:
+        """Table names outside literals, where a relation may stand, give way to the frames."""
+        names = "|".join(self.frames)
+        relation = rf"""\b(FROM|JOIN)(\s+\(*\s*)(?:main\s*\.\s*)?["`\[]?({names})\b["`\]]?|(,)(\s*)({names})\b(?=\s*(?:,|\)|$|\bAS\b|[A-Za-z_]))"""
+
+        def put(m: re.Match) -> str:
+            if m[0][0] in "'\"":
+                return m[0]
+            return f"{m[1]}{m[2]}{{{m[3].lower()}}}" if m[1] else f"{m[4]}{m[5]}{{{m[6].lower()}}}"
+
+        # braces in literals would be taken for frames
+        return re.sub(rf"""{_LITERAL}|"[^"]*"(?!\s*\.)|{relation}""", lambda m: m[0].replace("{", "{{").replace("}", "}}") if m[0][0] in "'\"" else put(m), text, flags=re.I)
+
     def query(self, sql: str, args: dict | None = None, timeout_s: float | None = None) -> DataFrame:
         """Runs one guarded SELECT; with a timeout its jobs are interrupted by tag."""
-        text = self.guard.validate(sql)
-        for name in self.frames:
-            text = re.sub(rf"(?i)\b(FROM|JOIN|,)(\s+){name}\b", rf"\1\2{{{name}}}", text)
+        text = self._placed(self.guard.validate(sql))
         frame = self.spark.sql(text, args=args or {}, **{n: df for n, df in self.frames.items() if f"{{{n}}}" in text})
         if timeout_s is None:
             return frame
