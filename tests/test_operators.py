@@ -223,17 +223,57 @@ def test_formats_are_validated(ready, sf_dir):
     assert [(r.format, r.valid) for r in binary.carve(ready.createDataFrame([("x", stub)], "path string, content binary")).collect()] == [("JPEG", False)]
 
 
-def test_guard(ready):
+ACCEPTED = (
+    "SELECT id, title FROM suspects LIMIT 25", "SELECT * FROM evidences LIMIT 100", "SELECT id, full_name FROM victims ORDER BY id DESC LIMIT 20 OFFSET 10",
+    "SELECT i.title, s.name, e.description FROM incidents i JOIN suspects s ON i.id = s.incident_id LEFT JOIN evidences e ON i.id = e.incident_id WHERE i.risk_level = 'HIGH' LIMIT 50",
+    "INSERT INTO incidents (title, date, risk_level) VALUES (?, ?, ?)", "INSERT INTO suspects (name, alias, incident_id) VALUES (:name, :alias, :incident_id)",
+)
+LIMITED = (
+    "SELECT * FROM incidents", "SELECT * FROM incidents WHERE id IN (SELECT incident_id FROM evidences WHERE type = 'DNA' LIMIT 10)", "SELECT id, hash FROM evidences WHERE incident_id = ?",
+    'SELECT * FROM "incidents"', "SELECT * FROM `suspects`", "SELECT * FROM [evidences]", "SELECT * FROM main.incidents", "SELECT * FROM (SELECT * FROM incidents)",
+    "SELECT * FROM incidents WHERE summary = 'DROP'", 'SELECT * FROM incidents WHERE summary = "DROP TABLE suspects"', "SELECT * FROM incidents, victims WHERE incidents.id = victims.incident_id",
+)
+REFUSED = (
+    "", "   \n\t  ", None, 12345, "DROP TABLE suspects", "DELETE FROM incidents WHERE id = 1", "UPDATE suspects SET status = 'cleared' WHERE id = 5", "ALTER TABLE victims ADD COLUMN c TEXT", "ATTACH DATABASE '/tmp/p.db' AS p",
+    "PRAGMA table_info(incidents)", "VACUUM", "EXEC sp N'SELECT 1'", "CREATE TABLE b (id INT)", "TRUNCATE TABLE evidences", "REPLACE INTO incidents (id) VALUES (1)", "GRANT ALL ON incidents TO guest", "REVOKE SELECT ON incidents FROM guest",
+    "SELECT * FROM incidents WHERE id = (DELETE FROM suspects RETURNING id)", "SELECT * FROM incidents; DROP TABLE suspects", "SELECT * FROM incidents; SELECT * FROM suspects", "SELECT * FROM incidents;", "INSERT INTO incidents (title) VALUES ('x'); DELETE FROM victims",
+    "SELECT * FROM incidents LIMIT 101", "SELECT * FROM evidences LIMIT 0", "SELECT * FROM victims LIMIT -1", "SELECT * FROM incidents WHERE id IN (SELECT incident_id FROM evidences LIMIT 500)",
+    "SELECT * FROM users", "SELECT name FROM sqlite_master WHERE type='table'", "SELECT * FROM incidents i JOIN passwords p ON i.id = p.id", "SELECT * FROM incidents WHERE id IN (SELECT incident_id FROM secret_tokens)", "INSERT INTO admin_users (name) VALUES ('evil')",
+    "SELECT * FROM evil_db.incidents", "SELECT 1", "SELECT * FROM incidents WHERE id = 1 -- c", "SELECT * FROM /* c */ incidents", "SELECT * FROM incidents # c", "SELECT * FROM incidents WHERE title = '' OR 1=1", "SELECT * FROM incidents WHERE title = 'a' OR '1'='1'",
+    "SELECT * FROM incidents WHERE title = '' OR ''=''", "SELECT * FROM incidents WHERE title = 'test' OR TRUE", "SELECT * FROM incidents INTO OUTFILE '/tmp/d'", "SELECT LOAD_FILE('/etc/passwd') FROM incidents", "SELECT load_extension('/x.so') FROM incidents",
+    "SELECT * FROM incidents WHERE title = 'unclosed", 'SELECT * FROM "incidents WHERE id = 1', "SELECT * FROM incidents WHERE (id = 1", "SELECT * FROM incidents WHERE id = 1)", "INSERT VALUES (1, 2, 3)", "SELECT * FROM (SELECT * FROM sqlite_master)",
+    "SELECT * FROM (SELECT * FROM (SELECT * FROM hidden))", "SELECT * FROM incidents i JOIN (SELECT id FROM accounts) a ON i.id = a.id", 'SELECT * FROM "hidden"', 'SELECT * FROM incidents WHERE "a"="a"',
+    "SELECT id FROM incidents UNION ALL SELECT l_orderkey FROM `parquet`.`/any/path`", "SELECT id FROM incidents, `parquet`.`/any/path`", "SELECT id FROM incidents i JOIN suspects s ON i.id = s.id, hidden", "SELECT * FROM incidents UNION TABLE hidden", "SELECT * FROM incidents, secrets",
+)
+
+
+def test_guard_lists():
     guard = casesql.Guard()
-    assert guard.validate("SELECT * FROM incidents").endswith("LIMIT 100")
-    assert guard.validate("SELECT * FROM incidents WHERE summary = 'DROP TABLE x; --' LIMIT 5").endswith("LIMIT 5")
-    for bad in ("", "DROP TABLE incidents", "SELECT * FROM users", "SELECT 1; SELECT 2 FROM incidents", "SELECT * FROM incidents -- x", "SELECT * FROM incidents LIMIT 1000", "SELECT * FROM incidents LIMIT 0", "SELECT * FROM incidents, secrets", "SELECT * FROM incidents WHERE id IN (SELECT id FROM hidden)", "SELECT 1"):
+    assert all(guard.validate(x) == x for x in ACCEPTED)
+    assert all(guard.validate(x) == f"{x} LIMIT 100" for x in LIMITED)
+    for bad in REFUSED:
         with pytest.raises(casesql.GuardError):
             guard.validate(bad)
+            pytest.fail(str(bad))
+    own = casesql.Guard(tables=("custom_cases",), operations=("SELECT",), max_limit=25, default_limit=25)
+    assert own.validate("SELECT * FROM custom_cases") == "SELECT * FROM custom_cases LIMIT 25"
+    for bad in ("SELECT * FROM incidents", "SELECT * FROM custom_cases LIMIT 50", casesql.Statement("DELETE", "custom_cases", "x"), casesql.Statement("SELECT", "users", "SELECT * FROM users")):
+        with pytest.raises(casesql.GuardError):
+            own.validate(bad)
+    assert guard.validate(casesql.Statement("SELECT", "evidences", "SELECT id FROM evidences LIMIT 5")) == "SELECT id FROM evidences LIMIT 5"
+
+
+def test_guard(ready):
+    guard = casesql.Guard()
+    assert guard.validate("SELECT * FROM incidents WHERE summary = 'DROP TABLE x; --' LIMIT 5").endswith("LIMIT 5")
     store = casesql.CaseStore(ready)
     rows = ready.createDataFrame([(1, 1, "Ana", "hurt", "said")], casesql.TABLES["victims"])
     store.insert({"victims": rows})
     assert [r.name_or_identity for r in store.query(casesql.TEMPLATES["victims_of"], {"incident": 1}, timeout_s=60).collect()] == ["Ana"]
+    rows = ready.createDataFrame([(1, "a", "2024", "x", "Alto", "from incidents {b}", None), (2, "a", "2024", "x", "Alto", "other", None)], casesql.TABLES["incidents"])
+    store.insert({"incidents": rows})
+    for sql in ("SELECT id FROM incidents WHERE summary LIKE '%from incidents {b}%'", "SELECT i.id FROM `incidents` i, victims v WHERE v.incident_id = i.id", "SELECT id FROM main.incidents WHERE id IN (SELECT incident_id FROM victims)", 'SELECT id FROM incidents WHERE summary <> "other"'):
+        assert [r.id for r in store.query(sql).collect()] == [1], sql
     with pytest.raises(casesql.GuardError):
         store.insert({"victims": ready.createDataFrame([(2, 1, None, "x", "y")], casesql.TABLES["victims"])})
 
@@ -257,3 +297,83 @@ def test_streaming_equals_batch(ready, tmp_path):
     q = state.alert_cooldown(stream, 300).writeStream.format("memory").queryName("cool").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.entity, r.us) for r in ready.table("cool").collect()) == [("a", 0), ("a", 2_000_000), ("b", 5)]
+
+
+def test_alerts_and_cooldown(ready):
+    match = [("ssh_brute_force", "HIGH", 0.8)]
+    hour = 3_600_000_000
+    rows = [
+        (0, "a", 0, match, 0.0, False), (1, "a", hour, match, 0.0, False), (2, "a", 2 * hour, [("port_scan", "CRITICAL", 0.8)], 0.0, False), (3, "a", 3 * hour, match, 0.0, False), (4, "a", 4 * hour, match, 0.0, False),
+        (0, "b", 0, [], 0.3, True), (1, "b", hour, [], 0.6, False), (2, "b", 2 * hour, [], 0.2, False), (3, "b", 9 * hour, [], None, False), (0, "token=abc", 0, [], 0.9, False),
+    ]
+    df = ready.createDataFrame(rows, "k long, entity string, window_us long, matches array<struct<rule:string,severity:string,confidence:double>>, anomaly double, is_anomaly boolean")
+    found = {(r.entity, r.k): r for r in threats.alerts(df).collect()}
+    assert {k: r.severity for k, r in found.items()} == {("a", 0): "HIGH", ("a", 1): "HIGH", ("a", 2): "CRITICAL", ("a", 3): "HIGH", ("a", 4): "HIGH", ("b", 0): "LOW", ("b", 1): "MEDIUM", ("token=[REDACTED]", 0): "CRITICAL"}
+    assert found["b", 1].summary == "Statistical Anomaly Detected on entity 'b' (Threat Score: 0.60)" and found["a", 0].rule == "ssh_brute_force"
+    kept = sorted((r.entity, r.k) for r in threats.cooldown(threats.alerts(df), 7200).collect())
+    # the critical one passes and starts the clock anew
+    assert kept == [("a", 0), ("a", 2), ("a", 4), ("b", 0), ("token=[REDACTED]", 0)]
+
+
+def test_model_is_saved(ready, tmp_path):
+    rng = random.Random(2)
+    df = ready.createDataFrame([(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(60)], "x double, y double")
+    model = threats.fit_model(df, ["x", "y"], trees=3, sample=16)
+    threats.save_model(model, str(tmp_path / "m.json"))
+    again = threats.load_model(str(tmp_path / "m.json"))
+    assert [r.anomaly for r in threats.score(df, again).collect()] == [r.anomaly for r in threats.score(df, model).collect()]
+    got = threats.detect(ready.createDataFrame([(model["center"][0], 50.0), (None, None)], "x double, y double"), again, 0.5).collect()
+    assert got[0].is_anomaly and got[0].contributions == {"x": 0.0, "y": 1.0} and set(got[1].contributions) == {"x", "y"}
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError):
+        threats.load_model(str(tmp_path / "bad.json"))
+
+
+def test_graph_files(ready, tmp_path):
+    from tracelake.sources import graphs
+
+    (tmp_path / "n.csv").write_text("node_id,type,label,risk_score,phone\n P1 ,person,Ana,0.5,612345678\nA1,bank-account,,,\n,person,none,1,\nX,weird,w,bad,\n")
+    (tmp_path / "e.csv").write_text("src,dst,relation_type,weight,amount,date,note\nP1,A1,owns,,,2024-01-01,n\nA1,,owns,1,1,,\nA1,X,,2.5,10,,\n")
+    nodes, links = graphs.read_csv(ready, f"file://{tmp_path}/n.csv", f"file://{tmp_path}/e.csv")
+    assert [(r.id, r.entity_type, r.label, r.risk_score, r.attributes) for r in nodes.orderBy("seq").collect()] == [("P1", "PERSON", "Ana", 0.5, {"phone": "612345678"}), ("A1", "BANK_ACCOUNT", "A1", 0.0, {}), ("X", "OTHER", "w", 0.0, {})]
+    assert [(r.source, r.target, r.relation_type, r.weight, r.amount, r.timestamp, r.attributes) for r in links.orderBy("seq").collect()] == [("P1", "A1", "OWNS", 1.0, None, "2024-01-01", {"note": "n"}), ("A1", "X", "TRANSACTION", 2.5, 10.0, None, {})]
+    hidden = {r.id: r for r in graph.redact(nodes).collect()}
+    assert hidden["P1"].label == "***" and hidden["P1"].attributes == {"phone": "[PHONE-***5678]"} and hidden["A1"].label == "[ACCOUNT-REDACTED]"
+    (tmp_path / "g.json").write_text('{"name": "g", "nodes": [{"id": "a", "entity_type": "PHONE", "attributes": {"phone": "1"}}, {"id": "b"}], "edges": [{"source": "a", "target": "b", "amount": 5}]}')
+    nodes, links = graphs.read_json(ready, f"file://{tmp_path}/g.json")
+    assert [(r.id, r.entity_type, r.label, r.attributes) for r in nodes.orderBy("id").collect()] == [("a", "PHONE", "a", {"phone": "1"}), ("b", "SUSPECT", "b", {})]
+    assert [(r.source, r.target, r.amount, r.attributes) for r in links.collect()] == [("a", "b", 5.0, {})]
+
+
+def test_hostile_files_do_not_crash():
+    import gzip
+
+    pe = b"MZ" + bytes(58) + b"\x40\0\0\0" + b"PE\0\0"
+    elf = b"\x7fELF\x02\x01" + bytes(60)
+    packed = gzip.compress(b"text " * 5000, mtime=0)
+    for whole in (pe + bytes(40), elf, packed, b"\x89PNG\r\n\x1a\n" + bytes(30), b"%PDF-1.4 %%EOF", b"PK\x03\x04" + bytes(30) + b"PK\x05\x06" + bytes(18)):
+        for n in range(min(len(whole), 120) + 1):
+            list(binary.scan(whole[:n]))
+    assert [(a, b, s.name) for a, b, s in binary.scan(b"xx" + packed + b"tail")] == [(2, 2 + len(packed), "GZIP")]
+
+
+def test_ledger_lookups(ready, tmp_path):
+    roots = custody.Ledger(ready, f"file://{tmp_path}/roots")
+    assert roots.count() == 0 and roots.latest() is None
+    rows = [("r1", "A" * 64, "c1", "2024-01-01"), ("r2", "b" * 64, "c1", "2024-01-02"), ("r3", "c" * 64, "c2", "2024-01-03")]
+    assert roots.append(ready.createDataFrame(rows, "id string, root_hash string, case_id string, created_at string"), "id", "root_hash") == 3
+    assert roots.latest().first().id == "r3" and roots.latest("c1").first().id == "r2" and roots.count("c1") == 2
+    assert roots.find(root_hash="a" * 64).first().id == "r1" and roots.find(id="none").count() == 0
+
+
+def test_auth_metadata(ready, tmp_path):
+    (tmp_path / "auth.log").write_text("Mar 14 09:10:12 gw01 sshd[812]: Accepted publickey for ana from 10.1.2.3 port 40023 ssh2\nno header\nMar 14 09:10:13 gw01 sudo:   ana : TTY=pts/1 ; PWD=/home/ana ; USER=root ; COMMAND=/bin/ls -l\n")
+    got = logs.read_events(ready, f"file://{tmp_path}/auth.log", 2026).orderBy("line_number").collect()
+    assert [(r.line_number, r.action, r.metadata) for r in got] == [(1, "SSH_LOGIN_SUCCESS", {"port": "40023"}), (3, "SUDO_COMMAND", {"tty": "pts/1", "pwd": "/home/ana", "target_user": "root", "command": "/bin/ls -l"})]
+
+
+def test_bipartite_ids_with_bars(ready):
+    assert graph.is_bipartite(edges(ready, ("a|1", "b|0", 1), ("b|0", "a|2", 1), ("a", "b", 1)))
+    assert {r.average for r in graph.circular_transfers(edges(ready, ("A", "B", 1), ("B", "C", 2), ("C", "A", 3)), 2, 3).collect()} == {2.0}
+    with pytest.raises(ValueError):
+        graph.circular_transfers(edges(ready, ("A", "B", 1)), 3, 2)

@@ -102,7 +102,10 @@ def verify_certificate(cert: dict, secret: bytes) -> bool:
 
 
 class Ledger:
-    """An append-only table of evidence: rows are added, never changed; a known id is refused."""
+    """An append-only table of evidence, roots or certificates: rows are added, never changed; a known id is refused.
+
+    Reads of a ledger without rows give None, or 0 for counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -115,9 +118,25 @@ class Ledger:
                 return None
             raise
 
-    def append(self, rows: DataFrame, key: str = "evidence_id") -> int:
+    def find(self, **values) -> DataFrame | None:
+        """The rows that equal the values; hashes are compared in lower case."""
+        found = self.read()
+        for c, v in values.items() if found is not None else ():
+            found = found.where(F.lower(c) == v.lower() if c.endswith("hash") or c == "hash_value" else F.col(c) == v)
+        return found
+
+    def count(self, case_id: str | None = None) -> int:
+        found = self.find() if case_id is None else self.find(case_id=case_id)
+        return 0 if found is None else found.count()
+
+    def latest(self, case_id: str | None = None, order: str = "created_at", key: str = "root_hash") -> DataFrame | None:
+        """The last row by time, ties by key: the latest root of all, or of a case."""
+        found = self.find() if case_id is None else self.find(case_id=case_id)
+        return None if found is None else found.orderBy(F.desc(order), F.desc(key)).limit(1)
+
+    def append(self, rows: DataFrame, key: str = "evidence_id", hashed: str = "hash_value") -> int:
         """Adds the rows whose hash is 64 hex digits; raises if an id is there already."""
-        valid = rows.where(F.col("hash_value").rlike("^[0-9a-fA-F]{64}$")).checkpoint()
+        valid = rows.where(F.col(hashed).rlike("^[0-9a-fA-F]{64}$")).checkpoint()
         known = self.read()
         if not valid.groupBy(key).count().where("count > 1").isEmpty() or known is not None and not valid.join(known, key, "left_semi").isEmpty():
             raise ValueError("evidence is append-only: an id is there already")

@@ -90,9 +90,10 @@ def is_bipartite(edges: DataFrame, rounds: int = 200) -> bool:
     pair = edges.where("source is not null and target is not null").select("source", "target").distinct()
     if not pair.where("source = target").isEmpty():
         return False
-    cover = pair.select(F.concat("source", F.lit("|0")).alias("a"), F.concat("target", F.lit("|1")).alias("b")).union(pair.select(F.concat("source", F.lit("|1")), F.concat("target", F.lit("|0"))))
+    copy = lambda c, side: F.struct(F.col(c).alias("id"), F.lit(side).alias("side"))
+    cover = pair.select(copy("source", 0).alias("a"), copy("target", 1).alias("b")).union(pair.select(copy("source", 1), copy("target", 0)))
     labels = connected_components(cover, rounds)
-    split = labels.select(F.substring_index("node", "|", 1).alias("id"), "component").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    split = labels.select("node.id", "component").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     return split.where("n = 2 and lo = hi").isEmpty()
 
 
@@ -195,8 +196,15 @@ def smurfing_patterns(edges: DataFrame, threshold: int = 5) -> DataFrame:
     return fans("target", "source", "FAN_IN").union(fans("source", "target", "FAN_OUT"))
 
 
-def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int = 4) -> DataFrame:
-    """Each directed simple cycle once, from its least id: length, ids, total, least and most amount."""
+def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int = 4, transaction_only: bool = False) -> DataFrame:
+    """Each directed simple cycle once, from its least id: length, ids, total, least, most and mean amount.
+
+    transaction_only takes edges of type TRANSACTION or TRANSFER alone. Lengths from 2 on.
+    """
+    if not 2 <= min_length <= max_length:
+        raise ValueError("cycles have 2 nodes or more, and the least length is at most the greatest")
+    if transaction_only:
+        edges = subgraph_by_relation_types(edges, ["TRANSACTION", "TRANSFER"])
     hop = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), money().alias("m"))
     paths = hop.where("t > s").select(F.col("s").alias("start"), F.col("t").alias("end"), F.array("s", "t").alias("path"), F.array("m").alias("amounts"))
     found = None
@@ -207,7 +215,29 @@ def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int =
         if k < max_length:
             paths = paths.join(hop, (paths["end"] == hop["s"]) & (hop["t"] > paths["start"])).where("not array_contains(path, t)").select("start", F.col("t").alias("end"), F.concat("path", F.array("t")).alias("path"), F.concat("amounts", F.array("m")).alias("amounts"))
     total = F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x)
-    return found.select(F.size("path").cast("long").alias("length"), F.array_join("path", ">").alias("ring"), F.round(total, 2).alias("total"), F.round(F.array_min("amounts"), 2).alias("least"), F.round(F.array_max("amounts"), 2).alias("most"))
+    return found.select(F.size("path").cast("long").alias("length"), F.array_join("path", ">").alias("ring"), F.round(total, 2).alias("total"), F.round(F.array_min("amounts"), 2).alias("least"), F.round(F.array_max("amounts"), 2).alias("most"), F.round(total / F.size("amounts"), 2).alias("average"))
+
+
+def detect_all(nodes: DataFrame, edges: DataFrame, min_length: int = 3, max_length: int = 6, tolerance: float = 0.25, threshold: int = 3) -> dict[str, DataFrame]:
+    """Rings, pass-through accounts and fans, and a one-row summary of them."""
+    rings = circular_transfers(edges, min_length, max_length)
+    mules = mule_accounts(edges, 2, tolerance).join(nodes.select("id", "entity_type"), "id", "left")
+    fans = smurfing_patterns(edges, threshold)
+    r = rings.agg(F.count("*").alias("ring_count"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("ring_volume"))
+    m = mules.agg(F.count("*").alias("mule_count"), F.count_if(F.col("risk") == "CRITICAL").alias("critical_mules"), F.coalesce(F.sum("total_in"), F.lit(0.0)).alias("mule_volume"))
+    f = fans.agg(F.count("*").alias("smurfing_count"))
+    summary = r.crossJoin(m).crossJoin(f)  # a row each
+    summary = summary.select("ring_count", "mule_count", "smurfing_count", "critical_mules", F.round(F.col("ring_volume") + F.col("mule_volume"), 2).alias("suspicious_volume"))
+    return {"rings": rings, "mules": mules, "fans": fans, "summary": summary}
+
+
+def roles(ranks: DataFrame, between: DataFrame, degrees: DataFrame, k: int = 5) -> DataFrame:
+    """(role, id, score): the k nodes of highest PageRank, betweenness and degree, ties by id."""
+
+    def first(scores: DataFrame, by: str, role: str) -> DataFrame:
+        return top_k(scores.select("id", F.col(by).alias("score")), "score", k).select(F.lit(role).alias("role"), "id", "score")
+
+    return first(ranks, "rank", "KINGPIN_CANDIDATE").union(first(between, "betweenness", "BROKER_FACILITATOR")).union(first(degrees, "degree", "OPERATIONAL_HUB"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
@@ -347,6 +377,23 @@ def composite_risk(nodes: DataFrame, ranks: DataFrame, between: DataFrame, degre
     return joined.crossJoin(F.broadcast(top)).select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4).alias("risk"))  # one row
 
 
+def redact(nodes: DataFrame) -> DataFrame:
+    """Nodes with masked labels (by entity type) and masked personal attributes; ids stay, as edges need them.
+
+    A missing label is the id; a node without an attributes column has none.
+    """
+    label, kind = F.coalesce("label", "id"), F.lower("entity_type")
+    masked = F.when(kind.isin("bank_account", "iban", "account"), mask_pii(label, "account")).when(kind.isin("phone", "phone_number"), mask_pii(label, "phone")).when(kind.isin("ip", "ip_address"), mask_pii(label, "ip")).otherwise(mask_pii(label))
+    out = nodes.withColumn("label", masked)
+    if "attributes" not in nodes.columns:
+        return out
+
+    def one(k: Column, v: Column) -> Column:
+        return F.when(k.isin("iban", "account"), mask_pii(v, "account")).when(k == "phone", mask_pii(v, "phone")).when(k == "ip", mask_pii(v, "ip")).when(k.isin("name", "address"), mask_pii(v)).otherwise(v)
+
+    return out.withColumn("attributes", F.transform_values("attributes", one))
+
+
 def top_k(scores: DataFrame, by: str, k: int) -> DataFrame:
     """The k highest, ties by id."""
     return scores.orderBy(F.desc(by), "id").limit(k)

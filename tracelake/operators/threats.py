@@ -7,6 +7,7 @@ first event of all, so they are numbered, not taken from F.window.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.normalize import sanitize
+
 # The 21 features in order.
 FEATURES = (
     "event_count", "events_per_second", "failed_auth_count", "success_auth_count", "failed_auth_ratio", "invalid_user_count", "unique_users",
@@ -93,7 +96,7 @@ def rule_counts(windowed: DataFrame) -> DataFrame:
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     users = windowed.where(fail).groupBy(*key, "user").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("user").alias("fail_users"), F.max("n").alias("max_per_user"))
     got = windowed.groupBy(*key).agg(
-        one(fail).alias("fails"), one(F.col("event_type") == "sudo_auth_fail").alias("sudo_fails"), one(F.col("event_type") == "sudo_command").alias("sudo_commands"),
+        F.min("window_us").alias("window_us"), one(fail).alias("fails"), one(F.col("event_type") == "sudo_auth_fail").alias("sudo_fails"), one(F.col("event_type") == "sudo_command").alias("sudo_commands"),
         F.sum("bytes_sent").alias("sent"), F.sum("bytes_recv").alias("recv"), F.count_distinct(F.nullif("dst_port", F.lit(0))).alias("dst_ports"),
     )
     return got.join(users, key, "left").na.fill(0, ["fail_users", "max_per_user"])
@@ -139,19 +142,47 @@ def evaluate_rules(counts: DataFrame, rules=RULES) -> DataFrame:
 
 
 def alerts(matched: DataFrame) -> DataFrame:
-    """One alert a (window, entity) whose score triggers; score is the best confidence (or anomaly)."""
+    """One alert a (window, entity) that triggers: a strong rule, a score of 0.5 or more, or an anomaly.
+
+    matched: k, entity, window_us, matches, anomaly and, if the model ran, is_anomaly. The score is
+    the greater of anomaly and best confidence, 4 places; a null anomaly is 0; without a rule the
+    alert is statistical. Of equal confidences the last rule by name counts. Entity and summary are
+    sanitised.
+    """
     best = F.sort_array(F.transform("matches", lambda m: F.struct(m["confidence"].alias("confidence"), m["rule"].alias("rule"), m["severity"].alias("severity"))), asc=False)
-    scored = matched.where(F.size("matches") > 0).withColumn("top", F.get(best, F.lit(0)))
-    score = F.greatest(F.coalesce("anomaly", F.lit(0.0)), F.col("top.confidence"))
-    strong = F.exists("matches", lambda m: m["severity"].isin("HIGH", "CRITICAL"))
-    tier = F.when((score >= 0.85) | F.exists("matches", lambda m: m["severity"] == "CRITICAL"), "CRITICAL").when((score >= 0.70) | strong, "HIGH").when(score >= 0.50, "MEDIUM").otherwise("LOW")
-    return scored.where(strong | (score >= 0.5)).select("k", "entity", score.alias("score"), tier.alias("severity"), F.col("top.rule").alias("rule"))
+    top = matched.withColumn("top", F.get(best, F.lit(0)))
+    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("anomaly", F.lit(0.0)), F.coalesce(F.col("top.confidence"), F.lit(0.0)))), 4)
+    any_of = lambda *s: F.exists("matches", lambda m: m["severity"].isin(*s))
+    odd = F.coalesce("is_anomaly", F.lit(False)) if "is_anomaly" in matched.columns else F.lit(False)
+    scored = top.withColumn("score", score).where(odd | any_of("HIGH", "CRITICAL") | (F.col("score") >= 0.5))
+    at = F.col("score")
+    tier = F.when((at >= 0.85) | any_of("CRITICAL"), "CRITICAL").when((at >= 0.70) | any_of("HIGH"), "HIGH").when((at >= 0.50) | any_of("MEDIUM"), "MEDIUM").otherwise("LOW")
+    head = F.when(F.size("matches") > 0, F.concat(F.lit("Security Alert: "), F.col("top.rule"), F.lit(" detected"))).otherwise("Statistical Anomaly Detected")
+    summary = F.concat(head, F.lit(" on entity '"), F.col("entity"), F.lit("' (Threat Score: "), F.format_string("%.2f", at), F.lit(")"))
+    return scored.select("k", sanitize(F.col("entity")).alias("entity"), "window_us", "score", tier.alias("severity"), F.col("top.rule").alias("rule"), sanitize(summary).alias("summary"))
+
+
+def cooldown(found: DataFrame, seconds: int = 300) -> DataFrame:
+    """Critical alerts pass; others only if the entity's last passed alert is at least so old (event time).
+
+    Alerts that stand the cooldown or more behind the one before them pass whatever came before, so
+    an entity's alerts are cut there, and each piece streams by in order: no entity is held whole.
+    """
+    order = Window.partitionBy("entity").orderBy("window_us", "k")
+    apart = F.coalesce(F.col("window_us") - F.lag("window_us").over(order) >= seconds * 1_000_000, F.lit(True))
+    pieces = found.withColumn("_apart", apart.cast("long")).withColumn("_piece", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_apart")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, last = None, 0
+        for batch in batches:
+            keep = []
+            for i, (e, p, us, severity) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("entity", "_piece", "window_us", "severity")), strict=True)):
+                if (e, p) != piece or severity == "CRITICAL" or us - last >= seconds * 1_000_000:
+                    piece, last = (e, p), us
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
 
-def cooldown(found: DataFrame) -> DataFrame:
-    """Within a batch shorter than the cooldown: critical alerts stay, others only as an entity's first."""
-    order = Window.partitionBy("entity").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("earlier", F.count("*").over(order)).where((F.col("severity") == "CRITICAL") | (F.col("earlier") == 0)).drop("earlier")
+    return pieces.repartition("entity", "_piece").sortWithinPartitions("entity", "_piece", "window_us", "k").mapInArrow(run, pieces.schema).drop("_piece")
 
 
 def robust_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -234,6 +265,21 @@ def fit_model(rows: DataFrame, columns: list[str], trees: int = 15, sample: int
     return model
 
 
+def save_model(model: dict, path: str) -> None:
+    """The model as one JSON file, without pickled objects."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(model, f)
+
+
+def load_model(path: str) -> dict:
+    """A saved model; raises ValueError if it isn't one."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    if missing := {"columns", "center", "scale", "inverse", "middle", "threshold", "trees", "sample"} - set(model if isinstance(model, dict) else ()):
+        raise ValueError(f"{path}: not a model, without {sorted(missing)}")
+    return model
+
+
 def score(rows: DataFrame, model: dict) -> DataFrame:
     """distance, isolation, mahalanobis and the hybrid score of each row; other columns stay."""
     columns = model["columns"]
@@ -255,3 +301,22 @@ def score(rows: DataFrame, model: dict) -> DataFrame:
     extra = "distance double, isolation double, mahalanobis double, anomaly double"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, {extra}")
+
+
+def detect(rows: DataFrame, model: dict, threshold: float) -> DataFrame:
+    """Scores with is_anomaly (a score of the threshold or more) and each feature's share of the deviation.
+
+    contributions: feature to its absolute scaled value over the sum of all, 4 places; null, NaN and
+    infinite values count as score takes them.
+    """
+    scored = score(rows, model)
+
+    def deviation(c: str, center: float, scale: float) -> Column:
+        value = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+        return F.abs((F.greatest(F.lit(-1e9), F.least(F.lit(1e9), value)) - center) / scale)
+
+    z = F.array(*(deviation(*x) for x in zip(model["columns"], model["center"], model["scale"], strict=True)))
+    total = F.aggregate("_z", F.lit(1e-6), lambda a, x: a + x)
+    share = F.map_from_arrays(F.array(*map(F.lit, model["columns"])), F.transform("_z", lambda x: F.round(x / total, 4)))
+    four = {c: F.round(c, 4) for c in ("isolation", "mahalanobis", "anomaly")}
+    return scored.withColumns(four).withColumn("_z", z).withColumn("contributions", share).withColumn("is_anomaly", F.col("anomaly") >= threshold).drop("_z")

@@ -25,6 +25,16 @@ def merge(events: DataFrame) -> DataFrame:
     return events.withColumn("reach", reach).orderBy("reach.us", "reach.source_file", "reach.line_number", "reach.event_id", "line_number").drop("reach")
 
 
+def positions(ordered: DataFrame) -> DataFrame:
+    """Numbers from 1 for the rows of a sorted table: partitions are counted, then numbered inside."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", row).checkpoint()
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a partition
+    return placed.join(base, "_part").withColumn("position", (F.col("_base") + F.col("_row") + 1).cast("long")).drop("_part", "_row", "_base")
+
+
 def filter_events(events: DataFrame, start_us: int | None = None, end_us: int | None = None, min_severity: str | None = None, hosts=None, users=None, ips=None, pattern: str | None = None) -> DataFrame:
     """Inclusive bounds; null never matches a list; the pattern ignores case."""
     if pattern is not None and len(pattern) > 256:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One supplied table; makes sure that checkpoint() has a folder (the session's, if it names one)."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -68,6 +70,13 @@ def nation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).where("entity_type = 'LOCATION'")
 
 
+def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer to supplier edges, weighted by lines."""
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    pairs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").cast("double").alias("weight"))
+    return pairs.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target"), "weight")
+
+
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations by region: a fixed partition."""
     return table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_regionkey").cast("long").alias("community"))

@@ -103,7 +103,7 @@ UNION ALL SELECT st, s.target, list_append(path, s.target), list_append(am, s.am
 r AS (SELECT path, list_append(am, s.amount) AS am FROM p JOIN s ON s.source = en AND s.target = st WHERE len(path) >= 3)
 SELECT len(path)::BIGINT AS length, array_to_string(path, '>') AS ring, round(list_sum(am), 2) AS total, round(list_min(am), 2) AS least, round(list_max(am), 2) AS most FROM r""")
 def circular_transfers(spark, d):
-    return graph.circular_transfers(I.strong_transfers(spark, d), 3, 4)
+    return graph.circular_transfers(I.strong_transfers(spark, d), 3, 4).drop("average")
 
 
 _UNDIRECTED = "u AS (SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, seq) AS w FROM s GROUP BY ALL)"
@@ -222,6 +222,36 @@ def bipartite_projection_all(spark, d):
     return graph.project_bipartite(e, e.select(F.col("source").alias("id")).distinct())
 
 
+@query()
+def detect_all_summary(spark, d):
+    return graph.detect_all(I.nation_nodes(spark, d), I.strong_transfers(spark, d), 3, 4)["summary"]
+
+
+@query()
+def node_roles(spark, d):
+    n, e = I.nation_nodes(spark, d), I.all_transfers(spark, d).checkpoint()
+    return graph.roles(graph.pagerank(n, e), graph.betweenness(n, e), graph.degree_centrality(n, e))
+
+
+_LINKS_SQL = "SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS target, count(*)::DOUBLE AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey"
+
+
+@query(f"WITH e AS ({_LINKS_SQL}), n AS (SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) - 1 AS n), d AS (SELECT id, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT source AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e UNION ALL SELECT 'C' || c_custkey, 0, 0 FROM customer UNION ALL SELECT 'S' || s_suppkey, 0, 0 FROM supplier) GROUP BY id) SELECT id, round(i / n, 10) AS in_degree, round(o / n, 10) AS out_degree FROM d, n")
+def degree_customers_suppliers(spark, d):
+    got = graph.degree_centrality(I.nodes(spark, d).where("entity_type <> 'LOCATION'"), I.trade_links(spark, d))
+    return got.select("id", F.round("in_degree", 10).alias("in_degree"), F.round("out_degree", 10).alias("out_degree"))
+
+
+@query()
+def pagerank_customers_suppliers(spark, d):
+    return graph.pagerank(I.nodes(spark, d).where("entity_type <> 'LOCATION'"), I.trade_links(spark, d), iterations=5, tolerance=None)
+
+
+@query("SELECT 'N' || n_nationkey AS id, CASE WHEN length(n_name) > 3 THEN n_name[1] || '***' || n_name[-1] ELSE '***' END AS label FROM nation WHERE n_name NOT LIKE '% %'")
+def redact_nodes(spark, d):
+    return graph.redact(I.nation_nodes(spark, d).where("label not like '% %'")).select("id", "label")
+
+
 @query(f"WITH {I.NODES_SQL} SELECT id, risk_score FROM n ORDER BY risk_score DESC, id LIMIT 10")
 def topk_risk(spark, d):
     return graph.top_k(I.nodes(spark, d).select("id", "risk_score"), "risk_score", 10)
@@ -302,10 +332,21 @@ _rule("rule_priv_esc", threats.privilege_escalation, "SELECT k, entity, CASE WHE
 _rule("rule_port_scan", threats.port_scan, "SELECT k, entity, 'MEDIUM' AS severity, 0.8::DOUBLE AS confidence FROM rc WHERE ports >= 8")
 
 
-@query()
+_MATCHES = """SELECT k, entity, 'ssh_brute_force' AS rule, CASE WHEN fails >= 20 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, least(0.7 + 0.015 * fails, 0.99)::DOUBLE AS confidence FROM rc WHERE fails >= 5 AND u <= 3
+UNION ALL SELECT k, entity, 'password_spraying', CASE WHEN u >= 15 THEN 'CRITICAL' ELSE 'HIGH' END, least(0.75 + 0.015 * u, 0.99)::DOUBLE FROM rc WHERE u >= 4 AND NOT (mx > 4 AND u < 8)
+UNION ALL SELECT k, entity, 'data_exfiltration', CASE WHEN sent >= 5e7 THEN 'CRITICAL' ELSE 'HIGH' END, least(0.80::DOUBLE + sent / 1e8::DOUBLE * 0.15::DOUBLE, 0.98::DOUBLE) FROM rc WHERE sent >= 5e6 AND (sent + 1.0) / (recv + 1.0) >= 8
+UNION ALL SELECT k, entity, 'privilege_escalation', CASE WHEN sf >= 3 THEN 'HIGH' ELSE 'MEDIUM' END, 0.85::DOUBLE FROM rc WHERE sf >= 2 OR (sf >= 1 AND sc >= 3)
+UNION ALL SELECT k, entity, 'port_scan', 'MEDIUM', 0.8::DOUBLE FROM rc WHERE ports >= 8"""
+
+
+@query(f"""WITH RECURSIVE {_COUNTS}, m AS ({_MATCHES}), x AS (SELECT k, entity, round(max(confidence), 4) AS score, max({{'c': confidence, 'r': rule}}).r AS rule, bool_or(severity = 'CRITICAL') AS c, bool_or(severity = 'HIGH') AS h FROM m GROUP BY k, entity),
+n AS (SELECT k, entity, score, rule, CASE WHEN c OR score >= 0.85 THEN 'CRITICAL' WHEN h OR score >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, row_number() OVER (PARTITION BY entity ORDER BY k) AS i FROM x),
+r AS (SELECT n.*, k AS last, true AS kept FROM n WHERE i = 1 UNION ALL SELECT n.*, CASE WHEN n.severity = 'CRITICAL' OR n.k - r.last >= 8 THEN n.k ELSE r.last END, n.severity = 'CRITICAL' OR n.k - r.last >= 8 FROM r JOIN n ON n.entity = r.entity AND n.i = r.i + 1)
+SELECT k, entity, score, severity, rule FROM r WHERE kept""")
 def alerts_cooldown(spark, d):
+    # a day, eight steps, so that the cooldown shows on this table
     matched = threats.evaluate_rules(_rule_counts(spark, d)).withColumn("anomaly", F.lit(0.0))
-    return threats.cooldown(threats.alerts(matched))
+    return threats.cooldown(threats.alerts(matched), 8 * I.STEP_S).select("k", "entity", "score", "severity", "rule")
 
 
 @query(f"WITH {I.EVENTS_SQL} SELECT event_id, count(*) OVER (PARTITION BY \"user\" ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS n_buffered FROM ev")
@@ -344,10 +385,7 @@ def isolation_scores(spark, d):
 @query(f"""WITH {I.TIMELINE_SQL}, r AS (SELECT *, max({{'us': us, 'f': source_file, 'l': line_number, 'e': event_id}}) OVER (PARTITION BY source_file ORDER BY line_number, event_id ROWS UNBOUNDED PRECEDING) AS m FROM tl)
 SELECT event_id, row_number() OVER (ORDER BY m.us, m.f, m.l, m.e, line_number) AS position FROM r""")
 def timeline_merge(spark, d):
-    merged = timeline.merge(I.timeline_events(spark, d)).select("event_id")
-    # positions without a single task: the sorted table's partitions are counted, then numbered
-    numbered = merged.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    return spark.createDataFrame(numbered, "event_id string, position long")
+    return timeline.positions(timeline.merge(I.timeline_events(spark, d)).select("event_id"))
 
 
 @query(f"WITH {I.TIMELINE_SQL} SELECT event_id, source_file FROM tl WHERE severity IN ('WARNING', 'ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY') AND host IN ('h0', 'h1') AND regexp_matches(message || ' ' || action || ' ' || raw_log, '(?i)failed|invalid')")
@@ -561,28 +599,40 @@ def _blobs(spark, d):
     return I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
 
 
-@query()
+_BYTES = "y AS (SELECT doc_id::VARCHAR AS path, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents WHERE text IS NOT NULL)"
+_CLASS = "CASE WHEN e < 0.2 THEN 'EMPTY' WHEN e < 4.5 THEN 'LOW' WHEN e < 7.2 THEN 'MEDIUM' ELSE 'HIGH' END AS class"
+
+
+def _blocks_sql(size: int) -> str:
+    return f"z AS (SELECT path, i AS block, coalesce(list_aggregate(b[i * {size} + 1:(i + 1) * {size}], 'entropy'), 0.0) AS e FROM (SELECT path, b, unnest(range((len(b) + {size - 1}) // {size})) AS i FROM y))"
+
+
+@query(f"WITH {_BYTES}, c AS (SELECT x, count(*) AS n FROM (SELECT unnest(b) AS x FROM y) GROUP BY x) SELECT range AS byte, coalesce(n, 0)::BIGINT AS n FROM range(256) LEFT JOIN c ON c.x = printf('%02X', range)")
 def byte_histogram(spark, d):
     return binary.byte_histogram(_blobs(spark, d))
 
 
-@query()
+@query(f"WITH {_BYTES}, {_blocks_sql(1024)} SELECT path, count(*) AS n_blocks, round(avg(e), 4) AS mean, round(min(e), 4) AS least, round(max(e), 4) AS most FROM z GROUP BY path")
 def doc_entropy(spark, d):
     return binary.entropy_map(binary.block_entropy(binary.blocks(_blobs(spark, d), 1024)))
 
 
-@query()
+@query(f"""WITH {_BYTES}, o AS (SELECT path, b, unnest(list_sort(list_distinct(CASE WHEN len(b) <= 1024 THEN [0] ELSE list_append(range(0, len(b) - 1023, 512), len(b) - 1024) END))) AS a FROM y),
+z AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a) - 1)::BIGINT AS block, a::BIGINT AS "offset", coalesce(list_aggregate(b[a + 1:a + 1024], 'entropy'), 0.0) AS e FROM o)
+SELECT path, block, "offset", round(e, 4) AS entropy, {_CLASS} FROM z""")
 def entropy_windows(spark, d):
     rows = binary.block_entropy(binary.blocks(_blobs(spark, d), 1024, 512))
     return rows.select("path", "block", "offset", F.round("entropy", 4).alias("entropy"), "class")
 
 
-@query("SELECT doc_id::VARCHAR AS path, ceil(strlen(text) / 1024.0)::BIGINT AS n_blocks FROM documents WHERE strlen(text) > 0")
+@query(f"WITH {_BYTES}, {_blocks_sql(1024)} SELECT path, block::BIGINT AS block, round(e, 4) AS entropy, {_CLASS} FROM z")
 def entropy_blocks(spark, d):
-    return binary.blocks(_blobs(spark, d), 1024).groupBy("path").agg(F.count("*").alias("n_blocks"))
+    rows = binary.block_entropy(binary.blocks(_blobs(spark, d), 1024))
+    return rows.select("path", "block", F.round("entropy", 4).alias("entropy"), "class")
 
 
-@query()
+@query(f"""WITH {_BYTES}, {_blocks_sql(256)}, h AS (SELECT path, block, block - row_number() OVER (PARTITION BY path ORDER BY block) AS run FROM z WHERE e >= 4.2)
+SELECT path, min(block)::BIGINT AS first, max(block)::BIGINT AS last, count(*) AS n FROM h GROUP BY path, run HAVING count(*) >= 2""")
 def entropy_regions(spark, d):
     return binary.high_entropy_regions(binary.block_entropy(binary.blocks(_blobs(spark, d), 256)), 4.2, 2)
 

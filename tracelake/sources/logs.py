@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.normalize import epoch_us, facility_of, normalize_severity, parse_time, severity_of
+from tracelake.functions.normalize import epoch_us, facility_of, normalize_severity, parse_time, severity_of, truncate_raw
 
 MAX_LINE, MAX_JSON = 65_536, 131_072
 
@@ -63,6 +63,46 @@ def group(text: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
 
+def _which(text: Column, patterns: list[str]) -> Column:
+    """The index of the first pattern found in a text, -1 if none is."""
+    out = F.when(F.lit(False), -1)
+    for i, p in enumerate(patterns):
+        out = out.when(text.rlike(p), i)
+    return out.otherwise(-1)
+
+
+def _by(which: Column, values: list[Column], other: Column) -> Column:
+    """The value at an index, or another."""
+    out = F.when(F.lit(False), other)
+    for i, v in enumerate(values):
+        out = out.when(which == i, v)
+    return out.otherwise(other)
+
+
+def _auth_metadata(m: Column, first, none: Column) -> Column:
+    """What a message tells besides user and address: port, sudo's terminal, folder, target and command, attempts."""
+    keys = {"port": 3, "tty": 2, "pwd": 3, "target_user": 4, "command": 5, "attempts": 2}
+    kinds = {"port": ("SSH",), "tty": ("SUDO_COMMAND",), "pwd": ("SUDO_COMMAND",), "target_user": ("SUDO_COMMAND", "PAM_SESSION_OPEN"), "command": ("SUDO_COMMAND",), "attempts": ("SUDO_FAILED_AUTH",)}
+
+    def value(name: str):
+        def of(s) -> Column:
+            ssh = s[1].startswith("SSH") or s[1] == "INVALID_USER"
+            if not (ssh and name == "port" or s[1] in kinds[name]):
+                return none
+            return group(m, s[0], 1 if s[1] == "PAM_SESSION_OPEN" else keys[name])
+
+        return of
+
+    pairs = [x for name in keys for x in (F.lit(name), first(value(name), none))]
+    return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+
+
+def read_events(spark: SparkSession, path: str, default_year: int, kind: str | None = None) -> DataFrame:
+    """Events of one log file; without a kind it is told by the first lines."""
+    kind = kind or detect_format([r["value"] for r in spark.read.text(path).limit(10).collect()])
+    return PARSERS[kind](read_lines(spark, path), default_year)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, line_number, value): numbers from 1, counted per file, dropped lines included."""
     whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
@@ -97,20 +137,16 @@ def parse_security(lines: DataFrame, default_year: int) -> DataFrame:
     process = F.when(is_5424, group(v, _RFC5424, 4)).otherwise(pick(3))
     at = parse_time(F.when(is_5424, group(v, _RFC5424, 2)).otherwise(pick(1)), default_year)
     head = lines.withColumns({"_v": v, "_m": F.coalesce(message, F.lit("")), "_p": process, "_at": at, "_json": F.when(is_json & ~too_long, F.from_json(v, "map<string,string>")), "_kind": F.when(empty, "empty").when(too_long, "long").when(is_json, "json").when(is_5424 | iso | bsd, "log").otherwise("plain")})
-    m, j = F.col("_m"), lambda *k: F.coalesce(*(F.try_element_at("_json", F.lit(x)) for x in k))
+    j = lambda *k: F.coalesce(*(F.try_element_at("_json", F.lit(x)) for x in k))
+    m = F.col("_m")
     steps = (
         (_FAILED, "ssh_auth_fail", "ssh_login", "failed", 1, 2, 3), (_INVALID, "ssh_invalid_user", "ssh_login_invalid_user", "failed", 1, 2, 3),
         (_ACCEPTED, "ssh_auth_success", "ssh_login", "success", 1, 2, 3), (_DISCONNECT, "ssh_disconnect", "ssh_disconnect", "closed", 1, 2, 3),
         (_PAM, "ssh_auth_fail", "pam_auth", "failed", 2, 1, 0), (_SUDO_FAIL, "sudo_auth_fail", "sudo_auth", "failed", 2, 1, 0), (_SUDO, "sudo_command", "sudo_exec", "success", 1, 0, 0),
     )
 
-    def first(value, other: Column) -> Column:
-        out = None
-        for step in steps:
-            x = value(step)
-            out = F.when(m.rlike(step[0]), x) if out is None else out.when(m.rlike(step[0]), x)
-        return out.otherwise(other)
-
+    head = head.withColumn("_s", _which(m, [s[0] for s in steps]))
+    first = lambda value, other: _by(F.col("_s"), [value(s) for s in steps], other)
     none = F.lit(None).cast("string")
     take = lambda i: (lambda s: group(m, s[0], s[i]) if s[i] else none)
     k = F.col("_kind")
@@ -142,19 +178,15 @@ def parse_auth(lines: DataFrame, default_year: int) -> DataFrame:
     v = F.substring(F.regexp_replace("value", "[\r\n]+$", ""), 1, MAX_LINE)
     head = lines.withColumn("_m", F.trim(F.coalesce(group(v, _AUTH, 6), F.lit("")))).where(v.rlike(_AUTH))
     m = F.col("_m")
-
-    def first(value, other: Column) -> Column:
-        out = None
-        for step in AUTH_ACTIONS:
-            out = F.when(m.rlike(step[0]), value(step)) if out is None else out.when(m.rlike(step[0]), value(step))
-        return out.otherwise(other)
-
+    head = head.withColumn("_s", _which(m, [s[0] for s in AUTH_ACTIONS]))
+    first = lambda value, other: _by(F.col("_s"), [value(s) for s in AUTH_ACTIONS], other)
     none = F.lit(None).cast("string")
     user = first(lambda s: F.coalesce(group(m, s[0], s[3]), group(m, s[0], 1) if s[1] == "PAM_SESSION_OPEN" else none), none)
     return head.select(
         *lines.columns, parse_time(group(v, _AUTH, 2), default_year).alias("timestamp"), F.lit("auth").alias("source_type"), F.lit("auth").alias("facility"),
         first(lambda s: F.lit(s[2]), F.lit("INFO")).alias("severity"), group(v, _AUTH, 3).alias("host"), group(v, _AUTH, 4).alias("process"), group(v, _AUTH, 5).cast("int").alias("pid"),
         user.alias("user"), first(lambda s: group(m, s[0], s[4]) if s[4] else none, none).alias("client_ip"), first(lambda s: F.lit(s[1]), F.lit("AUTH_EVENT")).alias("action"), m.alias("message"),
+        truncate_raw(v).alias("raw_log"), _auth_metadata(m, first, none).alias("metadata"),
     )
 
 
@@ -218,4 +250,4 @@ def parse_jsonl(lines: DataFrame, default_year: int) -> DataFrame:
 
 
 PARSERS = {"auth": parse_auth, "syslog": parse_syslog, "nginx": parse_nginx, "jsonl": parse_jsonl}
-__all__ = ["PARSERS", "detect_format", "epoch_us", "parse_auth", "parse_jsonl", "parse_nginx", "parse_security", "parse_syslog", "read_lines"]
+__all__ = ["PARSERS", "detect_format", "epoch_us", "read_events", "parse_auth", "parse_jsonl", "parse_nginx", "parse_security", "parse_syslog", "read_lines"]
