@@ -46,6 +46,8 @@ from .textkernel import U64, Words, mix, slices, windows, words
 PART, BLOCK, SKETCH = 256, 512, 128
 #: Salts of joins on a family, so that a large one is dealt over tasks.
 SALTS = 32
+#: A set with more than one in so many rows is broadcast to them.
+HOT = 1024
 
 
 class Bands:
@@ -418,8 +420,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction | str =
     linked = _joined(linked, linked.groupBy("leader").agg(F.min("least").alias("component_id"))).select("set_key", "component_id", F.lit(True).alias("in"))
     by_set = least.join(linked, "set_key", "left").select("set_key", F.when(F.col("in"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     empty = profiles.where("set_key is null").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = profiles.where("set_key is not null").join(by_set, "set_key").select("doc_id", "tag", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(empty)
+    # a set of many rows (there are fewer than HOT such sets) is sent to its rows, not they to one task
+    filled = profiles.where("set_key is not null")
+    hot = filled.groupBy("set_key").count().where(F.col("count") * HOT > profiles.count()).select("set_key")
+    by_set = materialize(by_set.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "set_key", "left"), "by_set")
+    few = F.broadcast(by_set.where("hot").select("set_key", "component_id"))
+    rest = filled.join(few.select("set_key"), "set_key", "left_anti").join(by_set.where("hot is null").select("set_key", "component_id"), "set_key")
+    columns = ("doc_id", "tag", F.col("n").alias("n_shingles"), "component_id")
+    return filled.join(few, "set_key").select(*columns).union(rest.select(*columns)).union(empty)
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: Fraction | str = "0.8") -> DataFrame:
