@@ -377,3 +377,57 @@ def test_bipartite_ids_with_bars(ready):
     assert {r.average for r in graph.circular_transfers(edges(ready, ("A", "B", 1), ("B", "C", 2), ("C", "A", 3)), 2, 3).collect()} == {2.0}
     with pytest.raises(ValueError):
         graph.circular_transfers(edges(ready, ("A", "B", 1)), 3, 2)
+
+
+def test_repeated_structured_data(ready):
+    line = '<34>1 2026-03-04T09:10:11Z h app 7 ID [a k="1" k="2" j="3"][b x="y"][a k="4"] text'
+    r = logs.parse_syslog(ready.createDataFrame([(line,), (None,), ("",)], "value string"), 2026).collect()
+    assert len(r) == 1 and r[0].structured == {"a": {"k": "4"}, "b": {"x": "y"}}
+
+
+def test_times(ready):
+    cases = [("Mar  4 09:10:11", "2026-03-04 09:10:11"), ("2026/03/04 09:10:11", "2026-03-04 09:10:11"), ("04/Mar/2026:09:10:11 +0000", "2026-03-04 09:10:11"), ("1772615411", "2026-03-04 09:10:11"), ("", None), (None, None), ("never", None), ("1" * 300, None)]
+    df = ready.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = df.orderBy("i").select(F.date_format(N.parse_time(F.col("t"), 2026), "yyyy-MM-dd HH:mm:ss").alias("at")).collect()
+    assert [r["at"] for r in got] == [at for _, at in cases]
+
+
+def test_verdict_and_first_events(ready):
+    kinds = "source_file string, line_number long, kind string, severity string"
+    r = timeline.integrity_verdict(ready.createDataFrame([("a", 1, "J", "CRITICAL"), ("a", 2, "G", "MEDIUM"), ("b", 1, "G", "MEDIUM")], kinds)).first()
+    assert (r.status, r.n_anomalies, r.n_files, r.files, r.by_severity, r.by_kind) == ("COMPROMISED", 3, 2, ["a", "b"], {"CRITICAL": 1, "MEDIUM": 2}, {"J": 1, "G": 2})
+    r = timeline.integrity_verdict(ready.createDataFrame([], kinds)).first()
+    assert (r.status, r.n_anomalies, r.n_files, r.files, r.by_kind) == ("CLEAN", 0, 0, [], {})
+    rows = [(f"e{i:02}", 5, "x", "SSH_LOGIN_FAILED") for i in range(25)] + [("a", 5, "x", "SSH_LOGIN_SUCCESS"), ("b", 1, "y", "INVALID_USER"), ("c", 1, None, "INVALID_USER")]
+    got = timeline.brute_force_chains(ready.createDataFrame(rows, "event_id string, us long, client_ip string, action string")).collect()
+    assert [(r.client_ip, r.failures, r.chain, r.severity, r.first_events) for r in got] == [("x", 25, "BRUTE_FORCE_SUCCESS", "CRITICAL", [f"e{i:02}" for i in range(20)])]
+
+
+def test_carved_files_are_written(ready, tmp_path):
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000000010000000108060000001F15C4890000000049454E44AE426082")
+    blobs = ready.createDataFrame([("../x", b"\0" * 5 + png + bytes(range(256))), ("y", None), ("z", b"")], "path string, content binary")
+    got = binary.write_carved(binary.carve(blobs, keep=True), f"file://{tmp_path}/out").collect()
+    assert [(r.path, r.offset, r.format) for r in got] == [("../x", 5, "PNG")]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == [got[0].file] and (tmp_path / "out" / got[0].file).read_bytes() == png
+    carved = binary.carve(blobs)
+    assert [r.note for r in binary.carve_alerts(carved).collect()] == ["hidden payload"]
+    report = reports.carving_report(carved, binary.carve_alerts(carved))
+    assert "| ../x | 0x00000005 |" in report and "hidden payload, score 0.9" in report
+    graph_text = reports.entropy_graph(binary.block_entropy(binary.blocks(blobs.where("path = '../x'"), 4)))
+    assert graph_text.startswith("77 blocks") and len(graph_text.splitlines()) == 41
+
+
+def test_tables_counts_and_paths(ready, tmp_path):
+    df = ready.createDataFrame([(1, "a"), (2, None)], "i int, text string")
+    assert reports.format_table(df.orderBy("i")) == "| i | text |\n|---|------|\n| 1 | a    |\n| 2 | NULL |"
+    assert reports.format_table(df.where("i = 0"), style="ascii").count("\n") == 3
+    assert reports.write_jsonl(df, f"file://{tmp_path}/j") == 2
+    (tmp_path / "f").write_text("x")
+    assert custody.safe_path(str(tmp_path / "f"), str(tmp_path)) == str((tmp_path / "f").resolve())
+    for bad in (str(tmp_path / ".." / "f"), str(tmp_path)):
+        with pytest.raises(ValueError):
+            custody.safe_path(bad, str(tmp_path))
+    masks = ready.createDataFrame([("Ana", "at /a/b/c.py <<<INPUT_USUARIO x\ny INPUT_USUARIO>>>"), (None, None)], "name string, m string")
+    assert [tuple(r) for r in masks.select(N.mask_name(F.col("name")), N.hide_paths(F.col("m"))).collect()] == [("An***", "at [RUTA] [TEXTO_DELIMITADO]"), ("Anónimo", "")]
+    none = ready.createDataFrame([], "id string, rank double, betweenness double, risk double")
+    assert tuple(graph.centrality_summary(none, none, none).first()) == (0.0, 0.0, 0.0)

@@ -54,13 +54,21 @@ def epoch_us(value: Column) -> Column:
     return F.round(scaled).cast("long")
 
 
-def parse_time(text: Column, default_year: int) -> Column:
-    """Epoch numbers, BSD, ISO 8601, and nginx access or error times; null if none fits."""
-    one = F.regexp_replace(F.trim(text), "\\s+", " ")
-    tries = [F.try_to_timestamp(F.concat(F.lit(f"{default_year} "), one), F.lit(f)) for f in ("yyyy MMM d HH:mm:ss", "yyyy MMM d HH:mm:ss.SSSSSS")]
-    tries += [F.try_to_timestamp(one, F.lit(f)) for f in ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy/MM/dd HH:mm:ss")]
-    number = F.when(one.rlike("^-?[0-9]+(\\.[0-9]+)?$"), F.timestamp_micros(epoch_us(one.cast("double"))))
-    return F.when((one == "") | (F.length(text) > 256), F.lit(None).cast("timestamp")).otherwise(F.coalesce(number, *tries, F.try_to_timestamp(one)))
+def parse_time(text: Column, default_year: int | Column) -> Column:
+    """Epoch numbers, BSD (which take the default year), ISO 8601, and nginx access or error times; null if none fits.
+
+    The text is bound once, in an array of one, so that what it is taken from isn't worked out for every format.
+    """
+    year = F.lit(default_year).cast("string") if isinstance(default_year, int) else default_year.cast("string")
+
+    def tried(one: Column) -> Column:
+        tries = [F.try_to_timestamp(F.concat(year, F.lit(" "), one), F.lit(f)) for f in ("yyyy MMM d HH:mm:ss", "yyyy MMM d HH:mm:ss.SSSSSS")]
+        tries += [F.try_to_timestamp(one, F.lit(f)) for f in ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy/MM/dd HH:mm:ss")]
+        number = F.when(one.rlike("^-?[0-9]+(\\.[0-9]+)?$"), F.timestamp_micros(epoch_us(one.cast("double"))))
+        return F.when(one == "", F.lit(None).cast("timestamp")).otherwise(F.coalesce(number, *tries, F.try_to_timestamp(one)))
+
+    short = F.transform(F.array(text), lambda t: F.when(F.length(t) <= 256, F.regexp_replace(F.trim(t), "\\s+", " ")))
+    return F.get(F.transform(short, tried), F.lit(0))
 
 
 def iso_text(us: Column) -> Column:
@@ -87,6 +95,22 @@ def xml_escape(text: Column) -> Column:
     return F.regexp_replace(out, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
 
 
+# What stands for hidden parts of messages shown to users.
+_PATH, _PROMPT = r"/(?:[a-zA-Z0-9_.-]+/)+[a-zA-Z0-9_.-]+", r"(?s)<<<INPUT_USUARIO.*?INPUT_USUARIO>>>"
+PATH_MARK, PROMPT_MARK, NO_NAME = "[RUTA]", "[TEXTO_DELIMITADO]", "Anónimo"
+
+
+def hide_paths(message: Column) -> Column:
+    """Absolute paths, then delimited prompt blocks, give way to marks; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(message, F.lit("")), _PATH, PATH_MARK), _PROMPT, PROMPT_MARK)
+
+
+def mask_name(name: Column) -> Column:
+    """The first two characters and three stars; null and empty names have a name of their own."""
+    return F.when(F.coalesce(name, F.lit("")) == "", NO_NAME).otherwise(F.concat(F.substring(name, 1, 2), F.lit("***")))
+
+
+# The patterns of secrets and their marks.
 def sanitize(text: Column) -> Column:
     """Private keys, bearer tokens, API keys and secret assignments give way to marks, in that order."""
     out = F.regexp_replace(text, r"(?s)-----BEGIN\s+(?:[A-Z\s]+)?PRIVATE\s+KEY-----.*?-----END\s+(?:[A-Z\s]+)?PRIVATE\s+KEY-----", "[REDACTED_PRIVATE_KEY]")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import os
 import uuid
 from datetime import UTC, datetime
 
@@ -12,6 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def safe_path(target: str, base: str | None = None) -> str:
+    """The real path of a regular local file; raises ValueError where it leaves the base or isn't a file."""
+    real = os.path.realpath(target)
+    if base is not None and os.path.commonpath([os.path.realpath(base), real]) != os.path.realpath(base):
+        raise ValueError(f"{target} is outside {base}")
+    if not os.path.exists(real):
+        raise FileNotFoundError(real)
+    if not os.path.isfile(real):
+        raise ValueError(f"{real} is not a regular file")
+    return real
+
+
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
@@ -32,14 +45,15 @@ def leaf_hash(data: Column) -> Column:
 
 
 def number_leaves(leaves: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """idx from 0 by order, without one task for all: ranges are counted, then numbered inside."""
+    """idx from 0 by order, ties by hash (equal rows are alike), without one task for all: ranges are counted, then numbered inside."""
     bounds = leaves.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     cuts = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array(F.lit(0)).cast("array<bigint>")
     part = F.size(F.filter(cuts, lambda b: b < F.col(order)))
     keyed = leaves.withColumn("part", part)
     sizes = keyed.groupBy("part").agg(F.count("*").alias("n"))
     base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    ties = [c for c in ("hash",) if c in leaves.columns]
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order, *ties)) - 1
     return keyed.withColumn("i", inside).join(base, "part").select("*", (F.col("base") + F.col("i")).cast("long").alias("idx")).drop("part", "i", "base")
 
 

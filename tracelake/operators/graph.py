@@ -377,6 +377,13 @@ def composite_risk(nodes: DataFrame, ranks: DataFrame, between: DataFrame, degre
     return joined.crossJoin(F.broadcast(top)).select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4).alias("risk"))  # one row
 
 
+def centrality_summary(ranks: DataFrame, between: DataFrame, risks: DataFrame) -> DataFrame:
+    """One row: average rank and betweenness and the greatest risk; 0 where there are no nodes."""
+    one = lambda df, f, c, n: df.agg(F.coalesce(f(c), F.lit(0.0)).alias(n))
+    parts = (one(ranks, F.avg, "rank", "avg_pagerank"), one(between, F.avg, "betweenness", "avg_betweenness"), one(risks, F.max, "risk", "max_risk"))
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # a row each
+
+
 def redact(nodes: DataFrame) -> DataFrame:
     """Nodes with masked labels (by entity type) and masked personal attributes; ids stay, as edges need them.
 

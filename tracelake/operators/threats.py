@@ -159,7 +159,7 @@ def alerts(matched: DataFrame) -> DataFrame:
     tier = F.when((at >= 0.85) | any_of("CRITICAL"), "CRITICAL").when((at >= 0.70) | any_of("HIGH"), "HIGH").when((at >= 0.50) | any_of("MEDIUM"), "MEDIUM").otherwise("LOW")
     head = F.when(F.size("matches") > 0, F.concat(F.lit("Security Alert: "), F.col("top.rule"), F.lit(" detected"))).otherwise("Statistical Anomaly Detected")
     summary = F.concat(head, F.lit(" on entity '"), F.col("entity"), F.lit("' (Threat Score: "), F.format_string("%.2f", at), F.lit(")"))
-    return scored.select("k", sanitize(F.col("entity")).alias("entity"), "window_us", "score", tier.alias("severity"), F.col("top.rule").alias("rule"), sanitize(summary).alias("summary"))
+    return scored.select("k", sanitize(F.col("entity")).alias("entity"), "window_us", "score", tier.alias("severity"), F.col("top.rule").alias("rule"), F.transform("matches", lambda m: m["rule"]).alias("rules"), sanitize(summary).alias("summary"))
 
 
 def cooldown(found: DataFrame, seconds: int = 300) -> DataFrame:

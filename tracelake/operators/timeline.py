@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.normalize import SEVERITY_RANK, rank_of
 
+#: Events of a chain that are listed.
+CHAIN_EVENTS = 20
 FAILURES = ("SSH_LOGIN_FAILED", "SSH_LOGIN_FAILED_INVALID_USER", "INVALID_USER")
 
 
@@ -89,13 +91,41 @@ def integrity_summary(anomalies: DataFrame) -> DataFrame:
     return anomalies.groupBy("kind", "severity").agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("n_files"))
 
 
+def integrity_verdict(anomalies: DataFrame) -> DataFrame:
+    """One row: COMPROMISED or CLEAN, how many anomalies and files, the files in order, counts by severity and kind.
+
+    Anomalies are counted by (file, kind, severity) first, so what meets in the last task is a row
+    for each of those. No anomalies: CLEAN, zeros, an empty array and empty maps.
+    """
+    few = anomalies.groupBy("source_file", "kind", "severity").agg(F.count("*").alias("n"))
+
+    def counts(of: str) -> Column:
+        pairs = F.collect_list(F.struct(F.col(of), F.col("n")))
+        keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p[of])))
+        total = lambda k: F.aggregate(F.filter(pairs, lambda p: p[of] == k), F.lit(0).cast("long"), lambda a, p: a + p["n"])
+        return F.map_from_arrays(keys, F.transform(keys, total))
+
+    files = F.array_sort(F.collect_set("source_file"))
+    return few.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_anomalies"), files.alias("files"), counts("severity").alias("by_severity"), counts("kind").alias("by_kind")).select(
+        F.when(F.col("n_anomalies") > 0, "COMPROMISED").otherwise("CLEAN").alias("status"), "n_anomalies", F.size("files").cast("long").alias("n_files"), "files", "by_severity", "by_kind"
+    )
+
+
 def brute_force_chains(events: DataFrame, min_failures: int = 3) -> DataFrame:
-    """Per address: enough failures; whether any login succeeded (in any order)."""
+    """Per address: enough failures; whether any login succeeded (in any order); the ids of its first events.
+
+    Events without an address are left out. Ties in time go by failures first, then by event id.
+    """
     fail = F.col("action").isin(*FAILURES)
     ok = F.col("action") == "SSH_LOGIN_SUCCESS"
     own = events.where(F.col("client_ip").isNotNull() & (fail | ok))
     got = own.groupBy("client_ip").agg(F.count_if(fail).alias("failures"), F.count_if(ok).alias("successes"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n_events"))
-    return got.where(F.col("failures") >= min_failures).withColumn("chain", F.when(F.col("successes") > 0, "BRUTE_FORCE_SUCCESS").otherwise("BRUTE_FORCE_ATTEMPT")).withColumn("severity", F.when(F.col("successes") > 0, "CRITICAL").otherwise("HIGH"))
+    # Spark cuts each task's rows to the first ones before they are dealt by address
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("client_ip").orderBy("us", ok, "event_id"))).where(F.col("place") <= CHAIN_EVENTS)
+    events = first.groupBy("client_ip").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "event_id"))), lambda e: e["event_id"]).alias("first_events"))
+    kind = F.when(F.col("successes") > 0, "BRUTE_FORCE_SUCCESS").otherwise("BRUTE_FORCE_SCAN")
+    severity = F.when(F.col("successes") > 0, "CRITICAL").otherwise("WARNING")
+    return got.where(F.col("failures") >= min_failures).withColumn("chain", kind).withColumn("severity", severity).join(events, "client_ip")
 
 
 def escalation_chains(events: DataFrame, gap_s: int = 300) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import normalize as N
 from tracelake.operators import binary, casesql, custody, graph, threats, timeline
 from tracelake.plans import inputs as I
+from tracelake.sinks import reports
 from tracelake.sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,6 +350,27 @@ def alerts_cooldown(spark, d):
     return threats.cooldown(threats.alerts(matched), 8 * I.STEP_S).select("k", "entity", "score", "severity", "rule")
 
 
+def _alerts(spark, d):
+    return threats.alerts(threats.evaluate_rules(_rule_counts(spark, d)).withColumn("anomaly", F.lit(0.0)))
+
+
+_ALERTS = f"""{_COUNTS}, m AS ({_MATCHES}), x AS (SELECT m.k, m.entity, round(max(confidence), 4) AS score, max({{'c': confidence, 'r': rule}}).r AS rule, bool_or(severity = 'CRITICAL') AS c, bool_or(severity = 'HIGH') AS h,
+ string_agg(rule, ',' ORDER BY list_position(['ssh_brute_force', 'password_spraying', 'data_exfiltration', 'privilege_escalation', 'port_scan'], rule)) AS rules FROM m GROUP BY m.k, m.entity),
+al AS (SELECT k, entity, score, rule, rules, first_us + k * {I.STEP_S}000000 AS us, CASE WHEN c OR score >= 0.85 THEN 'CRITICAL' WHEN h OR score >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+ 'Security Alert: ' || rule || ' detected on entity ' || chr(39) || entity || chr(39) || ' (Threat Score: ' || round(score::DECIMAL(6, 4), 2)::DECIMAL(6, 2) || ')' AS summary FROM x, f)"""
+
+
+@query(f"WITH {_ALERTS} SELECT k, entity, score, severity, rule, rules, summary FROM al")
+def alerts_summary(spark, d):
+    return _alerts(spark, d).select("k", "entity", "score", "severity", "rule", F.array_join("rules", ",").alias("rules"), "summary")
+
+
+@query(f"""WITH {_ALERTS} SELECT k, entity, 'CEF:0|tracelake|detector|1.0|' || severity || '|' || summary || '|' || floor(score * 10)::INT || '|msg=' || summary || ' src=' || entity || ' cat=intrusion cs1Label=Rules cs1=' || rules || ' cfp1Label=ThreatScore cfp1='
+|| round(score::DECIMAL(6, 4), 2)::DECIMAL(6, 2) || ' rt=' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 <> 0 THEN '.' || lpad((us % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00' AS line FROM al""")
+def alerts_cef(spark, d):
+    return _alerts(spark, d).select("k", "entity", reports.cef().alias("line"))
+
+
 @query(f"WITH {I.EVENTS_SQL} SELECT event_id, count(*) OVER (PARTITION BY \"user\" ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS n_buffered FROM ev")
 def rolling_buffer(spark, d):
     return threats.rolling_buffer(I.log_events(spark, d), "user", 21600).select("event_id", "n_buffered")
@@ -426,11 +448,20 @@ def integrity_summary(spark, d):
     return timeline.integrity_summary(timeline.clock_anomalies(I.timeline_events(spark, d)))
 
 
-@query(f"""WITH {I.TIMELINE_SQL}, x AS (SELECT client_ip, count(*) FILTER (action <> 'SSH_LOGIN_SUCCESS') AS failures, count(*) FILTER (action = 'SSH_LOGIN_SUCCESS') AS successes, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events
-FROM tl WHERE action IN ('SSH_LOGIN_FAILED', 'SSH_LOGIN_FAILED_INVALID_USER', 'INVALID_USER', 'SSH_LOGIN_SUCCESS') GROUP BY client_ip)
-SELECT *, CASE WHEN successes > 0 THEN 'BRUTE_FORCE_SUCCESS' ELSE 'BRUTE_FORCE_ATTEMPT' END AS chain, CASE WHEN successes > 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM x WHERE failures >= 3""")
+@query(f"""WITH {I.TIMELINE_SQL}, x AS (SELECT source_file, us - lag(us) OVER (PARTITION BY source_file ORDER BY line_number) AS delta FROM tl), a AS (SELECT source_file, delta < 0 AS j FROM x WHERE delta < 0 OR delta > 3600000000)
+SELECT CASE WHEN count(*) > 0 THEN 'COMPROMISED' ELSE 'CLEAN' END AS status, count(*) AS n_anomalies, count(DISTINCT source_file) AS n_files, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS files,
+count(*) FILTER (j) AS critical, count(*) FILTER (NOT j) AS medium, count(*) FILTER (j) AS jumps, count(*) FILTER (NOT j) AS gaps FROM a""")
+def integrity_verdict(spark, d):
+    got = timeline.integrity_verdict(timeline.clock_anomalies(I.timeline_events(spark, d)))
+    of = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0)).cast("long")
+    return got.select("status", "n_anomalies", "n_files", F.array_join("files", ",").alias("files"), of("by_severity", "CRITICAL").alias("critical"), of("by_severity", "MEDIUM").alias("medium"), of("by_kind", "NEGATIVE_JUMP").alias("jumps"), of("by_kind", "ACTIVITY_GAP").alias("gaps"))
+
+
+@query(f"""WITH {I.TIMELINE_SQL}, own AS (SELECT * FROM tl WHERE action IN ('SSH_LOGIN_FAILED', 'SSH_LOGIN_FAILED_INVALID_USER', 'INVALID_USER', 'SSH_LOGIN_SUCCESS')), x AS (SELECT client_ip, count(*) FILTER (action <> 'SSH_LOGIN_SUCCESS') AS failures, count(*) FILTER (action = 'SSH_LOGIN_SUCCESS') AS successes, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events
+FROM own GROUP BY client_ip), f AS (SELECT client_ip, string_agg(event_id, ',' ORDER BY place) AS first_events FROM (SELECT client_ip, event_id, row_number() OVER (PARTITION BY client_ip ORDER BY us, action = 'SSH_LOGIN_SUCCESS', event_id) AS place FROM own) WHERE place <= 20 GROUP BY client_ip)
+SELECT x.*, CASE WHEN successes > 0 THEN 'BRUTE_FORCE_SUCCESS' ELSE 'BRUTE_FORCE_SCAN' END AS chain, CASE WHEN successes > 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, first_events FROM x JOIN f USING (client_ip) WHERE failures >= 3""")
 def brute_force_chains(spark, d):
-    return timeline.brute_force_chains(I.timeline_events(spark, d))
+    return timeline.brute_force_chains(I.timeline_events(spark, d)).withColumn("first_events", F.array_join("first_events", ","))
 
 
 @query(f"""WITH {I.TIMELINE_SQL} SELECT a."user", a.event_id AS login_id, a.us AS login_us, count(*) AS n_sudo, max(b.us) AS end_us FROM tl a JOIN tl b ON a."user" = b."user" AND b.us >= a.us AND b.us - a.us <= 21600000000
@@ -540,6 +571,54 @@ def secret_sanitize(spark, d):
     return I.table(spark, d, "documents").select("doc_id", N.sanitize(F.col("text")).alias("clean"))
 
 
+@query("SELECT c_custkey, left(c_name, 2) || '***' AS name, regexp_replace('no /srv/' || c_custkey || '/' || c_mktsegment || ' here', '/(?:[a-zA-Z0-9_.-]+/)+[a-zA-Z0-9_.-]+', '[RUTA]', 'g') AS message FROM customer")
+def shown_masks(spark, d):
+    message = F.concat(F.lit("no /srv/"), F.col("c_custkey").cast("string"), F.lit("/"), "c_mktsegment", F.lit(" here"))
+    return I.table(spark, d, "customer").select("c_custkey", N.mask_name(F.col("c_name")).alias("name"), N.hide_paths(message).alias("message"))
+
+
+def _order_time(pattern: str):
+    return F.date_format(F.col("o_orderdate").cast("timestamp"), pattern)
+
+
+_KEY = "o_orderkey::VARCHAR"
+
+
+@query(f"""SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000)::BIGINT AS second, CASE WHEN o_orderkey % 2 = 0 THEN 'local4' WHEN o_orderkey % 3 = 0 THEN 'auth' END AS facility, CASE WHEN o_orderkey % 2 = 0 THEN 'NOTICE' WHEN o_orderkey % 3 = 0 THEN 'CRITICAL' ELSE 'INFO' END AS severity,
+'h' || (o_orderkey % 5) AS host, 'app' AS process, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 1000)::INT ELSE 77 END AS pid, 'order ' || {_KEY} AS message, CASE WHEN o_orderkey % 2 = 0 THEN {_KEY} END AS key FROM orders""")
+def syslog_parse(spark, d):
+    key = F.col("o_orderkey").cast("string")
+    host = F.concat(F.lit("h"), (F.col("o_orderkey") % 5).cast("string"))
+    pid = (F.col("o_orderkey") % 1000).cast("string")
+    new = F.concat(F.lit("<165>1 "), _order_time("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), host, F.lit(" app "), pid, F.lit(' ID1 [sd@1 k="old" k="'), key, F.lit('"] order '), key)
+    pri = F.when(F.col("o_orderkey") % 3 == 0, "<34>").otherwise("")
+    old = F.concat(pri, _order_time("MMM d HH:mm:ss"), F.lit(" "), host, F.lit(" app[77]: order "), key)
+    orders = I.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.when(F.col("o_orderkey") % 2 == 0, new).otherwise(old).alias("value"))
+    got = logs.parse_syslog(orders, F.col("y"))
+    return got.select("o_orderkey", F.unix_seconds("timestamp").alias("second"), "facility", "severity", "host", "process", "pid", "message", F.try_element_at(F.try_element_at("structured", F.lit("sd@1")), F.lit("k")).alias("key"))
+
+
+@query(f"""SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000)::BIGINT AS second, CASE WHEN o_orderkey % 2 = 0 THEN 'ERROR' ELSE 'WARNING' END AS severity, CASE WHEN o_orderkey % 2 = 0 THEN 'NGINX_ERROR_ERROR' ELSE 'NGINX_ERROR_WARN' END AS action, 12 AS pid,
+'10.0.0.' || (o_custkey % 7) AS client_ip, CASE WHEN o_orderkey % 3 = 0 THEN 'shop' || (o_orderkey % 4) ELSE 'srv' END AS host, 'upstream ' || {_KEY} AS message FROM orders""")
+def nginx_error_parse(spark, d):
+    level = F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("warn")
+    host = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(', request: "GET / HTTP/1.1", host: "shop'), (F.col("o_orderkey") % 4).cast("string"), F.lit('"'))).otherwise("")
+    line = F.concat(_order_time("yyyy/MM/dd HH:mm:ss"), F.lit(" ["), level, F.lit("] 12#0: *3 upstream "), F.col("o_orderkey").cast("string"), F.lit(", client: 10.0.0."), (F.col("o_custkey") % 7).cast("string"), F.lit(", server: srv"), host)
+    got = logs.parse_nginx(I.table(spark, d, "orders").select("o_orderkey", line.alias("value")), 2024)
+    return got.select("o_orderkey", F.unix_seconds("timestamp").alias("second"), "severity", "action", "pid", "client_ip", "host", "message")
+
+
+@query(f"""SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000)::BIGINT AS second, CASE WHEN o_orderkey % 3 = 0 THEN 'WARNING' ELSE 'INFO' END AS severity, 'u' || o_custkey AS "user", o_orderstatus AS action, 'order ' || {_KEY} AS message, o_orderpriority AS priority FROM orders""")
+def jsonl_parse(spark, d):
+    o = F.col("o_orderkey")
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    common = (F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("username"), F.col("o_orderstatus").alias("event_type"), F.col("o_orderpriority").alias("priority"))
+    text = F.concat(F.lit("order "), o.cast("string"))
+    line = F.when(o % 3 == 0, F.to_json(F.struct((at * 1000).alias("ts"), F.lit("warn").alias("level"), text.alias("msg"), *common))).otherwise(F.to_json(F.struct(_order_time("yyyy-MM-dd'T'HH:mm:ss'Z'").alias("@timestamp"), text.alias("message"), *common)))
+    got = logs.parse_jsonl(I.table(spark, d, "orders").select("o_orderkey", line.alias("value")), 2024)
+    return got.select("o_orderkey", F.unix_seconds("timestamp").alias("second"), "severity", "user", "action", "message", F.try_element_at("metadata", F.lit("priority")).alias("priority"))
+
+
 # custody
 
 

@@ -4,21 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracelake.functions.normalize import iso_text, xml_escape
 
 
-def write_jsonl(events: DataFrame, path: str) -> None:
-    """One JSON object a line; times as ISO text."""
+def write_jsonl(events: DataFrame, path: str) -> int:
+    """One JSON object a line, times as ISO text; returns how many, counted as they are written."""
     rows = events.withColumn("timestamp", iso_text(F.col("us"))).drop("us") if "us" in events.columns else events
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-
-
-def cef(severity: Column, name: Column, score: Column, entity: Column) -> Column:
-    """A CEF line; its severity is ten times the score, cut to an integer."""
-    return F.format_string("CEF:0|tracelake|detector|1.0|%s|%s|%d|entity=%s", severity, name, F.floor(score * 10).cast("int"), entity)
+    written = Observation()
+    rows.select(F.to_json(F.struct("*")).alias("value")).observe(written, F.count(F.lit(1)).alias("n")).write.text(path)
+    return written.get["n"]
+
+
+def cef() -> Column:
+    """A CEF line of an alert; its number is ten times the score, cut; without a rule NONE stands."""
+    rules = F.when(F.size("rules") > 0, F.array_join("rules", ",")).otherwise("NONE")
+    return F.concat(
+        F.lit("CEF:0|tracelake|detector|1.0|"), "severity", F.lit("|"), "summary", F.lit("|"), F.floor(F.col("score") * 10).cast("string"), F.lit("|msg="), "summary", F.lit(" src="), "entity",
+        F.lit(" cat=intrusion cs1Label=Rules cs1="), rules, F.lit(" cfp1Label=ThreatScore cfp1="), F.format_string("%.2f", "score"), F.lit(" rt="), iso_text(F.col("window_us")),
+    )
+
+
+def format_table(rows: DataFrame, most: int = 100, style: str = "markdown") -> str:
+    """At most so many rows as a Markdown or boxed text table; null is NULL."""
+    table = [["NULL" if v is None else str(v) for v in r] for r in rows.limit(most).collect()]
+    width = [max(len(x) for x in column) for column in zip(rows.columns, *table, strict=True)]
+    line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, width, strict=True)) + " |"
+    if style == "markdown":
+        return "\n".join([line(rows.columns), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, table)])
+    edge = "+" + "+".join("-" * (w + 2) for w in width) + "+"
+    return "\n".join([edge, line(rows.columns), edge, *map(line, table), edge])
+
+
+def entropy_graph(blocks: DataFrame, width: int = 60, most: int = 40) -> str:
+    """Bars of one blob's block entropies, at most so many, evenly spaced; only those reach the driver."""
+    n, mean, low, high = blocks.agg(F.count("*"), F.avg("entropy"), F.min("entropy"), F.max("entropy")).first()
+    if not n:
+        return "no blocks"
+    shown = blocks if n <= most else blocks.where(F.col("block").isin([i * n // most for i in range(most)]))
+    bar = lambda e: ("#" * int(e / 8 * width)).ljust(width, ".")
+    rows = [f"0x{r['offset']:08X}  {r['entropy']:6.4f}  [{bar(r['entropy'])}] {r['class'][:4]}" for r in shown.orderBy("block").collect()]
+    return "\n".join([f"{n} blocks, mean {mean:.4f}, from {low:.4f} to {high:.4f}", *rows])
+
+
+def carving_report(carved: DataFrame, alerts: DataFrame, most: int = 500) -> str:
+    """Carved files and those that hide something, as Markdown; at most so many rows of each."""
+    row = "| {} | 0x{:08X} | {} | {} | {:.4f} | {} |".format
+    files = [row(r["path"], r["offset"], r["size"], r["format"], r["entropy"], "valid" if r["valid"] else "corrupt") for r in carved.orderBy("path", "offset").limit(most).collect()]
+    odd = [f"- {r['path']} at 0x{r['offset']:X} ({r['format']}): {r['note']}, score {r['anomaly']}" for r in alerts.orderBy("path", "offset").limit(most).collect()]
+    return "\n".join([f"# Carved files ({carved.count()})", "", "| blob | offset | bytes | format | entropy | structure |", "|-|-|-|-|-|-|", *files, "", "# Hidden content", "", *(odd or ["none"]), ""])
 
 
 def markdown_report(events: DataFrame, anomalies: DataFrame, chains: DataFrame, most: int = 500) -> str:

@@ -190,30 +190,33 @@ def parse_auth(lines: DataFrame, default_year: int) -> DataFrame:
     )
 
 
-def parse_syslog(lines: DataFrame, default_year: int) -> DataFrame:
+def parse_syslog(lines: DataFrame, default_year: int | Column) -> DataFrame:
     """RFC 5424, then RFC 3164 with or without a tag; other lines are dropped."""
-    v = F.col("value")
-    new, old = v.rlike(_SYSLOG5424), v.rlike(_SYSLOG3164)
+    v, new = F.col("value"), F.col("_new")
     pick = lambda a, b: F.when(new, group(v, _SYSLOG5424, a)).otherwise(group(v, _SYSLOG3164, b))
     dash = lambda c: F.nullif(c, F.lit("-"))
-    pri = pick(1, 1).cast("int")
-    return lines.where(new | old).select(
-        *lines.columns, parse_time(pick(3, 2), default_year).alias("timestamp"), F.lit("syslog").alias("source_type"), F.when(pri.isNotNull(), facility_of(pri)).alias("facility"),
-        F.coalesce(severity_of(pri), F.lit("INFO")).alias("severity"), dash(pick(4, 3)).alias("host"), dash(pick(5, 4)).alias("process"), F.when(dash(pick(6, 5)).rlike("^[0-9]{1,9}$"), dash(pick(6, 5)).cast("int")).alias("pid"),
-        F.trim(F.coalesce(pick(9, 6), F.lit(""))).alias("message"), F.when(new, structured_data(group(v, _SYSLOG5424, 8))).alias("structured"),
+    head = lines.withColumn("_new", F.when(v.rlike(_SYSLOG5424), True).when(v.rlike(_SYSLOG3164), False)).where("_new is not null")
+    # groups are taken here, once each; what follows uses them more than once
+    head = head.withColumns({"_pri": pick(1, 1).cast("int"), "_time": pick(3, 2), "_pid": dash(pick(6, 5)), "_sd": F.when(new, group(v, _SYSLOG5424, 8)), "_host": dash(pick(4, 3)), "_process": dash(pick(5, 4)), "_text": pick(9, 6)})
+    pri, pid = F.col("_pri"), F.col("_pid")
+    return head.select(
+        *lines.columns, parse_time(F.col("_time"), default_year).alias("timestamp"), F.lit("syslog").alias("source_type"), F.when(pri.isNotNull(), facility_of(pri)).alias("facility"),
+        F.coalesce(severity_of(pri), F.lit("INFO")).alias("severity"), F.col("_host").alias("host"), F.col("_process").alias("process"), F.when(pid.rlike("^[0-9]{1,9}$"), pid.cast("int")).alias("pid"),
+        F.trim(F.coalesce("_text", F.lit(""))).alias("message"), F.when(new, structured_data(F.col("_sd"))).alias("structured"),
     ).where("timestamp is not null")
 
 
 def structured_data(text: Column) -> Column:
-    """RFC 5424 structured data as a map of maps."""
+    """RFC 5424 structured data as a map of maps; of a repeated id or name the last counts."""
+    last = lambda pairs: F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["col1"] == p["col1"])))
     blocks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[[^\s=\]]+(?:\s+[^\]]+)?\]"), F.lit(0))
 
     def one(b: Column) -> Column:
         pairs = F.regexp_extract_all(b, F.lit(r'[^\s=\[]+="[^"]*"'), F.lit(0))
         params = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r'^([^=]+)="', 1), F.regexp_extract(p, r'="([^"]*)"$', 1)))
-        return F.struct(F.regexp_extract(b, r"^\[([^\s=\]]+)", 1), F.map_from_entries(params))
+        return F.struct(F.regexp_extract(b, r"^\[([^\s=\]]+)", 1), last(params))
 
-    return F.map_from_entries(F.transform(blocks, one))
+    return last(F.transform(blocks, one))
 
 
 def parse_nginx(lines: DataFrame, default_year: int) -> DataFrame:
@@ -249,5 +252,14 @@ def parse_jsonl(lines: DataFrame, default_year: int) -> DataFrame:
     ).where("timestamp is not null")
 
 
+def _file_parser(kind: str):
+    def read(spark: SparkSession, path: str, default_year: int) -> DataFrame:
+        return read_events(spark, path, default_year, kind)
+
+    read.__doc__ = f"Events of a file of {kind} lines."
+    return read
+
+
 PARSERS = {"auth": parse_auth, "syslog": parse_syslog, "nginx": parse_nginx, "jsonl": parse_jsonl}
-__all__ = ["PARSERS", "detect_format", "epoch_us", "read_events", "parse_auth", "parse_jsonl", "parse_nginx", "parse_security", "parse_syslog", "read_lines"]
+parse_auth_file, parse_syslog_file, parse_nginx_file, parse_jsonl_file = map(_file_parser, PARSERS)
+__all__ = ["PARSERS", "detect_format", "epoch_us", "parse_auth_file", "parse_jsonl_file", "parse_nginx_file", "parse_syslog_file", "read_events", "parse_auth", "parse_jsonl", "parse_nginx", "parse_security", "parse_syslog", "read_lines"]
