@@ -644,22 +644,22 @@ def merkle_root(spark, d):
     return custody.merkle_root(custody.merkle_levels(_leaves(spark, d)))
 
 
-def _proven(leaves, wanted: str):
+_PROOF_SQL = f"WITH {_tree_sql(24)} SELECT i AS idx, h AS leaf, (SELECT h FROM l24) AS proof_root, true AS valid FROM l0"
+
+
+@query(_PROOF_SQL)
+def merkle_proof(spark, d):
+    leaves = _leaves(spark, d).checkpoint()
     levels = custody.merkle_levels(leaves)
-    proofs = custody.merkle_proofs(levels, leaves.where(wanted).select("idx"))
+    proofs = custody.merkle_proofs(levels, leaves.select("idx"))
     root = custody.merkle_root(levels).first()["root"]
     got = proofs.select("idx", "leaf", custody.proof_root(F.col("leaf"), F.col("proof")).alias("proof_root"))
     return got.withColumn("valid", F.col("proof_root") == root)
 
 
-@query(f"WITH {_tree_sql(24)} SELECT i AS idx, h AS leaf, (SELECT h FROM l24) AS proof_root, true AS valid FROM l0 WHERE i % 97 = 0")
-def merkle_proof(spark, d):
-    return _proven(_leaves(spark, d).checkpoint(), "idx % 97 = 0")
-
-
-@query()
+@query(_PROOF_SQL)
 def merkle_proof_all(spark, d):
-    return _proven(_leaves(spark, d).checkpoint(), "true")
+    return merkle_proof(spark, d)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'MISSING' WHEN doc_id % 7 = 0 THEN 'TAMPERED' ELSE 'INTACT' END AS status FROM documents")
