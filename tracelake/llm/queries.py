@@ -1,8 +1,8 @@
-"""The contract queries op1 to op10 and their DuckDB SQL."""
+"""The contract queries op1 to op13 and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, token_counts, token_files
+from . import bpe, chat, filter_audit, fingerprints, mixing, ngram_join, periodic_runs, pii, quality, substring_dedup, token_counts, token_files, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,17 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_files": token_files.op10_token_files,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_topk": topk.op13_topk,
+}
+ORACLES = {
+    "op4_ngram_join": ngram_join.OP4_SQL,
+    "op5_source_mixing": mixing.OP5_SQL,
+    "op6_chat_formatting": chat.OP6_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_periodic_runs": periodic_runs.OP12_SQL,
+    "op13_topk": topk.OP13_SQL,
 }
-ORACLES = {"op4_ngram_join": ngram_join.OP4_SQL, "op5_source_mixing": mixing.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL, "op8_quality_rules": quality.OP8_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
