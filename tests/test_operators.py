@@ -93,7 +93,7 @@ def test_every_transfer_counts(ready, sf_dir):
     from tracelake.plans import registry
 
     e = {(r.source, r.target) for r in inputs.transfers(ready, sf_dir).collect() if r.source != r.target}
-    got = {(r.kind, r.hub): r.n_spokes for r in registry.QUERIES["smurfing_patterns_all"](ready, sf_dir).collect()}
+    got = {(r.kind, r.hub): r.n_spokes for r in registry.QUERIES["smurfing_patterns"](ready, sf_dir).collect()}
     want = {(kind, hub): n for kind, i in (("FAN_OUT", 0), ("FAN_IN", 1)) for hub in {x[i] for x in e} if (n := sum(x[i] == hub for x in e)) >= 4}
     assert got == want and max(want.values()) > 4
     lines = {(r.l_suppkey, r.l_partkey) for r in inputs.table(ready, sf_dir, "lineitem").select("l_suppkey", "l_partkey").collect()}
@@ -101,7 +101,7 @@ def test_every_transfer_counts(ready, sf_dir):
     for supplier, part in lines:
         parts.setdefault(f"S{supplier}", set()).add(part)
     weights = {(a, b): len(parts[a] & parts[b]) for a in parts for b in parts if a != b and parts[a] & parts[b]}
-    assert {(r.source, r.target): r.weight for r in registry.QUERIES["bipartite_projection_all"](ready, sf_dir).collect()} == weights
+    assert {(r.source, r.target): r.weight for r in registry.QUERIES["bipartite_projection"](ready, sf_dir).collect()} == weights
 
 
 def test_masks(ready):
@@ -190,7 +190,7 @@ def test_merkle_proof_of_every_leaf(ready, sf_dir):
     leaves = level = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
     while len(level) > 1:
         level = [hashlib.sha256(b"\x01" + bytes.fromhex(level[i]) + bytes.fromhex(level[i + 1])).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    got = registry.QUERIES["merkle_proof_all"](ready, sf_dir).orderBy("idx").collect()
+    got = registry.QUERIES["merkle_proof"](ready, sf_dir).orderBy("idx").collect()
     assert [(r.idx, r.leaf, r.proof_root, r.valid) for r in got] == [(i, h, level[0], True) for i, h in enumerate(leaves)]
 
 

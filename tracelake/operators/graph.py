@@ -7,9 +7,15 @@ in tables and cut the lineage with checkpoint().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tracelake.tables import Tables
+
 # Entity and relation types; others become OTHER.
 ENTITY_TYPES = ("SUSPECT", "PERSON", "PHONE", "BANK_ACCOUNT", "IP_ADDRESS", "ORGANIZATION", "LOCATION", "VEHICLE", "CRYPTO_WALLET", "OTHER")
 RELATION_TYPES = ("TRANSACTION", "CALL", "COMMUNICATION", "LOGIN", "ASSOCIATE_WITH", "OWNS", "CONTROLS", "OPERATES", "TRAVELS_TO", "TRANSFER", "OTHER")
@@ -215,7 +221,7 @@ def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int =
         if k < max_length:
             paths = paths.join(hop, (paths["end"] == hop["s"]) & (hop["t"] > paths["start"])).where("not array_contains(path, t)").select("start", F.col("t").alias("end"), F.concat("path", F.array("t")).alias("path"), F.concat("amounts", F.array("m")).alias("amounts"))
     total = F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x)
-    return found.select(F.size("path").cast("long").alias("length"), F.array_join("path", ">").alias("ring"), F.round(total, 2).alias("total"), F.round(F.array_min("amounts"), 2).alias("least"), F.round(F.array_max("amounts"), 2).alias("most"), F.round(total / F.size("amounts"), 2).alias("average"))
+    return found.select(F.size("path").cast("long").alias("length"), F.array_join("path", ">").alias("ring"), F.round(total, 2).alias("total"), F.round(F.array_min("amounts"), 2).alias("least"), F.round(F.array_max("amounts"), 2).alias("most"), F.round(F.round(total, 2) / F.size("amounts"), 2).alias("average"))
 
 
 def detect_all(nodes: DataFrame, edges: DataFrame, min_length: int = 3, max_length: int = 6, tolerance: float = 0.25, threshold: int = 3) -> dict[str, DataFrame]:
@@ -306,66 +312,170 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("dep", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
-def _partition_quality(graph: DataFrame, degree: DataFrame, now: DataFrame, total: float) -> float:
-    """Modularity of the communities (id, c) of a level's graph (a, b, weight)."""
-    inside = graph.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    spread = now.join(degree, "id").groupBy("c").agg(F.sum("k").alias("sigma")).agg(F.sum(F.pow(F.col("sigma") / total, 2))).first()[0]
-    return 2 * inside / total - spread
+#: Ranks of a community's moves: steps of gain a weight, times parts by hash.
+GAIN_STEPS, HASH_PARTS = 16, 256
 
 
-def _apart(step: DataFrame) -> DataFrame:
-    """The moves (id, c, to, better) that are best at both communities they touch: no two share one."""
-    ends = step.select("id", "better", F.explode(F.array("c", "to")).alias("touched"))
-    first = ends.groupBy("touched").agg(F.max(F.struct("better", "id")).alias("first"))
-    return ends.join(first, "touched").where(F.col("first.id") == F.col("id")).groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")
+def _wishes(both: DataFrame, now: DataFrame, total: float) -> DataFrame:
+    """For each node with neighbours: its community's own weight and sum, and the move that gains most."""
+    placed = now.join(now.groupBy("c").agg(F.sum("k").alias("sigma")), "c")
+    near = both.join(placed.select(F.col("id").alias("other"), F.col("c").alias("to"), F.col("sigma").alias("sigma_to")), "other").groupBy("id", "to").agg(F.sum("weight").alias("w"), F.max("sigma_to").alias("sigma_to"))
+    stays = F.col("to") == F.col("c")
+    scored = near.join(placed, "id").withColumn("gain", F.col("w") - F.col("k") * F.col("sigma_to") / total)
+    best = scored.groupBy("id", "c", "k", "sigma").agg(F.coalesce(F.max(F.when(stays, F.col("w"))), F.lit(0.0)).alias("own"), F.max(F.when(~stays, F.struct("gain", "to"))).alias("best"))
+    better = F.col("best.gain") - (F.col("own") - F.col("k") * (F.col("sigma") - F.col("k")) / total)
+    return best.select("id", "c", "k", "sigma", "own", F.col("best.to").alias("to"), better.alias("better"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Communities (id, community) by local moves and coarsening, as joins and group-bys.
+def _joint(wish: DataFrame, total: float, seed: int) -> DataFrame:
+    """Moves (id, to) that can be made at once, each with a gain beyond what the others cost it.
 
-    A level's moves end when no node gains, and levels when none merges. In a round half of the
-    nodes (by hash, other ones each round) may move; once such a round doesn't raise modularity it
-    is undone, and only moves that share no community are made, whose gains add up, so that every
-    round gains and the level ends. Randomness differs from other implementations'.
+    A community either gives or takes nodes: what would gain more, weighed by chance. So of two
+    moves no one's target is the other's source, and together they fall short of the sum of
+    their gains by no more than k * k' / total where they share a source or a target. Moves are
+    ranked by gain a weight, then by hash; a community's weight up to each rank is summed, and a move is
+    made if its gain pays for all that rank before or beside it.
     """
-    base = undirected(edges)
-    place = nodes.select("id", F.col("id").alias("community")).checkpoint()
-    graph = base.select("a", "b", "weight").checkpoint()
+    chance = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1024)) / 1024.0
+    sides = wish.select(F.explode(F.array(F.struct(F.col("c").alias("touched"), (-F.col("better")).alias("by")), F.struct(F.col("to").alias("touched"), F.col("better").alias("by")))).alias("s")).select("s.*")
+    sums = sides.groupBy("touched").agg(F.sum(F.when(F.col("by") > 0, F.col("by")).otherwise(0.0)).alias("into"), F.sum(F.when(F.col("by") < 0, -F.col("by")).otherwise(0.0)).alias("out"))
+    takes = sums.select("touched", (F.col("into") * (0.5 + chance("touched")) >= F.col("out")).alias("takes"))
+    rank = (F.lit(GAIN_STEPS - 1) - F.least(F.lit(GAIN_STEPS - 1), F.floor(F.col("better") / F.col("k") * GAIN_STEPS).cast("int"))) * HASH_PARTS + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_PARTS)).cast("int")
+    giving, taking = takes.where("not takes").select(F.col("touched").alias("c")), takes.where("takes").select(F.col("touched").alias("to"))
+    moves = wish.join(giving, "c", "left_semi").join(taking, "to", "left_semi").select("id", "c", "to", "k", "better", rank.alias("rank"))
+    ends = moves.select("id", "to", "k", "better", "rank", F.explode(F.array("c", "to")).alias("touched"))
+    upto = Window.partitionBy("touched").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weights = ends.groupBy("touched", "rank").agg(F.sum("k").alias("k")).select("touched", "rank", F.sum("k").over(upto).alias("upto"))
+    costs = ends.join(weights, ["touched", "rank"]).groupBy("id", "to", "k", "better").agg(F.sum(F.col("upto") - F.col("k")).alias("others"))
+    return costs.where(F.col("better") - F.col("k") * F.col("others") / total > 0).select("id", "to")
+
+
+def _apart(wish: DataFrame) -> DataFrame:
+    """The moves that are best at both communities they touch: no two share one, and the best of all is there."""
+    ends = wish.select("id", "to", "better", F.explode(F.array("c", "to")).alias("touched"))
+    first = ends.groupBy("touched").agg(F.max(F.struct("better", "id")).alias("first"))
+    return ends.join(first, "touched").where(F.col("first.id") == F.col("id")).groupBy("id", "to").agg(F.count("*").alias("n")).where("n = 2").select("id", "to")
+
+
+#: Edges of a level that one task settles: some tens of megabytes.
+SMALL_GRAPH = 500_000
+
+
+def _settled(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Louvain of one bounded graph (a, b, weight): (id, community), and (null, number, modularity) a pass."""
+    table = pa.Table.from_batches(batches) if (batches := [x for x in batches if len(x)]) else None
+    names = ["id", "c", "quality"]
+    if table is None:
+        return
+    ids, codes = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]).astype(str), return_inverse=True)
+    a, b = codes[: len(table)], codes[len(table) :]
+    w = table.column("weight").to_numpy().astype(float)
+    total, place, passes = 2 * w.sum(), np.arange(len(ids)), []
+    while total:
+        n = len(place) if not passes else int(max(a.max(), b.max())) + 1
+        degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+        loose = a != b
+        order = np.argsort(ends := np.concatenate([a[loose], b[loose]]), kind="stable")
+        first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+        near, weight = np.concatenate([b[loose], a[loose]])[order].tolist(), np.concatenate([w[loose], w[loose]])[order].tolist()
+        k, sigma, c = degree.tolist(), degree.tolist(), list(range(n))
+        quality = 2 * w[~loose].sum() / total - float((degree**2).sum()) / total**2
+        passes.append(quality)
+        start = quality
+        while True:
+            added = 0.0
+            for v in range(n):
+                own, kv, to = c[v], k[v], {}
+                for i in range(first[v], first[v + 1]):
+                    to[c[near[i]]] = to.get(c[near[i]], 0.0) + weight[i]
+                sigma[own] -= kv
+                stay = best = to.get(own, 0.0) - kv * sigma[own] / total
+                for other, inside in to.items():
+                    gain = inside - kv * sigma[other] / total
+                    if gain > best + 1e-12 * total:
+                        best, c[v] = gain, other
+                sigma[c[v]] += kv
+                added += best - stay
+            quality += 2 * added / total
+            passes.append(quality)
+            if 2 * added / total < threshold / 2:
+                break
+        labels, c = np.unique(np.array(c), return_inverse=True)
+        place = c[place]
+        if len(labels) == n or quality - start < threshold and len(passes) > 2:
+            break
+        pair, at = np.unique(np.minimum(c[a], c[b]) * len(labels) + np.maximum(c[a], c[b]), return_inverse=True)
+        a, b, w = pair // len(labels), pair % len(labels), np.bincount(at, w)
+    least = np.full(len(ids), len(ids))
+    np.minimum.at(least, place, np.arange(len(ids)))  # a community is named after its first member
+    yield pa.RecordBatch.from_arrays([pa.array(ids.tolist()), pa.array(ids[least[place]].tolist()), pa.nulls(len(ids), pa.float64())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(passes), pa.string()), pa.array([f"{i:06d}" for i in range(len(passes))]), pa.array(passes, pa.float64())], names=names)
+
+
+def louvain_rounds(nodes: DataFrame, edges: DataFrame, threshold: float = 1e-4, small: int = SMALL_GRAPH) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """Communities (id, community) by local moves and coarsening; and (level, round, modularity) of every round.
+
+    In a round every node names its best move, and all moves whose gains hold together are made at once
+    (_joint), so modularity never falls; where none holds, the locally best ones are made. Rounds of a level
+    end when no node gains, or two in a row add less than half of the threshold; levels end when one adds less than
+    the threshold or merges nothing. A level of at most ``small`` edges (counted first) is settled in one task, node by
+    node, with all that follow. Nodes without edges stay alone. Randomness differs from other implementations'.
+    """
+    tables = Tables(nodes.sparkSession)
+    place = tables.put("place", nodes.select("id", F.col("id").alias("community")))
+    graph = tables.put("graph", undirected(edges).select("a", "b", "weight"))
+    history: list[tuple[int, int, float]] = []
+    level, reached = 0, None
     while True:
-        both = graph.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").union(graph.where("a <> b").select("b", "a", "weight")).checkpoint()
-        degree = graph.select(F.col("a").alias("id"), "weight").union(graph.select("b", "weight")).groupBy("id").agg(F.sum("weight").alias("k")).checkpoint()
-        total = degree.agg(F.sum("k")).first()[0]
+        if graph.count() <= small:
+            settled = tables.put("settled", graph.repartition(1).mapInArrow(lambda x: _settled(x, threshold), "id string, c string, quality double"))
+            rounds = [r.quality for r in settled.where("id is null").orderBy("c").collect()]  # a row a pass, their order in c
+            history += [(level, r, q) for r, q in enumerate(rounds)]
+            place = tables.put("place", place.join(settled.where("id is not null").select(F.col("id").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
+            break
+        loose = graph.where("a <> b")
+        both = tables.put("both", loose.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").union(loose.select("b", "a", "weight")))
+        degree = graph.select(F.col("a").alias("id"), "weight").union(graph.select("b", "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
+        now = tables.put("now", degree.select("id", F.col("id").alias("c"), "k"))
+        total = now.agg(F.sum("k")).first()[0]
         if not total:
             break
-        now = degree.select("id", F.col("id").alias("c")).checkpoint()
-        quality, together, r = _partition_quality(graph, degree, now, total), True, 0
+        # a node's weight with itself never changes within a level, and a node without others is in no wish
+        loops = graph.where("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+        alone = now.join(both.select("id").distinct(), "id", "left_anti").agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))).first()[0]
+        few, r, before = 0, 0, None
+        gains = F.col("better") > 1e-9 * total
         while True:
-            mine = now.join(degree, "id")
-            sums = mine.groupBy("c").agg(F.sum("k").alias("sigma"))
-            near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id", F.col("c").alias("to")).agg(F.sum("weight").alias("w"))
-            options = near.unionByName(mine.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))).groupBy("id", "to").agg(F.sum("w").alias("w"))
-            scored = options.join(mine, "id").join(sums.withColumnRenamed("c", "to"), "to").withColumn("gain", F.col("w") - F.col("k") * (F.col("sigma") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total)
-            best = scored.groupBy("id", "c").agg(F.max(F.struct("gain", "to")).alias("best"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"))
-            better = F.col("best.gain") - F.col("stay")
-            wish = best.where(better > 1e-9 * total).select("id", "c", F.col("best.to").alias("to"), better.alias("better")).checkpoint()
-            if wish.isEmpty():
+            seen = Observation()
+            held = _wishes(both, now, total).observe(seen, F.sum("own").alias("own"), F.sum(F.col("k") * F.col("sigma")).alias("spread"), F.count_if(gains).alias("n"))
+            wish = tables.put("wish", held).where(gains)
+            quality = ((seen.get["own"] or 0.0) + 2 * loops) / total - ((seen.get["spread"] or 0.0) + alone) / total**2
+            history.append((level, r, quality))
+            few = few + 1 if before is not None and quality - before < threshold / 2 else 0
+            if not seen.get["n"] or few == 2:
                 break
-            chosen = wish.where(F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2).select("id") if together else _apart(wish)
-            step = now.join(wish.join(chosen, "id", "left_semi").select("id", "to"), "id", "left").select("id", F.coalesce("to", "c").alias("c")).checkpoint()
-            r += 1
-            if together:
-                raised = _partition_quality(graph, degree, step, total)
-                if raised < quality + 1e-9:
-                    together = False
-                    continue
-                quality = raised
-            now = step
-        if now.where("id <> c").isEmpty():
+            before, r = quality, r + 1
+            for moves in (_joint(wish, total, r), _apart(wish)):
+                made = Observation()
+                step = now.join(moves, "id", "left").observe(made, F.count("to").alias("n")).select("id", F.coalesce("to", "c").alias("c"), "k")
+                now = tables.put("now", step)
+                if made.get["n"]:
+                    break
+        merged = not now.where("id <> c").isEmpty()
+        if merged:
+            place = tables.put("place", place.join(now.select(F.col("id").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
+            a, b = now.select(F.col("id").alias("a"), F.col("c").alias("ca")), now.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+            graph = tables.put("graph", graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+        if not merged or (reached is not None and quality - reached < threshold):
             break
-        place = place.join(now.select(F.col("id").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")).checkpoint()
-        a, b = now.select(F.col("id").alias("a"), F.col("c").alias("ca")), now.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        graph = graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")).checkpoint()
-    return place
+        level, reached = level + 1, quality
+    tables.free("graph", "both", "now", "wish", "settled")
+    return place, history
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, threshold: float = 1e-4) -> DataFrame:
+    """Communities (id, community) of highest modularity found: see louvain_rounds."""
+    return louvain_rounds(nodes, edges, threshold)[0]
 
 
 def composite_risk(nodes: DataFrame, ranks: DataFrame, between: DataFrame, degrees: DataFrame) -> DataFrame:

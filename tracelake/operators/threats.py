@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.normalize import sanitize
+from tracelake.operators.scan import quantiles, running
 
 # The 21 features in order.
 FEATURES = (
@@ -84,9 +85,19 @@ def categorical_entropy(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def rolling_buffer(events: DataFrame, by: str, width_s: int) -> DataFrame:
-    """Events of the same key in the last width seconds, the boundary included."""
-    w = Window.partitionBy(by).orderBy("us").rangeBetween(-width_s * 1_000_000, 0)
-    return events.withColumn("n_buffered", F.count("*").over(w))
+    """Events of the same key in the last width seconds, the boundary included.
+
+    That is how many there are up to an event's time, less how many there are before its window: both are
+    marks in the running count of the key's events, which may be any number.
+    """
+    numbered = events.select(by, "us", F.monotonically_increasing_id().alias("_id"), F.struct(*events.columns).alias("_row"))
+    mark = lambda us, kind: F.struct(us.alias("at"), F.lit(kind).alias("kind"))
+    marks = numbered.select(by, "_id", "_row", F.explode(F.array(mark(F.col("us") - width_s * 1_000_000, 0), mark(F.col("us"), 1), mark(F.col("us"), 2))).alias("m"))
+    marks = marks.select(by, "m.at", "m.kind", "_id", F.when(F.col("m.kind") == 2, F.col("_row")).alias("_row"))
+    counted = running(marks, [by], ["at", "kind"], {"upto": ("sum", F.when(F.col("kind") == 1, 1).otherwise(0), True)})
+    upto = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("upto")))
+    got = counted.where("kind <> 1").groupBy("_id").agg(F.any_value("_row", True).alias("_row"), (upto(2) - upto(0)).alias("n_buffered"))
+    return got.select("_row.*", "n_buffered")
 
 
 def rule_counts(windowed: DataFrame) -> DataFrame:
@@ -186,11 +197,14 @@ def cooldown(found: DataFrame, seconds: int = 300) -> DataFrame:
 
 
 def robust_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, center, scale): median; MAD times 1.4826, else the deviation, else 1."""
+    """(feature, center, scale): median; MAD times 1.4826, else the deviation, else 1. Medians are exact."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("f")).select("f.feature", "f.x")
-    centers = long.groupBy("feature").agg(F.median("x").alias("center"), F.stddev_pop("x").alias("dev"))
-    spread = long.join(F.broadcast(centers), "feature").groupBy("feature").agg(F.median(F.abs(F.col("x") - F.col("center"))).alias("mad"), F.first("center").alias("center"), F.first("dev").alias("dev"))  # a row a feature
-    return spread.select("feature", "center", F.when(F.col("mad") > 0, F.col("mad") * 1.4826).when(F.col("dev") > 0, F.col("dev")).otherwise(1.0).alias("scale"))
+    centers = quantiles(long, [0.5]).select("feature", F.col("value").alias("center"))
+    away = long.join(F.broadcast(centers), "feature").select("feature", F.abs(F.col("x") - F.col("center")).alias("x"))  # a row a feature
+    spread = quantiles(away, [0.5]).select("feature", F.col("value").alias("mad"))
+    dev = long.groupBy("feature").agg(F.stddev_pop("x").alias("dev"))
+    scale = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).when(F.col("dev") > 0, F.col("dev")).otherwise(1.0)
+    return dev.join(centers, "feature").join(spread, "feature").select("feature", "center", scale.alias("scale"))
 
 
 def confusion(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -247,16 +261,17 @@ def fit_model(rows: DataFrame, columns: list[str], trees: int = 15, sample: int
     scale = {r["feature"]: (r["center"], r["scale"]) for r in robust_scale(clean, columns).collect()}
     z = clean.select(*((F.col(c) - scale[c][0]) / scale[c][1] for c in columns)).toDF(*columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    moments = z.agg(*(F.covar_samp(a, b) for a, b in pairs), *(F.median(c) for c in columns)).first()
+    moments = z.agg(*(F.covar_samp(a, b) for a, b in pairs)).first()
     d = len(columns)
     cov = np.zeros((d, d))
     for (a, b), v in zip(pairs, moments, strict=False):
         i, j = columns.index(a), columns.index(b)
         cov[i, j] = cov[j, i] = v or 0.0
-    inverse, center = np.linalg.pinv(cov + ridge * np.eye(d)), np.array(moments[len(pairs) :], dtype=float)
+    # the scaled median is 0 up to the division's rounding
+    inverse, center = np.linalg.pinv(cov + ridge * np.eye(d)), np.zeros(d)
     model = {"columns": list(columns), "center": [scale[c][0] for c in columns], "scale": [scale[c][1] for c in columns], "inverse": inverse.tolist(), "middle": center.tolist(), "threshold": 1.0, "trees": [], "sample": sample}
-    p99 = score(clean, {**model, "threshold": None}).agg(F.percentile("distance", 0.99)).first()[0] or 0.0
-    model["threshold"] = max(1.5 * p99, 10.0)
+    far = quantiles(score(clean, {**model, "threshold": None}).select(F.lit("distance").alias("feature"), F.col("distance").alias("x")), [0.99]).first()
+    model["threshold"] = max(1.5 * (far.value if far else 0.0), 10.0)
     picked = np.array([list(r) for r in z.orderBy(F.xxhash64(*columns, F.lit(seed))).limit(trees * sample).collect()], dtype=float).reshape(-1, d)
     rng = np.random.default_rng(seed)
     for _ in range(trees if len(picked) else 0):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.normalize import SEVERITY_RANK, rank_of
+from tracelake.operators.scan import running
 
 #: Events of a chain that are listed.
 CHAIN_EVENTS = 20
@@ -23,8 +24,8 @@ def merge(events: DataFrame) -> DataFrame:
     stands before it in its file; on monotonic files that is the plain sort.
     """
     key = F.struct("us", "source_file", "line_number", "event_id")
-    reach = F.max(key).over(Window.partitionBy("source_file").orderBy("line_number", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("reach", reach).orderBy("reach.us", "reach.source_file", "reach.line_number", "reach.event_id", "line_number").drop("reach")
+    reach = running(events, ["source_file"], ["line_number", "event_id"], {"reach": ("max", key, True)})
+    return reach.orderBy("reach.us", "reach.source_file", "reach.line_number", "reach.event_id", "line_number").drop("reach")
 
 
 def positions(ordered: DataFrame) -> DataFrame:
@@ -57,13 +58,14 @@ def filter_events(events: DataFrame, start_us: int | None = None, end_us: int |
     return events
 
 
-def _by_file() -> Window:
-    return Window.partitionBy("source_file").orderBy("line_number")
+def _after(events: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds each value of the file's event before; a file may be of any size."""
+    return running(events, ["source_file"], ["line_number", "event_id"], {n: ("last", v, False) for n, v in values.items()})
 
 
 def clock_anomalies(events: DataFrame, max_gap_s: int = 3600) -> DataFrame:
     """Backward jumps (CRITICAL) and long gaps (MEDIUM) against the file's previous event."""
-    seen = events.withColumn("delta", F.col("us") - F.lag("us").over(_by_file()))
+    seen = _after(events, {"before": F.col("us")}).withColumn("delta", F.col("us") - F.col("before"))
     kind = F.when(F.col("delta") < 0, "NEGATIVE_JUMP").when(F.col("delta") > max_gap_s * 1_000_000, "ACTIVITY_GAP")
     return seen.withColumn("kind", kind).where("kind is not null").select("source_file", "line_number", "kind", F.when(F.col("delta") < 0, "CRITICAL").otherwise("MEDIUM").alias("severity"), "delta")
 
@@ -76,8 +78,10 @@ def future_events(events: DataFrame, now_us: int, tolerance_s: int = 300) -> Dat
 def bursts(events: DataFrame, threshold: int) -> DataFrame:
     """Runs of more than threshold consecutive events of a file in the same second (LOW)."""
     second = F.floor(F.col("us") / 1_000_000)
-    seen = events.withColumn("s", second).withColumn("new", (F.col("s") != F.lag("s").over(_by_file())).cast("int"))
-    runs = seen.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(_by_file().rowsBetween(Window.unboundedPreceding, 0)))
+    seen = _after(events.withColumn("s", second), {"s_before": F.col("s")})
+    new = F.when(F.col("s") == F.col("s_before"), 0).otherwise(1)
+    runs = running(seen, ["source_file"], ["line_number", "event_id"], {"run": ("sum", new, True)})
+    # a run is counted by task before its parts meet
     return runs.groupBy("source_file", "run").agg(F.min("line_number").alias("line_number"), F.count("*").alias("n"), F.min("s").alias("second")).where(F.col("n") > threshold).select("source_file", "line_number", F.lit("EVENT_BURST").alias("kind"), F.lit("LOW").alias("severity"), "n", "second")
 
 

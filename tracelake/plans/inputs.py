@@ -33,21 +33,12 @@ TRANSFERS_SQL = """t AS (SELECT 'N' || c_nationkey AS source, 'N' || s_nationkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey)"""
 
 
-def strong_transfers(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFrame:
-    """Each nation's largest transfers: a sparse graph with cycles."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy(F.desc("amount"), "target")
-    return transfers(spark, sf_dir).where("source <> target").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r")
-
-
-
 def all_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every transfer between two nations."""
     return transfers(spark, sf_dir).where("source <> target")
 
 
-STRONG_SQL = TRANSFERS_SQL + """, s AS (SELECT source, target, weight, amount, seq FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY amount DESC, target) AS r FROM t WHERE source <> target) WHERE r <= 4)"""
+ALL_SQL = TRANSFERS_SQL + """, s AS (SELECT source, target, weight, amount, seq FROM t WHERE source <> target)"""
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +78,11 @@ COMMUNITIES_SQL = "c AS (SELECT 'N' || n_nationkey AS id, n_regionkey::BIGINT AS
 
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to part edges."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select("l_suppkey", "l_partkey").distinct()
+    e = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     return e.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target"))
 
 
-SUPPLIES_SQL = "e AS (SELECT DISTINCT 'S' || l_suppkey AS source, 'P' || l_partkey AS target FROM lineitem WHERE l_quantity >= 40)"
+SUPPLIES_SQL = "e AS (SELECT DISTINCT 'S' || l_suppkey AS source, 'P' || l_partkey AS target FROM lineitem)"
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,14 +48,14 @@ def _fan(hub: str, spoke: str, kind: str) -> str:
     return f"SELECT '{kind}' AS kind, {hub} AS hub, count(DISTINCT {spoke}) AS n_spokes, count(*) AS n_tx, round(sum(amount), 2) AS volume, round(sum(amount) / count(*), 6) AS average FROM s GROUP BY {hub} HAVING count(DISTINCT {spoke}) >= 4"
 
 
-@query(f"WITH {I.STRONG_SQL} {_fan('target', 'source', 'FAN_IN')} UNION ALL {_fan('source', 'target', 'FAN_OUT')}")
+@query(f"WITH {I.ALL_SQL} {_fan('target', 'source', 'FAN_IN')} UNION ALL {_fan('source', 'target', 'FAN_OUT')}")
 def smurfing_patterns(spark, d):
-    return graph.smurfing_patterns(I.strong_transfers(spark, d), 4)
+    return graph.smurfing_patterns(I.all_transfers(spark, d), 4)
 
 
-@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL} SELECT id, round(coalesce(i, 0) / 24.0, 6) AS in_degree, round(coalesce(o, 0) / 24.0, 6) AS out_degree, round((coalesce(i, 0) + coalesce(o, 0)) / 24.0, 6) AS degree FROM c LEFT JOIN (SELECT target AS id, count(*) AS i FROM s GROUP BY target) USING (id) LEFT JOIN (SELECT source AS id, count(*) AS o FROM s GROUP BY source) USING (id)")
+@query(f"WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL} SELECT id, round(coalesce(i, 0) / 24.0, 6) AS in_degree, round(coalesce(o, 0) / 24.0, 6) AS out_degree, round((coalesce(i, 0) + coalesce(o, 0)) / 24.0, 6) AS degree FROM c LEFT JOIN (SELECT target AS id, count(*) AS i FROM s GROUP BY target) USING (id) LEFT JOIN (SELECT source AS id, count(*) AS o FROM s GROUP BY source) USING (id)")
 def degree_centrality(spark, d):
-    got = graph.degree_centrality(I.nation_nodes(spark, d), I.strong_transfers(spark, d))
+    got = graph.degree_centrality(I.nation_nodes(spark, d), I.all_transfers(spark, d))
     return got.select("id", *(F.round(c, 6).alias(c) for c in ("in_degree", "out_degree", "degree")))
 
 
@@ -65,9 +65,9 @@ def bipartite_projection(spark, d):
     return graph.project_bipartite(e, e.select(F.col("source").alias("id")).distinct())
 
 
-@query(f"WITH {I.STRONG_SQL}, b AS (SELECT source AS a, target AS z FROM s UNION SELECT target, source FROM s), r1 AS (SELECT 'N3' AS id UNION SELECT z FROM b WHERE a = 'N3'), r2 AS (SELECT id FROM r1 UNION SELECT z FROM b WHERE a IN (SELECT id FROM r1)) SELECT source, target, amount FROM s WHERE source IN (SELECT id FROM r2) AND target IN (SELECT id FROM r2)")
+@query(f"WITH {I.ALL_SQL}, b AS (SELECT source AS a, target AS z FROM s UNION SELECT target, source FROM s), r1 AS (SELECT 'N3' AS id UNION SELECT z FROM b WHERE a = 'N3'), r2 AS (SELECT id FROM r1 UNION SELECT z FROM b WHERE a IN (SELECT id FROM r1)) SELECT source, target, amount FROM s WHERE source IN (SELECT id FROM r2) AND target IN (SELECT id FROM r2)")
 def ego_graph_r2(spark, d):
-    return graph.ego_graph(I.strong_transfers(spark, d), "N3", 2)[1].select("source", "target", "amount")
+    return graph.ego_graph(I.all_transfers(spark, d), "N3", 2)[1].select("source", "target", "amount")
 
 
 @query("SELECT true AS supplies, false AS transfers")
@@ -76,9 +76,9 @@ def is_bipartite(spark, d):
     return spark.range(1).select(F.lit(a).alias("supplies"), F.lit(b).alias("transfers"))
 
 
-@query("SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target FROM customer WHERE c_acctbal > 0")
+@query("SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target FROM customer")
 def subgraph_entity(spark, d):
-    edges = I.table(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("target"))
+    edges = I.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("target"))
     more = I.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")))
     return graph.subgraph_by_entity_types(I.nodes(spark, d), edges.union(more), ["PERSON", "LOCATION"])[1]
 
@@ -89,61 +89,72 @@ def subgraph_relation(spark, d):
     return graph.subgraph_by_relation_types(e, ["TRANSACTION", "TRANSFER"]).select("source", "target", "amount")
 
 
-@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL} SELECT source, target, a.community AS source_community, b.community AS target_community, amount FROM s JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.community <> b.community")
+@query(f"WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL} SELECT source, target, a.community AS source_community, b.community AS target_community, amount FROM s JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.community <> b.community")
 def inter_community_links(spark, d):
-    return graph.inter_community_links(I.strong_transfers(spark, d), I.communities(spark, d))
+    return graph.inter_community_links(I.all_transfers(spark, d), I.communities(spark, d))
 
 
-@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, b AS (SELECT source AS id, target AS other FROM s UNION SELECT target, source FROM s UNION SELECT source, source FROM s UNION SELECT target, target FROM s) SELECT b.id, count(DISTINCT community) AS span FROM b JOIN c ON c.id = other GROUP BY b.id HAVING count(DISTINCT community) > 1")
+@query(f"WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL}, b AS (SELECT source AS id, target AS other FROM s UNION SELECT target, source FROM s UNION SELECT source, source FROM s UNION SELECT target, target FROM s) SELECT b.id, count(DISTINCT community) AS span FROM b JOIN c ON c.id = other GROUP BY b.id HAVING count(DISTINCT community) > 1")
 def cross_community_brokers(spark, d):
-    return graph.community_brokers(I.strong_transfers(spark, d), I.communities(spark, d))
+    return graph.community_brokers(I.all_transfers(spark, d), I.communities(spark, d))
 
 
-@query(f"""WITH RECURSIVE {I.STRONG_SQL}, p AS (SELECT source AS st, target AS en, [source, target] AS path, [amount] AS am FROM s WHERE target > source
+@query(f"""WITH RECURSIVE {I.ALL_SQL}, p AS (SELECT source AS st, target AS en, [source, target] AS path, [amount] AS am FROM s WHERE target > source
 UNION ALL SELECT st, s.target, list_append(path, s.target), list_append(am, s.amount) FROM p JOIN s ON s.source = en AND s.target > st AND NOT list_contains(path, s.target) WHERE len(path) < 4),
 r AS (SELECT path, list_append(am, s.amount) AS am FROM p JOIN s ON s.source = en AND s.target = st WHERE len(path) >= 3)
-SELECT len(path)::BIGINT AS length, array_to_string(path, '>') AS ring, round(list_sum(am), 2) AS total, round(list_min(am), 2) AS least, round(list_max(am), 2) AS most FROM r""")
+SELECT len(path)::BIGINT AS length, array_to_string(path, '>') AS ring, round(list_sum(am), 2) AS total, round(list_min(am), 2) AS least, round(list_max(am), 2) AS most, round((round(list_sum(am), 2) / len(am))::DECIMAL(24, 4), 2)::DOUBLE AS average FROM r""")
 def circular_transfers(spark, d):
-    return graph.circular_transfers(I.strong_transfers(spark, d), 3, 4).drop("average")
+    return graph.circular_transfers(I.all_transfers(spark, d), 3, 4)
 
 
 _UNDIRECTED = "u AS (SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, seq) AS w FROM s GROUP BY ALL)"
 
 
-@query(f"""WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca, y.community AS cb FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b), m AS (SELECT sum(w) AS m FROM p),
+@query(f"""WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca, y.community AS cb FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b), m AS (SELECT sum(w) AS m FROM p),
 i AS (SELECT ca AS c, sum(w) AS l FROM p WHERE ca = cb GROUP BY ca), e AS (SELECT c, sum(w) AS k FROM (SELECT ca AS c, w FROM p UNION ALL SELECT cb, w FROM p) GROUP BY c)
 SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 6) AS modularity FROM e LEFT JOIN i USING (c), m""")
 def modularity_fixed_partition(spark, d):
-    return graph.modularity(I.strong_transfers(spark, d), I.communities(spark, d)).select(F.round("modularity", 6).alias("modularity"))
+    return graph.modularity(I.all_transfers(spark, d), I.communities(spark, d)).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query(f"""WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.community = y.community AND a <> b)
+@query(f"""WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.community = y.community AND a <> b)
 SELECT community, n AS size, coalesce(e, 0) AS n_edges, CASE WHEN n > 1 THEN round(2 * coalesce(e, 0) / (n * (n - 1)), 6) ELSE 0.0 END AS density, coalesce(w, 0.0::DOUBLE) AS weight FROM (SELECT community, count(*) AS n FROM c GROUP BY community) LEFT JOIN (SELECT ca AS community, count(*) AS e, sum(w) AS w FROM p GROUP BY ca) USING (community)""")
 def criminal_cells(spark, d):
-    return graph.cells(I.nation_nodes(spark, d), I.strong_transfers(spark, d), I.communities(spark, d)).withColumn("density", F.round("density", 6))
+    return graph.cells(I.nation_nodes(spark, d), I.all_transfers(spark, d), I.communities(spark, d)).withColumn("density", F.round("density", 6))
 
 
-@query(f"""WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT x.community, unnest([a, b]) AS id FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.community = y.community AND a <> b)
+@query(f"""WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT x.community, unnest([a, b]) AS id FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.community = y.community AND a <> b)
 SELECT * FROM (SELECT community, id, count(*) AS degree, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, id) AS rank FROM p GROUP BY community, id) WHERE rank <= 3""")
 def cell_leaders(spark, d):
-    return graph.cell_leaders(I.strong_transfers(spark, d), I.communities(spark, d))
+    return graph.cell_leaders(I.all_transfers(spark, d), I.communities(spark, d))
 
 
 _PR = ", ".join(f"p{i} AS (SELECT o.id, 0.85 * (coalesce(sum(p.r * s.weight / g.w), 0) + (SELECT coalesce(sum(r), 0) FROM p{i - 1} WHERE id NOT IN (SELECT source FROM g)) / 25.0) + 0.15 / 25.0 AS r FROM c o LEFT JOIN s ON s.target = o.id LEFT JOIN g ON g.source = s.source LEFT JOIN p{i - 1} p ON p.id = s.source GROUP BY o.id)" for i in range(1, 11))
 
 
-@query(f"WITH {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, g AS (SELECT source, sum(weight) AS w FROM s GROUP BY source), p0 AS (SELECT id, 1.0::DOUBLE / 25 AS r FROM c), {_PR} SELECT id, round(r, 8) AS rank FROM p10")
+@query(f"WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL}, g AS (SELECT source, sum(weight) AS w FROM s GROUP BY source), p0 AS (SELECT id, 1.0::DOUBLE / 25 AS r FROM c), {_PR} SELECT id, round(r, 8) AS rank FROM p10")
 def pagerank_10_iters(spark, d):
-    return graph.pagerank(I.nation_nodes(spark, d), I.strong_transfers(spark, d), iterations=10, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(I.nation_nodes(spark, d), I.all_transfers(spark, d), iterations=10, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query(f"""WITH RECURSIVE {I.STRONG_SQL}, {I.COMMUNITIES_SQL}, q AS (SELECT id AS o, id AS v, 0 AS h FROM c UNION SELECT o, s.source, h + 1 FROM q JOIN s ON s.target = v WHERE h < 25),
+@query(f"""WITH RECURSIVE {I.ALL_SQL}, {I.COMMUNITIES_SQL}, q AS (SELECT id AS o, id AS v, 0 AS h FROM c UNION SELECT o, s.source, h + 1 FROM q JOIN s ON s.target = v WHERE h < 25),
 m AS (SELECT o, v, min(h) AS h FROM q GROUP BY o, v) SELECT o AS id, round(CASE WHEN sum(h) > 0 THEN (count(*) - 1)::DOUBLE / sum(h) * ((count(*) - 1) / 24.0) ELSE 0.0 END, 8) AS closeness FROM m GROUP BY o""")
 def closeness_centrality(spark, d):
-    return graph.closeness(I.nation_nodes(spark, d), I.strong_transfers(spark, d)).select("id", F.round("closeness", 8).alias("closeness"))
+    return graph.closeness(I.nation_nodes(spark, d), I.all_transfers(spark, d)).select("id", F.round("closeness", 8).alias("closeness"))
 
 
-@query()
+# shortest paths of up to 4 hops between nations: q pairs by hops, m the least, g1 to g4 how many paths
+_PATHS = ("q AS (SELECT id AS o, id AS v, 0 AS h FROM c UNION SELECT o, s.target, h + 1 FROM q JOIN s ON s.source = v WHERE h < 4), m AS (SELECT o, v, min(h) AS h FROM q GROUP BY o, v), g0 AS (SELECT o, v, h, 1.0::DOUBLE AS n FROM m WHERE h = 0), "
+  + ", ".join(f"g{i} AS (SELECT m.o, m.v, m.h, sum(g.n) AS n FROM m JOIN s ON s.target = m.v JOIN g{i - 1} g ON g.o = m.o AND g.v = s.source WHERE m.h = {i} GROUP BY ALL)" for i in range(1, 5))
+  + ", g AS (" + " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(5)) + """), bw AS (SELECT c.id, coalesce(b, 0.0::DOUBLE) / (24 * 23) AS betweenness FROM c LEFT JOIN (SELECT x.v AS id, sum(x.n * y.n / z.n) AS b FROM g x JOIN g y ON y.o = x.v JOIN g z ON z.o = x.o AND z.v = y.v AND z.h = x.h + y.h WHERE x.o <> x.v AND y.v <> x.v GROUP BY x.v) USING (id))""")
+# PageRank to its fixed point, within rounding
+_PR_END = _PR + ", " + ", ".join(f"p{i} AS (SELECT o.id, 0.85 * (coalesce(sum(p.r * s.weight / g.w), 0) + (SELECT coalesce(sum(r), 0) FROM p{i - 1} WHERE id NOT IN (SELECT source FROM k)) / 25.0) + 0.15 / 25.0 AS r FROM c o LEFT JOIN s ON s.target = o.id LEFT JOIN k g ON g.source = s.source LEFT JOIN p{i - 1} p ON p.id = s.source GROUP BY o.id)" for i in range(11, 41))
+_PR_END = "k AS (SELECT source, sum(weight) AS w FROM s GROUP BY source), " + _PR_END.replace("FROM g)", "FROM k)").replace("LEFT JOIN g ON g.source", "LEFT JOIN k g ON g.source")
+_DEGREES = "dg AS (SELECT id, (coalesce(i, 0) + coalesce(o, 0)) / 24.0 AS degree FROM c LEFT JOIN (SELECT target AS id, count(*) AS i FROM s GROUP BY target) USING (id) LEFT JOIN (SELECT source AS id, count(*) AS o FROM s GROUP BY source) USING (id))"
+_SCORES = f"WITH RECURSIVE {I.ALL_SQL}, {I.COMMUNITIES_SQL}, {_PATHS}, p0 AS (SELECT id, 1.0::DOUBLE / 25 AS r FROM c), {_PR_END}, {_DEGREES}"
+
+
+@query(f"WITH RECURSIVE {I.ALL_SQL}, {I.COMMUNITIES_SQL}, {_PATHS} SELECT id, round(betweenness, 8) AS betweenness FROM bw")
 def betweenness_centrality(spark, d):
     return graph.betweenness(I.nation_nodes(spark, d), I.all_transfers(spark, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
@@ -153,85 +164,56 @@ def louvain_communities(spark, d):
     return graph.louvain(I.nation_nodes(spark, d), I.all_transfers(spark, d))
 
 
-@query()
+@query(f"""WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL}, {_UNDIRECTED}, p AS (SELECT w, x.community AS ca, y.community AS cb FROM u JOIN c x ON x.id = a JOIN c y ON y.id = b), m AS (SELECT sum(w) AS m FROM p),
+i AS (SELECT ca AS c, sum(w) AS l FROM p WHERE ca = cb GROUP BY ca), e AS (SELECT c, sum(w) AS k FROM (SELECT ca AS c, w FROM p UNION ALL SELECT cb, w FROM p) GROUP BY c)
+SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 6) AS regions, true AS not_worse, true AS never_falls FROM e LEFT JOIN i USING (c), m""")
+def louvain_quality(spark, d):
+    """Modularity of the regions (in SQL as well); that Louvain's communities aren't worse, and that no round lost."""
+    e = I.all_transfers(spark, d).checkpoint()
+    regions = graph.modularity(e, I.communities(spark, d))
+    place, history = graph.louvain_rounds(I.nation_nodes(spark, d), e)
+    own = graph.modularity(e, place).select(F.col("modularity").alias("own"))
+    values = [q for *_, q in history]
+    rises = all(b >= a - 1e-9 for a, b in zip(values, values[1:], strict=False))
+    return regions.crossJoin(own).select(F.round("modularity", 6).alias("regions"), (F.col("own") >= F.col("modularity")).alias("not_worse"), F.lit(rises).alias("never_falls"))  # a row each
+
+
+@query(f"""WITH e AS (SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS target, count(*)::DOUBLE AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey)
+SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT sum(weight) FROM e) AS weight, true AS positive""")
+def louvain_customers_suppliers(spark, d):
+    """Communities of all customers and suppliers, as what SQL can tell of them: nodes, edges, weight, and modularity over 0."""
+    e = I.trade_links(spark, d).withColumn("seq", F.lit(0)).checkpoint()
+    place, history = graph.louvain_rounds(I.nodes(spark, d).where("entity_type <> 'LOCATION'"), e)
+    return place.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))).withColumn("positive", F.lit(history[-1][2] > 0))  # a row each
+
+
+@query(f"""{_SCORES}, x AS (SELECT n.id, risk_score, p.r, bw.betweenness AS b, dg.degree AS d FROM (SELECT id, 0.5::DOUBLE AS risk_score FROM c) n JOIN p40 p USING (id) JOIN bw USING (id) JOIN dg USING (id)), y AS (SELECT max(r) AS mr, max(b) AS mb, max(d) AS md FROM x)
+SELECT id, round(0.35 * r / mr + CASE WHEN mb > 0 THEN 0.25 * b / mb ELSE 0 END + 0.2 * d / md + 0.2 * risk_score, 4) AS risk FROM x, y""")
 def composite_risk(spark, d):
     n, e = I.nation_nodes(spark, d), I.all_transfers(spark, d).checkpoint()
-    return graph.composite_risk(n, graph.pagerank(n, e), graph.betweenness(n, e), graph.degree_centrality(n, e))
-
-
-# the same over every transfer and every line: their SQL would have to change with them, so these have none
-
-
-@query()
-def smurfing_patterns_all(spark, d):
-    return graph.smurfing_patterns(I.all_transfers(spark, d), 4)
-
-
-@query()
-def circular_transfers_all(spark, d):
-    return graph.circular_transfers(I.all_transfers(spark, d), 3, 6)
-
-
-@query()
-def degree_centrality_all(spark, d):
-    return graph.degree_centrality(I.nation_nodes(spark, d), I.all_transfers(spark, d))
-
-
-@query()
-def ego_graph_r2_all(spark, d):
-    return graph.ego_graph(I.all_transfers(spark, d), "N3", 2)[1].select("source", "target", "amount")
-
-
-@query()
-def inter_community_links_all(spark, d):
-    return graph.inter_community_links(I.all_transfers(spark, d), I.communities(spark, d))
-
-
-@query()
-def cross_community_brokers_all(spark, d):
-    return graph.community_brokers(I.all_transfers(spark, d), I.communities(spark, d))
-
-
-@query()
-def modularity_fixed_partition_all(spark, d):
-    return graph.modularity(I.all_transfers(spark, d), I.communities(spark, d))
-
-
-@query()
-def criminal_cells_all(spark, d):
-    return graph.cells(I.nation_nodes(spark, d), I.all_transfers(spark, d), I.communities(spark, d))
-
-
-@query()
-def cell_leaders_all(spark, d):
-    return graph.cell_leaders(I.all_transfers(spark, d), I.communities(spark, d))
-
-
-@query()
-def pagerank_all(spark, d):
-    return graph.pagerank(I.nation_nodes(spark, d), I.all_transfers(spark, d))
+    return graph.composite_risk(n, graph.pagerank(n, e, tolerance=1e-12), graph.betweenness(n, e), graph.degree_centrality(n, e))
 
 
-@query()
-def closeness_centrality_all(spark, d):
-    return graph.closeness(I.nation_nodes(spark, d), I.all_transfers(spark, d))
-
-
-@query()
-def bipartite_projection_all(spark, d):
-    e = I.table(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target")).distinct()
-    return graph.project_bipartite(e, e.select(F.col("source").alias("id")).distinct())
-
-
-@query()
+@query(f"""WITH RECURSIVE {I.TRANSFERS_SQL}, s AS (SELECT source, target, amount FROM t WHERE source <> target), p AS (SELECT source AS st, target AS en, [source, target] AS path, amount AS total FROM s WHERE target > source
+UNION ALL SELECT st, s.target, list_append(path, s.target), total + s.amount FROM p JOIN s ON s.source = en AND s.target > st AND NOT list_contains(path, s.target) WHERE len(path) < 4),
+r AS (SELECT total + s.amount AS total FROM p JOIN s ON s.source = en AND s.target = st WHERE len(path) >= 3),
+i AS (SELECT target AS id, count(*) AS n_in, sum(amount) AS a FROM s GROUP BY target), o AS (SELECT source AS id, count(*) AS n_out, sum(amount) AS b FROM s GROUP BY source),
+x AS (SELECT *, abs(a - b) / greatest(a, b) AS r FROM i JOIN o USING (id) WHERE n_in >= 2 AND n_out >= 2), y AS (SELECT * FROM x WHERE r <= 0.25),
+f AS (SELECT target FROM s GROUP BY target HAVING count(DISTINCT source) >= 3 UNION ALL SELECT source FROM s GROUP BY source HAVING count(DISTINCT target) >= 3)
+SELECT (SELECT count(*) FROM r) AS ring_count, (SELECT count(*) FROM y) AS mule_count, (SELECT count(*) FROM f) AS smurfing_count, (SELECT count(*) FROM y WHERE r <= 0.05 AND n_in + n_out >= 6) AS critical_mules,
+round((coalesce((SELECT sum(total) FROM r), 0) + coalesce((SELECT sum(a) FROM y), 0)) / 1e6, 3) AS suspicious_millions""")
 def detect_all_summary(spark, d):
-    return graph.detect_all(I.nation_nodes(spark, d), I.strong_transfers(spark, d), 3, 4)["summary"]
+    got = graph.detect_all(I.nation_nodes(spark, d), I.all_transfers(spark, d), 3, 4)["summary"]
+    return got.select(*got.columns[:-1], F.round(F.col("suspicious_volume") / 1e6, 3).alias("suspicious_millions"))
 
 
-@query()
+@query(f"""{_SCORES}, z AS (SELECT 'KINGPIN_CANDIDATE' AS role, id, r AS score FROM p40 UNION ALL SELECT 'BROKER_FACILITATOR', id, betweenness FROM bw UNION ALL SELECT 'OPERATIONAL_HUB', id, degree FROM dg)
+SELECT role, id, round(score, 7) AS score FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY round(score, 9) DESC, id) AS k FROM z) WHERE k <= 5""")
 def node_roles(spark, d):
     n, e = I.nation_nodes(spark, d), I.all_transfers(spark, d).checkpoint()
-    return graph.roles(graph.pagerank(n, e), graph.betweenness(n, e), graph.degree_centrality(n, e))
+    nine = lambda df, c: df.select("id", F.round(c, 9).alias(c))  # noqa: E731  ties are ties in SQL too
+    got = graph.roles(nine(graph.pagerank(n, e, tolerance=1e-12), "rank"), nine(graph.betweenness(n, e), "betweenness"), nine(graph.degree_centrality(n, e), "degree"))
+    return got.withColumn("score", F.round("score", 7))
 
 
 _LINKS_SQL = "SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS target, count(*)::DOUBLE AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey"
@@ -243,14 +225,18 @@ def degree_customers_suppliers(spark, d):
     return got.select("id", F.round("in_degree", 10).alias("in_degree"), F.round("out_degree", 10).alias("out_degree"))
 
 
-@query()
+_PR_LINKS = ", ".join(f"p{i} AS (SELECT o.id, 0.85 * (coalesce(sum(p.r * e.weight / g.w), 0) + (SELECT coalesce(sum(r), 0) FROM p{i - 1} WHERE id NOT IN (SELECT source FROM g)) / any_value(k)) + 0.15 / any_value(k) AS r FROM o CROSS JOIN k LEFT JOIN e ON e.target = o.id LEFT JOIN g ON g.source = e.source LEFT JOIN p{i - 1} p ON p.id = e.source GROUP BY o.id)" for i in range(1, 6))
+
+
+@query(f"WITH e AS ({_LINKS_SQL}), o AS (SELECT 'C' || c_custkey AS id FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier), k AS (SELECT count(*)::DOUBLE AS k FROM o), g AS (SELECT source, sum(weight) AS w FROM e GROUP BY source), p0 AS (SELECT id, 1.0::DOUBLE / k AS r FROM o, k), {_PR_LINKS} SELECT id, round(r, 10) AS rank FROM p5")
 def pagerank_customers_suppliers(spark, d):
-    return graph.pagerank(I.nodes(spark, d).where("entity_type <> 'LOCATION'"), I.trade_links(spark, d), iterations=5, tolerance=None)
+    return graph.pagerank(I.nodes(spark, d).where("entity_type <> 'LOCATION'"), I.trade_links(spark, d), iterations=5, tolerance=None).select("id", F.round("rank", 10).alias("rank"))
 
 
-@query("SELECT 'N' || n_nationkey AS id, CASE WHEN length(n_name) > 3 THEN n_name[1] || '***' || n_name[-1] ELSE '***' END AS label FROM nation WHERE n_name NOT LIKE '% %'")
+@query("""SELECT 'N' || n_nationkey AS id, CASE WHEN n_name LIKE '% %' THEN array_to_string(list_transform(string_split(n_name, ' '), lambda w: CASE WHEN length(w) > 1 THEN w[1] || '***' ELSE '***' END), ' ')
+WHEN length(n_name) > 3 THEN n_name[1] || '***' || n_name[-1] ELSE '***' END AS label FROM nation""")
 def redact_nodes(spark, d):
-    return graph.redact(I.nation_nodes(spark, d).where("label not like '% %'")).select("id", "label")
+    return graph.redact(I.nation_nodes(spark, d)).select("id", "label")
 
 
 @query(f"WITH {I.NODES_SQL} SELECT id, risk_score FROM n ORDER BY risk_score DESC, id LIMIT 10")
@@ -657,11 +643,6 @@ def merkle_proof(spark, d):
     return got.withColumn("valid", F.col("proof_root") == root)
 
 
-@query(_PROOF_SQL)
-def merkle_proof_all(spark, d):
-    return merkle_proof(spark, d)
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'MISSING' WHEN doc_id % 7 = 0 THEN 'TAMPERED' ELSE 'INTACT' END AS status FROM documents")
 def custody_audit(spark, d):
     docs = I.table(spark, d, "documents")
