@@ -4,12 +4,15 @@ A text is halved until a part has LEAF_CHARS characters or fewer; leaves are enc
 encoded neighbours are joined by encoding again a window around the seam, which grows until the
 tokens outside it provably stay. Two seams occur:
 
-* between pre-tokens: matching runs left to right without looking behind, so all but the last
-  four pre-tokens of the left part stay, and once a boundary of the joined text falls on a
-  boundary of the right part, everything after it stays;
+* between pre-tokens: matching runs left to right without looking behind, and no alternative of the
+  pattern looks further than two characters beyond its match, so a pre-token that ends three characters
+  before the seam stays; at most three end later, and the last four are matched again. Once a boundary of
+  the joined text falls on a boundary of the right part, everything after it stays. A long pre-token that
+  the seam cut is joined from the ids of its parts;
 * between tokens of one pre-token, which is halved down to LEAF_BYTES bytes: a token sequence is
   the encoding of its bytes if every two neighbours are the encoding of their bytes, so the join
-  stops when both ends of the window fit.
+  stops when both ends of the window fit. In a run of one token, bytes that may stand on either side of it
+  (as letters of a repeated letter do) are moved behind the run at once, instead of through it.
 
 Distinct short pre-tokens are encoded once a worker. Decoding halves the ids likewise and
 concatenates the parts' bytes up the tree.
@@ -37,8 +40,8 @@ from .textkernel import TokenCache
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of a pre-token, characters of a text, and ids that are a leaf of their tree.
 LEAF_BYTES, LEAF_CHARS, LEAF_IDS, STABLE = 16, 512, 256, 4
-#: Pre-tokens that are kept, and the characters one may have.
-MOST_KNOWN, KNOWN_CHARS = 300_000, 64
+#: Pre-tokens that are kept, the characters one may have, and parts of long ones that are kept.
+MOST_KNOWN, KNOWN_CHARS, MOST_HALVES = 300_000, 64, 4000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,6 +70,7 @@ class Bpe:
         self.token = {v: k for k, v in ranks.items()}
         self.known = _Known(self.tree)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
         self.joins = self.text_joins = 0
 
     # tokens of one pre-token
@@ -122,11 +126,13 @@ class Bpe:
             got = self.fits[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return got
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: list[int], right: list[int], moving: bool = True) -> list[int]:
         """The encoding of two encoded neighbours."""
         self.joins += 1
         if not left or not right or self.fit(left[-1], right[0]):
             return left + right
+        if moving and len(right) > 3 and right[0] == right[3] and (run := self._run(left, right)):
+            return run
         k = 2
         while True:
             a, b = left[-k:], right[:k]
@@ -135,13 +141,35 @@ class Bpe:
                 return left[: max(0, len(left) - k)] + window + right[k:]
             k *= 2
 
+    def _run(self, left: list[int], right: list[int]) -> list[int] | None:
+        """The join where the right part begins with a run of one token that the left part's last ones commute with."""
+        m, token = 1, right[0]
+        while m < len(right) and right[m] == token:
+            m += 1
+        unit, j = self.token[token], len(left)
+        if m < 4:
+            return None
+        while j and left[j - 1] != token and (x := self.token[left[j - 1]]) + unit == unit + x:
+            j -= 1
+        if j == len(left):
+            return None
+        # the tail's bytes t and the run's r hold t r = r t
+        return self.join(self.join(left[:j], right[:m], False), self.join(left[j:], right[m:], False), False)
+
     def tree(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         if len(data) <= LEAF_BYTES:
             return self.merge(data)
+        if (kept := self.halves.get(data)) is not None:
+            return kept
         half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        out = self.join(self.tree(data[:half]), self.tree(data[half:]))
+        if len(data) <= 4 * LEAF_CHARS:  # parts of a run are alike
+            if len(self.halves) > MOST_HALVES:
+                self.halves.clear()
+            self.halves[data] = out
+        return out
 
     # pre-tokens of a text
 
@@ -157,22 +185,35 @@ class Bpe:
         """The encoding of two encoded neighbours that meet at a position and end at another."""
         self.text_joins += 1
         pieces, ids = left
-        window = pieces[-STABLE:]
+        window, held = pieces[-STABLE:], ids[-STABLE:]
         del pieces[-STABLE:], ids[-STABLE:]
         after, i = at, 0  # the right part's boundary that the window has come up to
         for m in self.pattern.finditer(text, at - sum(map(len, window)), end):
-            piece, reached = m[0], m.end()
-            pieces.append(piece)
-            ids.append(self.known[piece])
+            piece, reached, i0 = m[0], m.end(), i
             while after < reached:
                 after += len(right[0][i])
                 i += 1
+            pieces.append(piece)
+            ids.append(self.known[piece] if len(piece) <= KNOWN_CHARS else self._cut(piece, at - m.start(), window, held, right, i0, i, after == reached))
             if after == reached:
                 break
         pieces += right[0][i:]
         ids += right[1][i:]
         return pieces, ids
 
+    def _cut(self, piece: str, before: int, window: list[str], held: list[bytes], right: tuple[list[str], list[bytes]], i: int, end: int, aligned: bool) -> bytes:
+        """The ids of a long piece that begins so many characters before the seam: joined from whole parts' ids, if it has them."""
+        j, left = len(window), 0
+        while j and left < before:
+            j -= 1
+            left += len(window[j])
+        if not aligned or left != max(before, 0) or not before > 0:
+            return self.known[piece]
+        out: list[int] = []
+        for ids in held[j:] + right[1][i:end]:
+            out = self.join(out, np.frombuffer(ids, dtype="<u4").tolist())
+        return np.array(out, dtype="<u4").tobytes()
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text, little-endian in 4 bytes each."""
         if len(self.known) > MOST_KNOWN:
