@@ -524,3 +524,16 @@ def test_token_files_keep_added_token(spark):
     got = [r.ids for r in token_files.read(spark, folder).orderBy("start").collect()]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     assert got[2] == [tokenizer.token_to_id(end)] * 2 + [0]
+
+
+def test_bpe_on_long_runs(reference):
+    """Seams inside one pre-token join the halves' ids; runs of a million signs take seconds."""
+    own = bpe.Bpe(bpe.load_ranks(public_tokenizers.path(bpe.RANKS)))
+    rng = random.Random(11)
+    texts = [c * n for c in ("x", "-", "0", " ", "é", "日") for n in (63, 513, 5000)] + ["abcdefghij" * 3000, "ab" * 2001 + " " + "-=" * 999, "x" * 700 + "'ll" * 400]
+    texts += ["".join(rng.choice(["aaaa", "bb", " ", "1234", "---", "'ll", "\n\n"]) * rng.randint(1, 200) for _ in range(8)) for _ in range(60)]
+    for t in texts:
+        assert own.encode(t) == reference.encode(t), t[:40]
+    for c in "x-0 ":
+        ids = own.encode(c * 1_500_000)
+        assert own.decode(ids) == (c * 1_500_000).encode() and len(ids) < 1_500_001
