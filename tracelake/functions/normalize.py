@@ -118,3 +118,35 @@ def sanitize(text: Column) -> Column:
     out = F.regexp_replace(out, r"\b(?:sk_[a-zA-Z0-9_\-]{16,}|gh[a-zA-Z0-9]_[a-zA-Z0-9]{20,}|AKIA[0-9A-Z]{16})\b", "[REDACTED]")
     out = F.regexp_replace(out, r"(?i)\b(password|passwd|pwd|pass|secret|token|api[_-]?key|auth_token)\s*[:=]\s*([^\s;,\"'&]+)", "$1=[REDACTED]")
     return F.coalesce(out, F.lit(""))
+
+
+# Keys whose values are secrets, whatever they are.
+SECRET_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "auth_token", "private_key")
+
+
+def sanitize_map(pairs: Column) -> Column:
+    """A map of texts: values of secret keys (whatever their case) give way, other values are sanitized; null values stay."""
+    return F.transform_values(pairs, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), "[REDACTED]").when(v.isNotNull(), sanitize(v)))
+
+
+def sanitize_json(text: Column, schema: str) -> Column:
+    """A JSON object of a known shape, with secrets replaced at any depth.
+
+    Values of secret keys give way unless they are objects or lists, which are gone through as others
+    are; numbers and truths of other keys stay. Text that isn't an object of that shape gives null.
+    """
+    from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+
+    def clean(value: Column, kind: DataType, secret: bool) -> Column:
+        if isinstance(kind, StructType):
+            return F.when(value.isNotNull(), F.struct(*(clean(value[f.name], f.dataType, f.name.lower() in SECRET_KEYS).alias(f.name) for f in kind.fields)))
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: clean(x, kind.elementType, False))
+        if isinstance(kind, MapType):
+            return F.transform_values(value, lambda k, x: F.when(F.lower(k).isin(*SECRET_KEYS) & x.isNotNull(), "[REDACTED]").otherwise(clean(x, kind.valueType, False)) if isinstance(kind.valueType, StringType) else clean(x, kind.valueType, False))
+        if secret:
+            return F.when(value.isNotNull(), "[REDACTED]")
+        return F.when(value.isNotNull(), sanitize(value)) if isinstance(kind, StringType) else value
+
+    kind = StructType.fromDDL(schema)
+    return F.to_json(clean(F.from_json(text, kind), kind, False))

@@ -1,14 +1,16 @@
-"""Case tables behind a lexical SQL guard; queries run as parameterised Spark SQL.
+"""Case tables behind an SQL guard; statements run as parameterised Spark SQL.
 
-The guard is a filter in front of Spark's own parser, not a parser: it masks literals, then checks
-operations, tables, comments, stacking, tautologies and limits. A name that follows FROM, JOIN,
-INTO or TABLE, or a comma in a FROM list, must be one of the tables, however it is quoted.
+The guard is lexical first: it masks literals, then checks operations, tables, comments, stacking,
+tautologies and limits. A name that follows FROM, JOIN, INTO or TABLE, or a comma in a FROM list, must be
+one of the tables, however it is quoted. What passes is read by Spark's parser, which runs nothing, and
+checked again on the tree (``tree_of``): every relation, in subqueries and common tables too, and every operation.
 """
 
 from __future__ import annotations
 
 import re
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,50 @@ def relations(sql: str) -> list[str]:
     return found
 
 
+def tree_of(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
+    """(operations, relations) of a statement, from Spark's unresolved plan: nothing is resolved or run.
+
+    Operations are plan nodes by class; relations are names as written, in lower case, common tables left out where they are in scope.
+    """
+    try:
+        root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise GuardError("Spark's parser doesn't read the statement") from e
+    operations, relations_ = set(), set()
+
+    def each(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    holds_plan = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+
+    def expressions(e, scope: frozenset[str]) -> None:
+        if holds_plan.isInstance(e):
+            plan(e.plan(), scope)
+        for c in each(e.children()):
+            expressions(c, scope)
+
+    def plan(p, scope: frozenset[str]) -> None:
+        name = p.getClass().getSimpleName()
+        operations.add(name)
+        if name == "UnresolvedRelation":
+            parts = ".".join(each(p.multipartIdentifier())).lower()
+            if parts not in scope:
+                relations_.add(parts)
+        if name == "UnresolvedWith":
+            for pair in each(p.cteRelations()):
+                plan(pair._2(), scope)
+                scope = scope | {str(pair._1()).lower()}
+        if name == "InsertIntoStatement":
+            plan(p.table(), scope)
+        for e in each(p.expressions()):
+            expressions(e, scope)
+        for c in each(p.children()):
+            plan(c, scope)
+
+    plan(root, frozenset())
+    return operations, relations_
+
+
 @dataclass(frozen=True)
 class Guard:
     """What statements may do; validate returns the statement to run."""
@@ -203,28 +249,83 @@ class CaseStore:
         # braces in literals would be taken for frames
         return re.sub(rf"""{_LITERAL}|"[^"]*"(?!\s*\.)|{relation}""", lambda m: m[0].replace("{", "{{").replace("}", "}}") if m[0][0] in "'\"" else put(m), text, flags=re.I)
 
-    def query(self, sql: str, args: dict | None = None, timeout_s: float | None = None) -> DataFrame:
-        """Runs one guarded SELECT; with a timeout its jobs are interrupted by tag."""
-        text = self._placed(self.guard.validate(sql))
+    def _checked(self, statement: str | Statement) -> str:
+        """The statement as it runs, once the guard and the tree of Spark's parser have passed it."""
+        text = self.guard.validate(statement)
+        quoted = re.sub(rf"""({_LITERAL})|"([^"]*)"|\[([^\]]*)\]""", lambda m: m[1] or (f"`{m[2] or m[3]}`" if (m[2] or m[3] or "").lower() in self.frames else m[0]), text)
+        operations, named = tree_of(self.spark, quoted)
+        if writes := [x for x in operations if x.endswith(("Command", "Statement")) and x != "InsertIntoStatement" or x.startswith(("Create", "Drop", "Alter", "Set", "Delete", "Update", "Merge", "UnresolvedTableValuedFunction"))]:
+            raise GuardError(f"{sorted(writes)[0]} isn't allowed")
+        if bad := sorted(x for x in named if x.removeprefix("main.") not in self.guard._known()):
+            raise GuardError(f"table {bad[0]} isn't allowed")
+        return text
+
+    def query(self, sql: str | Statement, args: dict | list | None = None, timeout_s: float | None = None) -> DataFrame:
+        """Runs one guarded SELECT; its rows, at most the guard's limit, are read at once, under the timeout if there is one."""
+        if isinstance(sql, Statement) and args is None:
+            args = sql.params
+        text = self._placed(self._checked(sql))
         frame = self.spark.sql(text, args=args or {}, **{n: df for n, df in self.frames.items() if f"{{{n}}}" in text})
-        if timeout_s is None:
-            return frame
-        tag = f"case-{id(frame)}"
+        tag = f"case-{uuid.uuid4().hex}"
         self.spark.addTag(tag)
-        timer = threading.Timer(timeout_s, lambda: self.spark.interruptTag(tag))
-        timer.start()
+        timer = threading.Timer(timeout_s, lambda: self.spark.interruptTag(tag)) if timeout_s is not None else None
+        if timer:
+            timer.start()
         try:
-            return self.spark.createDataFrame(frame.collect(), frame.schema)  # at most the guard's limit
+            return self.spark.createDataFrame(frame.collect(), frame.schema)
         finally:
-            timer.cancel()
+            if timer:
+                timer.cancel()
             self.spark.removeTag(tag)
 
+    def _inserted(self, text: str, args: dict | list | None) -> tuple[str, DataFrame]:
+        """(table, its new rows) of a checked INSERT: columns that aren't named are null."""
+        m = re.match(r"""\s*INSERT\s+INTO\s+(?:main\s*\.\s*)?["`\[]?(\w+)["`\]]?\s*(?:\(([^()]*)\)\s*(?=VALUES|SELECT|WITH))?""", text, re.I)
+        if not m:
+            raise GuardError("INSERT without a table")
+        name, rest = m[1].lower(), text[m.end() :]
+        schema = [tuple(c.split()) for c in TABLES[name].split(", ")]
+        columns = [c.strip().strip('"`[]').lower() for c in m[2].split(",")] if m[2] else [c for c, _ in schema]
+        placed = self._placed(rest)
+        rows = self.spark.sql(placed, args=args or {}, **{n: df for n, df in self.frames.items() if f"{{{n}}}" in placed})
+        if len(rows.columns) != len(columns) or len(set(columns)) < len(columns) or set(columns) - {c for c, _ in schema}:
+            raise GuardError(f"{name}: columns don't fit")
+        rows = rows.toDF(*columns)
+        return name, rows.select(*(F.col(c).cast(t).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in schema))
+
+    def execute_many(self, statements: list[str | Statement]) -> list[DataFrame | int]:
+        """Runs SELECTs and INSERTs in order: rows, or how many were added. All are checked first, and if one fails none counts."""
+        checked = [(self._checked(s), s.params if isinstance(s, Statement) else None) for s in statements]
+        before, out = self.frames, []
+        try:
+            for text, args in checked:
+                if text.lstrip()[:6].upper() != "INSERT":
+                    out.append(self.query(text, args))
+                    continue
+                name, rows = self._inserted(text, args)
+                rows = self.spark.createDataFrame(rows.collect(), rows.schema) if re.search(r"\)\s*VALUES\b|^\s*INSERT\s+INTO\s+\S+\s+VALUES\b", text, re.I) else rows.checkpoint()  # what a statement lists, or a table
+                self.insert({name: rows})
+                out.append(rows.count())
+        except Exception:
+            self.frames = before
+            raise
+        return out
+
+    def execute(self, statement: str | Statement) -> DataFrame | int:
+        return self.execute_many([statement])[0]
+
 
 def explode_reports(reports: DataFrame) -> dict[str, DataFrame]:
-    """Nested incident reports (id, ..., suspects, evidences, victims) as the four tables."""
+    """Nested incident reports (id, ..., suspects, evidences, victims) as the four tables.
+
+    A child's id is 63 bits of the digest of its incident, kind and place: children of any number don't clash, and a report
+    read again gives the same ids.
+    """
     out = {"incidents": reports.select(*[c.split()[0] for c in TABLES["incidents"].split(", ")])}
     for name in ("suspects", "evidences", "victims"):
         columns = [c.split()[0] for c in TABLES[name].split(", ")][2:]
         rows = reports.select(F.col("id").alias("incident_id"), F.posexplode(name).alias("i", "r"))
-        out[name] = rows.select((F.col("incident_id") * 1000 + F.col("i")).cast("long").alias("id"), "incident_id", *(F.col(f"r.{c}").alias(c) for c in columns))
+        digest = F.sha2(F.concat_ws(":", F.col("incident_id").cast("string"), F.lit(name), F.col("i").cast("string")), 256)
+        own = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        out[name] = rows.select(own.alias("id"), "incident_id", *(F.col(f"r.{c}").alias(c) for c in columns))
     return out

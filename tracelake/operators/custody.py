@@ -6,12 +6,19 @@ import hashlib
 import hmac
 import json
 import os
+import re
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.sources.ranges import file_digests
+from tracelake.tables import Tables
+
+#: Leaves of a range that are numbered together.
+RANGE_ROWS = 1_000_000
+
 
 def safe_path(target: str, base: str | None = None) -> str:
     """The real path of a regular local file; raises ValueError where it leaves the base or isn't a file."""
@@ -26,8 +33,8 @@ def safe_path(target: str, base: str | None = None) -> str:
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files of any size, read by pages."""
+    return file_digests(spark, path).withColumnRenamed("size", "length")
 
 
 def same_digest(a: Column, b: Column) -> Column:
@@ -44,17 +51,21 @@ def leaf_hash(data: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("00")), data.cast("binary")), 256)
 
 
-def number_leaves(leaves: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """idx from 0 by order, ties by hash (equal rows are alike), without one task for all: ranges are counted, then numbered inside."""
-    bounds = leaves.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array(F.lit(0)).cast("array<bigint>")
-    part = F.size(F.filter(cuts, lambda b: b < F.col(order)))
-    keyed = leaves.withColumn("part", part)
-    sizes = keyed.groupBy("part").agg(F.count("*").alias("n"))
-    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a range
+def number_leaves(leaves: DataFrame, order: str) -> DataFrame:
+    """idx from 0 by order, ties by hash (equal rows are alike), without one task for all.
+
+    Sorted rows lie in ranges as many as they need; ranges are counted, then numbered inside.
+    """
     ties = [c for c in ("hash",) if c in leaves.columns]
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(order, *ties)) - 1
-    return keyed.withColumn("i", inside).join(base, "part").select("*", (F.col("base") + F.col("i")).cast("long").alias("idx")).drop("part", "i", "base")
+    tables = Tables(leaves.sparkSession)
+    parts = max(1, -(-leaves.count() // RANGE_ROWS))
+    sorted_ = leaves.repartitionByRange(parts, order, *ties).sortWithinPartitions(order, *ties)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = tables.put("leaves", sorted_.withColumns({"_part": F.spark_partition_id(), "_i": place}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a range
+    return placed.join(F.broadcast(base), "_part").select(*leaves.columns, (F.col("_base") + F.col("_i")).cast("long").alias("idx"))
 
 
 def merkle_levels(leaves: DataFrame) -> DataFrame:
@@ -118,19 +129,58 @@ def verify_certificate(cert: dict, secret: bytes) -> bool:
 class Ledger:
     """An append-only table of evidence, roots or certificates: rows are added, never changed; a known id is refused.
 
+    Rows are written to a folder of their own first, and count once a commit names it. Commits are numbered files,
+    which appear whole and only if no writer has made that number; who comes second looks at the new rows and
+    tries the next one. So of two writers of an id one fails, and what a killed writer leaves is never read.
     Reads of a ledger without rows give None, or 0 for counts.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def read(self) -> DataFrame | None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._path(self.path).getFileSystem(self._conf)
+
+    def commits(self) -> list[tuple[int, str]]:
+        """(number, folder of rows) of every commit, in order."""
+        folder = self._path(f"{self.path}/commits")
+        if not self._files.exists(folder):
+            return []
+        numbers = sorted(int(n) for x in self._files.listStatus(folder) if re.fullmatch("[0-9]{12}", n := x.getPath().getName()))
+        found = self.spark.sparkContext.wholeTextFiles(",".join(f"{self.path}/commits/{n:012d}" for n in numbers)) if numbers else None
+        return sorted((int(p.rsplit("/", 1)[1]), t.strip()) for p, t in found.collect()) if found else []  # a row a commit
+
+    def _commit(self, number: int, rows: str) -> bool:
+        """Makes the commit of that number, unless a writer has: a whole file takes its name in one step."""
+        own, target = self._path(f"{self.path}/rows/{rows}.commit"), self._path(f"{self.path}/commits/{number:012d}")
+        self._files.mkdirs(target.getParent())
+        out = self._files.create(own, True)
+        out.write(rows.encode())
+        out.close()
         try:
-            return self.spark.read.parquet(self.path)
-        except Exception as e:  # an empty ledger has no folder yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
+            if self._files.getScheme() == "file":  # a local rename would take the place of a file
+                os.link(own.toUri().getPath(), target.toUri().getPath())
+            else:
+                jvm = self.spark.sparkContext._jvm
+                kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+                options = self.spark.sparkContext._gateway.new_array(kind, 1)
+                options[0] = kind.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files.getUri(), self._conf).rename(own, target, options)
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
             raise
+        finally:
+            self._files.delete(own, False)
+        return True
+
+    def read(self) -> DataFrame | None:
+        return self._rows(self.commits())
+
+    def _rows(self, commits: list[tuple[int, str]]) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/rows/{f}" for _, f in commits)) if commits else None
 
     def find(self, **values) -> DataFrame | None:
         """The rows that equal the values; hashes are compared in lower case."""
@@ -139,6 +189,11 @@ class Ledger:
             found = found.where(F.lower(c) == v.lower() if c.endswith("hash") or c == "hash_value" else F.col(c) == v)
         return found
 
+    def listing(self, case_id: str | None = None, order: str = "created_at", key: str = "evidence_id") -> DataFrame | None:
+        """The rows of all cases, or of one, by time and key."""
+        found = self.find() if case_id is None else self.find(case_id=case_id)
+        return None if found is None else found.orderBy(order, key)
+
     def count(self, case_id: str | None = None) -> int:
         found = self.find() if case_id is None else self.find(case_id=case_id)
         return 0 if found is None else found.count()
@@ -150,9 +205,27 @@ class Ledger:
 
     def append(self, rows: DataFrame, key: str = "evidence_id", hashed: str = "hash_value") -> int:
         """Adds the rows whose hash is 64 hex digits; raises if an id is there already."""
-        valid = rows.where(F.col(hashed).rlike("^[0-9a-fA-F]{64}$")).checkpoint()
-        known = self.read()
-        if not valid.groupBy(key).count().where("count > 1").isEmpty() or known is not None and not valid.join(known, key, "left_semi").isEmpty():
-            raise ValueError("evidence is append-only: an id is there already")
-        valid.write.mode("append").parquet(self.path)
-        return valid.count()
+        name = uuid.uuid4().hex
+        rows.where(F.col(hashed).rlike("^[0-9a-fA-F]{64}$")).write.parquet(f"{self.path}/rows/{name}")
+        own = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/{name}")
+        clash = not own.groupBy(key).count().where("count > 1").isEmpty()
+        while not clash:
+            commits = self.commits()
+            known = self._rows(commits)
+            clash = known is not None and not own.join(known, key, "left_semi").isEmpty()
+            if not clash and self._commit(commits[-1][0] + 1 if commits else 1, name):
+                return own.count()
+        self._files.delete(self._path(f"{self.path}/rows/{name}"), True)
+        raise ValueError("evidence is append-only: an id is there already")
+
+
+def audit_verdict(audited: DataFrame, root: str | None = None, expected: str | None = None) -> DataFrame:
+    """One row: how many items are intact, tampered and missing; whether the root is the expected one; and the verdict.
+
+    VALID needs all intact and, where a root is expected, that one; no items are VALID.
+    """
+    n = lambda s: F.count_if(F.col("status") == s)
+    same = None if expected is None else (root or "").strip().lower() == expected.strip().lower()
+    got = audited.agg(F.count("*").alias("n_items"), n("INTACT").alias("n_intact"), n("TAMPERED").alias("n_tampered"), n("MISSING").alias("n_missing"))
+    whole = (F.col("n_intact") == F.col("n_items")) & F.lit(same is not False)
+    return got.withColumns({"root_matches": F.lit(same).cast("boolean"), "verdict": F.when(whole, "VALID").otherwise("COMPROMISED")})

@@ -119,15 +119,26 @@ def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def project_bipartite(edges: DataFrame, kept: DataFrame) -> DataFrame:
+#: Neighbours that a shared node may have to be paired in one task, and of a tile's side beyond.
+TILE = 2000
+
+
+def project_bipartite(edges: DataFrame, kept: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs of kept nodes (id) that share neighbours that aren't kept; weight: how many; both ways.
 
-    Rows grow with the square of a shared neighbour's degree: that is the size of the result.
+    Rows grow with the square of a shared neighbour's degree: that is the size of the result. Neighbours of
+    a node with more than ``tile`` are cut into blocks by hash, and pairs of blocks are joined as
+    tiles, so no task pairs more than two blocks of one node, however many it has.
     """
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("via")).union(edges.select("target", "source")).distinct()
     sides = both.join(kept, "id", "left_semi").join(kept.withColumnRenamed("id", "via"), "via", "left_anti")
-    a, b = sides.select(F.col("id").alias("source"), "via"), sides.select(F.col("id").alias("target"), "via")
-    one = a.join(b, "via").where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+    blocks = sides.groupBy("via").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
+    placed = sides.join(blocks, "via").select("id", "via", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
+    last = F.col("n") - 1
+    a = placed.select(F.col("id").alias("a"), "via", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"))
+    b = placed.select(F.col("id").alias("b"), "via", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    pairs = a.join(b, ["via", "i", "j"]).where("i < j or a < b")
+    one = pairs.groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(F.count("*").alias("weight"))
     return one.union(one.select("target", "source", "weight"))
 
 
@@ -139,6 +150,17 @@ def inter_community_links(edges: DataFrame, communities: DataFrame) -> DataFrame
     return joined.select("source", "target", "source_community", "target_community", money().alias("amount"))
 
 
+def inter_community_summary(links: DataFrame) -> DataFrame:
+    """One row: edges between communities and the money they move."""
+    return links.agg(F.count("*").alias("n_edges"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("volume"))
+
+
+def cell_types(nodes: DataFrame, communities: DataFrame) -> DataFrame:
+    """(community, entity_type, n): a community's members by type, OTHER where a node has none."""
+    kinds = communities.join(nodes.select("id", "entity_type"), "id", "left")
+    return kinds.groupBy("community", F.coalesce("entity_type", F.lit("OTHER")).alias("entity_type")).agg(F.count("*").alias("n"))
+
+
 def community_brokers(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """Nodes whose incident edges touch more than one community, widest span first."""
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source"))
@@ -202,26 +224,95 @@ def smurfing_patterns(edges: DataFrame, threshold: int = 5) -> DataFrame:
     return fans("target", "source", "FAN_IN").union(fans("source", "target", "FAN_OUT"))
 
 
-def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int = 4, transaction_only: bool = False) -> DataFrame:
+def _trimmed(hops: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """Edges (s, t) without those that lead from or to a dead end, over and over: none of them is in a ring."""
+    kept = tables.put(name, hops.where("s <> t").distinct())
+    n = kept.count()
+    while n:
+        inner = kept.join(kept.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(kept.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
+        kept = tables.put(name, inner.select("s", "t"))
+        n, before = kept.count(), n
+        if n == before:
+            break
+    return kept
+
+
+def _spread(edges: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
+    """Labels (id, label): each node's least label of all that lead to it over edges (s, t), its own included."""
+    labels = tables.put("labels", labels)
+    while True:
+        seen = Observation()
+        near = edges.join(labels, F.col("s") == F.col("id")).groupBy("t").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("id") == F.col("t"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        labels = tables.put("labels", step.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("n")).select("id", "label"))
+        if not seen.get["n"]:
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes on directed cycles: the least node that each reaches and is reached from.
+
+    Dead ends are trimmed; what is left takes the least id that leads to it (forward), and where that
+    id is reached back within its colour (backward), the nodes are one component and leave. What is left is trimmed
+    again. Nodes on no cycle, loops aside, are in no row.
+    """
+    tables = Tables(edges.sparkSession)
+    left = _trimmed(edges.select(F.col("source").alias("s"), F.col("target").alias("t")), tables, "left")
+    found = tables.put("found", left.select(F.col("s").alias("id"), F.col("s").alias("component")).limit(0))
+    while not left.isEmpty():
+        nodes = left.select(F.col("s").alias("id")).union(left.select("t")).distinct()
+        colour = tables.put("colour", _spread(left, nodes.select("id", F.col("id").alias("label")), tables))
+        a, b = colour.select(F.col("id").alias("s"), F.col("label").alias("c")), colour.select(F.col("id").alias("t"), F.col("label").alias("d"))
+        back = tables.put("back", left.join(a, "s").join(b, "t").where("c = d").select(F.col("t").alias("s"), F.col("s").alias("t")))
+        # the root of a colour is the node of that name; other nodes start with a label behind all ids
+        far = F.when(F.col("id") == F.col("label"), 0).otherwise(1)
+        roots = colour.select("id", F.struct(far.alias("far"), F.col("label").alias("root")).alias("label"))
+        reached = tables.put("reached", _spread(back, roots, tables).where("label.far = 0").select("id", F.col("label.root").alias("component")))
+        found = tables.put("found", found.union(reached))
+        gone = reached.select("id")
+        rest = left.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti")
+        left = _trimmed(rest.select("s", "t"), tables, "left")
+    tables.free("left", "labels", "colour", "back", "reached")
+    # a node left alone after its cycle's others went elsewhere is in none
+    return found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("id", "component")
+
+
+def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int = 4, transaction_only: bool = False, most: int | None = None) -> DataFrame:
     """Each directed simple cycle once, from its least id: length, ids, total, least, most and mean amount.
 
-    transaction_only takes edges of type TRANSACTION or TRANSFER alone. Lengths from 2 on.
+    transaction_only takes edges of type TRANSACTION or TRANSFER alone. Lengths from 2 on. Paths are followed
+    within strong components only, and no further once none is left. Rings can be more than any table
+    holds: most keeps those of the greatest totals (ties by ring), and adds ring_id by that order.
     """
     if not 2 <= min_length <= max_length:
         raise ValueError("cycles have 2 nodes or more, and the least length is at most the greatest")
     if transaction_only:
         edges = subgraph_by_relation_types(edges, ["TRANSACTION", "TRANSFER"])
-    hop = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), money().alias("m"))
+    tables = Tables(edges.sparkSession)
+    inside = strong_components(edges)
+    a, b = inside.select(F.col("id").alias("s"), F.col("component").alias("c")), inside.select(F.col("id").alias("t"), F.col("component").alias("d"))
+    all_hops = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), money().alias("m"))
+    hop = tables.put("hops", all_hops.where("s <> t").join(a, "s").join(b, "t").where("c = d").select("s", "t", "m"))
     paths = hop.where("t > s").select(F.col("s").alias("start"), F.col("t").alias("end"), F.array("s", "t").alias("path"), F.array("m").alias("amounts"))
-    found = None
+    found = []
     for k in range(2, max_length + 1):
         if k >= min_length:
-            shut = paths.join(hop, (paths["end"] == hop["s"]) & (paths["start"] == hop["t"])).select("path", F.concat("amounts", F.array("m")).alias("amounts"))
-            found = shut if found is None else found.union(shut)
+            found.append(paths.join(hop, (paths["end"] == hop["s"]) & (paths["start"] == hop["t"])).select("path", F.concat("amounts", F.array("m")).alias("amounts")))
         if k < max_length:
-            paths = paths.join(hop, (paths["end"] == hop["s"]) & (hop["t"] > paths["start"])).where("not array_contains(path, t)").select("start", F.col("t").alias("end"), F.concat("path", F.array("t")).alias("path"), F.concat("amounts", F.array("m")).alias("amounts"))
+            longer = paths.join(hop, (paths["end"] == hop["s"]) & (hop["t"] > paths["start"])).where("not array_contains(path, t)")
+            paths = tables.put(f"paths{k}", longer.select("start", F.col("t").alias("end"), F.concat("path", F.array("t")).alias("path"), F.concat("amounts", F.array("m")).alias("amounts")))
+            if paths.isEmpty():
+                break
+    rings = paths.select("path", "amounts").limit(0)
+    for x in found:
+        rings = rings.union(x)
     total = F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x)
-    return found.select(F.size("path").cast("long").alias("length"), F.array_join("path", ">").alias("ring"), F.round(total, 2).alias("total"), F.round(F.array_min("amounts"), 2).alias("least"), F.round(F.array_max("amounts"), 2).alias("most"), F.round(F.round(total, 2) / F.size("amounts"), 2).alias("average"))
+    out = rings.select(F.size("path").cast("long").alias("length"), F.array_join("path", ">").alias("ring"), F.round(total, 2).alias("total"), F.round(F.array_min("amounts"), 2).alias("least"), F.round(F.array_max("amounts"), 2).alias("most"), F.round(F.round(total, 2) / F.size("amounts"), 2).alias("average"))
+    if most is None:
+        return out
+    first = out.orderBy(F.desc("total"), "ring").limit(most)
+    number = F.row_number().over(Window.orderBy(F.desc("total"), "ring"))  # at most the limit's rows
+    return first.select(F.concat(F.lit("RING_"), F.lpad(number.cast("string"), 4, "0")).alias("ring_id"), "*")
 
 
 def detect_all(nodes: DataFrame, edges: DataFrame, min_length: int = 3, max_length: int = 6, tolerance: float = 0.25, threshold: int = 3) -> dict[str, DataFrame]:

@@ -251,7 +251,7 @@ def _depths(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_model(rows: DataFrame, columns: list[str], trees: int = 15, sample: int = 128, ridge: float = 1e-3, seed: int = 42) -> dict:
+def fit_model(rows: DataFrame, columns: list[str], trees: int = 15, sample: int = 128, ridge: float = 1e-3, seed: int = 42, weights: tuple[float, float, float] = (0.5, 0.5, 0.85)) -> dict:
     """Scale, inverse covariance, distance threshold and isolation trees, as a JSON-able model.
 
     Statistics are aggregates over all rows; the trees take a bounded sample each (trees times
@@ -269,7 +269,7 @@ def fit_model(rows: DataFrame, columns: list[str], trees: int = 15, sample: int
         cov[i, j] = cov[j, i] = v or 0.0
     # the scaled median is 0 up to the division's rounding
     inverse, center = np.linalg.pinv(cov + ridge * np.eye(d)), np.zeros(d)
-    model = {"columns": list(columns), "center": [scale[c][0] for c in columns], "scale": [scale[c][1] for c in columns], "inverse": inverse.tolist(), "middle": center.tolist(), "threshold": 1.0, "trees": [], "sample": sample}
+    model = {"columns": list(columns), "center": [scale[c][0] for c in columns], "scale": [scale[c][1] for c in columns], "inverse": inverse.tolist(), "middle": center.tolist(), "threshold": 1.0, "trees": [], "sample": sample, "weights": list(weights)}
     far = quantiles(score(clean, {**model, "threshold": None}).select(F.lit("distance").alias("feature"), F.col("distance").alias("x")), [0.99]).first()
     model["threshold"] = max(1.5 * (far.value if far else 0.0), 10.0)
     picked = np.array([list(r) for r in z.orderBy(F.xxhash64(*columns, F.lit(seed))).limit(trees * sample).collect()], dtype=float).reshape(-1, d)
@@ -310,7 +310,8 @@ def score(rows: DataFrame, model: dict) -> DataFrame:
             maha = 1 - np.exp(-0.5 * (distance / (model["threshold"] or 1.0)) ** 2)
             depth = np.mean([_depths(t, x) for t in model["trees"]], axis=0) if model["trees"] and len(x) else np.full(len(x), np.inf)
             iso = np.clip((2 ** (-depth / (average_path(model["sample"]) or 1.0)) - 0.40) / 0.30, 0, 1)
-            both = np.clip(np.maximum(0.5 * iso + 0.5 * maha, 0.85 * np.maximum(iso, maha)), 0, 1)
+            of_iso, of_maha, of_most = model.get("weights", (0.5, 0.5, 0.85))  # a weighted mean, or a share of the higher one
+            both = np.clip(np.maximum(of_iso * iso + of_maha * maha, of_most * np.maximum(iso, maha)), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (distance, iso, maha, both))], names=[*batch.schema.names, "distance", "isolation", "mahalanobis", "anomaly"])
 
     extra = "distance double, isolation double, mahalanobis double, anomaly double"

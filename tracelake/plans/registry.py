@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import lateral
 from tracelake.functions import normalize as N
-from tracelake.operators import binary, casesql, custody, graph, threats, timeline
+from tracelake.operators import binary, carving, casesql, custody, graph, threats, timeline
 from tracelake.plans import inputs as I
 from tracelake.sinks import reports
-from tracelake.sources import logs
+from tracelake.sources import logs, ranges
+from tracelake.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,6 +219,47 @@ def node_roles(spark, d):
     return got.withColumn("score", F.round("score", 7))
 
 
+_TRADE_SQL = """e AS (SELECT CASE WHEN (o_custkey + l_suppkey) % 2 = 1 THEN 'C' || o_custkey ELSE 'S' || l_suppkey END AS source, CASE WHEN (o_custkey + l_suppkey) % 2 = 1 THEN 'S' || l_suppkey ELSE 'C' || o_custkey END AS target,
+count(*)::DOUBLE AS weight, (sum(round(l_extendedprice * 100)::BIGINT) / 100)::DOUBLE AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey HAVING count(*) >= 2)"""
+
+
+def _repeated_trade(spark, d):
+    """Customers and suppliers that traded more than once; money goes to the supplier or comes back, by their keys."""
+    o, li = I.table(spark, d, "orders").select("o_orderkey", "o_custkey"), I.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    pairs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").cast("double").alias("weight"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100).alias("amount")).where("weight >= 2")
+    c, x = F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    there = (F.col("o_custkey") + F.col("l_suppkey")) % 2 == 1
+    return pairs.select(F.when(there, c).otherwise(x).alias("source"), F.when(there, x).otherwise(c).alias("target"), "weight", "amount")
+
+
+@query(f"""WITH RECURSIVE {_TRADE_SQL}, p AS (SELECT source AS st, target AS en, [source, target] AS path, [amount] AS am FROM e WHERE target > source
+UNION ALL SELECT st, e.target, list_append(path, e.target), list_append(am, e.amount) FROM p JOIN e ON e.source = en AND e.target > st AND NOT list_contains(path, e.target) WHERE len(path) < 4),
+r AS (SELECT path, list_append(am, e.amount) AS am FROM p JOIN e ON e.source = en AND e.target = st WHERE len(path) >= 3)
+SELECT len(path)::BIGINT AS length, array_to_string(path, '>') AS ring, round(list_sum(am), 2) AS total, round(list_min(am), 2) AS least, round(list_max(am), 2) AS most FROM r""")
+def rings_repeated_trade(spark, d):
+    return graph.circular_transfers(_repeated_trade(spark, d), 3, 4).drop("average")
+
+
+@query(f"""WITH RECURSIVE {_TRADE_SQL}, w AS (SELECT source AS o, target AS v FROM e UNION SELECT o, e.target FROM w JOIN e ON e.source = v), c AS (SELECT a.o AS id, least(a.o, min(a.v)) AS component FROM w AS a JOIN w AS b ON b.o = a.v AND b.v = a.o GROUP BY a.o HAVING count(*) > 1)
+SELECT component, count(*) AS n FROM c GROUP BY component""")
+def strong_components_trade(spark, d):
+    return graph.strong_components(_repeated_trade(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {I.ALL_SQL}, {I.COMMUNITIES_SQL} SELECT count(*) AS n_edges, round(sum(amount) / 1e6, 3) AS millions FROM s JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.community <> b.community")
+def inter_community_sums(spark, d):
+    got = graph.inter_community_summary(graph.inter_community_links(I.all_transfers(spark, d), I.communities(spark, d)))
+    return got.select("n_edges", F.round(F.col("volume") / 1e6, 3).alias("millions"))
+
+
+@query(f"WITH {I.NODES_SQL}, m AS (SELECT 'N' || n_nationkey AS id, n_regionkey::BIGINT AS community FROM nation UNION ALL SELECT 'C' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'S' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT community, entity_type, count(*) AS n FROM m JOIN n USING (id) GROUP BY ALL")
+def cell_types(spark, d):
+    n = I.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("community"))
+    own = lambda t, p, k, nation: I.table(spark, d, t).join(n, F.col(nation) == F.col("n_nationkey")).select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), "community")
+    members = I.communities(spark, d).union(own("customer", "C", "c_custkey", "c_nationkey")).union(own("supplier", "S", "s_suppkey", "s_nationkey"))
+    return graph.cell_types(I.nodes(spark, d), members)
+
+
 _LINKS_SQL = "SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS target, count(*)::DOUBLE AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey"
 
 
@@ -279,14 +323,14 @@ p AS (SELECT k, entity, count(DISTINCT x) AS unique_ports FROM (SELECT k, entity
 q AS (SELECT k, entity, count(DISTINCT x) AS unique_ips FROM (SELECT k, entity, unnest([src_ip, dst_ip]) AS x FROM w) GROUP BY k, entity),
 a AS (SELECT k, entity, count(*) AS event_count, count(*) FILTER (status = 'failed') + count(*) FILTER (event_type = 'ssh_invalid_user') AS failed_auth_count, count(*) FILTER (status <> 'failed') AS success_auth_count,
  count(*) FILTER (event_type = 'ssh_invalid_user') AS invalid_user_count, count(DISTINCT "user") AS unique_users, sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_recv)::BIGINT AS bytes_recv, avg(duration) AS mean_duration, stddev_pop(duration) AS std_duration,
- coalesce(avg(gap), 0) AS mean_gap, coalesce(stddev_pop(gap), 0) AS sg, count(*) FILTER (event_type LIKE 'sudo%') AS sudo_count, greatest((max(us) - min(us)) / 1e6, 1.0::DOUBLE) AS span FROM g GROUP BY k, entity)
+ coalesce(avg(gap), 0) AS mean_gap, coalesce(stddev_pop(gap), 0) AS sg, count(*) FILTER (event_type LIKE 'sudo%') AS sudo_count, count(DISTINCT dst_ip) AS unique_dst_ips, greatest((max(us) - min(us)) / 1e6, 1.0::DOUBLE) AS span FROM g GROUP BY k, entity)
 SELECT k, entity, event_count, failed_auth_count, success_auth_count, invalid_user_count, unique_users, unique_ips, unique_ports, bytes_sent, bytes_recv, sudo_count, max_user_events, round(event_count / span, 6) AS events_per_second,
-round(failed_auth_count / event_count, 6) AS failed_auth_ratio, round((bytes_sent + 1.0) / (bytes_recv + 1.0), 4) AS bytes_ratio, round(mean_duration, 7) AS mean_duration, round(std_duration, 4) AS std_duration, round(user_entropy, 4) AS user_entropy, round(mean_gap, 3) AS mean_gap, round(sg / (mean_gap + 1e-6), 4) AS gap_cv
+round(failed_auth_count / event_count, 6) AS failed_auth_ratio, round((bytes_sent + 1.0) / (bytes_recv + 1.0), 4) AS bytes_ratio, round(mean_duration, 7) AS mean_duration, round(std_duration, 4) AS std_duration, round(user_entropy, 4) AS user_entropy, round(mean_gap, 3) AS mean_gap, round(sg / (mean_gap + 1e-6), 4) AS gap_cv, unique_dst_ips, round(span, 6) AS span_seconds
 FROM a JOIN v USING (k, entity) JOIN p USING (k, entity) JOIN q USING (k, entity)""")
 def window_features(spark, d):
     f = threats.window_features(threats.sliding_windows(I.log_events(spark, d), I.WIDTH_S, I.STEP_S))
-    whole = ("event_count", "failed_auth_count", "success_auth_count", "invalid_user_count", "unique_users", "unique_ips", "unique_ports", "bytes_sent", "bytes_recv", "sudo_count", "max_user_events")
-    places = {"events_per_second": 6, "failed_auth_ratio": 6, "bytes_ratio": 4, "mean_duration": 7, "std_duration": 4, "user_entropy": 4, "mean_gap": 3, "gap_cv": 4}
+    whole = ("event_count", "failed_auth_count", "success_auth_count", "invalid_user_count", "unique_users", "unique_ips", "unique_ports", "bytes_sent", "bytes_recv", "sudo_count", "max_user_events", "unique_dst_ips")
+    places = {"span_seconds": 6, "events_per_second": 6, "failed_auth_ratio": 6, "bytes_ratio": 4, "mean_duration": 7, "std_duration": 4, "user_entropy": 4, "mean_gap": 3, "gap_cv": 4}
     return f.select("k", "entity", *(F.col(c).cast("long").alias(c) for c in whole), *(F.round(c, p).alias(c) for c, p in places.items()))
 
 
@@ -652,6 +696,11 @@ def custody_audit(spark, d):
     return custody.audit(evidence, files).select("doc_id", "status")
 
 
+@query("SELECT count(*) AS n_items, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 7 <> 0) AS n_intact, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 7 = 0) AS n_tampered, count(*) FILTER (doc_id % 10 = 0) AS n_missing, true AS root_matches, 'COMPROMISED' AS verdict FROM documents")
+def custody_verdict(spark, d):
+    return custody.audit_verdict(custody_audit(spark, d), "AB" * 32, "ab" * 32)
+
+
 # binary
 
 
@@ -733,16 +782,76 @@ def _format_cases(blobs):
     return blobs.select("path", "content").mapInArrow(run, "path string, format string, content binary")
 
 
-@query()
+#: What each case comes to: everything valid is clean, and what is broken says how.
+_FORMAT_SQL = ", ".join(
+    f"('{what}', '{kind}', {valid}, {score}::DOUBLE, '{note}')"
+    for kind, fault in (("ZIP", "BadZipFile"), ("TAR", "ReadError"), ("PNG", "no end"), ("JPEG", "no end"), ("PDF", "no end"), ("ELF", "no header"), ("PE", "header outside"), ("GZIP", "EOFError"))
+    for what, valid, score, note in (("valid", "true", 0.0, ""), ("broken", "false", 0.5, fault))
+)
+
+
+@query(f"SELECT doc_id || '/' || c.what AS path, c.format, c.valid, c.anomaly, CASE WHEN c.format = 'PDF' AND c.what = 'broken' AND octet_length(encode(coalesce(text, ''))) < 7 THEN 'no header' ELSE c.note END AS note FROM documents, (VALUES {_FORMAT_SQL}) AS c(what, format, valid, anomaly, note)")
 def validate_formats(spark, d):
     return binary.validate_formats(_format_cases(_blobs(spark, d)))
 
 
-@query()
-def carve_scan(spark, d):
+_JPEG = "FFD8FFE000104A464946FFD9"
+#: A PNG and a JPEG behind and before each text, which are taken as overlays; empty texts leave nothing behind the JPEG.
+_CARVED_SQL = f"""i AS (SELECT doc_id::VARCHAR AS path, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
+r AS (SELECT path, n AS "offset", {len(_PNG) // 2} AS size, 'PNG' AS format, sha256(unhex('{_PNG}')) AS sha256, true AS valid, 0.3::DOUBLE AS anomaly FROM i
+UNION ALL SELECT path, n + {len(_PNG) // 2 + 32}, {len(_JPEG) // 2}, 'JPEG', sha256(unhex('{_JPEG}')), true, CASE WHEN n > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END FROM i)"""
+
+
+def _images(spark, d):
     pad = F.col("content")
-    images = _blobs(spark, d).select("path", F.concat(pad, F.unhex(F.lit(_PNG)), F.unhex(F.lit("AA" * 32)), F.unhex(F.lit("FFD8FFE000104A464946FFD9")), pad).alias("content"))
-    return binary.carve(images).select("path", "offset", "size", "format", "sha256", "valid", "anomaly")
+    return _blobs(spark, d).select("path", F.concat(pad, F.unhex(F.lit(_PNG)), F.unhex(F.lit("AA" * 32)), F.unhex(F.lit(_JPEG)), pad).alias("content"))
+
+
+@query(f"WITH {_CARVED_SQL} SELECT * FROM r")
+def carve_scan(spark, d):
+    return _long(binary.carve(_images(spark, d)).select("path", "offset", "size", "format", "sha256", "valid", "anomaly"), "offset", "size")
+
+
+@query(f"WITH {_CARVED_SQL} SELECT * FROM r")
+def carve_files(spark, d):
+    """The same images as files in the shared folder, carved by ranges."""
+    folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    images = _images(spark, d).where("content is not null")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root)
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with files.open_output_stream(f"{root}/{name}") as f:
+                    f.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["done"])
+
+    images.mapInArrow(write, "done int").count()
+    got = carving.carve_files(spark, folder)
+    return got.select(F.element_at(F.split("path", "/"), -1).alias("path"), "offset", "size", "format", "sha256", "valid", "anomaly")
+
+
+@query("SELECT e.event_id, x.element, x.name, x.value FROM events e, LATERAL (VALUES ('ex@1', 'kind', event_type), ('ex@1', 'user', 'u' || user_id), ('m@2', 'k', (props::JSON->>'k'))) AS x(element, name, value) WHERE x.value IS NOT NULL")
+def structured_data_lateral(spark, d):
+    """Structured data of every event's line as rows, by a lateral join in SQL."""
+    lateral.register(spark)
+    e, k = I.table(spark, d, "events"), F.get_json_object("props", "$.k")
+    value = F.concat(F.lit('<34>1 2026-01-01T00:00:00Z h app 1 ID [ex@1 kind="'), "event_type", F.lit('" user="u'), F.col("user_id").cast("string"), F.lit('"]'), F.coalesce(F.concat(F.lit('[m@2 k="old" k="'), k, F.lit('"]')), F.lit("")), F.lit(" done"))
+    lines = e.select("event_id", value.alias("value"))
+    return spark.sql("SELECT event_id, element, name, s.value FROM {lines} l, LATERAL structured_data(l.value) s", lines=lines)
+
+
+@query("SELECT event_type || '-' || event_id AS value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_number FROM events")
+def numbered_lines(spark, d):
+    """Events as a file of lines for each type, read back with line numbers over the files' splits."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    e = I.table(spark, d, "events").select("event_type", "event_id", F.concat_ws("-", "event_type", F.col("event_id").cast("string")).alias("value"))
+    e.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(folder)
+    return ranges.read_lines(spark, folder).select("value", "line_number")
 
 
 # case SQL

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources.ranges import read_lines  # lines of files of any size
 from tracelake.functions.normalize import epoch_us, facility_of, normalize_severity, parse_time, severity_of, truncate_raw
 
 MAX_LINE, MAX_JSON = 65_536, 131_072
@@ -103,13 +104,6 @@ def read_events(spark: SparkSession, path: str, default_year: int, kind: str | N
     return PARSERS[kind](read_lines(spark, path), default_year)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, line_number, value): numbers from 1, counted per file, dropped lines included."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
-    lines = whole.select("source_file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("i", "value"))
-    return lines.select("source_file", (F.col("i") + 1).cast("long").alias("line_number"), "value")
-
-
 def detect_format(sample: list[str]) -> str:
     """jsonl, nginx, auth or syslog, from a file's first lines."""
     import re
@@ -126,11 +120,26 @@ def detect_format(sample: list[str]) -> str:
     return "syslog"
 
 
-def parse_security(lines: DataFrame, default_year: int) -> DataFrame:
-    """Typed security events; never drops a line."""
+# Keys of a JSON event that have columns of their own.
+JSON_OWN = (
+    "timestamp", "ts", "@timestamp", "src_ip", "dst_ip", "src_port", "dst_port",
+    "orig_h", "resp_h", "orig_p", "resp_p", "user", "username", "action", "status",
+    "bytes_sent", "bytes_recv", "orig_bytes", "resp_bytes", "duration", "event_type", "is_anomaly",
+)
+
+
+def parse_security(lines: DataFrame, default_year: int, hint: str = "auto") -> DataFrame:
+    """Typed security events; never drops a line.
+
+    hint: auto, or json or syslog to read every line as that; what isn't RFC 5424 then falls back to the plain headers.
+    metadata has a message's host, pid, or priority and ids, a sudo command with its target, and a
+    JSON event's other keys.
+    """
+    if hint not in ("auto", "json", "syslog"):
+        raise ValueError("hint is auto, json or syslog")
     v = F.trim("value")
     too_long, empty = F.length("value") > MAX_LINE, F.coalesce(v, F.lit("")) == ""
-    is_json, is_5424 = v.startswith("{"), v.rlike(_RFC5424)
+    is_json, is_5424 = F.lit(hint == "json") | F.lit(hint == "auto") & v.startswith("{") & v.endswith("}"), v.rlike(_RFC5424)
     iso, bsd = v.rlike(_ISO), v.rlike(_BSD)
     pick = lambda i: F.when(iso, group(v, _ISO, i)).when(bsd, group(v, _BSD, i))
     message = F.when(is_5424, group(v, _RFC5424, 8)).otherwise(pick(5))
@@ -154,6 +163,12 @@ def parse_security(lines: DataFrame, default_year: int) -> DataFrame:
     port = lambda *names: F.when(j(*names).rlike("^[0-9]{1,9}$"), j(*names).cast("int"))
     number = lambda *names: F.coalesce(F.when(j(*names).rlike(r"^-?[0-9]+(\.[0-9]+)?$"), j(*names).cast("double")).cast("long"), F.lit(0))
     log = k == "log"
+    what = {"pri": F.when(is_5424, group(v, _RFC5424, 1)), "procid": F.when(is_5424, group(v, _RFC5424, 5)), "msgid": F.when(is_5424, group(v, _RFC5424, 6)), "host": F.when(~is_5424, pick(2)), "pid": F.when(~is_5424, pick(4))}
+    sudo = F.col("_s") == len(steps) - 1
+    what |= {n: F.when(sudo, group(m, _SUDO, i)) for n, i in (("tty", 2), ("pwd", 3), ("target_user", 4), ("command", 5))}
+    told = F.map_filter(F.create_map(*(x for n, c in what.items() for x in (F.lit(n), c))), lambda _, x: x.isNotNull())
+    rest = F.map_filter(F.coalesce(F.col("_json"), F.create_map().cast("map<string,string>")), lambda key, _: ~key.isin(*JSON_OWN))
+    seconds = F.coalesce(F.when(j("duration").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), j("duration").cast("double")), F.lit(0.0))
     known = ["ssh_auth_fail", "ssh_auth_success", "ssh_invalid_user", "ssh_disconnect", "sudo_auth_fail", "sudo_command", "network_flow", "generic_event", "malformed"]
     json_type = F.when(F.lower(j("event_type")).isin(known), F.lower(j("event_type"))).otherwise("network_flow")
     return head.select(
@@ -164,11 +179,14 @@ def parse_security(lines: DataFrame, default_year: int) -> DataFrame:
         F.when(k == "json", j("dst_ip", "resp_h")).alias("dst_ip"),
         F.when(k == "json", port("src_port", "orig_p")).when(log, first(take(6), none).cast("int")).alias("src_port"),
         F.when(k == "json", port("dst_port", "resp_p")).alias("dst_port"),
-        F.when(k == "json", j("user")).when(log, first(take(4), none)).alias("user"),
+        F.when(k == "json", j("user", "username")).when(log, first(take(4), none)).alias("user"),
         F.when(k == "json", j("action")).when(log, first(lambda s: F.lit(s[2]), F.col("_p"))).alias("action"),
         F.when(k == "empty", "empty").when(k == "long", "line_too_long").when(bad, "json_parse_error").when(k == "json", j("status")).when(log, first(lambda s: F.lit(s[3]), F.lit("info"))).otherwise("unstructured").alias("status"),
         F.when(k == "json", number("bytes_sent", "orig_bytes")).otherwise(0).alias("bytes_sent"),
         F.when(k == "json", number("bytes_recv", "resp_bytes")).otherwise(0).alias("bytes_recv"),
+        F.when(k == "json", seconds).otherwise(0.0).alias("duration"),
+        F.when(k == "json", rest).when(log, told).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
+        F.when(k == "json", F.lower(j("is_anomaly")) == "true").alias("is_anomaly"),
         F.when(k == "empty", "").when(k == "long", F.concat(F.substring("value", 1, 256), F.lit("... [TRUNCATED]"))).otherwise(F.col("value")).alias("raw_message"),
     )
 
