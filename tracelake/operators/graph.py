@@ -338,68 +338,101 @@ def roles(ranks: DataFrame, between: DataFrame, degrees: DataFrame, k: int = 5)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """Weighted PageRank; dangling mass goes to all. tolerance None: all iterations."""
+    """Weighted PageRank; dangling mass goes to all. tolerance None: all iterations.
+
+    A round is one job: what dangling nodes hold, and how far ranks moved, are observed as it is written.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
+    tables = Tables(nodes.sparkSession)
     out = edges.groupBy("source").agg(F.sum("weight").alias("w"))
-    links = edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("w")).alias("share")).checkpoint()
-    ranks = nodes.select("id").join(out.select(F.col("source").alias("id"), F.lit(True).alias("has")), "id", "left").select("id", F.col("has").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")).checkpoint()
+    links = tables.put("links", edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("w")).alias("share")))
+    lost = F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")
+    seen = Observation()
+    first = nodes.select("id").join(out.select(F.col("source").alias("id"), F.lit(True).alias("has")), "id", "left").select("id", F.col("has").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    ranks = tables.put("ranks", first.observe(seen, lost))
     for _ in range(iterations):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        spread = (seen.get["lost"] or 0.0) / n
+        seen = Observation()
         got = links.join(ranks, links["source"] == ranks["id"]).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        step = ranks.join(got, ranks["id"] == got["target"], "left").select("id", "dangling", F.col("rank").alias("old"), (F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("rank")).checkpoint()
-        ranks = step.select("id", "dangling", "rank")
-        if tolerance is not None and step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+        step = ranks.join(got, ranks["id"] == got["target"], "left").select("id", "dangling", F.col("rank").alias("old"), (F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + spread) + (1 - alpha) / n).alias("rank"))
+        ranks = tables.put("ranks", step.observe(seen, lost, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).drop("old"))
+        if tolerance is not None and seen.get["moved"] < n * tolerance:
             break
+    tables.free("links")
     return ranks.select("id", "rank")
 
 
+#: Pairs of an origin and a node it reaches that are held at once, about.
+STATE_ROWS = 20_000_000
+
+
+def _origins(nodes: DataFrame, n: int) -> Iterator[DataFrame]:
+    """The nodes in batches by hash, small enough that what all of a batch reach can be held."""
+    batches = max(1, -(-n * n // STATE_ROWS))
+    for i in range(batches):
+        yield nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i) if batches > 1 else nodes
+
+
 def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(origin, id, hops) by frontier joins along edges, from every source (id), until no pair is new."""
-    hop = edges.select("source", "target").distinct()
-    seen = sources.select(F.col("id").alias("origin"), "id", F.lit(0).alias("hops"))
+    tables = Tables(edges.sparkSession)
+    hop = tables.put("hop", edges.select("source", "target").distinct())
+    seen = tables.put("seen", sources.select(F.col("id").alias("origin"), "id", F.lit(0).alias("hops")))
     front, k = seen, 0
     while True:
         k += 1
         step = front.join(hop, front["id"] == hop["source"]).select("origin", F.col("target").alias("id")).distinct()
-        front = step.join(seen, ["origin", "id"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()
-        if front.isEmpty():
+        found = Observation()
+        front = tables.put("front", step.join(seen, ["origin", "id"], "left_anti").withColumn("hops", F.lit(k)).observe(found, F.count("*").alias("n")))
+        if not found.get["n"]:
+            tables.free("hop", "front")
             return seen
-        seen = seen.union(front).checkpoint()
+        seen = tables.put("seen", seen.union(front))
 
 
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Closeness by inward distances, scaled by the share of nodes that reach the node."""
+    tables = Tables(nodes.sparkSession)
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     n = nodes.count()
-    sums = distances(back, nodes).groupBy(F.col("origin").alias("id")).agg(F.sum("hops").alias("total"), F.count("*").alias("reach"))
+    sums = None
+    for batch in _origins(nodes.select("id"), n):
+        own = distances(back, batch).groupBy(F.col("origin").alias("id")).agg(F.sum("hops").alias("total"), F.count("*").alias("reach"))
+        sums = tables.put("sums", own if sums is None else sums.union(own))
     r = F.col("reach") - 1
     return sums.select("id", F.when((F.col("total") > 0) & F.lit(n > 1), r / F.col("total") * (r / F.lit(max(1, n - 1)))).otherwise(0.0).alias("closeness"))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Exact betweenness (Brandes), in DataFrames: path counts forward, dependencies backward."""
+    """Exact betweenness (Brandes), in DataFrames: path counts forward, dependencies backward, a batch of origins at a time."""
     n = nodes.count()
     if n <= 2:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    hop = edges.where("source <> target").select("source", "target").distinct()
-    levels = [nodes.select(F.col("id").alias("origin"), "id", F.lit(1.0).alias("paths"))]
-    seen = levels[0].select("origin", "id")
-    while True:
-        step = levels[-1].join(hop, F.col("id") == F.col("source")).join(seen.withColumnRenamed("id", "target"), ["origin", "target"], "left_anti")
-        new = step.groupBy("origin", F.col("target").alias("id")).agg(F.sum("paths").alias("paths")).checkpoint()
-        if new.isEmpty():
-            break
-        levels.append(new)
-        seen = seen.union(new.select("origin", "id")).checkpoint()
-    below, sums = levels[-1].withColumn("dep", F.lit(0.0)), None
-    for level in reversed(levels[:-1]):
-        share = level.join(hop, F.col("id") == F.col("source")).select("origin", "id", "paths", "target").join(below.select("origin", F.col("id").alias("target"), F.col("paths").alias("p"), "dep"), ["origin", "target"])
-        got = share.groupBy("origin", "id").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("dep"))).alias("dep"))
-        sums = below.select("origin", "id", "dep") if sums is None else sums.union(below.select("origin", "id", "dep"))
-        below = level.join(got, ["origin", "id"], "left").select("origin", "id", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")).checkpoint()
-    total = (sums if sums is not None else below.select("origin", "id", "dep")).where("origin <> id").groupBy("id").agg(F.sum("dep").alias("dep"))
+    tables = Tables(nodes.sparkSession)
+    hop = tables.put("hop", edges.where("source <> target").select("source", "target").distinct())
+    total = tables.put("total", nodes.select("id", F.lit(0.0).alias("dep")).limit(0))
+    for batch in _origins(nodes.select("id"), n):
+        levels = [tables.put("level0", batch.select(F.col("id").alias("origin"), "id", F.lit(1.0).alias("paths")))]
+        seen = tables.put("seen", levels[0].select("origin", "id"))
+        while True:
+            step = levels[-1].join(hop, F.col("id") == F.col("source")).join(seen.withColumnRenamed("id", "target"), ["origin", "target"], "left_anti")
+            found = Observation()
+            new = tables.put(f"level{len(levels)}", step.groupBy("origin", F.col("target").alias("id")).agg(F.sum("paths").alias("paths")).observe(found, F.count("*").alias("n")))
+            if not found.get["n"]:
+                break
+            levels.append(new)
+            seen = tables.put("seen", seen.union(new.select("origin", "id")))
+        below = levels[-1].withColumn("dep", F.lit(0.0))
+        for k in range(len(levels) - 2, -1, -1):
+            share = levels[k].join(hop, F.col("id") == F.col("source")).select("origin", "id", "paths", "target").join(below.select("origin", F.col("id").alias("target"), F.col("paths").alias("p"), "dep"), ["origin", "target"])
+            got = share.groupBy("origin", "id").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("dep"))).alias("dep"))
+            below = tables.put(f"below{k % 2}", levels[k].join(got, ["origin", "id"], "left").select("origin", "id", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
+            if k:  # an origin's own share doesn't count
+                total = tables.put("total", total.union(below.where("dep > 0").groupBy("id").agg(F.sum("dep").alias("dep"))).groupBy("id").agg(F.sum("dep").alias("dep")))
+        tables.free(*(f"level{k}" for k in range(len(levels) + 1)))
+    tables.free("hop", "seen", "below0", "below1")
     return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("dep", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
