@@ -455,6 +455,12 @@ def activity_gaps(spark, d):
     return timeline.clock_anomalies(I.timeline_events(spark, d)).where("kind = 'ACTIVITY_GAP'")
 
 
+@query(f"WITH {I.TIMELINE_SQL}, x AS (SELECT source_file, line_number, us - lag(us) OVER (PARTITION BY source_file ORDER BY line_number) AS delta FROM tl), y AS (SELECT *, CASE WHEN delta < 0 THEN 'NEGATIVE_JUMP' ELSE 'ACTIVITY_GAP' END AS kind FROM x WHERE delta < 0 OR delta > 3600000000) SELECT substr(sha256(source_file || ':' || line_number || ':' || kind), 1, 12) AS anomaly_id, source_file, line_number, kind FROM y")
+def anomaly_ids(spark, d):
+    got = timeline.clock_anomalies(I.timeline_events(spark, d))
+    return got.select(timeline.anomaly_id("source_file", "line_number", "kind").alias("anomaly_id"), "source_file", "line_number", "kind")
+
+
 @query(f"WITH {I.TIMELINE_SQL}, n AS (SELECT (max(us) - 86400000000)::BIGINT AS now FROM tl) SELECT source_file, line_number, 'FUTURE_TIMESTAMP' AS kind, 'HIGH' AS severity, us - now AS delta FROM tl, n WHERE us > now + 300000000")
 def future_events(spark, d):
     e = I.timeline_events(spark, d)
@@ -611,6 +617,24 @@ def _order_time(pattern: str):
     return F.date_format(F.col("o_orderdate").cast("timestamp"), pattern)
 
 
+@query("SELECT o_orderkey, k AS kind, epoch(o_orderdate)::BIGINT AS second FROM orders, (VALUES ('iso'), ('bsd'), ('access'), ('error'), ('millis')) AS t(k)")
+def time_texts(spark, d):
+    """Times of every order in five notations, as texts."""
+    millis = (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) * 1000).cast("string")
+    texts = {"iso": _order_time("yyyy-MM-dd'T'HH:mm:ssXXX"), "bsd": _order_time("MMM d HH:mm:ss"), "access": _order_time("dd/MMM/yyyy:HH:mm:ss Z"), "error": _order_time("yyyy/MM/dd HH:mm:ss"), "millis": millis}
+    rows = I.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in texts.items()))).alias("t"))
+    return rows.select("o_orderkey", "t.kind", F.unix_seconds(N.parse_time(F.col("t.text"), F.col("year"))).alias("second"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'ssh_auth_fail' ELSE 'network_flow' END AS event_type, 'u' || user_id AS \"user\", round(value, 6) AS duration, event_type AS kind, (props::JSON->>'k') AS k, event_type = 'purchase' AS is_anomaly FROM events")
+def security_json(spark, d):
+    """Events as JSON lines: durations, and keys without a column of their own, come back."""
+    e = I.table(spark, d, "events")
+    line = F.to_json(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.col("value").alias("duration"), F.when(F.col("event_type") == "error", "SSH_AUTH_FAIL").otherwise("other").alias("event_type"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("k"), (F.col("event_type") == "purchase").alias("is_anomaly")))
+    got = logs.parse_security(e.select("event_id", line.alias("value")), 2024)
+    return got.select("event_id", "event_type", "user", F.round("duration", 6).alias("duration"), F.col("metadata")["kind"].alias("kind"), F.col("metadata")["k"].alias("k"), "is_anomaly")
+
+
 _KEY = "o_orderkey::VARCHAR"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.sources.ranges import read_lines  # lines of files of any size
-from tracelake.functions.normalize import epoch_us, facility_of, normalize_severity, parse_time, severity_of, truncate_raw
+from tracelake.functions.normalize import epoch_us, event_id, facility_of, normalize_severity, parse_time, severity_of, truncate_raw
 
 MAX_LINE, MAX_JSON = 65_536, 131_072
 
@@ -104,6 +104,11 @@ def read_events(spark: SparkSession, path: str, default_year: int, kind: str | N
     return PARSERS[kind](read_lines(spark, path), default_year)
 
 
+def with_event_ids(events: DataFrame) -> DataFrame:
+    """Adds event_id to a timeline's events (source_file, line_number, timestamp, raw_log): the same line of the same file has the same id."""
+    return events.withColumn("event_id", event_id(F.col("source_file"), F.col("line_number"), F.unix_micros("timestamp"), F.col("raw_log")))
+
+
 def detect_format(sample: list[str]) -> str:
     """jsonl, nginx, auth or syslog, from a file's first lines."""
     import re
