@@ -277,11 +277,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("id", "component")
 
 
-def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int = 4, transaction_only: bool = False, most: int | None = None) -> DataFrame:
+def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int = 4, transaction_only: bool = False, most: int | None = None, few: int = 10_000) -> DataFrame:
     """Each directed simple cycle once, from its least id: length, ids, total, least, most and mean amount.
 
     transaction_only takes edges of type TRANSACTION or TRANSFER alone. Lengths from 2 on. Paths are followed
-    within strong components only, and no further once none is left. Rings can be more than any table
+    within strong components only (``few`` edges aren't worth finding them), and no further once none is left. Rings can be more than any table
     holds: most keeps those of the greatest totals (ties by ring), and adds ring_id by that order.
     """
     if not 2 <= min_length <= max_length:
@@ -289,10 +289,11 @@ def circular_transfers(edges: DataFrame, min_length: int = 3, max_length: int =
     if transaction_only:
         edges = subgraph_by_relation_types(edges, ["TRANSACTION", "TRANSFER"])
     tables = Tables(edges.sparkSession)
-    inside = strong_components(edges)
-    a, b = inside.select(F.col("id").alias("s"), F.col("component").alias("c")), inside.select(F.col("id").alias("t"), F.col("component").alias("d"))
-    all_hops = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), money().alias("m"))
-    hop = tables.put("hops", all_hops.where("s <> t").join(a, "s").join(b, "t").where("c = d").select("s", "t", "m"))
+    hop = tables.put("hops", edges.select(F.col("source").alias("s"), F.col("target").alias("t"), money().alias("m")).where("s <> t"))
+    if hop.count() > few:
+        inside = strong_components(hop.select(F.col("s").alias("source"), F.col("t").alias("target")))
+        a, b = inside.select(F.col("id").alias("s"), F.col("component").alias("c")), inside.select(F.col("id").alias("t"), F.col("component").alias("d"))
+        hop = tables.put("hops", hop.join(a, "s").join(b, "t").where("c = d").select("s", "t", "m"))
     paths = hop.where("t > s").select(F.col("s").alias("start"), F.col("t").alias("end"), F.array("s", "t").alias("path"), F.array("m").alias("amounts"))
     found = []
     for k in range(2, max_length + 1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -84,17 +86,44 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _lines(head, n, "</nodes><edges>", e, "</edges></graph></gexf>")
 
 
-def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GraphML as ordered lines."""
-    n = nodes.select(F.col("id").alias("key"), F.concat(F.lit('<node id="'), xml_escape(F.col("id")), F.lit('"><data key="t">'), xml_escape(F.coalesce("entity_type", F.lit("OTHER"))), F.lit("</data></node>")).alias("line"))
-    e = edges.select(F.concat_ws("|", "source", "target").alias("key"), F.concat(F.lit('<edge source="'), xml_escape(F.col("source")), F.lit('" target="'), xml_escape(F.col("target")), F.lit('"><data key="w">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("line"))
-    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="t" for="node" attr.name="entity_type" attr.type="string"/><key id="w" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="directed">'
+def _or(df: DataFrame, name: str, other: Column) -> Column:
+    return F.coalesce(F.col(name).cast("string"), other) if name in df.columns else other
+
+
+def graphml(nodes: DataFrame, edges: DataFrame, name: str = "graph") -> DataFrame:
+    """GraphML as ordered lines: type, label and risk of nodes; relation, weight and amount (if any) of edges.
+
+    Missing types are SUSPECT, labels the id, relations TRANSACTION, risks 0.0 and weights 1.0.
+    """
+    data = lambda key, value: F.concat(F.lit(f'<data key="{key}">'), xml_escape(value), F.lit("</data>"))
+    n = nodes.select(
+        F.col("id").alias("key"),
+        F.concat(F.lit('<node id="'), xml_escape(F.col("id")), F.lit('">'), data("d0", _or(nodes, "entity_type", F.lit("SUSPECT"))), data("d1", _or(nodes, "label", F.col("id"))), data("d2", _or(nodes, "risk_score", F.lit("0.0"))), F.lit("</node>")).alias("line"),
+    )
+    amount = F.coalesce(data("d5", F.col("amount").cast("string")), F.lit("")) if "amount" in edges.columns else F.lit("")
+    e = edges.select(
+        F.concat_ws("|", "source", "target").alias("key"),
+        F.concat(F.lit('<edge source="'), xml_escape(F.col("source")), F.lit('" target="'), xml_escape(F.col("target")), F.lit('">'), data("d3", _or(edges, "relation_type", F.lit("TRANSACTION"))), data("d4", _or(edges, "weight", F.lit("1.0"))), F.when(F.col("amount").isNotNull(), amount).otherwise("") if "amount" in edges.columns else amount, F.lit("</edge>")).alias("line"),
+    )
+    keys = (("d0", "node", "entity_type", "string"), ("d1", "node", "label", "string"), ("d2", "node", "risk_score", "double"), ("d3", "edge", "relation_type", "string"), ("d4", "edge", "weight", "double"), ("d5", "edge", "amount", "double"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{i}" for="{f}" attr.name="{n}" attr.type="{t}"/>' for i, f, n, t in keys) + f'<graph id="{escape(name, {chr(34): "&quot;"})}" edgedefault="directed">'
     return _lines(head, n, "", e, "</graph></graphml>")
 
 
+def json_document(nodes: DataFrame, edges: DataFrame, name: str = "graph") -> DataFrame:
+    """One JSON document {"name", "nodes", "edges"} as ordered lines: an element a line, a comma before all but the first."""
+
+    def listed(df: DataFrame, key: Column) -> DataFrame:
+        rows = df.select(key.alias("key"), F.to_json(F.struct("*")).alias("line"))
+        first = rows.agg(F.min(F.struct("key", "line")).alias("first"))
+        return rows.crossJoin(F.broadcast(first)).select("key", F.when(F.struct("key", "line") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("line"))  # one row
+
+    return _lines(json.dumps({"name": name})[:-1] + ', "nodes": [', listed(nodes, F.col("id")), '], "edges": [', listed(edges, F.concat_ws("|", "source", "target")), "]}")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Ordered lines to a local file, streamed partition by partition through the driver."""
-    rows: Iterator = lines.orderBy("part", "key").toLocalIterator()
+    """Ordered lines to a local file of the driver, streamed partition by partition through the driver."""
+    rows: Iterator = lines.orderBy("part", "key", "line").toLocalIterator()
     with open(path, "w", encoding="utf-8") as f:
         for r in rows:
             f.write(r["line"] + "\n")

@@ -37,7 +37,7 @@ def _rest(df: DataFrame, fields: dict[str, tuple[str, ...]]) -> Column:
 
 def nodes_of(rows: DataFrame) -> DataFrame:
     """Nodes (id, entity_type, label, risk_score, attributes, seq) of rows with any of the header names."""
-    rows = rows.withColumn("_seq", F.monotonically_increasing_id())
+    rows = rows if "_seq" in rows.columns else rows.withColumn("_seq", F.monotonically_increasing_id())
     field = {f: _own(rows, names) for f, names in NODE_NAMES.items()}
     kind = F.coalesce(field["entity_type"], F.lit("SUSPECT"))
     got = rows.select(
@@ -49,7 +49,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 def edges_of(rows: DataFrame) -> DataFrame:
     """Edges (source, target, relation_type, weight, amount, timestamp, attributes, seq) of rows with any of the header names."""
-    rows = rows.withColumn("_seq", F.monotonically_increasing_id())
+    rows = rows if "_seq" in rows.columns else rows.withColumn("_seq", F.monotonically_increasing_id())
     field = {f: _own(rows, names) for f, names in EDGE_NAMES.items()}
     kind = F.coalesce(field["relation_type"], F.lit("TRANSACTION"))
     got = rows.select(
@@ -60,8 +60,11 @@ def edges_of(rows: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of two CSV files with headers."""
-    read = lambda path: spark.read.option("header", True).option("escape", '"').csv(path)
+    """(nodes, edges) of two CSV files with headers, or folders of such; seq is a text that sorts as the rows stand in them."""
+    meta = F.col("_metadata")
+    # a row's place: its file, the split it was read from, and its place there; texts that sort as these do
+    place = F.concat(meta["file_path"], F.lpad(meta["file_block_start"].cast("string"), 20, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    read = lambda path: (df := spark.read.option("header", True).option("escape", '"').csv(path)).select(*(F.col(f"`{c}`") for c in df.columns), place.alias("_seq"))
     return nodes_of(read(nodes)), edges_of(read(edges))
 
 
