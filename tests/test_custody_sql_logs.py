@@ -144,7 +144,7 @@ def test_security_metadata(spark):
     assert (got[1].event_type, got[1].metadata) == ("ssh_auth_fail", {"pri": "34", "procid": "77", "msgid": "ID9"})
     assert got[2].metadata == {"host": "gw", "pid": "5", "tty": "pts/1", "pwd": "/home", "target_user": "root", "command": "/bin/ls -l"}
     assert got[3].metadata == {"host": "gw", "pid": "9"} and got[3].duration == 0.0
-    assert (got[4].event_type, got[4].status, got[4].metadata) == ("generic_event", "unstructured", {}) and got[5].status == "empty"
+    assert (got[4].event_type, got[4].status, got[4].metadata) == ("malformed", "json_parse_error", {}) and got[5].status == "empty"
     hinted = {r.i: r for r in logs.parse_security(df, 2026, "json").collect()}
     assert hinted[3].status == "json_parse_error" and hinted[0].user == "ana"
     with pytest.raises(ValueError):

@@ -136,7 +136,7 @@ JSON_OWN = (
 def parse_security(lines: DataFrame, default_year: int, hint: str = "auto") -> DataFrame:
     """Typed security events; never drops a line.
 
-    hint: auto, or json or syslog to read every line as that; what isn't RFC 5424 then falls back to the plain headers.
+    A line that begins as an object does counts as JSON, cut ones too. hint: auto, or json or syslog to read every line as that; what isn't RFC 5424 then falls back to the plain headers.
     metadata has a message's host, pid, or priority and ids, a sudo command with its target, and a
     JSON event's other keys.
     """
@@ -144,7 +144,7 @@ def parse_security(lines: DataFrame, default_year: int, hint: str = "auto") -> D
         raise ValueError("hint is auto, json or syslog")
     v = F.trim("value")
     too_long, empty = F.length("value") > MAX_LINE, F.coalesce(v, F.lit("")) == ""
-    is_json, is_5424 = F.lit(hint == "json") | F.lit(hint == "auto") & v.startswith("{") & v.endswith("}"), v.rlike(_RFC5424)
+    is_json, is_5424 = F.lit(hint == "json") | F.lit(hint == "auto") & v.startswith("{"), v.rlike(_RFC5424)
     iso, bsd = v.rlike(_ISO), v.rlike(_BSD)
     pick = lambda i: F.when(iso, group(v, _ISO, i)).when(bsd, group(v, _BSD, i))
     message = F.when(is_5424, group(v, _RFC5424, 8)).otherwise(pick(5))
