@@ -123,12 +123,32 @@ _GRAPH = np.zeros(256, dtype=bool)
 _GRAPH[0x21:0x7F] = True
 
 
-def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+#: Classes of bytes that are certain: 1 letters, 2 digits, 3 other printed signs. U+00C0 to U+027F are letters but for two signs.
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0xC3:0xCA] = 1
+
+
+def _class_changes(data: np.ndarray) -> np.ndarray:
+    """Where letters, digits and other signs meet; an apostrophe may belong to the letters after it."""
+    kind = _CLASS[data]
+    before, here = data[:-1], data[1:]
+    kind[1:][((here & 0xC0) == 0x80) & (before >= 0xC3) & (before <= 0xC9)] = 1
+    sign = np.flatnonzero((before == 0xC3) & ((here == 0x97) | (here == 0xB7)))
+    kind[sign] = kind[sign + 1] = 0
+    change = np.zeros(len(data), dtype=bool)
+    change[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ~((before == 39) & (kind[1:] == 1))
+    return change
+
+
+def cuts(offsets: np.ndarray, data: np.ndarray, fine: bool = False) -> np.ndarray:
     """Byte positions, row starts included, where the pre-token pattern always has a boundary.
 
     A match never runs from a non-blank into a blank, and a lone blank other than a space stands
     alone between non-blanks; nor does a match look behind. So what stands between two cuts is encoded alike
     alone and in its text. Characters whose class isn't certain from their bytes get no cut.
+    fine: also where letters, digits and other signs meet, so that there are fewer distinct segments.
     """
     n = len(data)
     if not n:
@@ -138,54 +158,119 @@ def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     tail[1:] |= more[1:] & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)  # U+00C0 to U+07FF
     tail[2:] |= more[2:] & more[1:-1] & (data[:-2] >= 0xE4) & (data[:-2] <= 0xEF)  # U+4000 to U+FFFF
     head = _GRAPH[data] | ((data >= 0xC3) & (data <= 0xDF)) | ((data >= 0xE4) & (data <= 0xEF))
-    cut = np.zeros(n, dtype=bool)
-    cut[1:] = tail[:-1] & blank[1:]
+    cut = _class_changes(data) if fine else np.zeros(n, dtype=bool)
+    cut[1:] |= tail[:-1] & blank[1:]
     cut[2:] |= tail[:-2] & blank[1:-1] & (data[1:-1] != 32) & head[2:]
     first = offsets[:-1]
     cut[first[first < n]] = True
     return np.flatnonzero(cut)
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, lengthened by doubling to n elements at least."""
+    while len(x) < n:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
 class TokenCache:
     """Ids of distinct segments, in one flat array; bounded, and emptied when full.
 
     encode: from a list of segments (bytes) to (all their ids, number of ids of each).
+    whole: texts that no cut may divide; where given, cuts are fine in slices without such texts.
+    Segments are found by 64-bit hash, all of a slice at once, and compared with the bytes kept.
     """
 
-    def __init__(self, encode, most: int = 600_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 1_200_000, whole: list[bytes] | None = None):
+        self.encode, self.most, self.whole = encode, most, whole
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
         self.starts, self.sizes, self.used = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), 0
         self.flat, self.filled = np.zeros(8192, dtype=np.uint32), 0
+        self.bytes, self.places, self.written = np.zeros(8192, dtype=np.uint8), np.zeros(1024, dtype=np.int64), 0
+        self.keys, self.numbers, self.entered = np.zeros(1 << 16, dtype=U64), np.zeros(1 << 16, dtype=np.int32), 0
 
-    def _add(self, new: list[bytes]) -> None:
+    def _add(self, new: list[bytes]) -> np.ndarray:
+        """Encodes and keeps segments; their numbers."""
         ids, sizes = self.encode(new)
-        while self.used + len(new) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        to = slice(self.used, self.used + len(new))
+        n, raw = self.used + len(new), np.frombuffer(b"".join(new), dtype=np.uint8)
+        self.starts, self.sizes, self.places = (_room(x, n + 1) for x in (self.starts, self.sizes, self.places))
+        self.flat, self.bytes = _room(self.flat, self.filled + len(ids)), _room(self.bytes, self.written + len(raw))
+        to = slice(self.used, n)
         self.starts[to], self.sizes[to] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.places[self.used + 1 : n + 1] = self.written + np.cumsum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)))
         self.flat[self.filled : self.filled + len(ids)] = ids
-        self.index.update(zip(new, range(to.start, to.stop), strict=True))
-        self.used, self.filled = to.stop, self.filled + len(ids)
+        self.bytes[self.written : self.written + len(raw)] = raw
+        self.used, self.filled, self.written = n, self.filled + len(ids), self.written + len(raw)
+        return np.arange(to.start, n)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number under each key, or -1: open addressing, a step of all keys at a time."""
+        mask = U64(len(self.keys) - 1)
+        found, todo, slot = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), keys & mask
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == keys
+            found[todo[hit]] = self.numbers[slot[hit]]
+            go = ~hit & (there != 0)
+            todo, keys, slot = todo[go], keys[go], (slot[go] + U64(1)) & mask
+        return found
+
+    def _enter(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Puts distinct keys that aren't there."""
+        if 2 * (self.entered + len(keys)) > len(self.keys):
+            held = self.keys != 0
+            keys, numbers = np.concatenate([self.keys[held], keys]), np.concatenate([self.numbers[held], numbers])
+            size = 1 << (4 * len(keys) - 1).bit_length()
+            self.keys, self.numbers, self.entered = np.zeros(size, dtype=U64), np.zeros(size, dtype=np.int32), 0
+        self.entered += len(keys)
+        mask = U64(len(self.keys) - 1)
+        slot = keys & mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            won = free & (self.keys[slot] == keys)
+            self.numbers[slot[won]] = numbers[won]
+            keys, numbers, slot = keys[~won], numbers[~won], (slot[~won] + U64(1)) & mask
 
     def segments(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start of each segment, its row, its number in this cache)."""
-        if self.used > self.most or self.filled > 8 * self.most:
+        if self.used > self.most or self.filled > 8 * self.most or self.written > 32 * self.most:
             self.clear()
-        starts = cuts(offsets, data)
-        ends = np.append(starts[1:], len(data))[: len(starts)]
-        _, at, back = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        if new := [s for s in distinct if s not in self.index]:
-            self._add(list(dict.fromkeys(new)))
-        number = np.fromiter(map(self.index.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        return starts, np.searchsorted(offsets, starts, side="right") - 1, number[back]
+        starts = cuts(offsets, data, self.whole is not None and not any(x in raw for x in self.whole))
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        keys = np.maximum(range_hashes(data, starts, ends), U64(1))
+        number = self._find(keys)
+        if len(new := np.flatnonzero(number < 0)):
+            distinct, first = np.unique(keys[new], return_index=True)
+            at = new[first]
+            self._enter(distinct, self._add([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            number[new] = self._find(keys[new])
+        if len(other := self._differing(number, starts, ends, data)):  # of one hash, not of the same bytes
+            parts = [raw[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
+            distinct = list(dict.fromkeys(parts))
+            own = dict(zip(distinct, self._add(distinct).tolist(), strict=True))
+            number[other] = [own[x] for x in parts]
+        return starts, np.searchsorted(offsets, starts, side="right") - 1, number
+
+    def _differing(self, number: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Segments whose bytes aren't those kept under their number."""
+        size, place = ends - starts, self.places[number]
+        wrong = self.places[number + 1] - place != size
+        place[wrong] = 0
+        if wrong.any():
+            size = np.where(wrong, 0, size)
+            at = np.flatnonzero(np.repeat(~wrong, ends - starts))
+        else:
+            at = slice(None)
+        source = np.repeat(place - (np.cumsum(size) - size), size)
+        source += np.arange(len(source))
+        bad = np.flatnonzero(self.bytes[source] != data[at])
+        if len(bad):
+            wrong[np.searchsorted(np.cumsum(size), bad, side="right")] = True
+        return np.flatnonzero(wrong)
 
     def ids(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in order, row offsets into them)."""

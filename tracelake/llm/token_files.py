@@ -49,19 +49,21 @@ LEVEL = 3
 JOINED = 500
 
 
-def _joins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which segments start with a blank and end, for certain, with something else."""
+def _joins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which segments start with a blank, start for certain with something else, and end so."""
     first, last, before = data[starts], data[ends - 1], data[np.maximum(ends - 2, starts)]
     blank = (first == 32) | ((first >= 9) & (first <= 13))
-    return blank & (((last >= 0x21) & (last <= 0x7E)) | ((last >= 0x80) & (ends - starts > 1) & (before >= 0xC3) & (before <= 0xDF)))
+    head = ((first >= 0x21) & (first <= 0x7E)) | ((first >= 0xC3) & (first <= 0xDF)) | ((first >= 0xE4) & (first <= 0xEF))
+    return blank, head, ((last >= 0x21) & (last <= 0x7E)) | ((last >= 0x80) & (ends - starts > 1) & (before >= 0xC3) & (before <= 0xDF))
 
 
 @lru_cache(2)
 def _encoder(path: str) -> TokenCache:
     """The vocabulary's encoder and cache, kept by the Python worker from task to task.
 
-    Segments between whose neighbours the tokenizer always splits are encoded as one text, and the
-    ids dealt out by the bytes they stand for: a call for every segment costs more than its ids.
+    Many segments are encoded as one text, and the ids dealt out by the bytes they stand for: a call
+    for every segment costs more than its ids. The tokenizer always splits before a segment with a
+    blank; before others goes a line feed, which stands alone and whose id is dropped again.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -78,21 +80,25 @@ def _encoder(path: str) -> TokenCache:
         raw = b"".join(segments)
         data = np.frombuffer(raw, dtype=np.uint8)
         ends = np.cumsum(np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)))
-        starts = np.concatenate([[0], ends[:-1]])
-        joins = _joins(data, starts, ends)
+        blank, head, tail = _joins(data, np.concatenate([[0], ends[:-1]]), ends)
         if any(x in raw for x in alone):  # a segment with an added token goes alone
-            joins &= np.array([not any(x in s for x in alone) for s in segments])
-        first = np.flatnonzero(np.concatenate([[True], ~(joins[1:] & joins[:-1])]))  # of each text
+            plain = np.array([not any(x in s for x in alone) for s in segments])
+            blank, head, tail = blank & plain, head & plain, tail & plain
+        fed = np.concatenate([[False], head[1:] & tail[:-1]])
+        first = np.flatnonzero(np.concatenate([[True], ~(tail[:-1] & (blank | head)[1:])]))  # of each text
         place = np.arange(len(segments)) - np.repeat(first, np.diff(np.append(first, len(segments))))
         first = np.flatnonzero(place % JOINED == 0)
-        bounds = np.append(starts[first], len(raw)).tolist()
+        raw = b"".join([b"\n" + s if f else s for s, f in zip(segments, fed.tolist(), strict=True)])
+        ends += np.cumsum(fed)
+        bounds = np.concatenate([[0], ends[first[1:] - 1], [len(raw)]]).tolist()
         got = tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(bounds, bounds[1:], strict=False)], add_special_tokens=False)
         ids = [np.array(e.ids, dtype=np.uint32) for e in got]
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
         reached = np.searchsorted(np.cumsum(width[flat]), ends, side="left") + 1
-        return flat, np.diff(reached, prepend=0)
+        sizes = np.diff(reached, prepend=0)
+        return np.delete(flat, (reached - sizes)[fed]), sizes - fed
 
-    return TokenCache(encode)
+    return TokenCache(encode, whole=alone)
 
 
 def _vocabulary_width(path: str) -> int:
